@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii
+from . import bpe, capfilter, chunks, decontaminate, minhash, pii
 from .common import table
 
 
@@ -22,10 +22,25 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_capfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilter.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_pii": op3_pii,
     "op6_decontaminate": op6_decontaminate,
+    "op8_chunks": op8_chunks,
+    "op9_minhash": op9_minhash,
+    "op10_capfilter": op10_capfilter,
 }
 
 SQL: dict[str, str] = {}
