@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -271,8 +272,6 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def encoded(path: str | None = None):
     """A column function: the ids of a text as ``array<int>``; a null text has none."""
-    import pandas as pd
-
     path = path or default_path()
 
     @F.pandas_udf("array<int>")
@@ -285,8 +284,6 @@ def encoded(path: str | None = None):
 
 def decoded(path: str | None = None):
     """A column function: the decoded text of ids; null ids give an empty text."""
-    import pandas as pd
-
     path = path or default_path()
 
     @F.pandas_udf("string")

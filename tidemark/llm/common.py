@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError, Py4JNetworkError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,18 +44,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    atexit.register(_remove, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        if jvm is not None:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception as gone:  # the session has ended before this; its folder is the caller's to clear
-        print(f"left behind: {path} ({type(gone).__name__})")
+def _remove(store, place) -> None:
+    with contextlib.suppress(Py4JError, Py4JNetworkError, OSError):  # the JVM may have ended before this
+        store.delete(place, True)
 
 
 def residue(doc_id: str | Column, mod: int) -> Column:

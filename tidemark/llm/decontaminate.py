@@ -22,6 +22,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -213,8 +214,6 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def is_clean(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS):
     """A column function: whether a text holds no window of the benchmark."""
-    import pandas as pd
-
     parts = blocks(benchmark, window, block_words)
 
     @F.pandas_udf("boolean")

@@ -39,7 +39,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 #: Their contents are not text of the page.
 SILENT = frozenset("head title script style template noscript iframe svg math textarea select button object canvas audio video".split())
-RAW = frozenset("script style textarea title iframe noscript template".split())
+RAW = {t: re.compile(f"</{t}(?=[\\s/>])", re.IGNORECASE) for t in "script style textarea title iframe noscript".split()}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -71,7 +71,6 @@ def blocks(page: str) -> list[Block]:
     none = (False,) * 5
     parts: list[str] = []
     linked = links = number = silent = 0
-    raw = ""
 
     def close_block() -> None:
         nonlocal linked
@@ -92,12 +91,10 @@ def blocks(page: str) -> list[Block]:
             silent -= quiet
         del stack[i:]
 
-    for m in _TOKEN.finditer(page):
-        token, tag = m[0], (m[2] or "").lower()
-        if raw:
-            if not (m[1] and tag == raw):
-                continue
-            raw = ""
+    at = 0
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        token, tag, at = m[0], (m[2] or "").lower(), m.end()
         if not tag:
             if (token[0] != "<" or len(token) == 1) and not silent:
                 parts.append(token)
@@ -132,8 +129,9 @@ def blocks(page: str) -> list[Block]:
         stack.append((tag, number, tuple(a or b for a, b in zip(above, own)), tag in SILENT))
         links += tag == "a"
         silent += tag in SILENT
-        if tag in RAW:
-            raw = tag
+        if tag in RAW:  # its end is the next end tag of its name, whatever stands before
+            end = RAW[tag].search(page, at)
+            at = end.start() if end else len(page)
     close_block()
     return out
 

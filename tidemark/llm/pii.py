@@ -21,6 +21,7 @@ import re
 from functools import cache
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -180,8 +181,6 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def redacted(kinds: tuple[str, ...] = PRIVATE):
     """A column function that redacts texts; null stays null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([redact(t, kinds) for t in texts], dtype=object)

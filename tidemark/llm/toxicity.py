@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -357,8 +358,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Dat
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents, with all their columns, whose score is below a half."""
-    import pandas as pd
-
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
 
     @F.pandas_udf("double")
