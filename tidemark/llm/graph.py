@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import stored
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -15,8 +15,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     the smallest of them, until every component is a star.  The rounds grow with the logarithm of the
     longest path; a hub's links are never brought together, as only their minimum is taken.
     """
-    shared_dir(links.sparkSession)
-    edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    edges = stored(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         now = edges.agg(F.count("*").alias("n"), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("decimal(38,0)")).alias("h")).first()
@@ -28,5 +27,5 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = near.union(low.select("u", "m")).distinct().checkpoint()
+        edges = stored(near.union(low.select("u", "m")).distinct(), "edges")
     raise RuntimeError(f"no stable components after {most_rounds} rounds")

@@ -9,12 +9,13 @@ Bands of large groups would give a quadratic number of pairs, so candidates are
  1. in each band's bucket, all members with one leader, the same for most buckets of a group;
  2. in buckets that still hold several components, the members outside the largest one with a
     member of it, another in each bucket;
- 3. what is left outside, with every member of another component in its buckets whose signature
-    agrees well enough (`AGREE` of 128 values; at a similarity of 0.75, 96 agree on average and fewer
-    than that in one pair of about a million).
-A pair within one component needs no check, as it can't change the result; all other pairs that
-share a band are checked, so nothing is capped.  At similarity 0.75 a pair shares no band with
-probability 5e-6.
+ 3. all members of buckets that still hold several components, by prefixes of their sets: with the
+    shingles ordered from the rarest on, two sets of this similarity must share one of the first
+    ``n - ceil(0.75 n) + 1`` of either, so only those pairs of different components are met.  Texts
+    that miss the threshold for shingles of their own share none and cost nothing.
+A pair within one component needs no check, as it can't change the result; any other pair that shares
+a band and is similar enough is found, so nothing is capped.  At similarity 0.75 a pair shares no
+band with probability 5e-6.
 
 Defined cases: a document of fewer words than five has its whole sequence as its one shingle.  Null,
 empty and blank texts have no shingle, are linked with nothing and kept.  A null doc_id is linked with
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import groups_of, mapped, mix, salts, stored, utf8
@@ -38,11 +39,11 @@ SHINGLE = 5
 PERMUTATIONS = 64
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
-AGREE = 70
 PERCENT = 75
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _PLACE = salts(SHINGLE, 11) | np.uint64(1)
+_ROW, _BAND = salts(ROWS, 14) | np.uint64(1), salts(BANDS, 15)
 _XOR = (salts(PERMUTATIONS, 12) >> np.uint64(32)).astype(np.uint32)
 _TIMES = (salts(PERMUTATIONS, 13) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -71,25 +72,31 @@ def signature(found: np.ndarray) -> np.ndarray:
         x = (s[i : i + 2048, None] ^ _XOR) * _TIMES
         np.minimum(low, x.min(axis=0), out=low)
         np.maximum(high, x.max(axis=0), out=high)
-    return np.stack([low, high], axis=1).ravel().view(np.int32)
+    return np.stack([low, high], axis=1).ravel()
+
+
+def band_keys(signed: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band of a signature."""
+    values = signed.reshape(BANDS, ROWS).astype(np.uint64)
+    return mix((values * _ROW).sum(axis=1) + _BAND).view(np.int64)
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, sig) of each document; digest is null for those never linked."""
+    """(doc_id, n_shingles, digest, bands) of each document; digest is null for those never linked."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts, ids = utf8(batch.column("text")), batch.column("doc_id").to_pylist()
         for a, b in groups_of(texts, 8_000_000):
-            n, digest, sig = [], [], []
+            n, digest, bands = [], [], []
             for doc_id, text in zip(ids[a:b], texts[a:b]):
                 found = shingles(text)
                 linked = len(found) > 0 and doc_id is not None
                 n.append(len(found))
                 digest.append(xxhash.xxh3_128_digest(found.tobytes()) if linked else None)
-                sig.append(signature(found) if linked else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "digest", "sig"])
+                bands.append(band_keys(signature(found)) if linked else None)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
 
-    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, digest binary, sig array<int>")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -130,10 +137,9 @@ def _largest(members: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The classes of equal sets (digest, rep, ...), and the (node, component) of the representatives with a link."""
-    classes = feats.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = feats.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
-    keys = F.array(*(F.xxhash64(F.lit(k), *(F.col("sig")[k * ROWS + i] for i in range(ROWS))) for k in range(BANDS)))
-    rows = classes.select(F.explode(keys).alias("key"), "rep", "n")
+    rows = classes.select(F.explode("bands").alias("key"), "rep", "n")
     leaders = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("rep").alias("drawn"), "rep", "n")).alias("one")).where("size > 1")
     buckets = rows.join(leaders.select("key", F.col("one.rep").alias("leader"), F.col("one.n").alias("leader_n")), "key")
     buckets = stored(buckets, "buckets")
@@ -146,22 +152,31 @@ def links(docs: DataFrame, feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     first = stored(_confirmed(pairs, sets), "links")
     # 2: outside the largest component, with another member of it in each bucket
-    members = _with_component(plain, components(first)).checkpoint()
+    members = stored(_with_component(plain, components(first)), "members")
     pairs = members.join(_largest(members), "key").where(F.col("component") != F.col("main")).where(_alike("n", "leader_n"))
     pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     second = stored(first.union(_confirmed(pairs, sets)), "links")
-    # 3: what is left, with all others of its buckets that look similar enough
-    members = _with_component(plain, components(second)).join(classes.select("rep", "sig"), "rep")
-    members = stored(members.join(_largest(members).select("key", "main"), "key"), "left")
-    rest = members.where(F.col("component") != F.col("main")).alias("l")
-    agree = F.aggregate(F.zip_with("l.sig", "r.sig", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    # 3: what is left, by the rarest shingles of each set
+    members = _with_component(plain, components(second))
+    left = members.join(_largest(members).select("key"), "key", "left_semi").select("rep", "n", "component").distinct()
+    members = stored(_prefixes(left.join(sets, "rep")), "prefixes")
+    members = members.join(_largest(members).select("key", "main"), "key")
     apart = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("r.main")) | (F.col("l.component") < F.col("r.component")))
-    pairs = rest.join(members.alias("r"), (F.col("l.key") == F.col("r.key")) & apart & _alike("l.n", "r.n") & (agree >= AGREE))
+    pairs = members.where(F.col("component") != F.col("main")).alias("l").join(members.alias("r"), (F.col("l.key") == F.col("r.key")) & apart & _alike("l.n", "r.n"))
     pairs = pairs.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
     third = stored(second.union(_confirmed(pairs, sets)), "links")
     return classes, components(third)
 
 
+def _prefixes(left: DataFrame) -> DataFrame:
+    """(key, rep, n, component): of each set, those of its rarest shingles that other sets have too."""
+    rows = left.select("rep", "n", "component", F.explode("found").alias("key"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "key"))
+    least = F.ceil(F.col("n") * PERCENT / 100)
+    return rows.join(counts, "key").withColumn("place", place).where((F.col("place") <= F.col("n") - least + 1) & (F.col("df") > 1)).select("key", "rep", "n", "component")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: its set's size, its component's smallest doc_id, and whether it is that one."""
     feats = stored(features(docs), "features")
