@@ -29,12 +29,12 @@ def resampled(df: DataFrame, keys: list[str], date: str, sums: list[str], block:
     running = placed.select(*keys, "pos", *(F.sum(c).over(w).alias(c) for c in sums))
     zero = df.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("pos"), *(F.lit(0.0).alias(c) for c in sums))
     running = running.unionByName(zero)
-    size = placed.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("length", F.least(F.lit(block), "n"))
+    size = placed.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_length", F.least(F.lit(block), "_n"))
     drawn = size.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("resample", F.col("resample").cast("long"))
-    drawn = drawn.withColumn("k", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / F.col("length")) - 1).cast("int")))).withColumn("k", F.col("k").cast("long"))
-    drawn = drawn.withColumn("a", start_of(F.col("resample"), F.col("k"), F.col("n") - F.col("length") + 1))
-    drawn = drawn.withColumn("b", F.col("a") + F.least(F.col("length"), F.col("n") - F.col("k") * F.col("length")))
-    ends = drawn.join(running.select(*keys, F.col("pos").alias("a"), *(F.col(c).alias(f"{c}_a") for c in sums)), [*keys, "a"]).join(running.select(*keys, F.col("pos").alias("b"), *(F.col(c).alias(f"{c}_b") for c in sums)), [*keys, "b"])
+    drawn = drawn.withColumn("_k", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_n") / F.col("_length")) - 1).cast("int")))).withColumn("_k", F.col("_k").cast("long"))
+    drawn = drawn.withColumn("_a", start_of(F.col("resample"), F.col("_k"), F.col("_n") - F.col("_length") + 1))
+    drawn = drawn.withColumn("_b", F.col("_a") + F.least(F.col("_length"), F.col("_n") - F.col("_k") * F.col("_length")))
+    ends = drawn.join(running.select(*keys, F.col("pos").alias("_a"), *(F.col(c).alias(f"{c}_a") for c in sums)), [*keys, "_a"]).join(running.select(*keys, F.col("pos").alias("_b"), *(F.col(c).alias(f"{c}_b") for c in sums)), [*keys, "_b"])
     return ends.groupBy(*keys, "resample").agg(*(F.sum(F.col(f"{c}_b") - F.col(f"{c}_a")).alias(c) for c in sums))
 
 
