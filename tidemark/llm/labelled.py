@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: At most so many documents of each label, and of so many bytes each, are drawn.
-SAMPLE_ROWS = 2000
-SAMPLE_BYTES = 60_000
+SAMPLE_ROWS = 1000
+SAMPLE_BYTES = 16_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[bytes, int]]:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import groups_of, mapped, mix, residue, utf8
 from .labelled import SAMPLE_ROWS, labelled_sample
+from .minhash import band_keys, shingles, signature
 from .words import Words, sum_by, words
 
 LENGTH, STRIDE = 24, 16
@@ -70,9 +71,9 @@ def vocabulary(found: Words) -> tuple[Vocabulary, np.ndarray]:
         h = np.full(len(at), n, dtype=np.uint64)
         for k in range(n):
             h = h * np.uint64(1_000_003) + code[at + k]
-        owner.append(np.searchsorted(edge, at, "right") - 1)
+        owner.append((np.searchsorted(edge, at, "right") - 1).astype(np.int32))
         grams.append(mix(h) & np.uint64(BUCKETS - 1))
-    owner, grams = np.concatenate(owner), np.concatenate(grams).astype(np.int64)
+    owner, grams = np.concatenate(owner), np.concatenate(grams).astype(np.int32)
     order = np.argsort(owner, kind="stable")
     bounds = np.searchsorted(owner[order], np.arange(len(first) + 1))
     return Vocabulary((found.hash[first] & np.uint64(BUCKETS - 1)).astype(np.int64), grams[order], bounds), number
@@ -182,8 +183,8 @@ class Network:
     def project(self, x: np.ndarray) -> np.ndarray:
         return x @ np.concatenate([self.p["wf"], self.p["wb"]], axis=1) + np.concatenate([self.p["cf"], self.p["cb"]])
 
-    def score_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """Each text's highest logit, its number of windows, and what they were made of."""
+    def score_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's highest logit, its number of windows, and all windows' logits."""
         found = words(texts)
         voc, number = vocabulary(found)
         start, size, first = windows(found.bounds)
@@ -198,49 +199,92 @@ class Network:
                 mask = np.arange(LENGTH) < size[part, None]
                 logits[part] = self.read(projected[np.where(mask, padded[np.minimum(place, len(padded) - 1)], len(projected) - 1)], mask)
         best = np.maximum.reduceat(logits, first[:-1]) if len(texts) else logits
-        return best, np.diff(first), (voc, number, start, size, first, logits)
+        return best, np.diff(first), logits
 
     def probability(self, logit: np.ndarray) -> np.ndarray:
         return sigmoid(self.scale * logit.astype(np.float64) + self.shift)
 
 
-def log_odds(buckets: np.ndarray, owner: np.ndarray, y: np.ndarray, counted: np.ndarray) -> np.ndarray:
-    """Of each bucket: log odds of being in a toxic document, shrunk where few of the counted ones have it."""
-    pairs = np.unique(owner * BUCKETS + buckets)
-    count = [np.bincount(pairs[y[pairs // BUCKETS] == k] % BUCKETS, minlength=BUCKETS) for k in (0, 1)]
-    total = [max(1, int((y[counted] == k).sum())) for k in (0, 1)]
+def log_odds(count: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Of each bucket: log odds of being in a toxic document, shrunk where few have it; `count` and `total`
+    are the other and the toxic documents that have the bucket, and all."""
+    total = np.maximum(total, 1)
     odds = np.log((count[1] + 0.5) / (total[1] + 1)) - np.log((count[0] + 0.5) / (total[0] + 1))
     seen = count[0] + count[1]
     return (np.clip(odds, -4, 4) * seen / (seen + 3.0) * (seen > 1)).astype(np.float32)
 
 
+def bucket_counts(texts: list[bytes], y: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """[words or n-grams, half, label, bucket]: how many texts have a bucket."""
+    out = np.zeros((2, 2, 2, BUCKETS), dtype=np.int64)
+    for a, b in groups_of(texts, 300_000):
+        found = words(texts[a:b])
+        voc, number = vocabulary(found)
+        if not len(number):
+            continue
+        owner = np.repeat(np.arange(b - a), np.diff(found.bounds))
+        distinct = np.unique(owner * len(voc.word) + number)  # (text, word)
+        text, word = distinct // len(voc.word), distinct % len(voc.word)
+        n = np.diff(voc.bounds)[word]
+        spread = np.repeat(voc.bounds[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        for kind, (bucket, of) in enumerate(((voc.word[word], text), (voc.gram[spread], np.repeat(text, n)))):
+            pairs = np.unique(of * BUCKETS + bucket)
+            of, bucket = pairs // BUCKETS + a, pairs % BUCKETS
+            for h in (0, 1):
+                for k in (0, 1):
+                    out[kind, h, k] += np.bincount(bucket[(half[of] == h) & (y[of] == k)], minlength=BUCKETS)
+    return out
+
+
+def gathered(texts: list[bytes]) -> Words:
+    """The words of all texts, read in groups to bound memory."""
+    parts, offset = [], 0
+    for a, b in groups_of(texts, 300_000):
+        f = words(texts[a:b])
+        parts.append((f.code, f.start + offset, f.length, f.hash, np.diff(f.bounds)))
+        offset += len(f.code)
+    code, start, length, h, n = (np.concatenate(c) for c in zip(*parts))
+    return Words(code, start, length, h, np.append(0, np.cumsum(n)), np.empty(0, dtype=np.uint8))
+
+
+def apart(sample: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
+    """One text of each family of copies with one label: what the copies share would look like a mark of the label."""
+    met, out = set(), []
+    for text, y in sample:
+        found = shingles(text)
+        keys = {(y, k) for k in band_keys(signature(found))[:12].tolist()} if len(found) else set()
+        if met.isdisjoint(keys):
+            out.append((text, y))
+        met |= keys
+    return out
+
+
 def fit(sample: list[tuple[bytes, int]], rounds: int = 4, steps: int = 80, seed: int = 6) -> Network | float:
     """A network trained on texts and labels; the share of toxic ones where there is nothing to tell apart.
 
     While the network learns from one half of the texts, the log odds are those of the other half: words
     that a document alone has then tell nothing of it.  In the end they are those of all.
     """
-    sample = list(dict(sorted(sample)).items())  # equal texts once
+    sample = apart(sorted(dict(sorted(sample)).items()))
     y = np.array([k for _, k in sample], dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
     random = np.random.default_rng(seed)
     order = random.permutation(len(sample))
     texts, y, net = [sample[i][0] for i in order], y[order], Network()
-    found = words(texts)
+    found = gathered(texts)
+    if not len(found.hash):
+        return float(y.mean())
     voc, number = vocabulary(found)
-    owner = np.repeat(np.arange(len(texts)), np.diff(found.bounds))
-    distinct = np.unique(owner * max(1, len(voc.word)) + number)  # (text, word)
-    n = np.diff(voc.bounds)[distinct % len(voc.word)] if len(distinct) else distinct
-    spread = np.repeat(voc.bounds[distinct % max(1, len(voc.word))] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    pieces = ((net.word, voc.word[number], owner), (net.gram, voc.gram[spread], np.repeat(distinct // max(1, len(voc.word)), n)))
     half = np.zeros(len(y), dtype=np.int64)
     for k in (0, 1):
         half[np.flatnonzero(y == k)[1::2]] = 1
-    odds = [[log_odds(bucket[half[of] != k], of[half[of] != k], y, half != k) for _, bucket, of in pieces] for k in (0, 1)]
+    tables, counts = (net.word, net.gram), bucket_counts(texts, y, half)
+    totals = np.array([[((half == h) & (y == k)).sum() for k in (0, 1)] for h in (0, 1)])
+    odds = [[log_odds(counts[t, 1 - k], totals[1 - k]) for t in (0, 1)] for k in (0, 1)]
 
     def use(k: int) -> None:
-        for (table, _, _), o in zip(pieces, odds[k]):
+        for table, o in zip(tables, odds[k]):
             table[:, -1] = o
 
     def scored() -> tuple[np.ndarray, np.ndarray]:
@@ -248,8 +292,8 @@ def fit(sample: list[tuple[bytes, int]], rounds: int = 4, steps: int = 80, seed:
         both = []
         for k in (0, 1):
             use(k)
-            best, _, (*_, logits) = net.score_texts(texts)
-            both.append((best, logits))
+            parts = [net.score_texts(texts[a:b]) for a, b in groups_of(texts, 500_000)]
+            both.append((np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])))
         return np.where(half == 0, both[0][0], both[1][0]), np.where(half[window_owner] == 0, both[0][1], both[1][1])
 
     start, size, first = windows(found.bounds)
@@ -279,8 +323,8 @@ def fit(sample: list[tuple[bytes, int]], rounds: int = 4, steps: int = 80, seed:
             rows, target = np.concatenate([pos, neg]), np.repeat(np.array([1, 0], dtype=np.float32), [64, 112])
             _train(net, voc, number, start[rows], size[rows], target, moments, seen, step)
     net.scale, net.shift = calibrated(scored()[0].astype(np.float64), y)
-    for table, bucket, of in pieces:
-        table[:, -1] = log_odds(bucket, of, y, np.ones(len(y), dtype=bool))
+    for t, table in enumerate(tables):
+        table[:, -1] = log_odds(counts[t].sum(axis=0), totals.sum(axis=0))
     return net
 
 
