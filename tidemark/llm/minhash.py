@@ -9,10 +9,10 @@ Bands of large groups would give a quadratic number of pairs, so candidates are
  1. in each band's bucket, all members with one leader, the same for most buckets of a group;
  2. in buckets that still hold several components, the members outside the largest one with a
     member of it, another in each bucket;
- 3. all members of buckets that still hold several components, by prefixes of their sets: with the
-    shingles ordered from the rarest on, two sets of this similarity must share one of the first
-    ``n - ceil(0.75 n) + 1`` of either, so only those pairs of different components are met.  Texts
-    that miss the threshold for shingles of their own share none and cost nothing.
+ 3. what is left in buckets that still hold several components, in clusters of documents joined by such
+    buckets.  A cluster is dealt out in blocks of about `BLOCK` documents; each two of its blocks meet in
+    one task, which counts the common shingles of all its pairs of different components exactly and gives
+    only the links that join components, never more than the documents it holds.
 A pair within one component needs no check, as it can't change the result; any other pair that shares
 a band and is similar enough is found, so nothing is capped.  At similarity 0.75 a pair shares no
 band with probability 5e-6.
@@ -27,9 +27,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import groups_of, mapped, mix, salts, stored, utf8
@@ -39,6 +40,7 @@ SHINGLE = 5
 PERMUTATIONS = 64
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
+BLOCK = 256
 PERCENT = 75
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -156,25 +158,69 @@ def links(docs: DataFrame, feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = members.join(_largest(members), "key").where(F.col("component") != F.col("main")).where(_alike("n", "leader_n"))
     pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     second = stored(first.union(_confirmed(pairs, sets)), "links")
-    # 3: what is left, by the rarest shingles of each set
+    # 3: what is left, in blocks of whole clusters
     members = _with_component(plain, components(second))
-    left = members.join(_largest(members).select("key"), "key", "left_semi").select("rep", "n", "component").distinct()
-    members = stored(_prefixes(left.join(sets, "rep")), "prefixes")
-    members = members.join(_largest(members).select("key", "main"), "key")
-    apart = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("r.main")) | (F.col("l.component") < F.col("r.component")))
-    pairs = members.where(F.col("component") != F.col("main")).alias("l").join(members.alias("r"), (F.col("l.key") == F.col("r.key")) & apart & _alike("l.n", "r.n"))
-    pairs = pairs.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
-    third = stored(second.union(_confirmed(pairs, sets)), "links")
+    left = stored(members.join(_largest(members).select("key", "leader"), "key").select("rep", "component", "leader").distinct(), "left")
+    clusters = components(left.select(F.col("rep").alias("a"), F.col("leader").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    third = stored(second.union(_block_links(left.select("rep", "component").distinct().join(clusters, "rep"), sets)), "links")
     return classes, components(third)
 
 
-def _prefixes(left: DataFrame) -> DataFrame:
-    """(key, rep, n, component): of each set, those of its rarest shingles that other sets have too."""
-    rows = left.select("rep", "n", "component", F.explode("found").alias("key"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "key"))
-    least = F.ceil(F.col("n") * PERCENT / 100)
-    return rows.join(counts, "key").withColumn("place", place).where((F.col("place") <= F.col("n") - least + 1) & (F.col("df") > 1)).select("key", "rep", "n", "component")
+def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between documents (rep, component, cluster) of one cluster that join different components."""
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count_distinct("component").alias("parts")).where("parts > 1")
+    rows = members.join(sizes.select("cluster", "blocks"), "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(sets, "rep")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "component", "found")
+    return rows.groupBy("cluster", "p", "q").applyInPandas(_compared, "a long, b long")
+
+
+def _compared(rows: pd.DataFrame) -> pd.DataFrame:
+    """Two blocks against each other, or one against itself."""
+    first, second = rows["p"].iloc[0], rows["q"].iloc[0]
+    a = rows[rows["block"] == first]
+    b = a if first == second else rows[rows["block"] == second]
+    na, nb = (np.array([len(f) for f in x["found"]], dtype=np.int64) for x in (a, b))
+    ca, cb = a["component"].to_numpy(), b["component"].to_numpy()
+    pairs = np.argwhere((100 * (n := common(list(a["found"]), list(b["found"]))) >= PERCENT * (na[:, None] + nb[None, :] - n)) & (ca[:, None] != cb[None, :]))
+    into: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in into:
+            x = into[x]
+        return x
+
+    out = []
+    for i, j in pairs.tolist():
+        x, y = root(ca[i]), root(cb[j])
+        if x != y:
+            into[max(x, y)] = min(x, y)
+            out.append((a["rep"].iloc[i], b["rep"].iloc[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray], most: int = 4_000_000) -> np.ndarray:
+    """How many elements each set of one list has in common with each of the other: the places of each
+    element in both are multiplied out, at most about `most` at a time."""
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    if not left or not right:
+        return out
+    x, y = np.concatenate(left), np.concatenate(right)
+    i, j = np.repeat(np.arange(len(left)), [len(f) for f in left]), np.repeat(np.arange(len(right)), [len(f) for f in right])
+    order = np.argsort(x, kind="stable")
+    x, i = x[order], i[order]
+    low, high = np.searchsorted(x, y, "left"), np.searchsorted(x, y, "right")
+    met = np.flatnonzero(high > low)
+    low, n, j = low[met], (high - low)[met], j[met]
+    upto = np.cumsum(n)
+    start = 0
+    while start < len(n):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most, "right")))
+        k = n[start:end]
+        at = np.repeat(low[start:end] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        out += np.bincount(i[at] * len(right) + np.repeat(j[start:end], k), minlength=out.size).reshape(out.shape)
+        start = end
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
