@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import mapped
 
 #: Entries a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: The rank of pairs that are never joined.
 NEVER = np.int32(2**31 - 1)
 
@@ -233,11 +233,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def bounded(texts: pa.Array) -> Iterator[list[str | None]]:
+def bounded(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
     """The texts in groups of about 2 MB, or of one text."""
     group, size = [], 0
     for t in texts:
-        t = t.as_py()
         if group and size + len(t or "") > 2_000_000:
             yield group
             group, size = [], 0
@@ -259,7 +258,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         code, n, a, b, head = encoder(path), [], [], [], []
-        for texts in bounded(batch.column("text")):
+        for texts in bounded(t.as_py() for t in batch.column("text")):
             for ids in code.encode_all(texts):
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
@@ -277,7 +276,7 @@ def encoded(path: str | None = None):
     @F.pandas_udf("array<int>")
     def of(texts: pd.Series) -> pd.Series:
         code = encoder(path)
-        return pd.Series([np.frombuffer(i, dtype="<u4").astype(np.int32) for t in texts for i in code.encode_all([t])], dtype=object)
+        return pd.Series([np.frombuffer(i, dtype="<u4").astype(np.int32) for group in bounded(texts) for i in code.encode_all(group)], dtype=object)
 
     return of
 
