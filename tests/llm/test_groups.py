@@ -178,3 +178,33 @@ def test_repeated_passages_are_cut(spark):
 def test_odd_texts_have_whole_chunks(text):
     ends, found = chunks.digests(text.encode())
     assert len(ends) == len(found) and (not text or ends[-1] == len(text.encode()))
+
+
+def test_every_repeated_passage_of_over_50_words_is_cut_to_its_ends(spark):
+    """Random passages of 51 to 60 words in two contexts, and copies of any length, in words and in characters."""
+    rng = random.Random(8)
+    letters = "eeeettaaoinshrdlu"
+
+    def prose(n):
+        return " ".join("".join(rng.choices(letters, k=rng.choice([1, 2, 3, 4, 5, 7, 9]))) for _ in range(n))
+
+    rows, want = [], {}
+    for k in range(400):
+        p = prose(51 + k % 10)
+        rows += [(2 * k, f"{prose(20)} {p} {prose(30)}"), (2 * k + 1, f"{prose(35)} {p} {prose(15)}")]
+        want[2 * k + 1] = p
+    cjk = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(300))
+    blob = "".join(rng.choices("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789+/", k=3000))
+    rows += [(900, "ab " + cjk), (901, cjk[::-1][:40] + cjk[50:250]), (910, "x" + blob), (911, blob[::-1][:100] + blob[500:])]
+    rows += [(920, "a short text"), (921, "a short text"), (922, prose(14)), (923, "ha " * 100)]
+    rows.append((924, rows[-2][1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, got = dict(rows), {r.doc_id: r for r in chunks.deduplicate(docs).collect()}
+    for i, p in want.items():
+        a = texts[i].index(p)
+        cuts = [tuple(map(int, s.split(":"))) for s in got[i].spans.split(",") if s]
+        assert any(x <= a and a + len(p) <= y <= a + len(p) + 12 for x, y in cuts), (i, p, got[i].spans)
+        assert got[i - 1].n_cut == 0 and got[i].copied_from == [i - 1]
+    assert got[901].spans == "40:240" and got[911].n_cut == 1 and got[911].cut_chars > 2350
+    assert (got[921].text, got[921].copied_from, got[924].text, got[924].copied_from) == ("", [920], "", [922])
+    assert got[920].n_cut == got[922].n_cut == 0 and got[923].spans == "48:299"

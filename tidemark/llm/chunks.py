@@ -1,38 +1,52 @@
-"""Substring deduplication by content-defined chunks.
-
-A gear rolling hash over the last 32 bytes decides where a chunk ends, so boundaries move with the text
-and an insertion changes only the chunks around it.  Chunks are from `LEAST` to `MOST` bytes, about 48 on
-average.  Each chunk has a 128-bit digest; the copy in the document of the smallest doc_id stays, every
-other one is a repeat.  Stretches of repeats of at least `RUN` bytes are cut from the text; single chunks
-that recur by chance, such as a stock phrase, are left alone.  A passage of 50 words is about 300 bytes,
-of which the first 32 and part of a chunk at either end may fall outside its chunks.
-
-Digests are aggregated to the smallest document with a partial aggregate, and only digests of several
-documents are joined back; no group of equal chunks is brought together.
+"""Substring deduplication by words: every stretch that another document has before is cut to its ends.
+
+A text is read as units: words between white space, single characters of scripts without spaces, and pieces
+of words of over 32 bytes, split where a hash of the last bytes says so, so that equal text has equal units.
+Each window of `WINDOW` units has a 128-bit digest (of the units; white space between them doesn't count);
+the copy in the document of the smallest doc_id stays, every other one is a repeat.  Neighbouring repeats
+are one stretch; it is cut if it has `RUN` bytes or more than `WORDS` units, so stock phrases are left alone.
+Every repeated passage of over `WORDS` words is thus found, to its first and last whole unit.  A text that
+another document has before, of any length, is cut whole.  Not cut: repeats of under `WINDOW` units, and a
+part of a word at either end.
+
+Not every window is shuffled.  First each window gives the smallest hash of the runs of `GRAM` units in it,
+the same in every copy; neighbours mostly share it.  Only windows whose smallest hash several documents have
+are then met by their digests.  Both are shuffled once, by digest; a task reads the rows of a digest one after
+another and gives each the smallest document.
 
 Defined cases: null texts stay null, empty ones empty.  A null doc_id takes part like the largest id.
-Rows with one doc_id count as one document: a chunk of one is no repeat in the other.  Within one
+Rows with one doc_id count as one document: a window of one is no repeat in the other.  Within one
 document the first of equal stretches stays.  The text is cut at the ends of characters only.
+
+`boundaries` and `digests` give content-defined chunks of a text; `deduplicate` doesn't use them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import groups_of, mapped, salts, stored, utf8
+from .common import groups_of, mapped, mix, salts, utf8
 
 LEAST, MOST = 16, 256
 BELOW = np.uint32(2**32 // 32)
 RUN = 112
+WORDS = 50
+WINDOW, GRAM = 16, 8  # powers of two
+LONG = 32
+WHOLE = -1  # the place of a whole text
 NO_ID = 2**63 - 1
 
 _GEAR = (salts(256, 21) >> np.uint64(32)).astype(np.uint32)
+_POWER = salts(64, 22) | np.uint64(1)
+_BASES = [int(x) | 1 for x in salts(3, 23)]
+_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
 
 def boundaries(text: bytes) -> list[int]:
@@ -69,70 +83,168 @@ def digests(text: bytes) -> tuple[list[int], list[bytes]]:
     return ends, [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip([0, *ends], ends)]
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, high, low): each document's distinct chunks, by the place of the first."""
+@dataclass
+class Units:
+    start: np.ndarray  # in the joined texts
+    end: np.ndarray
+    hash: np.ndarray
+    bounds: np.ndarray  # the units of text i are bounds[i] to bounds[i + 1]
+    offset: np.ndarray  # where each text starts
+
+
+def units(texts: list[bytes]) -> Units:
+    """The units of each text."""
+    code = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    offset = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
+    space, at = _SPACE[code], np.arange(len(code))
+    starts = ~space & (np.append(True, space[:-1]) | ((code >= 0xE0) & (code != 0xE2)))  # 0xE2: mostly quotes and dashes
+    since = at - np.maximum.accumulate(np.where(space, at, -1))
+    far = np.flatnonzero((since > LONG) & ((code & 0xC0) != 0x80))
+    if len(far):
+        h = np.zeros(len(far), dtype=np.uint64)
+        for k in range(1, 9):
+            h = h * np.uint64(_BASES[2]) + code[far - k].astype(np.uint64)
+        starts[far[(mix(h) & np.uint64(15)) == 0]] = True
+    start = np.flatnonzero(starts)
+    if not len(start):
+        return Units(start, start, np.empty(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64), offset)
+    inside = np.flatnonzero(~space)
+    first = np.searchsorted(inside, start)
+    length = np.diff(np.append(first, len(inside)))
+    place = np.arange(len(inside)) - np.repeat(first, length)
+    value = (code[inside].astype(np.uint64) + np.uint64(1)) * _POWER[place & 63]
+    h = mix(np.add.reduceat(mix(value + place.astype(np.uint64)), first) + length.astype(np.uint64))
+    return Units(start, start + length, h, np.searchsorted(start, offset), offset)
+
+
+def _sums(h: np.ndarray, n: int, base: int) -> np.ndarray:
+    """A hash of every `n` units in order (`n` a power of two); the last n - 1 aren't whole."""
+    shift = 1
+    while shift < n:
+        more = np.zeros_like(h)
+        more[:-shift] = h[shift:] * np.uint64(pow(base, shift, 2**64))
+        h, shift = h + more, shift * 2
+    return mix(h)
+
+
+def marks(h: np.ndarray) -> np.ndarray:
+    """Of each window the smallest hash of its runs of `GRAM` units."""
+    least, size, wanted = _sums(h, GRAM, _BASES[0]), 1, WINDOW - GRAM + 1
+    while size < wanted:
+        shift = min(size, wanted - size)
+        more = least.copy()
+        more[:-shift] = np.minimum(least[:-shift], least[shift:])
+        least, size = more, size + shift
+    return least
+
+
+def _each(texts: list[bytes], most: int = 500_000) -> Iterator[tuple[int, Units, list[tuple[int, int]]]]:
+    """Groups of texts: the number of the first, their units, and of each text its windows (first, one past the last)."""
+    for a, b in groups_of(texts, most):
+        u = units(texts[a:b])
+        yield a, u, [(x, max(x, y - WINDOW + 1)) for x, y in zip(u.bounds.tolist(), u.bounds[1:].tolist())]
+
+
+def mark_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, place, high, low): each document's distinct marks, by their rank in it, and at `WHOLE` its text's digest."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts, ids = utf8(batch.column("text")), np.array(batch.column("doc_id"), dtype=np.int64)
-        for a, b in groups_of(texts, 2_000_000):
-            doc, place, found = [], [], []
-            for i in range(a, b):
-                first: dict[bytes, int] = {}
-                for k, d in enumerate(digests(texts[i])[1]):
-                    first.setdefault(d, k)
-                found += first
-                place += first.values()
-                doc.append(len(first))
-            both = np.frombuffer(b"".join(found), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], doc)), pa.array(place, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "place", "high", "low"])
-
-    return mapped(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text"), run, "doc_id long, place int, high long, low long")
-
-
-def repeats_of(text: bytes, seen: dict[int, int]) -> list[tuple[int, int, list[int]]]:
-    """Stretches (start, end, source documents) to cut: runs of chunks that are in `seen` (place of a
-    chunk's first copy in the text: document that has it before), or earlier in the text."""
-    ends, found = digests(text)
-    first: dict[bytes, int] = {}
-    out, start, sources = [], None, []
-    for k, (d, a, b) in enumerate(zip(found, [0, *ends], ends)):
-        at = first.setdefault(d, k)
-        if at in seen or at < k:
-            if start is None:
-                start, sources = a, []
-            if at in seen:
-                sources.append(seen[at])
-            stop = b
-        elif start is not None:
-            out.append((start, stop, sources))
-            start = None
-    if start is not None:
-        out.append((start, stop, sources))
-    return [(a, b, sorted(set(s))) for a, b, s in out if b - a >= RUN]
+        for a, u, spans in _each(texts):
+            found, doc, place, high, low = marks(u.hash), [], [], [], []
+            for i, (x, y) in enumerate(spans, a):
+                own = np.unique(found[x:y]).view(np.int64)
+                whole = np.frombuffer(xxhash.xxh3_128_digest(texts[i]), dtype=np.int64)[: 2 * bool(texts[i])]
+                doc.append(np.full(len(own) + len(whole) // 2, ids[i]))
+                place += [np.arange(len(own), dtype=np.int32), np.full(len(whole) // 2, WHOLE, dtype=np.int32)]
+                high += [own, whole[:1]]
+                low += [np.zeros(len(own), dtype=np.int64), whole[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (doc, place, high, low)], names=["doc_id", "place", "high", "low"])
+
+    return mapped(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text"), run, ROWS)
+
+
+def window_rows(joined: DataFrame) -> DataFrame:
+    """(doc_id, place, high, low): the distinct windows with marks in `seen`, by the place of the first.  Documents
+    that are copies give none: the document they are copies of gives the same."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lists, keys = batch.column("seen"), batch.column("key").to_pylist()
+        rows = [i for i, n in enumerate(lists.is_null().to_pylist()) if not n]
+        texts = utf8(batch.column("text").take(pa.array(rows, pa.int64())))
+        for a, u, spans in _each(texts):
+            found, one, two = marks(u.hash), _sums(u.hash, WINDOW, _BASES[0]), _sums(u.hash, WINDOW, _BASES[1])
+            doc, place, high, low = ([np.empty(0, dtype=t)] for t in (np.int64, np.int32, np.int64, np.int64))
+            for i, (x, y) in enumerate(spans, a):
+                seen = np.array([s["place"] for s in lists[rows[i]].as_py()], dtype=np.int64)
+                if x == y or (seen == WHOLE).any():
+                    continue
+                own, of = np.unique(found[x:y], return_inverse=True)
+                known = np.zeros(len(own), dtype=bool)
+                known[seen] = True
+                at = np.flatnonzero(known[of])
+                at = at[np.unique(one[x + at], return_index=True)[1]]
+                doc.append(np.full(len(at), keys[rows[i]]))
+                place.append(at.astype(np.int32))
+                high.append(one[x + at].view(np.int64))
+                low.append(two[x + at].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (doc, place, high, low)], names=["doc_id", "place", "high", "low"])
+
+    return mapped(joined, run, ROWS)
+
+
+def repeats_of(u: Units, i: int, first: int, last: int, digest: np.ndarray, seen: dict[int, int]) -> list[tuple[int, int, list[int]]]:
+    """Stretches (start, end, source documents) of text i to cut: windows that are in `seen` (place of a window's
+    first copy in the text: document that has it before), or earlier in the text without overlap."""
+    if first == last:
+        return []
+    own, head, of = np.unique(digest[first:last], return_index=True, return_inverse=True)
+    source = np.full(len(own), -1)
+    known = np.zeros(len(own), dtype=bool)
+    if seen:
+        places = of[np.fromiter(seen.keys(), dtype=np.int64)]
+        known[places], source[places] = True, list(seen.values())
+    at = np.flatnonzero(known[of] | (np.arange(last - first) - head[of] >= WINDOW))
+    out = []
+    for part in np.split(at, np.flatnonzero(np.diff(at) > WINDOW) + 1) if len(at) else ():
+        a, b = u.start[first + part[0]], u.end[first + part[-1] + WINDOW - 1]
+        if b - a >= RUN or part[-1] + WINDOW - part[0] > WORDS:
+            of_part = of[part]
+            out.append((int(a - u.offset[i]), int(b - u.offset[i]), np.unique(source[of_part[known[of_part]]]).tolist()))
+    return out
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """`rows` whose digest several documents have, with the first of them.  One shuffle: a digest's rows meet in
+    one task, sorted, and what doesn't fit in its memory spills."""
+    same = Window.partitionBy("high", "low")
+    return rows.withColumn("first", F.min("doc_id").over(same)).withColumn("last", F.max("doc_id").over(same)).where("first < last").drop("last")
 
 
+ROWS = "doc_id long, place int, high long, low long"
 SCHEMA = "doc_id long, n_cut long, cut_chars long, copied_from array<long>, spans string, text string"
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row per document: stretches cut, their characters, the documents that keep them, their places
     (code points of the whole text), and the text that stays."""
-    rows = chunk_rows(docs)
-    several = rows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    repeats = rows.join(several, ["high", "low"]).where("first < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("place", "first")).alias("seen"))
+    met = _repeated(mark_rows(docs)).where((F.col("place") != WHOLE) | (F.col("first") < F.col("doc_id")))
+    met = met.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("place", "first")).alias("seen"))
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce("doc_id", F.lit(NO_ID)))
-    joined = whole.join(repeats.withColumnRenamed("doc_id", "key"), "key", "left").select("doc_id", "text", "seen")
+    joined = whole.join(met, "key", "left").select("key", "doc_id", "text", "seen")  # shuffled once, read twice
+    repeats = _repeated(window_rows(joined)).where("first < doc_id").groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("place", "first")).alias("windows"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, ids, seen, null = utf8(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("seen"), batch.column("text").is_null().to_pylist()
-        for a, b in groups_of(texts, 4_000_000):
-            out = []
-            for i in range(a, b):
-                text, cut = texts[i], repeats_of(texts[i], {x["place"]: x["first"] for x in seen[i].as_py() or ()})
-                kept = b"".join(text[x:y] for x, y in zip([0, *(c[1] for c in cut)], [*(c[0] for c in cut), len(text)]))
-                places = [(len(text[:x].decode()), len(text[x:y].decode())) for x, y, _ in cut]
-                out.append((ids[i], len(cut), sum(n for _, n in places), sorted({s for c in cut for s in c[2]}), ",".join(f"{x}:{x + n}" for x, n in places), None if null[i] else kept.decode()))
+        texts, ids, seen, windows, null = utf8(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("seen"), batch.column("windows"), batch.column("text").is_null().to_pylist()
+        for start, u, spans in _each(texts):
+            out, digest = [], _sums(u.hash, WINDOW, _BASES[0])
+            for i, (x, y) in enumerate(spans, start):
+                text, copy = texts[i], [s["first"] for s in seen[i].as_py() or () if s["place"] == WHOLE]
+                cut = [(0, len(text), copy)] if copy else repeats_of(u, i - start, x, y, digest, {s["place"]: s["first"] for s in windows[i].as_py() or ()})
+                kept = b"".join(text[p:q] for p, q in zip([0, *(c[1] for c in cut)], [*(c[0] for c in cut), len(text)]))
+                places = [(len(text[:p].decode()), len(text[p:q].decode())) for p, q, _ in cut]
+                out.append((ids[i], len(cut), sum(n for _, n in places), sorted({s for c in cut for s in c[2]}), ",".join(f"{p}:{p + n}" for p, n in places), None if null[i] else kept.decode()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "n_cut", "cut_chars", "copied_from", "spans", "text"])
 
-    return mapped(joined, run, SCHEMA)
+    return mapped(joined.join(repeats, "key", "left").drop("key"), run, SCHEMA)
