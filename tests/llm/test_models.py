@@ -122,3 +122,26 @@ def test_pipeline(spark, sf_dir):
     for r in safe.limit(50).collect():
         assert np.array(ids[r.doc_id].ids, dtype="<u4").tobytes() == code.encode_all([r.text])[0]
     assert {r.doc_id for r in p.run(spark, SF).collect()} == set(ids)
+
+
+def test_long_runs_are_read_in_pieces_that_cover_them():
+    from tidemark.llm.words import in_pieces
+
+    text = ("ab " + "漢字仮名" * 30 + " " + "q" * 49 + " end").encode()
+    whole, found = words([b"one", text, b""]), toxicity.words_of([b"one", text, b""])
+    assert in_pieces(whole, 1000, 24, 12) is whole and found.bounds[0] == 0 and found.bounds[1] == 1 and found.bounds[2] == found.bounds[3] == len(found.hash)
+    pieces = [bytes(found.code[a : a + n]) for a, n in zip(found.start, found.length)]
+    assert all(len(p.decode()) and len(p) <= 51 for p in pieces)
+    covered = {int(x) for a, n in zip(found.start, found.length) for x in range(a, a + n)}
+    assert covered == {int(x) for a, n in zip(whole.start, whole.length) for x in range(a, a + n)}
+    again = words([p for p in pieces])
+    assert again.hash.tolist() == found.hash.tolist()
+
+
+@pytest.mark.parametrize("filler, phrase", [("abcdefghij", "zzwqvyx"), ("漢字仮名文章", "鬱鬼魔龍齧")])
+def test_all_parts_of_phrases_deep_in_long_runs_are_input(filler, phrase):
+    grams = lambda text: set(toxicity.vocabulary(toxicity.words_of([text.encode()]))[0].gram.tolist())
+    own = grams(f"r{phrase}r") & grams(f"s{phrase}s")
+    assert own
+    for n in range(20, 60):  # 100 letters and more before it, at every place of a piece
+        assert own <= grams((filler * 20)[:80 + n] + phrase + filler * 3)

@@ -2,7 +2,8 @@
 
 Each word has a word input (a learned vector of its hash bucket) and a character input (the mean of the
 learned vectors of its character n-grams' buckets), so that forms of a word not met in training are
-known by their parts.  Both have one more dimension that isn't trained: the log odds of the bucket among
+known by their parts.  A run of letters of over `LONGEST` bytes, such as a sentence in a script without
+spaces, is read as pieces of `PIECE` bytes that overlap, each a word.  Both have one more dimension that isn't trained: the log odds of the bucket among
 toxic and other documents of the sample, shrunk towards zero where it is rare.  The network reads
 windows of `LENGTH` words that overlap (one every `STRIDE` words), forward and backward; attention pools
 the states of a window, and a document's score is its highest window's, calibrated on the sample.
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 from .common import groups_of, mapped, mix, residue, utf8
 from .labelled import SAMPLE_ROWS, labelled_sample
 from .minhash import band_keys, shingles, signature
-from .words import Words, sum_by, words
+from .words import Words, in_pieces, sum_by, words
 
 LENGTH, STRIDE = 24, 16
+LONGEST, PIECE, EVERY = 48, 48, 32
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 LEARNED = 7
@@ -54,10 +56,14 @@ class Vocabulary:
     bounds: np.ndarray  # the n-grams of word i are bounds[i] to bounds[i + 1]
 
 
+def words_of(texts: list[bytes]) -> Words:
+    return in_pieces(words(texts), LONGEST, PIECE, EVERY)
+
+
 def vocabulary(found: Words) -> tuple[Vocabulary, np.ndarray]:
     """The distinct words, and the number of each word's in it."""
     _, first, number = np.unique(found.hash, return_index=True, return_inverse=True)
-    start, length = found.start[first], np.minimum(found.length[first], 48)
+    start, length = found.start[first], found.length[first]
     # each word as < w o r d >, one after another
     size = length + 2
     edge = np.cumsum(size) - size
@@ -185,7 +191,7 @@ class Network:
 
     def score_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each text's highest logit, its number of windows, and all windows' logits."""
-        found = words(texts)
+        found = words_of(texts)
         voc, number = vocabulary(found)
         start, size, first = windows(found.bounds)
         projected = np.concatenate([self.project(self.inputs(voc)), np.zeros((1, 6 * STATE), dtype=np.float32)])
@@ -218,7 +224,7 @@ def bucket_counts(texts: list[bytes], y: np.ndarray, half: np.ndarray) -> np.nda
     """[words or n-grams, half, label, bucket]: how many texts have a bucket."""
     out = np.zeros((2, 2, 2, BUCKETS), dtype=np.int64)
     for a, b in groups_of(texts, 300_000):
-        found = words(texts[a:b])
+        found = words_of(texts[a:b])
         voc, number = vocabulary(found)
         if not len(number):
             continue
@@ -240,7 +246,7 @@ def gathered(texts: list[bytes]) -> Words:
     """The words of all texts, read in groups to bound memory."""
     parts, offset = [], 0
     for a, b in groups_of(texts, 300_000):
-        f = words(texts[a:b])
+        f = words_of(texts[a:b])
         parts.append((f.code, f.start + offset, f.length, f.hash, np.diff(f.bounds)))
         offset += len(f.code)
     code, start, length, h, n = (np.concatenate(c) for c in zip(*parts))

@@ -52,6 +52,30 @@ def words(texts: list[bytes], signs: bool = False) -> Words:
     return Words(code, start, length, mix(h) if len(h) else h, bounds, own)
 
 
+def in_pieces(found: Words, most: int, size: int, step: int) -> Words:
+    """Words of over `most` bytes (texts without spaces) as pieces of `size` bytes, one every `step`, each a word
+    of its own; a piece starts and ends with a character and may be three bytes longer for it."""
+    long = found.length > most
+    if not long.any():
+        return found
+    count = np.where(long, -(-(found.length - size) // step) + 1, 1)
+    first = np.cumsum(count) - count
+    word = np.repeat(np.arange(len(count)), count)
+    start = found.start[word] + (np.arange(len(word)) - first[word]) * step
+    last = found.start[word] + found.length[word]
+    end = np.where(long[word], np.minimum(start + size, last), last)
+    for _ in range(3):
+        start = start - ((found.code[start] & 0xC0) == 0x80)
+        end = end - ((end < last) & ((found.code[np.minimum(end, len(found.code) - 1)] & 0xC0) == 0x80))
+    h, cut = found.hash[word], np.flatnonzero(long[word])
+    n = (end - start)[cut]
+    edge = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(edge, n)
+    value = (found.code[np.repeat(start[cut], n) + place].astype(np.uint64) + np.uint64(1)) * _POWER[place & 63]
+    h[cut] = mix(np.add.reduceat(value, edge))
+    return Words(found.code, start, end - start, h, np.append(first, len(word))[found.bounds], found.kind[word] if len(found.kind) else found.kind)
+
+
 def sum_by(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of the rows between neighbouring bounds; zero where there are none."""
     out = np.zeros((len(bounds) - 1, *values.shape[1:]), dtype=values.dtype)
