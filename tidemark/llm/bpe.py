@@ -28,11 +28,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .common import mapped
 
-#: Entries a task remembers before it starts anew.
-REMEMBERED = 200_000
+#: Bytes of the pieces a task remembers, with what Python needs for each, before it starts anew.
+REMEMBERED, EACH = 16_000_000, 200
 #: The rank of pairs that are never joined.
 NEVER = np.int32(2**31 - 1)
 
@@ -113,7 +114,7 @@ class Encoder:
                 self.inside[number[a], number[b]] = True
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, bytes] = {t: np.array([i], dtype="<u4").tobytes() for t, i in self.special.items()}
-        self.always = len(self.known)
+        self.always, self.held = len(self.known), 0
 
     @staticmethod
     def symbols(token: str) -> list[str]:
@@ -178,6 +179,7 @@ class Encoder:
         a = 0
         for p, b in zip(pieces, cut):
             self.known[p] = raw[4 * a : 4 * b]
+            self.held += EACH + 2 * len(p) + 4 * (b - a)
             a = b
 
     def normalized(self, text: str) -> str:
@@ -202,8 +204,8 @@ class Encoder:
         """The ids (little-endian, 32 bits each) of whole texts."""
         split = [self.pieces(t) for t in texts]
         wanted = {p for pieces in split for p in pieces}
-        if len(self.known) + len(wanted) > REMEMBERED:
-            self.known = dict(list(self.known.items())[: self.always])
+        if self.held > REMEMBERED:
+            self.known, self.held = dict(list(self.known.items())[: self.always]), 0
         self.learn([p for p in wanted if p not in self.known])
         get = self.known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
@@ -233,11 +235,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def bounded(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
-    """The texts in groups of about 2 MB, or of one text."""
+def bounded(texts: Iterable[str | None], most: int = 1_000_000) -> Iterator[list[str | None]]:
+    """The texts in groups of about `most` characters, or of one text."""
     group, size = [], 0
     for t in texts:
-        if group and size + len(t or "") > 2_000_000:
+        if group and size + len(t or "") > most:
             yield group
             group, size = [], 0
         group.append(t)
@@ -269,6 +271,27 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA)
 
 
+def with_ids(docs: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
+    """The columns `keep` of the documents, the ids of each text (a null text has none) and their number.
+
+    A few megabytes of text are in memory at once; a group's ids are one array that Arrow takes as it is.
+    """
+    path = path or default_path()
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        code, at = encoder(path), 0
+        for texts in bounded(t.as_py() for t in batch.column(len(keep))):
+            found = code.encode_all(texts)
+            n = np.fromiter((len(x) // 4 for x in found), dtype=np.int64, count=len(found))
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, len(texts)) for i in range(len(keep))), ids, pa.array(n)], names=[*keep, "ids", "n_tokens"])
+            at += len(texts)
+
+    rows = docs.select(*keep, "text")
+    schema = StructType([*rows.schema.fields[:-1], StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
+    return mapped(rows, run, schema)
+
+
 def encoded(path: str | None = None):
     """A column function: the ids of a text as ``array<int>``; a null text has none."""
     path = path or default_path()

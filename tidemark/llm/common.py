@@ -7,12 +7,20 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JError, Py4JNetworkError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Rows and bytes of one Arrow batch at most: Spark's own bound of 10,000 rows would let a batch of texts take tens
+#: of megabytes, which each task holds several times.
+BATCH_ROWS, BATCH_BYTES = 1000, "4m"
+
+_places: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +53,18 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    atexit.register(_remove, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place)
-    return spark.read.schema(df.schema).parquet(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    atexit.register(_remove, store, place)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = store, place
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes the files of stored frames that nothing reads any more."""
+    for df in frames:
+        if df in _places:
+            _remove(*_places.pop(df))
 
 
 def _remove(store, place) -> None:
@@ -59,8 +77,17 @@ def residue(doc_id: str | Column, mod: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % F.lit(mod)
 
 
-def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches (see `BATCH_ROWS`); smaller bounds that are set already stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """`fn` over each Arrow batch of `df`; it gives a batch, or several."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,10 +96,34 @@ def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterab
                 yield out
             else:
                 yield from out
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(run, schema)
 
 
+def chosen(df: DataFrame, keep: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """The rows of `df`, with all their columns, whose texts `keep` marks."""
+    at = df.columns.index("text")
+    return mapped(df, lambda batch: batch.filter(pa.array(keep(utf8(batch.column(at))), pa.bool_())), df.schema)
+
+
+def drawn(df: DataFrame, by: Column, most: int, *order: str) -> DataFrame:
+    """At most `most` rows with the smallest values of `by`, a hash, and of the columns `order` among equal ones.
+
+    All but about four times as many go by a threshold on the hash, where the rows are; only what is left is sorted.
+    """
+    rows = df.withColumn("_drawn", by)
+    n = rows.count()
+    share = 4 * most / max(n, 1)
+    while share < 1:
+        few = rows.where(F.col("_drawn") < F.lit(int(-(2**63) + share * 2**64)))
+        if few.limit(most).count() >= min(most, n):
+            rows = few
+            break
+        share *= 4
+    return rows.orderBy("_drawn", *order).limit(most).drop("_drawn")
+
+
 def groups_of(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of `texts` of at most `most` bytes together, or of one text: bounds a task's memory."""
     start = size = 0

@@ -1,43 +1,47 @@
 """Benchmark decontamination by training suffix arrays.
 
-The training texts are taken in shards (a bounded number of words of one task's rows).  For
+The training texts are taken in shards (a bounded number of bytes of one task's rows).  For
 each shard a suffix array is made: the starts of all word suffixes, sorted by their first
 words.  Every suffix of every benchmark item is binary-searched in it, which gives all
 places of the shard that begin with the suffix's first `window` words; neighbouring places on
-one diagonal join to the longest verbatim matches.  Documents with a match are contaminated.
+one diagonal join to the longest verbatim matches, with their places in document and item.  From
+these a document is judged: its words inside a match are hit, and with one it is contaminated.
 
 A suffix that holds a word no benchmark item has within its window can't match, so the shard's
-array leaves such suffixes out.  No rows are shuffled: the benchmark, a query set apart from the
-corpus, goes to all tasks in blocks of at most `block_words` words, one pass over a shard each.
+array leaves such suffixes out.  The benchmark's words are counted first.  Up to `block_words` it
+goes to all tasks at once and no rows are shuffled; a larger one is taken in blocks of that size,
+each in a pass of its own whose matches are written to shared storage before the next is sent.
 
 Defined cases: null or empty texts and texts without words have n_words 0 and no hit.  An item
 with fewer words than the window is one window; an item without words matches nothing.  Repeated
 documents are each judged; repeated items each count.  An empty benchmark contaminates nothing.
-Further columns of either table are not read.
+Further columns of either table are not read.  A match is `item:word of the document:word of the
+item:words`, words counted from 0, in the order of the document.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import groups_of, mapped, utf8
+from .common import forget, small_batches, stored, utf8
 
 WINDOW = 10
 BLOCK_WORDS = 4_000_000
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 8_000_000
 
 #: Word bytes are digits, letters (A-Z as a-z) and all bytes of characters beyond ASCII; the others part words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-MATCH_SCHEMA = "doc_id long, item_id string, doc_word long, item_word long, n_words long"
+SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, matches string"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -101,34 +105,16 @@ def _expand(at, which, starts):
 
 
 def _layout(texts: list[list[bytes]]):
+    """Words of each text, and where each starts when all stand one after another with one place between texts."""
     lengths = np.array([len(x) for x in texts], dtype=np.int64)
     first = np.cumsum(lengths + 1) - (lengths + 1)
     return lengths, first
 
 
-def hits(texts: list[list[bytes]], block: Block) -> tuple[list[np.ndarray], list[list[str]]]:
-    """For each text: which of its words are hit, and the ids of the items that hit it."""
-    lengths, first = _layout(texts)
-    edge = np.zeros(int((lengths + 1).sum()) + 1, dtype=np.int64)
-    pairs = []
-    for at, m, which, starts, item, _ in block.search(texts):
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + m, -1)
-        doc = np.searchsorted(first, at, "right") - 1
-        once = np.unique(doc * len(starts) + which)
-        doc, place = _expand(once // len(starts), once % len(starts), starts)
-        pairs.append(doc * len(block.names) + item[place])
-    covered = np.cumsum(edge) > 0
-    named: list[list[str]] = [[] for _ in texts]
-    if pairs:
-        for p in np.unique(np.concatenate(pairs)):
-            named[p // len(block.names)].append(block.names[p % len(block.names)])
-    return [covered[f : f + n] for f, n in zip(first, lengths)], named
-
-
-def matches(texts: list[list[bytes]], block: Block) -> Iterator[tuple[int, str, int, int, int]]:
-    """The longest verbatim matches: (text, item, word of the text, word of the item, number of words)."""
+def matches(texts: list[list[bytes]], block: Block) -> np.ndarray:
+    """The longest verbatim matches, one row each: text, number of the item, word of the text, word of the item, words."""
     _, first = _layout(texts)
+    parts = [np.empty((0, 5), dtype=np.int64)]
     for at, m, which, starts, item, offset in block.search(texts):
         at, place = _expand(at, which, starts)
         doc = np.searchsorted(first, at, "right") - 1
@@ -138,94 +124,151 @@ def matches(texts: list[list[bytes]], block: Block) -> Iterator[tuple[int, str,
         new = np.ones(len(doc), dtype=bool)
         new[1:] = (doc[1:] != doc[:-1]) | (k[1:] != k[:-1]) | (start[1:] - off[1:] != start[:-1] - off[:-1]) | (start[1:] != start[:-1] + 1)
         heads = np.flatnonzero(new)
-        for a, b in zip(heads, [*heads[1:], len(doc)]):
-            yield int(doc[a]), block.names[k[a]], int(start[a]), int(off[a]), int(b - a + m - 1)
+        parts.append(np.stack([doc[heads], k[heads], start[heads], off[heads], np.diff(np.append(heads, len(doc))) + m - 1], axis=1))
+    return np.concatenate(parts)
+
 
+def judged(n_words: int, found: list[tuple[str, int, int, int]]) -> tuple:
+    """What is said of a text of `n_words` words with these matches (item, word of the text, word of the item, words);
+    an item is named by its number and id, as several may have one id."""
+    hit = upto = 0
+    for a, n in sorted((a, n) for _, a, _, n in found):
+        hit += max(0, a + n - max(a, upto))
+        upto = max(upto, a + n)
+    items = sorted(name for _, name in {(k, name) for (k, name), *_ in found})
+    told = ",".join(f"{name}:{a}:{b}:{n}" for (_, name), a, b, n in sorted(found, key=lambda f: (f[1], f[2], f[0][1])))
+    return n_words, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0, max((n for *_, n in found), default=0), told
 
-def blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list:
-    """The benchmark in blocks of at most `block_words` words (or one item), broadcast one by one:
-    the driver holds one at a time, whatever the size of the benchmark."""
-    spark = benchmark.sparkSession
-    out, items, size = [], [], 0
+
+def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Block]:
+    """The benchmark in blocks of at most `block_words` words (or one item); the driver holds one at a time."""
+    items, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
         words = words_of((row.text or "").encode())
         if not words:
             continue
         if items and size + len(words) > block_words:
-            out.append(spark.sparkContext.broadcast(Block(items, window)))
+            yield Block(items, window)
             items, size = [], 0
         items.append((row.item_id or "", words))
         size += len(words)
-    if items:
-        out.append(spark.sparkContext.broadcast(Block(items, window)))
+    yield Block(items, window)
+
+
+def _fits(benchmark: DataFrame, block_words: int) -> bool:
+    """Whether the benchmark is one block; spaces and other signs between words are counted generously."""
+    most = benchmark.agg(F.sum(F.floor(F.octet_length("text") / 2) + 1)).first()[0] or 0
+    if most <= block_words:
+        return True
+    return (benchmark.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0) <= block_words
+
+
+def sharded(df: DataFrame, fn: Callable[[list[list[bytes]], pa.Table], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """`fn` over shards of about `SHARD_BYTES` of a task's rows: the words of their texts, and the rows."""
+    small_batches(df.sparkSession)
+    at = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= SHARD_BYTES:
+                yield from one(held)
+                held = []
+        if held:
+            yield from one(held)
+
+    def one(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        yield from fn([words_of(t) for t in utf8(rows.column(at))], rows)
+
+    return df.mapInArrow(run, schema)
+
+
+def _named(shard: list[list[bytes]], block: Block) -> dict[int, list]:
+    """The matches of each text that has some."""
+    out: dict[int, list] = {}
+    for doc, k, a, b, n in matches(shard, block).tolist():
+        out.setdefault(doc, []).append(((k, block.names[k]), a, b, n))
     return out
 
 
-def _judged(texts: list[bytes], parts: list) -> Iterator[tuple[int, int, list[str]]]:
-    """(words, words hit, items) of each text."""
-    for a, b in groups_of(texts, SHARD_BYTES):
-        shard = [words_of(t) for t in texts[a:b]]
-        covered = [np.zeros(len(x), dtype=bool) for x in shard]
-        named: list[list[str]] = [[] for _ in shard]
-        for part in parts:
-            more, items = hits(shard, part.value)
-            covered = [x | y for x, y in zip(covered, more)]
-            named = [x + y for x, y in zip(named, items)]
-        for x, items in zip(covered, named):
-            yield len(x), int(x.sum()), items
+def _batch(ids: pa.ChunkedArray, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=names)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: its words, those inside an occurrence of a benchmark window, the items found."""
-    parts = blocks(benchmark, window, block_words)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = list(_judged(utf8(batch.column("text")), parts))
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([len(r[2]) for r in rows], pa.int64()),
-                pa.array([hashlib.sha256(",".join(sorted(r[2])).encode()).hexdigest() for r in rows], pa.string()),
-                pa.array([r[1] > 0 for r in rows], pa.bool_()),
-            ],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
-
-    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA)
+    """One row per document: its words, those inside a match, the items matched, the longest match and all matches."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark = docs.sparkSession
+    if not _fits(benchmark, block_words):
+        return _in_passes(docs, benchmark, window, block_words)
+    part = spark.sparkContext.broadcast(next(blocks(benchmark, window, block_words)))
 
+    def run(shard: list[list[bytes]], rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        found = _named(shard, part.value)
+        yield _batch(rows.column("doc_id"), [judged(len(x), found.get(i, [])) for i, x in enumerate(shard)])
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The longest verbatim matches with their places, one row each."""
-    parts = blocks(benchmark, window, block_words)
+    return sharded(docs, run, SCHEMA)
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, ids = utf8(batch.column("text")), batch.column("doc_id").to_pylist()
-        for a, b in groups_of(texts, SHARD_BYTES):
-            shard = [words_of(t) for t in texts[a:b]]
-            rows = [(ids[a + doc], *rest) for part in parts for doc, *rest in matches(shard, part.value)]
-            if rows:
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "item_id", "doc_word", "item_word", "n_words"])
 
-    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, MATCH_SCHEMA)
+def _in_passes(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
+    """A pass over the documents for each block; matches are kept by a digest of the text, then judged together."""
+    spark, parts = docs.sparkSession, []
+    keyed = docs.withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
+    for number, block in enumerate(blocks(benchmark, window, block_words)):
+        part = spark.sparkContext.broadcast(block)
+        parts.append(stored(sharded(keyed.select("key", "text"), _finder(part, number), "key string, number long, item string, a long, b long, n long").distinct(), "matches"))
+        part.destroy()
+    found = reduce(DataFrame.union, parts).groupBy("key").agg(F.collect_list(F.struct("number", "item", "a", "b", "n")).alias("found"))
 
+    def run(shard: list[list[bytes]], rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        told = ([((f["number"], f["item"]), f["a"], f["b"], f["n"]) for f in x.as_py() or ()] for x in rows.column("found"))
+        yield _batch(rows.column("doc_id"), [judged(len(x), f) for x, f in zip(shard, told)])
 
-def is_clean(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS):
-    """A column function: whether a text holds no window of the benchmark."""
-    parts = blocks(benchmark, window, block_words)
+    return sharded(keyed.join(found, "key", "left").select("doc_id", "text", "found"), run, SCHEMA)
 
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([n == 0 for _, n, _ in _judged([(t or "").encode() for t in texts], parts)], dtype=bool)
 
-    def of(text: str | Column) -> Column:
-        return clean(text)
+def _finder(part: Broadcast, number: int):
+    def run(shard: list[list[bytes]], rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        block, keys = part.value, rows.column("key")
+        out = [(keys[i].as_py(), number * 2**32 + k, name, a, b, n) for i, found in _named(shard, block).items() for (k, name), a, b, n in found]
+        if out:
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["key", "number", "item", "a", "b", "n"])
 
-    return of
+    return run
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents, with all their columns, that hold no window of the benchmark."""
-    return docs.where(is_clean(benchmark, window)("text"))
+def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The longest verbatim matches with their places, one row each."""
+    told = decontaminate(docs, benchmark, window, block_words).where("contaminated").select("doc_id", F.explode(F.split("matches", ",(?=[^,]*:[0-9]+:[0-9]+:[0-9]+(?:,|$))")).alias("m"))
+    place = lambda i: F.regexp_extract("m", "^(.*):([0-9]+):([0-9]+):([0-9]+)$", i)
+    return told.select("doc_id", place(1).alias("item_id"), *(place(i).cast("long").alias(c) for i, c in ((2, "doc_word"), (3, "item_word"), (4, "n_words"))))
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents, with all their columns, that have no match with the benchmark."""
+    spark, fits, before = docs.sparkSession, _fits(benchmark, block_words), None
+    for block in blocks(benchmark, window, block_words):
+        part = spark.sparkContext.broadcast(block)
+        left = sharded(docs, _keeper(part), docs.schema)
+        if fits:
+            return left
+        docs = stored(left, "clean")  # the next block is sent when this one's work is done
+        part.destroy()
+        if before is not None:
+            forget(before)
+        before = docs
+    return docs
+
+
+def _keeper(part: Broadcast):
+    def run(shard: list[list[bytes]], rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        keep = np.ones(len(shard), dtype=bool)
+        keep[matches(shard, part.value)[:, 0]] = False
+        yield from rows.filter(pa.array(keep)).to_batches()
+
+    return run

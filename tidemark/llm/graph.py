@@ -5,27 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of `links` (a, b): component is the smallest node reachable.
 
     Large-star and small-star steps in turn (Kiveris et al., 2014): each node's neighbours are linked to
-    the smallest of them, until every component is a star.  The rounds grow with the logarithm of the
-    longest path; a hub's links are never brought together, as only their minimum is taken.
+    the smallest of them, until every component is a star: no node that others are linked to has itself a
+    smaller one.  The rounds grow with the logarithm of the longest path.  A hub's smallest neighbour is an
+    aggregate; its links are dealt out by hub in the joins, where adaptive execution splits a large one.
+    Null ends are no nodes.
     """
     edges = stored(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
     for _ in range(most_rounds):
-        now = edges.agg(F.count("*").alias("n"), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("decimal(38,0)")).alias("h")).first()
-        if now == before:
+        roots = edges.select(F.col("v").alias("u")).distinct()
+        more = edges.groupBy("u").agg(F.count("*").alias("n"))  # edges are distinct: a leaf of stars has one
+        if more.where("n > 1").unionByName(more.join(roots, "u", "left_semi")).isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
-        before = now
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(near.union(low.select("u", "m")).distinct(), "edges")
+        before, edges = edges, stored(near.union(low.select("u", "m")).distinct(), "edges")
+        forget(before)
     raise RuntimeError(f"no stable components after {most_rounds} rounds")

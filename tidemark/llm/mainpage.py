@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import drawn, mapped
 
 SAMPLE_PAGES = 400
 SAMPLE_BYTES = 200_000
@@ -38,8 +38,8 @@ SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks int, n_c
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.DOTALL)
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 #: Their contents are not text of the page.
-SILENT = frozenset("head title script style template noscript iframe svg math textarea select button object canvas audio video".split())
-RAW = {t: re.compile(f"</{t}(?=[\\s/>])", re.IGNORECASE) for t in "script style textarea title iframe noscript".split()}
+SILENT = frozenset("head title script style template textarea select button".split())
+RAW = {t: re.compile(f"</{t}(?=[\\s/>])", re.IGNORECASE) for t in "script style textarea title".split()}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -58,37 +58,46 @@ FIRM = 25.0
 
 
 class Block:
-    __slots__ = ("text", "linked", "path", "names", "tag")
+    """A block: its text, how much of it is in links, how deep it lies, how deep the last element lies that it has in
+    common with the block before, its element's parent, what its ancestors say, its element."""
 
-    def __init__(self, text: str, linked: int, path: tuple[int, ...], names: tuple[bool, ...], tag: str):
-        self.text, self.linked, self.path, self.names, self.tag = text, linked, path, names, tag
+    __slots__ = ("text", "linked", "depth", "shared", "parent", "names", "tag")
+
+    def __init__(self, text: str, linked: int, depth: int, shared: int, parent: int, names: tuple[bool, ...], tag: str):
+        self.text, self.linked, self.depth, self.shared, self.parent, self.names, self.tag = text, linked, depth, shared, parent, names, tag
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of text of a page, in order: with their length in links, their path in the tree, what their ancestors say."""
+    """The blocks of text of a page, in order.  Time grows with the length of the page, however deep it nests."""
     out: list[Block] = []
-    stack: list[tuple[str, int, tuple[bool, ...], bool]] = []  # element, its number, what it and its ancestors say, is it silent
+    stack: list[tuple[str, tuple[bool, ...], bool]] = []  # element, what it and its ancestors say, is it silent
+    outer: list[tuple[str, int, int]] = []  # those of them that aren't inline, their numbers and places in the stack
+    open_: Counter[str] = Counter()
     none = (False,) * 5
     parts: list[str] = []
-    linked = links = number = silent = 0
+    linked = links = number = silent = lowest = 0
 
     def close_block() -> None:
-        nonlocal linked
+        nonlocal linked, lowest
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            path = tuple(n for t, n, _, _ in stack if t not in INLINE)
-            tag = next((t for t, _, _, _ in reversed(stack) if t not in INLINE), "")
-            out.append(Block(text, min(linked, len(text)), path, stack[-1][2] if stack else none, tag))
+            depth = len(outer)
+            out.append(Block(text, min(linked, len(text)), depth, min(lowest, depth), outer[-2][1] if depth > 1 else 0, stack[-1][1] if stack else none, outer[-1][0] if outer else ""))
+            lowest = depth
         parts.clear()
         linked = 0
 
     def pop(i: int) -> None:
-        nonlocal links, silent
-        if any(t not in INLINE for t, *_ in stack[i:]):
+        nonlocal links, silent, lowest
+        if outer and outer[-1][2] >= i:
             close_block()
-        for t, _, _, quiet in stack[i:]:
+            while outer and outer[-1][2] >= i:
+                outer.pop()
+            lowest = min(lowest, len(outer))
+        for t, _, quiet in stack[i:]:
             links -= t == "a"
             silent -= quiet
+            open_[t] -= 1
         del stack[i:]
 
     at = 0
@@ -101,32 +110,34 @@ def blocks(page: str) -> list[Block]:
                 linked += len(token.strip()) if links else 0
             continue
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-            else:
-                if tag == "p":
-                    close_block()
+            if open_[tag]:
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+            elif tag == "p":
+                close_block()
             continue
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
         else:
-            for i in range(len(stack) - 1, -1, -1):  # elements whose end may be left out
-                if stack[i][0] == "p" or stack[i][0] in CLOSES.get(tag, ()):
-                    pop(i)
-                    break
-                if stack[i][0] in SCOPE or stack[i][0] in ("td", "th", "li") and tag not in CLOSES:
-                    break
+            closed = CLOSES.get(tag, ())
+            if open_["p"] or any(open_[t] for t in closed):  # elements whose end may be left out
+                for t, _, i in reversed(outer):
+                    if t == "p" or t in closed:
+                        pop(i)
+                        break
+                    if t in SCOPE or t in ("td", "th", "li") and tag not in CLOSES:
+                        break
             close_block()
         if tag in VOID or m[3].endswith("/") and tag not in INLINE:
             continue
         said = " ".join(n.strip("\"'") for n in _NAME.findall(m[3])) if "=" in m[3] else ""
-        above = stack[-1][2] if stack else none
+        above = stack[-1][1] if stack else none
         own = (tag in GOOD_TAGS, tag in BAD_TAGS and not (tag == "header" and above[0]), bool(said) and bool(GOOD_NAMES.search(said)), bool(said) and bool(BAD_NAMES.search(said)) and tag not in ("html", "body"), bool(said) and bool(COMMENT_NAMES.search(said)) and tag not in ("html", "body"))
         number += 1
-        stack.append((tag, number, tuple(a or b for a, b in zip(above, own)), tag in SILENT))
+        if tag not in INLINE:
+            outer.append((tag, number, len(stack)))
+        stack.append((tag, tuple(a or b for a, b in zip(above, own)), tag in SILENT))
+        open_[tag] += 1
         links += tag == "a"
         silent += tag in SILENT
         if tag in RAW:  # its end is the next end tag of its name, whatever stands before
@@ -178,63 +189,63 @@ def costs(found: list[Block], weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def edges(found: list[Block]) -> Iterator[tuple[int, int, float]]:
     """Neighbours, and the block before of the same parent; weaker with the distance in the tree."""
-    last: dict[tuple[int, ...], int] = {}
+    last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            a = found[i - 1].path
-            shared = 0
-            while shared < min(len(a), len(b.path)) and a[shared] == b.path[shared]:
-                shared += 1
-            yield i - 1, i, NEAR / max(1, len(a) + len(b.path) - 2 * shared)
-        parent = b.path[:-1]
-        if parent in last and last[parent] < i - 1:
-            yield last[parent], i, SIBLING
-        last[parent] = i
+            yield i - 1, i, NEAR / max(1, found[i - 1].depth + b.depth - 2 * b.shared)
+        if b.parent in last and last[b.parent] < i - 1:
+            yield last[b.parent], i, SIBLING
+        last[b.parent] = i
 
 
 def minimum_cut(source: np.ndarray, sink: np.ndarray, joins: list[tuple[int, int, float]]) -> np.ndarray:
-    """Which nodes are on the source's side of a minimum cut, by augmenting shortest paths."""
-    left = [dict() for _ in source]
+    """Which nodes are on the source's side of a minimum cut: flow along shortest paths, all of one length at a time."""
+    to, room, near = [], [], [[] for _ in source]
     for a, b, w in joins:
-        left[a][b] = left[a].get(b, 0.0) + w
-        left[b][a] = left[b].get(a, 0.0) + w
+        near[a].append(len(to))
+        near[b].append(len(to) + 1)
+        to += [b, a]
+        room += [w, w]
     straight = np.minimum(source, sink)  # what flows from terminal to terminal through one node
     out, into = (source - straight).tolist(), (sink - straight).tolist()
     tiny = 1e-12
-    for start in range(len(out)):
-        while out[start] > tiny:
-            came, queue, goal = {start: -1}, deque([start]), -1
-            while queue and goal < 0:
-                a = queue.popleft()
-                for b, w in left[a].items():
-                    if w > tiny and b not in came:
-                        came[b] = a
-                        if into[b] > tiny:
-                            goal = b
-                            break
-                        queue.append(b)
-            if goal < 0:
-                break
-            flow, b = min(out[start], into[goal]), goal
-            while came[b] >= 0:
-                flow, b = min(flow, left[came[b]][b]), came[b]
-            b = goal
-            while came[b] >= 0:
-                a = came[b]
-                left[a][b] -= flow
-                left[b][a] += flow
-                b = a
-            out[start] -= flow
-            into[goal] -= flow
-    side = np.array([x > tiny for x in out], dtype=bool)
-    queue = deque(np.flatnonzero(side).tolist())
-    while queue:
-        a = queue.popleft()
-        for b, w in left[a].items():
-            if w > tiny and not side[b]:
-                side[b] = True
-                queue.append(b)
-    return side
+    while True:
+        level, queue, met = [0 if x > tiny else -1 for x in out], deque(i for i, x in enumerate(out) if x > tiny), False
+        while queue:
+            a = queue.popleft()
+            met = met or into[a] > tiny
+            for e in near[a]:
+                if room[e] > tiny and level[to[e]] < 0:
+                    level[to[e]] = level[a] + 1
+                    queue.append(to[e])
+        if not met:
+            return np.array([x >= 0 for x in level], dtype=bool)
+        tried = [0] * len(near)
+        for start in range(len(near)):
+            at, path = start, []
+            while out[start] > tiny:
+                if into[at] > tiny:
+                    flow = min(out[start], into[at], *(room[e] for e in path))
+                    out[start] -= flow
+                    into[at] -= flow
+                    for e in path:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    at, path = start, []
+                    continue
+                while tried[at] < len(near[at]):
+                    e = near[at][tried[at]]
+                    if room[e] > tiny and level[to[e]] == level[at] + 1:
+                        break
+                    tried[at] += 1
+                else:
+                    if at == start:
+                        break
+                    at = to[path.pop() ^ 1]
+                    tried[at] += 1
+                    continue
+                path.append(e)
+                at = to[e]
 
 
 def main_text(page: str | None, weights: np.ndarray) -> tuple[str, int, int]:
@@ -247,8 +258,9 @@ def main_text(page: str | None, weights: np.ndarray) -> tuple[str, int, int]:
 
 
 def train(pages: DataFrame, rows: int = SAMPLE_PAGES) -> np.ndarray:
-    sample = pages.where(F.octet_length("html") <= SAMPLE_BYTES).select(F.xxhash64("page_id", "url").alias("drawn"), "html").orderBy("drawn", "html").limit(rows)
-    return fit([r.html for r in sample.collect()])
+    """Weights from a sample of pages, which are drawn by a hash where they lie: the driver gets no more than `rows`."""
+    some = pages.where(F.octet_length("html") <= SAMPLE_BYTES).select("page_id", "url", "html")
+    return fit([r.html for r in drawn(some, F.xxhash64("page_id", "url"), rows, "html").collect()])
 
 
 def extract(pages: DataFrame, rows: int = SAMPLE_PAGES) -> DataFrame:

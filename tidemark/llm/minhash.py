@@ -10,16 +10,19 @@ Bands of large groups would give a quadratic number of pairs, so candidates are
  2. in buckets that still hold several components, the members outside the largest one with a
     member of it, another in each bucket;
  3. what is left in buckets that still hold several components, in clusters of documents joined by such
-    buckets.  A cluster is dealt out in blocks of about `BLOCK` documents; each two of its blocks meet in
-    one task, which counts the common shingles of all its pairs of different components exactly and gives
+    buckets.  A cluster is dealt out by size in blocks of about `BLOCK` documents and `BLOCK_SHINGLES` shingles; each
+    two blocks whose sizes allow the similarity meet in one task, which counts the common shingles of all its pairs of different components exactly and gives
     only the links that join components, never more than the documents it holds.
 A pair within one component needs no check, as it can't change the result; any other pair that shares
 a band and is similar enough is found, so nothing is capped.  At similarity 0.75 a pair shares no
 band with probability 5e-6.
 
 Defined cases: a document of fewer words than five has its whole sequence as its one shingle.  Null,
-empty and blank texts have no shingle, are linked with nothing and kept.  A null doc_id is linked with
-nothing (component null, kept).  Repeated rows are copies of each other; each row gets its result.
+empty and blank texts have no shingle, are linked with nothing and kept.  `near_duplicates` speaks of
+doc_ids: each row gets its result, rows of one doc_id are one document, linked by what any of them holds,
+and a null doc_id is linked with nothing (component null, kept).  `keep_one` speaks of rows: of each
+component the row of the smallest doc_id stays (a null one counts as the largest; of one doc_id the
+smallest digest of the text), and of repeated rows one.  Other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,15 +36,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_of, mapped, mix, salts, stored, utf8
+from .common import forget, groups_of, mapped, mix, salts, stored, utf8
 from .graph import components
 
 SHINGLE = 5
 PERMUTATIONS = 64
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
-BLOCK = 256
+#: Documents and shingles of a block of the third round, about.
+BLOCK, BLOCK_SHINGLES = 128, 131_072
 PERCENT = 75
+NO_ID = 2**63 - 1
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _PLACE = salts(SHINGLE, 11) | np.uint64(1)
@@ -83,34 +88,37 @@ def band_keys(signed: np.ndarray) -> np.ndarray:
     return mix((values * _ROW).sum(axis=1) + _BAND).view(np.int64)
 
 
+def _told(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, text): the id, the largest where it is null, and a digest of the text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("mark"), "text")
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands) of each document; digest is null for those never linked."""
+    """(doc_id, mark, n_shingles, digest, bands) of each document; digest is null for those without words."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, ids = utf8(batch.column("text")), batch.column("doc_id").to_pylist()
-        for a, b in groups_of(texts, 8_000_000):
-            n, digest, bands = [], [], []
-            for doc_id, text in zip(ids[a:b], texts[a:b]):
-                found = shingles(text)
-                linked = len(found) > 0 and doc_id is not None
-                n.append(len(found))
-                digest.append(xxhash.xxh3_128_digest(found.tobytes()) if linked else None)
-                bands.append(band_keys(signature(found)) if linked else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
+        texts, start = utf8(batch.column("text")), 0
+        for a, b in groups_of(texts, 2_000_000):
+            found = [shingles(t) for t in texts[a:b]]
+            n, digest = [len(f) for f in found], [xxhash.xxh3_128_digest(f.tobytes()) if len(f) else None for f in found]
+            bands = [band_keys(signature(f)) if len(f) else None for f in found]
+            ids = [batch.column(c).slice(start, b - a) for c in ("doc_id", "mark")]
+            start = b
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "mark", "n_shingles", "digest", "bands"])
 
-    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return mapped(_told(docs), run, "doc_id long, mark binary, n_shingles long, digest binary, bands array<long>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """(rep, found) of each document: its shingles."""
+def full_sets(texts: DataFrame) -> DataFrame:
+    """(rep, found) of each row of (rep, text): its shingles."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = utf8(batch.column("text"))
-        for a, b in groups_of(texts, 4_000_000):
+        for a, b in groups_of(texts, 2_000_000):
             found = [shingles(t).view(np.int64) for t in texts[a:b]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(found, pa.list_(pa.int64()))], names=["rep", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(a, b - a), pa.array(found, pa.list_(pa.int64()))], names=["rep", "found"])
 
-    return mapped(docs.select("doc_id", "text"), run, "rep long, found array<long>")
+    return mapped(texts.select("rep", "text"), run, "rep long, found array<long>")
 
 
 def _alike(a: str, b: str) -> Column:
@@ -137,49 +145,82 @@ def _largest(members: DataFrame) -> DataFrame:
     return most.select("key", F.col("top.component").alias("main"), F.col("top.one.rep").alias("leader"), F.col("top.one.n").alias("leader_n"))
 
 
-def links(docs: DataFrame, feats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The classes of equal sets (digest, rep, ...), and the (node, component) of the representatives with a link."""
-    classes = feats.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = stored(classes, "classes")
+def classes_of(feats: DataFrame) -> DataFrame:
+    """Classes of equal sets: (digest, one, n, bands, rep), where `one` is the smallest (doc_id, mark) and `rep` a
+    number for the class, which is stored so that it never changes."""
+    classes = feats.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    return stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+
+
+def shared_ids(feats: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): classes that have a doc_id in common, each with the smallest of that id."""
+    rows = feats.where("digest is not null").select("doc_id", "digest")
+    mixed = rows.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a != b").select("doc_id")
+    of = rows.join(mixed, "doc_id", "left_semi").distinct().join(classes.select("digest", "rep"), "digest").select("doc_id", "rep")
+    return of.join(of.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a != rep").select("a", F.col("rep").alias("b"))
+
+
+def links(docs: DataFrame, classes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the classes with a link, those `known` (a, b) included."""
     rows = classes.select(F.explode("bands").alias("key"), "rep", "n")
     leaders = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("rep").alias("drawn"), "rep", "n")).alias("one")).where("size > 1")
     buckets = rows.join(leaders.select("key", F.col("one.rep").alias("leader"), F.col("one.n").alias("leader_n")), "key")
     buckets = stored(buckets, "buckets")
-    wanted = buckets.select("rep").distinct()
-    sets = stored(full_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")), "sets")
+    wanted = classes.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "one.*")
+    sets = stored(full_sets(_told(docs).join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])), "sets")
     plain = buckets.select("key", "rep", "n")
 
     # 1: with the bucket's leader
     pairs = buckets.where(F.col("rep") != F.col("leader")).where(_alike("n", "leader_n"))
     pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    first = stored(_confirmed(pairs, sets), "links")
+    found = _confirmed(pairs, sets)
+    first = stored(found if known is None else found.union(known), "links")
     # 2: outside the largest component, with another member of it in each bucket
     members = stored(_with_component(plain, components(first)), "members")
     pairs = members.join(_largest(members), "key").where(F.col("component") != F.col("main")).where(_alike("n", "leader_n"))
     pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     second = stored(first.union(_confirmed(pairs, sets)), "links")
     # 3: what is left, in blocks of whole clusters
-    members = _with_component(plain, components(second))
-    left = stored(members.join(_largest(members).select("key", "leader"), "key").select("rep", "component", "leader").distinct(), "left")
+    last = stored(_with_component(plain, components(second)), "members")
+    left = stored(last.join(_largest(last).select("key", "leader"), "key").select("rep", "component", "leader").distinct(), "left")
     clusters = components(left.select(F.col("rep").alias("a"), F.col("leader").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     third = stored(second.union(_block_links(left.select("rep", "component").distinct().join(clusters, "rep"), sets)), "links")
-    return classes, components(third)
+    out = components(third)
+    forget(buckets, sets, first, members, second, last, left, third)
+    return out
 
 
 def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between documents (rep, component, cluster) of one cluster that join different components."""
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count_distinct("component").alias("parts")).where("parts > 1")
-    rows = members.join(sizes.select("cluster", "blocks"), "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(sets, "rep")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "component", "found")
-    return rows.groupBy("cluster", "p", "q").applyInPandas(_compared, "a long, b long")
+    """Links (a, b) between documents (rep, component, cluster) of one cluster that join different components.
+
+    Documents whose sizes differ by more than the similarity allows never link, so a cluster is cut by size in bands
+    of that ratio, and a block of a band meets those of its own and of the next one.
+    """
+    several = members.groupBy("cluster").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("cluster")
+    rows = members.join(several, "cluster").join(sets, "rep").withColumn("n", F.size("found")).withColumn("band", F.floor(F.ln("n") / F.ln(F.lit(100 / PERCENT)) + 1e-9).cast("int"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = rows.groupBy("cluster", "band").agg(blocks.alias("blocks"))
+    after = sizes.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("more"))
+    before = sizes.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("less"))
+    sizes = sizes.join(after, ["cluster", "band"], "left").join(before, ["cluster", "band"], "left")
+    rows = rows.join(sizes, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+
+    def met(band: Column, n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.coalesce(n, F.lit(0))), lambda i: F.struct(band.alias("band"), (i - 1).cast("int").alias("block")))
+
+    own = F.struct("band", "block")
+    others = F.concat(met(F.col("band"), F.col("blocks")), *(F.when(n.isNotNull(), met(b, n)).otherwise(F.array().cast("array<struct<band:int,block:int>>")) for b, n in ((F.col("band") + 1, F.col("more")), (F.col("band") - 1, F.col("less")))))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(others))
+    rows = rows.select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") == F.least("own", "other")).alias("first"), "rep", "component", "found")
+    keys = [F.col(c).alias(f"{s}_{k}") for s, k, c in ((s, k, f"{s}.{k}") for s in "pq" for k in ("band", "block"))]
+    return rows.select("cluster", *keys, "first", "rep", "component", "found").groupBy("cluster", "p_band", "p_block", "q_band", "q_block").applyInPandas(_compared, "a long, b long")
 
 
 def _compared(rows: pd.DataFrame) -> pd.DataFrame:
     """Two blocks against each other, or one against itself."""
-    first, second = rows["p"].iloc[0], rows["q"].iloc[0]
-    a = rows[rows["block"] == first]
-    b = a if first == second else rows[rows["block"] == second]
+    same = rows["p_band"].iloc[0] == rows["q_band"].iloc[0] and rows["p_block"].iloc[0] == rows["q_block"].iloc[0]
+    a = rows[rows["first"]]
+    b = a if same else rows[~rows["first"]]
     na, nb = (np.array([len(f) for f in x["found"]], dtype=np.int64) for x in (a, b))
     ca, cb = a["component"].to_numpy(), b["component"].to_numpy()
     pairs = np.argwhere((100 * (n := common(list(a["found"]), list(b["found"]))) >= PERCENT * (na[:, None] + nb[None, :] - n)) & (ca[:, None] != cb[None, :]))
@@ -226,14 +267,28 @@ def common(left: list[np.ndarray], right: list[np.ndarray], most: int = 4_000_00
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: its set's size, its component's smallest doc_id, and whether it is that one."""
     feats = stored(features(docs), "features")
-    classes, found = links(docs, feats)
-    named = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    linked = feats.where("digest is not null").select("doc_id", "n_shingles", "digest").join(named, "digest").drop("digest")
-    alone = feats.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linkable = feats.where(F.col("doc_id") != NO_ID)
+    classes = classes_of(linkable)
+    found = links(docs, classes, shared_ids(linkable, classes)).withColumnRenamed("node", "rep")
+    least = found.join(classes.select("rep", F.col("one.doc_id").alias("least")), "rep").groupBy("component").agg(F.min("least").alias("component_id"))
+    named = classes.select("digest", "rep", F.col("one.doc_id").alias("least")).join(found.join(least, "component").select("rep", "component_id"), "rep", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"))
+    linked = linkable.where("digest is not null").select("doc_id", "n_shingles", "digest").join(named, "digest").drop("digest")
+    alone = feats.where((F.col("doc_id") == NO_ID) | F.col("digest").isNull()).select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles").withColumn("component_id", F.col("doc_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, without those that have a similar one of a smaller doc_id in their component."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The documents, with all their columns: of each component one row, and all rows without words."""
+    feats = stored(features(docs), "features")
+    classes = classes_of(feats)
+    found = links(docs, classes).withColumnRenamed("node", "rep")
+    first = found.join(classes.select("rep", "one"), "rep").groupBy("component").agg(F.min("one").alias("stays"))
+    named = classes.select("digest", "rep", "one").join(found.join(first, "component").select("rep", "stays"), "rep", "left").select("digest", F.coalesce("stays", "one").alias("stays"))
+    rows = feats.where("digest is not null").select(F.struct("doc_id", "mark").alias("row"), "digest").join(named, "digest")
+    # what must go, and rows that are there several times, of which one stays
+    rows = rows.groupBy("row").agg(F.min(F.col("row") == F.col("stays")).alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
+    rows = stored(rows.select("row.doc_id", "row.mark", "kept"), "changed")
+    told = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))))
+    same = (told[0] == rows["doc_id"]) & (told[1] == rows["mark"])
+    again = docs.join(rows.where("kept"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(rows, same, "left_anti").union(again)

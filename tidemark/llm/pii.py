@@ -179,6 +179,16 @@ def detect(docs: DataFrame) -> DataFrame:
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA)
 
 
+def without(docs: DataFrame, kinds: tuple[str, ...] = PRIVATE) -> DataFrame:
+    """The documents, with all their columns, their texts redacted; null stays null."""
+    at = docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.set_column(at, batch.schema.field(at), pa.array([redact(t.as_py(), kinds) for t in batch.column(at)], batch.schema.field(at).type))
+
+    return mapped(docs, run, docs.schema)
+
+
 def redacted(kinds: tuple[str, ...] = PRIVATE):
     """A column function that redacts texts; null stays null."""
     @F.pandas_udf("string")

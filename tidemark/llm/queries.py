@@ -80,15 +80,20 @@ def _escaped(column: str) -> str:
 SQL: dict[str, str] = {
     "op6_decontaminate": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
-        windows AS (SELECT item_id, least(len(w), 10) AS m, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: w[i:i + least(len(w), 10) - 1])) AS win FROM b WHERE len(w) > 0),
+        b AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+        starts AS (SELECT item, item_id, least(len(w), 10) AS m, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS j FROM b WHERE len(w) > 0),
+        windows AS (SELECT item, item_id, m, j, w[j:j + m - 1] AS win FROM starts),
         sizes AS (SELECT DISTINCT m FROM windows),
         places AS (SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS i, w FROM d, sizes WHERE len(w) >= m),
-        found AS (SELECT p.doc_id, p.i, p.m, x.item_id FROM (SELECT doc_id, i, m, w[i:i + m - 1] AS win FROM places) p JOIN windows x ON p.win = x.win),
+        found AS (SELECT p.doc_id, p.i, p.m, x.item, x.item_id, x.j FROM (SELECT doc_id, i, m, w[i:i + m - 1] AS win FROM places) p JOIN windows x ON p.win = x.win),
         hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM found) GROUP BY doc_id),
-        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
-        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item, item_id FROM found) GROUP BY doc_id),
+        runs AS (SELECT doc_id, item, item_id, i, j, m, i - row_number() OVER (PARTITION BY doc_id, item, i - j ORDER BY i) AS run FROM found),
+        longest AS (SELECT doc_id, item_id::VARCHAR AS item_id, min(i) - 1 AS a, min(j) - 1 AS b, count(*) + any_value(m) - 1 AS n FROM runs GROUP BY doc_id, item, item_id, i - j, run),
+        told AS (SELECT doc_id, max(n) AS longest, string_agg(concat_ws(':', item_id, a, b, n), ',' ORDER BY a, b, item_id) AS matches FROM longest GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+            coalesce(longest, 0)::BIGINT AS longest, coalesce(matches, '') AS matches
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN told USING (doc_id)""",
     "op7_chat": f"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')

@@ -21,12 +21,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_of, mapped, mix, residue, utf8
+from .common import chosen, groups_of, mapped, mix, residue, utf8
 from .labelled import SAMPLE_ROWS, labelled_sample
 from .minhash import band_keys, shingles, signature
 from .words import Words, in_pieces, sum_by, words
@@ -199,8 +198,8 @@ class Network:
         padded = np.append(number, np.full(LENGTH, len(projected) - 1))
         for whole in (True, False):  # windows of full length need no mask
             rows = np.flatnonzero((size == LENGTH) == whole)
-            for i in range(0, len(rows), 2048):
-                part = rows[i : i + 2048]
+            for i in range(0, len(rows), 1024):
+                part = rows[i : i + 1024]
                 place = start[part, None] + np.arange(LENGTH)
                 mask = np.arange(LENGTH) < size[part, None]
                 logits[part] = self.read(projected[np.where(mask, padded[np.minimum(place, len(padded) - 1)], len(projected) - 1)], mask)
@@ -385,7 +384,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Networ
 
 
 def _scores(model: Network | float, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for a, b in groups_of(texts, 1_000_000):
+    for a, b in groups_of(texts, 400_000):
         if isinstance(model, float):
             yield np.full(b - a, model), np.zeros(b - a, dtype=np.int64)
         else:
@@ -409,10 +408,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Dat
 def remove_toxic(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents, with all their columns, whose score is below a half."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        parts = [s for s, _ in _scores(model.value, [(t or "").encode() for t in texts])]
-        return pd.Series(np.concatenate(parts) if parts else [], dtype=float)
-
-    return docs.where(score("text") < TOXIC)
+    return chosen(docs, lambda texts: np.concatenate([s for s, _ in _scores(model.value, texts)] or [np.empty(0)]) < TOXIC)
