@@ -28,13 +28,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data; n_chars follows the text."""
-    return docs.withColumn("text", pii.redacted()("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return pii.without(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each text; a null text has none."""
-    ids = docs.select("doc_id", "lang", "source", bpe.encoded()("text").alias("ids"))
-    return ids.withColumn("n_tokens", F.size("ids").cast("long"))
+    return bpe.with_ids(docs, ["doc_id", "lang", "source"])
 
 
 STAGES: list[tuple[str, Stage]] = [
