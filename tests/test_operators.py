@@ -1,6 +1,7 @@
 """Operators against values worked out by hand."""
 
 import datetime as dt
+import hashlib
 import math
 
 import pytest
@@ -170,13 +171,51 @@ def test_resamples_have_all_dates_and_the_right_sums(spark):
     for rs in range(25):
         total = 0.0
         for k in range(3):
-            a = (rs * 7919 + k * 104729 + rs * k * 31 + rs * rs * 17) % 6
+            a = int(hashlib.md5(f"{bootstrap.SEED}:k:{rs}:{k}".encode()).hexdigest()[:8], 16) % 6
             total += sum(values[a : a + min(3, 8 - 3 * k)])
         assert got[rs] == pytest.approx(total)
+    two = df.withColumn("u", F.lit("a")).unionByName(df.where("v > 2").withColumn("u", F.lit("b")))  # b lacks some dates
+    both = {(r.u, r.resample): r.v for r in bootstrap.resampled(two, ["k"], "d", ["v"], F.lit(3), 25, "u").collect()}
+    assert all(both["a", rs] == pytest.approx(got[rs]) for rs in range(25)) and len(both) == 50
     one = bootstrap.interval(bootstrap.resampled(df, ["k"], "d", ["v"], 100, 30), ["k"], F.col("v")).first()
     assert one.lower == one.upper == sum(values)
 
 
+def test_starts_are_uniform_and_resamples_differ(spark):
+    df = spark.range(2000).select(F.col("id").alias("rs"), F.explode(F.array(*map(F.lit, range(8)))).alias("k"))
+    rows = df.withColumn("a", bootstrap.start_of(F.lit(60), F.lit(1), F.lit("x"), F.col("rs"), F.col("k"))).collect()
+    counts = [0] * 60
+    for row in rows:
+        counts[row.a] += 1
+    expected = len(rows) / 60
+    assert sum((c - expected) ** 2 / expected for c in counts) < 110  # chi-squared of 59 degrees
+    draws = {}
+    for row in rows:
+        draws.setdefault(row.rs, {})[row.k] = row.a
+    assert len({tuple(sorted(d.items())) for d in draws.values()}) == 2000
+
+
+def test_many_horizons_give_what_a_few_give(spark):
+    from tidemark.operators import outcomes as oc
+
+    grid = oc.condition(series(spark, [float((i * 37) % 50) if i % 7 else None for i in range(40)]), 20.0)
+    key = lambda df: {(r.series_id, r.month, r.composition, r.horizon): r.outcome for r in df.where("horizon <= 12").collect()}
+    assert key(oc.outcomes(grid, list(range(1, 13)))) == key(oc.outcomes(grid, list(range(1, 21))))
+
+
+def test_skill_takes_rows_that_have_all(spark):
+    df = spark.createDataFrame([("k", 0.1, 0.0, 0.5), ("k", 0.9, 1.0, None), ("k", None, 1.0, 0.5), ("k", 0.5, None, 0.5)], "k string, predicted double, realised double, reference double")
+    assert df.groupBy("k").agg(scoring.skill().alias("s")).first().s == pytest.approx(1 - 0.01 / 0.25)
+
+
+def test_effective_counts_forgive_reversals(spark):
+    rows = [(1, 0.15, float(i % 2)) for i in range(200)] + [(1, 0.85, float(i % 4 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "horizon int, predicted double, realised double")
+    wide = spark.createDataFrame([(1, 50.0)], "horizon int, inflation double")
+    assert scoring.reversals(df, ["horizon"]).first().reversals == 1
+    assert scoring.reversals(df, ["horizon"], inflation=wide).first().reversals == 0
+
+
 def test_bands(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 1.0), (4, None), (5, 1.0)], "k int, v double")
     b = spark.createDataFrame([(1, 1.0), (2, 1.0 + 1e-10), (3, 2.0), (4, None), (6, 1.0)], "k int, v double")

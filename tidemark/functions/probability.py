@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,13 +31,14 @@ def blend(a: Column, b: Column, weight: float = 0.5) -> Column:
     return F.when(ok, mixed).otherwise(F.raise_error(F.lit("not a probability")).cast("double"))
 
 
-def stepped(distribution: Column, transition: Column, steps: Column) -> Column:
-    """A distribution over states after `steps` steps of a transition matrix (array of rows)."""
+def moved(d: Column, transition: Column) -> Column:
+    """A distribution (array) one step of a transition matrix (array of rows) on."""
+    return F.transform(F.sequence(F.lit(0), F.size(d) - 1), lambda j: F.aggregate(F.zip_with(d, transition, lambda p, row: p * F.get(row, j)), F.lit(0.0), lambda s, x: s + x))
 
-    def step(d: Column, _: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(d) - 1), lambda j: F.aggregate(F.zip_with(d, transition, lambda p, row: p * F.get(row, j)), F.lit(0.0), lambda s, x: s + x))
 
-    return F.when(steps <= 0, distribution).otherwise(F.aggregate(F.sequence(F.lit(1), steps), distribution, step))
+def stepped(distribution: Column, transition: Column, steps: Column) -> Column:
+    """A distribution over states after `steps` steps of a transition matrix (array of rows)."""
+    return F.when(steps <= 0, distribution).otherwise(F.aggregate(F.sequence(F.lit(1), steps), distribution, lambda d, _: moved(d, transition)))
 
 
 def expectation(distribution: Column, values: Column) -> Column:
@@ -56,6 +57,42 @@ def within_horizon(distribution: Column, transition: Column, first: Column, entr
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.aggregate(left, F.lit(0.0), lambda s, x: s + x)))
 
 
+def joint_chain(distribution: Column, transition: Column, entry: Column, stay: Column, now: Column, gap: Column, horizon: Column, at: Column) -> Column:
+    """P(a condition holds `horizon` months on, or where not `at` in one of the months up to then) of the chain of
+    state and condition together.
+
+    Each month the state moves, then the condition is drawn in the state arrived in: by that state's `entry` if it
+    didn't hold before, by its `stay` if it did.  It starts at the condition last published (`now`, 1 or 0), `gap`
+    months before the forecast.
+    """
+
+    def drawn(s: Column) -> tuple[Column, Column, Column, Column]:
+        off, on = moved(s["off"], transition), moved(s["on"], transition)
+        times = lambda d, r: F.zip_with(d, r, lambda x, y: x * y)
+        less = lambda d, r: F.zip_with(d, r, lambda x, y: x * (1 - y))
+        return less(off, entry), less(on, stay), times(off, entry), times(on, stay)
+
+    def plus(a: Column, b: Column) -> Column:
+        return F.zip_with(a, b, lambda x, y: x + y)
+
+    def step(s: Column, _: Column) -> Column:
+        a, b, c, d = drawn(s)
+        return F.struct(plus(a, b).alias("off"), plus(c, d).alias("on"))
+
+    def after(s: Column, steps: Column) -> Column:
+        return F.when(steps <= 0, s).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), s, step))
+
+    none = F.transform(distribution, lambda x: x * 0.0)
+    start = F.struct(F.when(now > 0.5, none).otherwise(distribution).alias("off"), F.when(now > 0.5, distribution).otherwise(none).alias("on"))
+    opened = after(start, gap)
+    total = lambda d: F.aggregate(d, F.lit(0.0), lambda s, x: s + x)
+    first = drawn(opened)
+    survive = lambda d, _: F.zip_with(moved(d, transition), entry, lambda x, y: x * (1 - y))
+    left = F.when(horizon <= 1, plus(first[0], first[1])).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(horizon, F.lit(2))), plus(first[0], first[1]), survive))
+    found = F.when(at, total(after(opened, horizon)["on"])).otherwise(1 - total(left))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), found))
+
+
 def total_variation(a: Column, b: Column) -> Column:
     return 0.5 * F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
 
@@ -67,3 +104,15 @@ def half_life(ratio: Column) -> Column:
 
 def expected_duration(stay: Column) -> Column:
     return 1 / (1 - F.least(stay, F.lit(1 - 1e-12)))
+
+
+def label(*means: tuple[str, Column], cut: float = 0.5) -> Column:
+    """A state in words, by its standardised means."""
+    words = [F.concat(F.lit(f"{name} "), F.when(z > cut, "high").when(z < -cut, "low").otherwise("middling")) for name, z in means]
+    return F.concat_ws(", ", *words)
+
+
+def rule_parts(rules: DataFrame) -> DataFrame:
+    """(rule, any_time, below, composition): what a question's rule says in its name."""
+    any_time = F.contains("rule", F.lit("within"))
+    return rules.select("rule", any_time.alias("any_time"), F.contains("rule", F.lit("below")).alias("below"), F.when(any_time, "any_time_within_horizon").otherwise("point_in_time").alias("composition"))

@@ -2,7 +2,10 @@
 
 A resample is a list of blocks of consecutive dates.  The sum over a block is the difference of two
 running sums, so a resample costs a lookup for each block, not a pass over its rows, and several
-statistics share the same blocks.
+statistics and units (indicators scored on the same dates) share the same blocks.
+
+Where a block starts is read from a digest of the seed, the key, the resample and the block: independent
+uniform draws that come out alike in any engine and on any number of tasks.
 """
 
 from __future__ import annotations
@@ -10,37 +13,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SEED = 20
 
-def positions(df: DataFrame, keys: list[str], date: str) -> DataFrame:
-    """Adds `pos` (from 1, by date) and `n` of each key."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("pos", F.row_number().over(w.orderBy(date)).cast("long")).withColumn("n", F.count("*").over(w))
 
+def start_of(choices: Column, *of: Column) -> Column:
+    """Where a block starts (from 0), uniform over `choices` places: eight hexadecimal digits of a digest."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(c.cast("string") for c in of))), 1, 8), 16, 10).cast("long") % choices
 
-def start_of(resample: Column, block: Column, choices: Column) -> Column:
-    """Where a block starts (from 0): fixed pseudo-random numbers, the same in any engine."""
-    return (resample * 7919 + block * 104729 + resample * block * 31 + resample * resample * 17) % choices
 
+def resampled(df: DataFrame, keys: list[str], date: str, sums: list[str], block: int | Column, resamples: int, unit: str | None = None, seed: int = SEED) -> DataFrame:
+    """(keys, unit, resample, sums): of each resample the sums of the columns over its blocks, cut to n dates in all.
 
-def resampled(df: DataFrame, keys: list[str], date: str, sums: list[str], block: int, resamples: int) -> DataFrame:
-    """(keys, resample, sums): of each resample the sums of the columns over its blocks, cut to n dates in all."""
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    placed = positions(df, keys, date)
-    running = placed.select(*keys, "pos", *(F.sum(c).over(w).alias(c) for c in sums))
-    zero = df.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("pos"), *(F.lit(0.0).alias(c) for c in sums))
+    `df` has one row for each key, date and unit (or less); `block` is a number of dates, or a column over the keys.
+    """
+    of = [unit] if unit else []
+    w = Window.partitionBy(*keys)
+    placed = df.select(*keys, date).distinct().withColumn("pos", F.row_number().over(w.orderBy(date)).cast("long"))
+    size = placed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    rows = placed.join(df.select(*keys, *of).distinct(), keys) if unit else placed
+    rows = rows.join(df, [*keys, date, *of], "left")
+    upto = Window.partitionBy(*keys, *of).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.select(*keys, *of, "pos", *(F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).over(upto).alias(c) for c in sums))
+    zero = df.select(*keys, *of).distinct().select(*keys, *of, F.lit(0).cast("long").alias("pos"), *(F.lit(0.0).alias(c) for c in sums))
     running = running.unionByName(zero)
-    size = placed.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_length", F.least(F.lit(block), "_n"))
-    drawn = size.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("resample", F.col("resample").cast("long"))
-    drawn = drawn.withColumn("_k", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_n") / F.col("_length")) - 1).cast("int")))).withColumn("_k", F.col("_k").cast("long"))
-    drawn = drawn.withColumn("_a", start_of(F.col("resample"), F.col("_k"), F.col("_n") - F.col("_length") + 1))
+    size = size.withColumn("_length", F.least(block if isinstance(block, Column) else F.lit(block), F.col("_n").cast("int")).cast("long"))
+    drawn = size.withColumn("resample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
+    drawn = drawn.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("_n") / F.col("_length")) - 1).cast("long"))))
+    drawn = drawn.withColumn("_a", start_of(F.col("_n") - F.col("_length") + 1, F.lit(seed), *(F.col(k) for k in keys), F.col("resample"), F.col("_k")))
     drawn = drawn.withColumn("_b", F.col("_a") + F.least(F.col("_length"), F.col("_n") - F.col("_k") * F.col("_length")))
-    ends = drawn.join(running.select(*keys, F.col("pos").alias("_a"), *(F.col(c).alias(f"{c}_a") for c in sums)), [*keys, "_a"]).join(running.select(*keys, F.col("pos").alias("_b"), *(F.col(c).alias(f"{c}_b") for c in sums)), [*keys, "_b"])
-    return ends.groupBy(*keys, "resample").agg(*(F.sum(F.col(f"{c}_b") - F.col(f"{c}_a")).alias(c) for c in sums))
+    ends = drawn.join(running.select(*keys, *of, F.col("pos").alias("_a"), *(F.col(c).alias(f"{c}_a") for c in sums)), [*keys, "_a"])
+    ends = ends.join(running.select(*keys, *of, F.col("pos").alias("_b"), *(F.col(c).alias(f"{c}_b") for c in sums)), [*keys, "_b", *of])
+    return ends.groupBy(*keys, *of, "resample").agg(*(F.sum(F.col(f"{c}_b") - F.col(f"{c}_a")).alias(c) for c in sums))
 
 
-def interval(samples: DataFrame, keys: list[str], statistic: Column, level: float = 0.9, least: int = 20) -> DataFrame:
-    """(keys, usable, lower, upper): the interval of a statistic; null where too few resamples have one."""
+def interval(samples: DataFrame, keys: list[str], statistic: Column, level: float = 0.9, resamples: int = 0) -> DataFrame:
+    """(keys, usable, lower, upper): the interval of a statistic; null where too few of the resamples have one
+    (20, or one in a hundred)."""
     rows = samples.withColumn("x", statistic)
     n = F.count("x")
     ends = F.percentile("x", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
-    return rows.groupBy(*keys).agg(n.alias("usable"), F.when(n >= least, ends).alias("ends")).select(*keys, "usable", F.col("ends")[0].alias("lower"), F.col("ends")[1].alias("upper"))
+    return rows.groupBy(*keys).agg(n.alias("usable"), F.when(n >= max(20, resamples / 100), ends).alias("ends")).select(*keys, "usable", F.col("ends")[0].alias("lower"), F.col("ends")[1].alias("upper"))

@@ -6,11 +6,15 @@ independent groups.  Newton's method needs passes over the same rows, so it is a
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bootstrap import SEED
+
 LOW, HIGH = 0.005, 0.995
 
 
@@ -63,27 +67,39 @@ def recalibrated(df: DataFrame, keys: list[str], key_schema: str) -> DataFrame:
     return rows.groupBy(*keys).applyInPandas(run, f"{key_schema}, n long, intercept double, slope double")
 
 
-def slope_interval(df: DataFrame, keys: list[str], key_schema: str, date: str, block: int, resamples: int = 200, level: float = 0.95, seed: int = 8) -> DataFrame:
-    """(keys, slope, lower, upper, usable): an interval by drawing blocks of consecutive dates."""
+BATCH = 50
+
+
+def slope_interval(df: DataFrame, keys: list[str], key_schema: str, date: str, block: int | Column, resamples: int = 1000, level: float = 0.95, seed: int = SEED) -> DataFrame:
+    """(keys, slope, lower, upper, usable): an interval by drawing blocks of consecutive dates, the same as the bootstrap
+    of sums draws.  A task fits `BATCH` resamples of a key; null where too few of them have a line."""
+    rows = df.where(F.col("predicted").isNotNull() & F.col("realised").isNotNull()).select(*keys, F.col(date).alias("_date"), (block if isinstance(block, Column) else F.lit(block)).cast("int").alias("_block"), "predicted", "realised")
+    batches = rows.withColumn("_batch", F.explode(F.sequence(F.lit(-1), F.lit((resamples - 1) // BATCH))))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([date, "predicted"])
-        dates, number = np.unique(rows[date].to_numpy(), return_inverse=True)
+        rows = rows.sort_values(["_date", "predicted"])
+        dates, number = np.unique(rows["_date"].to_numpy(), return_inverse=True)
         edge = np.searchsorted(number, np.arange(len(dates) + 1))
         p, y = rows["predicted"].to_numpy(), rows["realised"].to_numpy()
-        line, n, size = logistic_line(p, y), len(dates), min(block, len(dates))
-        random, slopes = np.random.default_rng(seed), []
-        for _ in range(resamples):
-            starts = random.integers(0, n - size + 1, -(-n // size))
+        *own, batch = key
+        if batch < 0:  # all dates, once
+            line = logistic_line(p, y)
+            return pd.DataFrame([(*own, True, line[1] if line else None)], columns=[*keys, "whole", "x"])
+        n, size, out = len(dates), min(int(rows["_block"].iloc[0]), len(dates)), []
+        for resample in range(batch * BATCH, min(resamples, (batch + 1) * BATCH)):
+            names = (":".join(map(str, (seed, *own, resample, k))) for k in range(-(-n // size)))
+            starts = np.array([int(hashlib.md5(x.encode()).hexdigest()[:8], 16) % (n - size + 1) for x in names])
             drawn = (starts[:, None] + np.arange(size)).ravel()[:n]
             at = np.concatenate([np.arange(edge[d], edge[d + 1]) for d in drawn])
-            if found := logistic_line(p[at], y[at]):
-                slopes.append(found[1])
-        ends = np.quantile(slopes, [(1 - level) / 2, (1 + level) / 2]) if len(slopes) >= max(20, resamples / 100) else (None, None)
-        return pd.DataFrame([(*key, line[1] if line else None, *ends, len(slopes))], columns=[*keys, "slope", "lower", "upper", "usable"])
-
-    rows = df.where(F.col("predicted").isNotNull() & F.col("realised").isNotNull()).select(*keys, date, "predicted", "realised")
-    return rows.groupBy(*keys).applyInPandas(run, f"{key_schema}, slope double, lower double, upper double, usable long")
+            line = logistic_line(p[at], y[at])
+            out.append((*own, False, line[1] if line else None))
+        return pd.DataFrame(out, columns=[*keys, "whole", "x"])
+
+    found = batches.groupBy(*keys, "_batch").applyInPandas(run, f"{key_schema}, whole boolean, x double")
+    each = F.when(~F.col("whole") & ~F.isnan("x"), F.col("x"))
+    ends = F.when(F.count(each) >= max(20, resamples / 100), F.percentile(each, F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))))
+    out = found.groupBy(*keys).agg(F.max(F.when(F.col("whole"), F.nanvl("x", F.lit(None)))).alias("slope"), ends.alias("ends"), F.count(each).alias("usable"))
+    return out.select(*keys, "slope", F.col("ends")[0].alias("lower"), F.col("ends")[1].alias("upper"), "usable")
 
 
 def monotone(df: DataFrame, keys: list[str], key_schema: str) -> DataFrame:

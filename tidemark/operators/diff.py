@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOLERANCE = 1e-9
@@ -51,3 +51,26 @@ def checks(*expectations: tuple[str, DataFrame]) -> DataFrame:
     """(requirement, passed, offending) for frames that should be empty."""
     parts = [df.agg(F.count("*").alias("offending")).select(F.lit(name).alias("requirement"), (F.col("offending") == 0).alias("passed"), "offending") for name, df in expectations]
     return reduce(DataFrame.unionByName, parts)
+
+
+def complete_join(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """(joined, first_rows, second_rows, unequal, complete): two runs must join one to one with equal fields."""
+    left, right = a.select(*keys, F.struct(*fields).alias("_a")), b.select(*keys, F.struct(*fields).alias("_b"))
+    both = left.join(right, keys).agg(F.count("*").alias("joined"), F.sum((~F.col("_a").eqNullSafe(F.col("_b"))).cast("long")).alias("unequal"))
+    sizes = a.agg(F.count("*").alias("first_rows")).crossJoin(b.agg(F.count("*").alias("second_rows")))  # one row each
+    ok = (F.col("joined") == F.col("first_rows")) & (F.col("joined") == F.col("second_rows")) & (F.coalesce("unequal", F.lit(0)) == 0)
+    return both.crossJoin(sizes).select("joined", "first_rows", "second_rows", "unequal", ok.alias("complete"))
+
+
+def in_order(found: DataFrame, key: str, *then: str) -> DataFrame:
+    """Adds `place` of each key's differences: those of one run alone first, unquantifiable ones next, then by size."""
+    size = F.abs(F.round(F.col("after") - F.col("before"), 6))
+    alone = F.col("band").isin("ADDED", "REMOVED")
+    w = Window.partitionBy(key).orderBy(F.desc(alone), F.desc(size.isNull()), F.desc(size), *then)
+    return found.withColumn("place", F.row_number().over(w))
+
+
+def sets_equal(name: str, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(pair, equal): whether neither set has something the other lacks."""
+    only = a.join(b, a.columns, "left_anti").unionByName(b.join(a, a.columns, "left_anti"))
+    return only.agg(F.count("*").alias("n")).select(F.lit(name).alias("pair"), (F.col("n") == 0).alias("equal"))

@@ -20,8 +20,11 @@ def outcomes(grid: DataFrame, horizons: list[int], key: str = "series_id", colum
     """(key, month, composition, horizon, outcome) for every horizon: the condition `horizon` months on, and
     whether it holds in any of the months after this one up to then.  Null unless all of them are known.
 
-    All horizons come from one sort: the frames differ, the partitioning doesn't.
+    A few horizons come from one sort: the frames differ, the partitioning doesn't.  Many are rows of their own,
+    each joined with the month it ends in: running counts say whether all months between are known.
     """
+    if len(horizons) > 12:
+        return _joined_outcomes(grid, horizons, key, column)
     w = Window.partitionBy(key).orderBy("month")
     parts = []
     for h in horizons:
@@ -32,6 +35,18 @@ def outcomes(grid: DataFrame, horizons: list[int], key: str = "series_id", colum
     return rows.select(key, "month", F.explode("all").alias("o")).select(key, "month", "o.composition", "o.horizon", "o.outcome")
 
 
+def _joined_outcomes(grid: DataFrame, horizons: list[int], key: str, column: str) -> DataFrame:
+    w = Window.partitionBy(key).orderBy("month")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = grid.select(key, "month", F.col(column).alias("holds"), F.row_number().over(w).alias("i"), F.count(column).over(upto).alias("c"), F.coalesce(F.sum(column).over(upto), F.lit(0.0)).alias("s"))
+    asked = rows.select(key, "month", "i", "c", "s", F.explode(F.array(*map(F.lit, horizons))).alias("horizon")).withColumn("end", F.col("i") + F.col("horizon"))
+    ends = rows.select(key, F.col("i").alias("end"), F.col("holds").alias("end_holds"), F.col("c").alias("end_c"), F.col("s").alias("end_s"))
+    both = asked.join(ends, [key, "end"], "left")
+    any_ = F.when(F.col("end_c") - F.col("c") == F.col("horizon"), (F.col("end_s") > F.col("s")).cast("double"))
+    parts = F.array(F.struct(F.lit(AT).alias("composition"), F.col("end_holds").alias("outcome")), F.struct(F.lit(ANY).alias("composition"), any_.alias("outcome")))
+    return both.select(key, "month", "horizon", F.explode(parts).alias("o")).select(key, "month", "o.composition", "horizon", "o.outcome")
+
+
 def extreme_within(grid: DataFrame, horizon: int, lowest: bool = False, key: str = "series_id") -> DataFrame:
     """Adds the highest (or lowest) value of the next `horizon` months; null unless all are known."""
     ahead = Window.partitionBy(key).orderBy("month").rowsBetween(1, horizon)

@@ -87,3 +87,14 @@ def threshold_flips(then: DataFrame, now: DataFrame, threshold: float) -> DataFr
     """Of each series: months whose condition differs between the two states."""
     both = then.select("series_id", "month", F.col("value").alias("a")).join(now.select("series_id", "month", F.col("value").alias("b")), ["series_id", "month"])
     return both.groupBy("series_id").agg(F.count("*").alias("months"), F.sum(((F.col("a") > threshold) != (F.col("b") > threshold)).cast("long")).alias("flips"))
+
+
+def fallback_dates(policies: DataFrame) -> DataFrame:
+    """Dates at which some series was read by the weaker choice."""
+    return policies.where("policy = 'publication_lag_fallback'").select("as_of").distinct()
+
+
+def honest_start(policies: DataFrame) -> DataFrame:
+    """(first_candidate, last_fallback, honest_start): the month after the last date that needed the weaker choice."""
+    last = F.max(F.when(F.col("policy") == "publication_lag_fallback", F.col("as_of")))
+    return policies.agg(F.min("as_of").alias("first_candidate"), last.alias("last_fallback"), F.coalesce(F.add_months(last, 1), F.min("as_of")).alias("honest_start"))

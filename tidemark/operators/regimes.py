@@ -189,6 +189,22 @@ def fit(x: np.ndarray, k: int, seed: int, restarts: int = 3, iterations: int = 1
     return best[0].ordered(), best[1]
 
 
+def fit_once(blocks: list[np.ndarray], states: list[int], seeds: list[int], restart: int, iterations: int = 500, tolerance: float = 1e-6) -> tuple[list[Model], float]:
+    """Independent chains over blocks of columns, fitted together from one start: the likelihood that must settle is
+    that of all."""
+    models = [start_point(x, k, np.random.default_rng([s, restart])) for x, k, s in zip(blocks, states, seeds)]
+    ridges, last = [max(RIDGE * np.trace(pooled_covariance(x)) / x.shape[1], 1e-12) for x in blocks], -np.inf
+    for _ in range(iterations):
+        steps = [expectation(m, x) for m, x in zip(models, blocks)]
+        total = sum(s[0] for s in steps)
+        if total < last - max(1.0, abs(last)) * 1e-3:
+            raise RuntimeError("the likelihood fell")
+        if abs(total - last) <= tolerance * max(1.0, abs(total)):
+            break
+        models, last = [maximised(x, s[1], s[2], ridge) for x, s, ridge in zip(blocks, steps, ridges)], total
+    return [m.ordered() for m in models], float(sum(m.log_likelihood(x) for m, x in zip(models, blocks)))
+
+
 FITS = "series_id string, states int, log_likelihood double, free_parameters int, information_criterion double, held_out_per_month double, second_modulus double, shortest_duration double, smallest_share double, start array<double>, transition array<array<double>>, means array<array<double>>, covariances array<array<array<double>>>"
 
 

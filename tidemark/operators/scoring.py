@@ -34,8 +34,10 @@ def log_loss(p: Column, y: Column) -> Column:
 
 
 def skill(p: str = "predicted", reference: str = "reference") -> Column:
-    """An aggregate: 1 less the ratio of squared errors; null where the reference has none."""
-    return 1 - F.sum(squared(p)) / F.nullif(F.sum(squared(reference)), F.lit(0.0))
+    """An aggregate: 1 less the ratio of squared errors, over the rows that have both and an outcome; null where the
+    reference has none."""
+    a, b = squared(p), squared(reference)
+    return 1 - F.sum(F.when(b.isNotNull(), a)) / F.nullif(F.sum(F.when(a.isNotNull(), b)), F.lit(0.0))
 
 
 def area_under_curve(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,9 +81,16 @@ def murphy(df: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("residual", F.col("brier") - (F.col("reliability") - F.col("resolution") + F.col("uncertainty")))
 
 
-def reversals(df: DataFrame, keys: list[str], width: float = 2.0) -> DataFrame:
-    """(keys, pairs, reversals): pairs of bins where the later was observed clearly less often.  At most 45 for a key."""
+def reversals(df: DataFrame, keys: list[str], width: float = 2.0, inflation: DataFrame | None = None) -> DataFrame:
+    """(keys, pairs, reversals): pairs of bins where the later was observed clearly less often.  At most 45 for a key.
+
+    `inflation` (keys, inflation) says how many forecasts are worth one: a bin's error is then that of its effective
+    count, one at least.
+    """
     bins = reliability_bins(df, keys)
+    if inflation is not None:
+        worth = F.greatest(F.col("n") / F.col("inflation"), F.lit(1.0))
+        bins = bins.join(inflation, keys).withColumn("standard_error", F.sqrt(F.col("observed_rate") * (1 - F.col("observed_rate")) / worth))
     a, b = bins.alias("a"), bins.alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.bin") < F.col("b.bin")]
     spread = width * F.sqrt(F.col("a.standard_error") * F.col("a.standard_error") + F.col("b.standard_error") * F.col("b.standard_error"))
@@ -112,23 +121,35 @@ def mean_skill(df: DataFrame, group: str, over: str, least: int = 2) -> DataFram
     return each.groupBy(group).agg(F.when(k == F.count("*"), F.avg("skill")).alias("mean_skill"), k.alias("defined"), F.count("*").alias("indicators"), (1 - F.sum("e") / F.nullif(F.sum("r"), F.lit(0.0))).alias("pooled_skill"))
 
 
-def design_effect(df: DataFrame, unit: str, date: str, value: str) -> DataFrame:
-    """(units, mean_correlation, design_effect) over the dates that every unit has; units without spread are left out.
+def design_effect(df: DataFrame, keys: list[str], unit: str, date: str, value: str) -> DataFrame:
+    """(keys, units, mean_correlation, design_effect) over the dates that every unit of a key has; units without spread
+    are left out.
 
     Correlations come from the sums of products, one row for each pair of units.
     """
-    units = df.select(unit).distinct().count()
-    complete = usable(df, value).groupBy(date).agg(F.count_distinct(unit).alias("k")).where(F.col("k") == units).select(date)
-    rows = usable(df, value).join(complete, date).select(date, unit, F.col(value).alias("v"))
-    varied = rows.groupBy(unit).agg(F.stddev_pop("v").alias("sd")).where("sd > 1e-12").select(unit)
-    rows = rows.join(varied, unit)
-    a, b = rows.select(date, F.col(unit).alias("u"), F.col("v").alias("x")), rows.select(date, F.col(unit).alias("w"), F.col("v").alias("y"))
-    each = a.join(b, date).where("u < w").groupBy("u", "w").agg(F.corr("x", "y").alias("r"))
-    k = varied.agg(F.count("*").alias("units"))
-    return each.agg(F.avg("r").alias("mean_correlation")).crossJoin(F.broadcast(k)).select("units", "mean_correlation", F.greatest(F.lit(1.0), 1 + (F.col("units") - 1) * F.coalesce("mean_correlation", F.lit(0.0))).alias("design_effect"))
+    known = usable(df, value)
+    units = df.groupBy(*keys).agg(F.count_distinct(unit).alias("_units"))
+    complete = known.groupBy(*keys, date).agg(F.count_distinct(unit).alias("_k")).join(units, keys).where("_k = _units").select(*keys, date)
+    rows = known.join(complete, [*keys, date]).select(*keys, date, unit, F.col(value).alias("v"))
+    varied = rows.groupBy(*keys, unit).agg(F.stddev_pop("v").alias("sd")).where("sd > 1e-12").select(*keys, unit)
+    rows = rows.join(varied, [*keys, unit])
+    a, b = rows.select(*keys, date, F.col(unit).alias("u"), F.col("v").alias("x")), rows.select(*keys, date, F.col(unit).alias("w"), F.col("v").alias("y"))
+    each = a.join(b, [*keys, date]).where("u < w").groupBy(*keys, "u", "w").agg(F.corr("x", "y").alias("r"))
+    mean = each.groupBy(*keys).agg(F.avg("r").alias("mean_correlation"))
+    out = varied.groupBy(*keys).agg(F.count("*").alias("units")).join(mean, keys, "left")
+    return out.select(*keys, "units", "mean_correlation", F.greatest(F.lit(1.0), 1 + (F.col("units") - 1) * F.coalesce("mean_correlation", F.lit(0.0))).alias("design_effect"))
 
 
 def chronological_blocks(df: DataFrame, keys: list[str], date: str, blocks: int = 4) -> DataFrame:
     """Adds `block` 1 to `blocks` over each key's distinct dates; earlier blocks take the remainder."""
     numbered = df.select(*keys, date).distinct().withColumn("block", F.ntile(blocks).over(Window.partitionBy(*keys).orderBy(date)))
     return df.join(numbered, [*keys, date])
+
+
+def weighted_correlation(df: DataFrame, keys: list[str], a: str, b: str, weight: str, least: float) -> DataFrame:
+    """(keys, months, correlation) of two columns around their weighted means; keys of less weight are left out."""
+    x, y, w = F.col(a), F.col(b), F.col(weight)
+    s = df.groupBy(*keys).agg(F.sum(w).alias("months"), *(F.sum(w * c).alias(n) for n, c in (("sx", x), ("sy", y), ("sxx", x * x), ("syy", y * y), ("sxy", x * y))))
+    mx, my = F.col("sx") / F.col("months"), F.col("sy") / F.col("months")
+    spread = F.sqrt((F.col("sxx") - mx * F.col("sx")) * (F.col("syy") - my * F.col("sy")))
+    return s.where(F.col("months") >= least).select(*keys, "months", ((F.col("sxy") - mx * F.col("sy")) / F.nullif(spread, F.lit(0.0))).alias("correlation"))

@@ -14,6 +14,7 @@ from ..functions import probability as pr
 from ..operators import bootstrap, diff, pointintime, scoring, timegrid, transforms
 from ..operators import outcomes as oc
 from ..sources import register, tables
+from ..sources.scratch import stored
 from . import walkforward as wf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,12 +46,10 @@ def r(expression: str) -> str:
 
 
 # What the SQL shares: the same steps as in :mod:`.walkforward`, written for DuckDB.
-_HORIZONS = " UNION ALL ".join(
-    f"SELECT series_id, month, 'at_horizon' AS composition, {h} AS horizon, lead(holds, {h}) OVER w AS outcome FROM grid WINDOW w AS (PARTITION BY series_id ORDER BY month)"
-    f" UNION ALL SELECT series_id, month, 'within_horizon', {h}, CASE WHEN count(holds) OVER w = {h} THEN max(holds) OVER w END FROM grid WINDOW w AS (PARTITION BY series_id ORDER BY month ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"
-    for h in wf.HORIZONS
-)
-W = f"""WITH RECURSIVE raw AS (SELECT o_orderpriority AS series_id, date_trunc('month', o_orderdate)::DATE AS month, avg(o_totalprice) AS value FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-01' GROUP BY 1, 2),
+
+
+def with_horizons(horizons) -> str:
+    return f"""WITH RECURSIVE raw AS (SELECT o_orderpriority AS series_id, date_trunc('month', o_orderdate)::DATE AS month, avg(o_totalprice) AS value FROM orders WHERE o_orderdate < (SELECT date_trunc('month', max(o_orderdate)) FROM orders) GROUP BY 1, 2),
 span AS (SELECT series_id, min(month) AS a, max(month) AS b FROM raw GROUP BY 1),
 cal AS (SELECT series_id, unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS month FROM span),
 grid AS (SELECT c.series_id, c.month, v.value, CASE WHEN v.value > 250000 THEN 1::DOUBLE WHEN v.value <= 250000 THEN 0::DOUBLE END AS holds FROM cal c LEFT JOIN raw v ON v.series_id = c.series_id AND v.month = c.month),
@@ -60,7 +59,9 @@ scal AS (SELECT series_id, unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, IN
 sgrid AS (SELECT c.series_id, c.month, v.value FROM scal c LEFT JOIN sparse v ON v.series_id = c.series_id AND v.month = c.month),
 lines AS (SELECT date_trunc('month', l_shipdate)::DATE AS month, count(*)::DOUBLE AS growth, avg(l_extendedprice) AS inflation, avg(l_discount) AS rates FROM lineitem GROUP BY 1),
 measures AS (SELECT 'growth' AS series_id, month, growth AS value FROM lines UNION ALL SELECT 'inflation', month, inflation FROM lines UNION ALL SELECT 'rates', month, rates FROM lines),
-found AS ({_HORIZONS}),
+idx AS (SELECT series_id, month, holds, row_number() OVER w AS i, count(holds) OVER w AS c, coalesce(sum(holds) OVER w, 0) AS s FROM grid WINDOW w AS (PARTITION BY series_id ORDER BY month)),
+asked AS (SELECT series_id, month, i, c, s, composition, horizon FROM idx, (VALUES ('at_horizon'), ('within_horizon')) q(composition), (SELECT unnest([{', '.join(map(str, horizons))}]) AS horizon)),
+found AS (SELECT a.series_id, a.month, a.composition, a.horizon, CASE WHEN a.composition = 'at_horizon' THEN b.holds WHEN b.c - a.c = a.horizon THEN (b.s - a.s > 0)::INTEGER::DOUBLE END AS outcome FROM asked a LEFT JOIN idx b ON b.series_id = a.series_id AND b.i = a.i + a.horizon),
 clim AS (SELECT a.series_id, a.composition, a.horizon, a.month, a.outcome, avg(b.outcome) AS climatology FROM found a LEFT JOIN found b ON a.series_id = b.series_id AND a.composition = b.composition AND a.horizon = b.horizon AND b.outcome IS NOT NULL AND (b.month + to_months(b.horizon))::DATE + 45 <= a.month GROUP BY ALL),
 st AS (SELECT series_id, month, holds, lag(holds) OVER (PARTITION BY series_id ORDER BY month) AS before FROM grid WHERE holds IS NOT NULL),
 cnt AS (SELECT series_id, month, holds AS now, before, count(*) OVER u AS n, sum(holds) OVER u AS s, sum(CASE WHEN before = 0 THEN 1 ELSE 0 END) OVER u AS n_off, sum(CASE WHEN before = 1 THEN 1 ELSE 0 END) OVER u AS n_on,
@@ -70,11 +71,14 @@ rates AS (SELECT g.series_id, g.month, c.month AS known_month, c.now, (c.entries
 steps AS (SELECT c.*, k.known_month, k.now, k.entry, k.stay, k.entry / (1 - (k.stay - k.entry)) AS run, k.stay - k.entry AS ratio, datediff('month', k.known_month, c.month) AS gap FROM clim c JOIN rates k ON c.series_id = k.series_id AND c.month = k.month WHERE climatology IS NOT NULL),
 here AS (SELECT *, run + (now - run) * pow(ratio, gap) AS q, run + (now - run) * pow(ratio, gap + horizon) AS at_h FROM steps),
 chained AS (SELECT *, CASE WHEN composition = 'at_horizon' THEN at_h ELSE 1 - (q * (1 - stay) + (1 - q) * (1 - entry)) * pow(1 - entry, horizon - 1) END AS chain FROM here),
-fore AS (SELECT series_id, composition, horizon, month AS forecast_date, 0.5::DOUBLE * chain + 0.5::DOUBLE * climatology AS predicted, climatology AS reference, chain, outcome AS realised, known_month FROM chained),
+fore AS (SELECT series_id, composition, horizon, month AS forecast_date, 0.5::DOUBLE * chain + 0.5::DOUBLE * climatology AS predicted, climatology AS reference, chain, outcome AS realised, known_month, abs(at_h - run) AS distance FROM chained),
 scored AS (SELECT *, (predicted - realised) * (predicted - realised) AS e, (reference - realised) * (reference - realised) AS f,
     {' + '.join(f'(predicted >= {e!r}::DOUBLE)::INTEGER' for e in scoring.EDGES)} AS bin FROM (SELECT * REPLACE (round(predicted, 9) AS predicted) FROM fore) WHERE realised IS NOT NULL),
 bins AS (SELECT series_id, composition, horizon, bin, count(*) AS n, avg(predicted) AS p, avg(realised) AS y, sqrt(avg(realised) * (1 - avg(realised)) / count(*)) AS se FROM scored GROUP BY 1, 2, 3, 4)
 """
+
+
+W = with_horizons(wf.HORIZONS)
 K = "series_id, composition, horizon"
 
 
@@ -83,13 +87,14 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A series with gaps: mean of the dearest orders by priority and month."""
+    """A series with gaps, as the tables have none: mean of the dearest orders by priority and month."""
     orders = tables.table(spark, sf_dir, "orders").where("o_totalprice > 480000")
     return tables.monthly(orders, "o_orderdate", F.avg("o_totalprice"), F.col("o_orderpriority"))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wf.forecasts(spark, sf_dir).withColumn("predicted", F.round("predicted", 9)).where(F.col("realised").isNotNull())
+def scored(spark: SparkSession, sf_dir: str, horizons: list[int] | None = None) -> DataFrame:
+    """The resolved forecasts, written once: all scores of a query read the same few rows."""
+    return stored(wf.forecasts(spark, sf_dir, horizons).withColumn("predicted", F.round("predicted", 9)).where(F.col("realised").isNotNull()), "scored")
 
 
 # ---- series and grids
@@ -190,7 +195,7 @@ _DATES = "(SELECT unnest(generate_series(TIMESTAMP '1997-01-01', TIMESTAMP '2001
 
 
 def as_of_dates(spark: SparkSession) -> DataFrame:
-    """A date every half year, a fixed list of nine."""
+    """The dates asked about: every half year, a fixed list of nine."""
     return spark.range(1).select(F.explode(F.expr("sequence(date'1997-01-01', date'2001-01-01', interval 6 months)")).alias("as_of"))
 
 
@@ -358,7 +363,7 @@ def equal_blend(spark, sf_dir):
     return wf.forecasts(spark, sf_dir).select(*KEYS, "forecast_date", "predicted")
 
 
-@query(W + f"SELECT series_id, composition, horizon::INTEGER AS horizon, forecast_date, {r('predicted')} AS predicted, {r('reference')} AS reference, {r('chain')} AS chain, realised, known_month FROM fore")
+@query(W + f"SELECT series_id, composition, horizon::INTEGER AS horizon, forecast_date, {r('predicted')} AS predicted, {r('reference')} AS reference, {r('chain')} AS chain, realised, known_month, {r('distance')} AS distance FROM fore")
 def walk_forward_forecasts(spark, sf_dir):
     return wf.forecasts(spark, sf_dir)
 
@@ -473,7 +478,7 @@ def pooled_skill(spark, sf_dir):
 )
 def design_effect(spark, sf_dir):
     rows = scored(spark, sf_dir).where((F.col("composition") == oc.AT) & (F.col("horizon") == 3)).withColumn("e", scoring.squared("predicted"))
-    return scoring.design_effect(rows, "series_id", "forecast_date", "e")
+    return scoring.design_effect(rows, ["horizon"], "series_id", "forecast_date", "e").drop("horizon")
 
 
 @query(W + f", dated AS (SELECT DISTINCT horizon, forecast_date FROM scored), blocked AS (SELECT *, ntile(4) OVER (PARTITION BY horizon ORDER BY forecast_date) AS block FROM dated) SELECT s.horizon::INTEGER AS horizon, block::INTEGER AS block, count(*) AS n, min(forecast_date) AS first_date, {r('1 - sum(e) / nullif(sum(f), 0)')} AS skill FROM scored s JOIN blocked USING (horizon, forecast_date) GROUP BY s.horizon, block")
@@ -482,65 +487,6 @@ def chronological_blocks(spark, sf_dir):
     return rows.groupBy("horizon", "block").agg(F.count("*").alias("n"), F.min("forecast_date").alias("first_date"), scoring.skill().alias("skill"))
 
 
-# ---- intervals
-
-_RESAMPLES, _BLOCK = 200, 12
-_BOOT = f"""daily AS (SELECT horizon, forecast_date, sum(e) AS e, sum(f) AS f, sum((chain - realised) * (chain - realised)) AS g FROM scored GROUP BY 1, 2),
-placed AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY forecast_date) AS pos, count(*) OVER (PARTITION BY horizon) AS n FROM daily),
-drawn AS (SELECT horizon, n, least({_BLOCK}, n) AS len, unnest(range({_RESAMPLES})) AS rs FROM (SELECT DISTINCT horizon, n FROM placed)),
-parts AS (SELECT *, unnest(range(ceil(n / len::DOUBLE)::BIGINT)) AS k FROM drawn),
-ranges AS (SELECT horizon, rs, (rs * 7919 + k * 104729 + rs * k * 31 + rs * rs * 17) % (n - len + 1) AS a, least(len, n - k * len) AS size FROM parts),
-samples AS (SELECT x.horizon, x.rs, 1 - sum(p.e) / nullif(sum(p.f), 0) AS skill, sum(p.g) / sum(p.f) - sum(p.e) / sum(p.f) AS lead FROM ranges x JOIN placed p ON p.horizon = x.horizon AND p.pos > x.a AND p.pos <= x.a + x.size GROUP BY 1, 2)"""
-
-
-def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir).withColumn("e", scoring.squared("predicted")).withColumn("f", scoring.squared("reference")).withColumn("g", scoring.squared("chain"))
-    daily = rows.groupBy("horizon", "forecast_date").agg(F.sum("e").alias("e"), F.sum("f").alias("f"), F.sum("g").alias("g"))
-    return bootstrap.resampled(daily, ["horizon"], "forecast_date", ["e", "f", "g"], _BLOCK, _RESAMPLES)
-
-
-@query(W + f", {_BOOT} SELECT horizon::INTEGER AS horizon, count(skill) AS usable, {r('quantile_cont(skill, 0.05)')} AS lower, {r('quantile_cont(skill, 0.95)')} AS upper FROM samples GROUP BY horizon")
-def block_bootstrap_interval(spark, sf_dir):
-    return bootstrap.interval(_samples(spark, sf_dir), ["horizon"], 1 - F.col("e") / F.nullif(F.col("f"), F.lit(0.0)))
-
-
-@query(W + f", {_BOOT} SELECT horizon::INTEGER AS horizon, count(lead) AS usable, {r('quantile_cont(lead, 0.05)')} AS lower, {r('quantile_cont(lead, 0.95)')} AS upper FROM samples GROUP BY horizon")
-def paired_skill_difference(spark, sf_dir):
-    return bootstrap.interval(_samples(spark, sf_dir), ["horizon"], F.col("g") / F.col("f") - F.col("e") / F.col("f"))
-
-
-_GATES = f""", {_BOOT}, {_MEAN}, skills AS (SELECT horizon, 1 - sum(e) / nullif(sum(f), 0) AS pooled_skill FROM each GROUP BY 1),
-bounds AS (SELECT horizon, quantile_cont(skill, 0.05) AS lower FROM samples GROUP BY 1),
-calib AS (SELECT horizon, sum(n * abs(p - y)) / sum(n) AS ece FROM (SELECT horizon, bin, count(*) AS n, avg(predicted) AS p, avg(realised) AS y FROM scored GROUP BY 1, 2) GROUP BY 1),
-blk AS (SELECT horizon, sum((s > 0)::INTEGER) AS good FROM (SELECT d.horizon, d.block, 1 - sum(e) / nullif(sum(f), 0) AS s FROM scored s JOIN (SELECT *, ntile(4) OVER (PARTITION BY horizon ORDER BY forecast_date) AS block FROM (SELECT DISTINCT horizon, forecast_date FROM scored)) d ON d.horizon = s.horizon AND d.forecast_date = s.forecast_date GROUP BY 1, 2) GROUP BY 1),
-gates AS (SELECT horizon, pooled_skill, pooled_skill > 0.02 AND lower > 0 AS skill_gate, ece < 0.10 AS calibration_gate, good >= 3 AS robustness_gate FROM skills JOIN bounds USING (horizon) JOIN calib USING (horizon) JOIN blk USING (horizon))"""
-
-
-def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir)
-    skill = rows.groupBy("horizon").agg(scoring.skill().alias("pooled_skill"))
-    bounds = bootstrap.interval(_samples(spark, sf_dir), ["horizon"], 1 - F.col("e") / F.nullif(F.col("f"), F.lit(0.0))).select("horizon", "lower")
-    error = scoring.calibration_error(rows, ["horizon"])
-    blocks = scoring.chronological_blocks(rows, ["horizon"], "forecast_date").groupBy("horizon", "block").agg(scoring.skill().alias("s")).groupBy("horizon").agg(F.sum((F.col("s") > 0).cast("int")).alias("good"))
-    joined = skill.join(bounds, "horizon").join(error, "horizon").join(blocks, "horizon")
-    return joined.select("horizon", "pooled_skill", ((F.col("pooled_skill") > 0.02) & (F.col("lower") > 0)).alias("skill_gate"), (F.col("calibration_error") < 0.10).alias("calibration_gate"), (F.col("good") >= 3).alias("robustness_gate"))
-
-
-@query(W + _GATES + f"SELECT horizon::INTEGER AS horizon, {r('pooled_skill')} AS pooled_skill, skill_gate, calibration_gate, robustness_gate, CASE WHEN skill_gate AND calibration_gate AND robustness_gate THEN 'SHIP MODEL' ELSE 'SHIP BASE RATE' END AS verdict, CASE WHEN skill_gate AND calibration_gate AND robustness_gate THEN 'none' ELSE concat_ws(', ', CASE WHEN NOT skill_gate THEN 'skill' END, CASE WHEN NOT calibration_gate THEN 'calibration' END, CASE WHEN NOT robustness_gate THEN 'robustness' END) END AS failing_gates FROM gates")
-def verdict_gates(spark, sf_dir):
-    g = _gates(spark, sf_dir)
-    names = ("skill", "calibration", "robustness")
-    failing = F.concat_ws(", ", *(F.when(~F.col(f"{n}_gate"), n) for n in names))
-    ok = F.col("skill_gate") & F.col("calibration_gate") & F.col("robustness_gate")
-    return g.withColumn("verdict", F.when(ok, "SHIP MODEL").otherwise("SHIP BASE RATE")).withColumn("failing_gates", F.when(ok, "none").otherwise(failing))
-
-
-@query(W + _GATES + "SELECT max(horizon) FILTER (skill_gate)::INTEGER AS last_with_skill, min(horizon) FILTER (NOT calibration_gate)::INTEGER AS first_uncalibrated, coalesce(min(horizon) FILTER (NOT skill_gate) - 1, max(horizon))::INTEGER AS unbroken_skill FROM gates")
-def skill_curve_readings(spark, sf_dir):
-    h, ok = F.col("horizon"), F.col("skill_gate")
-    return _gates(spark, sf_dir).agg(F.max(F.when(ok, h)).alias("last_with_skill"), F.min(F.when(~F.col("calibration_gate"), h)).alias("first_uncalibrated"), F.coalesce(F.min(F.when(~ok, h)) - 1, F.max(h)).alias("unbroken_skill"))
-
-
 @query(W + f"SELECT a.series_id, a.composition, {', '.join(r(f'max(skill) FILTER (horizon = {h})') + f' AS h{h}' for h in wf.HORIZONS)} FROM (SELECT {K}, 1 - sum(e) / nullif(sum(f), 0) AS skill FROM scored GROUP BY {K}) a GROUP BY 1, 2")
 def forecast_grid_pivot(spark, sf_dir):
     wide = scored(spark, sf_dir).groupBy(*KEYS).agg(scoring.skill().alias("skill")).groupBy("series_id", "composition").pivot("horizon", wf.HORIZONS).agg(F.first("skill"))
@@ -602,18 +548,6 @@ def perturbation_counts(spark, sf_dir):
     return both.groupBy("series_id").agg(F.count("*").alias("values_"), F.sum((F.col("value") != F.col("other")).cast("long")).alias("perturbed"))
 
 
-@query("SELECT 0::BIGINT AS differing, true AS sound")
-def look_ahead_audit(spark, sf_dir):
-    """The forecasts made by a cutoff, from the data and from data whose later values are changed: they must be the same."""
-    cutoff = F.lit("2000-03-01").cast("date")
-    plain = grid(spark, sf_dir)
-    changed = oc.condition(diff.perturbed(plain, F.date_add("month", wf.LAG_DAYS) > cutoff), wf.THRESHOLD)
-    made = [wf.known_rates(g).where(F.col("month") <= cutoff) for g in (plain, changed)]
-    found = [oc.running_climatology(oc.outcomes(g, wf.HORIZONS), KEYS, wf.LAG_DAYS).where(F.col("month") <= cutoff).drop("outcome") for g in (plain, changed)]
-    n = diff.differing(*made, ["series_id", "month"], ["known_month", "now", "entry", "stay"]).select(F.lit(1)).unionAll(diff.differing(*found, [*KEYS, "month"], ["climatology"]).select(F.lit(1)))
-    return n.agg(F.count("*").alias("differing")).withColumn("sound", F.col("differing") == 0)
-
-
 # ---- the register of forecasts
 
 

@@ -27,7 +27,7 @@ def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oc.condition(timegrid.complete_grid(tables.order_prices(spark, sf_dir)), THRESHOLD)
 
 
-def known_rates(grid: DataFrame) -> DataFrame:
+def known_rates(grid: DataFrame, strength: float = STRENGTH) -> DataFrame:
     """(series_id, month, known_month, now, entry, stay): the chain each forecast date may use.
 
     Counts run up to each condition's month; a date takes those of the last month published by it.
@@ -38,7 +38,7 @@ def known_rates(grid: DataFrame) -> DataFrame:
         "series_id",
         F.date_add("month", LAG_DAYS).alias("t"),
         F.lit(0).alias("kind"),
-        F.struct(F.col("month").alias("known_month"), F.col("holds").alias("now"), pr.shrunk(F.col("entries"), F.col("n_off"), base, STRENGTH).alias("entry"), pr.shrunk(F.col("stays"), F.col("n_on"), base, STRENGTH).alias("stay")).alias("r"),
+        F.struct(F.col("month").alias("known_month"), F.col("holds").alias("now"), pr.shrunk(F.col("entries"), F.col("n_off"), base, strength).alias("entry"), pr.shrunk(F.col("stays"), F.col("n_on"), base, strength).alias("stay")).alias("r"),
     )
     dates = grid.select("series_id", F.col("month").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(rates.schema["r"].dataType).alias("r"))
     w = Window.partitionBy("series_id").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
@@ -46,11 +46,16 @@ def known_rates(grid: DataFrame) -> DataFrame:
     return line.where("kind = 1").where(F.col("known").isNotNull()).select("series_id", F.col("t").alias("month"), "known.*")
 
 
-def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per series, composition, horizon and forecast date: chain, climatology, their blend, what came."""
-    grid = conditions(spark, sf_dir)
-    found = oc.running_climatology(oc.outcomes(grid, HORIZONS), KEYS, LAG_DAYS)
-    rows = found.where(F.col("climatology").isNotNull()).join(known_rates(grid), ["series_id", "month"])
+def forecasts(spark: SparkSession, sf_dir: str, horizons: list[int] | None = None) -> DataFrame:
+    """One row per series, composition, horizon and forecast date: chain, climatology, their blend, what came, and how
+    far the chain still is from its long run."""
+    return forecasts_from(conditions(spark, sf_dir), horizons)
+
+
+def forecasts_from(grid: DataFrame, horizons: list[int] | None = None, weight: float = 0.5, strength: float = STRENGTH) -> DataFrame:
+    """The same from a grid of conditions; `weight` is the chain's in the blend."""
+    found = oc.running_climatology(oc.outcomes(grid, horizons or HORIZONS), KEYS, LAG_DAYS)
+    rows = found.where(F.col("climatology").isNotNull()).join(known_rates(grid, strength), ["series_id", "month"])
     gap = F.months_between("month", "known_month").cast("int")
     h, now, entry, stay = (F.col(c) for c in ("horizon", "now", "entry", "stay"))
     at = pr.chain_at(now, entry, stay, gap + h)
@@ -59,9 +64,10 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         *KEYS,
         F.col("month").alias("forecast_date"),
-        pr.blend(F.col("chain"), F.col("climatology")).alias("predicted"),
+        pr.blend(F.col("chain"), F.col("climatology"), weight).alias("predicted"),
         F.col("climatology").alias("reference"),
         "chain",
         F.col("outcome").alias("realised"),
         "known_month",
+        F.abs(at - entry / (1 - (stay - entry))).alias("distance"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,20 +16,26 @@ def _files(spark: SparkSession, path: str):
 
 
 def capture(forecasts: DataFrame, path: str, name: str, configuration_hash: str, seed: int, force: bool = False) -> None:
-    """Writes ``<path>/<name>``; refuses a name that is taken unless forced, and leaves nothing behind on failure."""
+    """Writes ``<path>/<name>``; refuses a name that is taken unless forced, and leaves nothing behind on failure.
+
+    A new record is written beside an old one, which goes only when the new one is whole.
+    """
     spark = forecasts.sparkSession
     store, place = _files(spark, f"{path}/{name}")
     if store.exists(place) and not force:
         raise FileExistsError(f"{path}/{name}")
-    store.delete(place, True)
+    _, beside = _files(spark, new := f"{path}/.new-{uuid.uuid4().hex}")
     try:
-        forecasts.write.parquet(f"{path}/{name}/forecasts")
-        held = spark.read.parquet(f"{path}/{name}/forecasts")
+        forecasts.write.parquet(f"{new}/forecasts")
+        held = spark.read.parquet(f"{new}/forecasts")
         identity = held.agg(F.count("*").alias("forecasts"), F.count_distinct("forecast_date").alias("dates"), F.min("forecast_date").alias("first_date"), F.max("forecast_date").alias("last_date"))
-        identity.select(F.lit(name).alias("name"), "*", F.lit(configuration_hash).alias("configuration_hash"), F.lit(seed).cast("long").alias("seed")).coalesce(1).write.json(f"{path}/{name}/identity")
+        identity.select(F.lit(name).alias("name"), "*", F.lit(configuration_hash).alias("configuration_hash"), F.lit(seed).cast("long").alias("seed")).coalesce(1).write.json(f"{new}/identity")
     except Exception:
-        store.delete(place, True)
+        store.delete(beside, True)
         raise
+    store.delete(place, True)
+    if not store.rename(beside, place):
+        raise OSError(f"{new} could not be renamed to {path}/{name}")
 
 
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,14 +18,15 @@ def month_of(ts: str | Column) -> Column:
 
 def monthly(df: DataFrame, ts: str, value: Column, series_id: Column) -> DataFrame:
     """(series_id, month, value): one aggregate over the raw rows, the only step that sees them all.
-    Everything after it works on a row for each series and month."""
-    return df.groupBy(series_id.alias("series_id"), month_of(ts).alias("month")).agg(value.cast("double").alias("value"))
+    It is written once; everything after it reads a row for each series and month."""
+    return stored(df.groupBy(series_id.alias("series_id"), month_of(ts).alias("month")).agg(value.cast("double").alias("value")), "months")
 
 
 def order_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean order price by priority and month; the table's last, cut month is left out."""
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit("2001-08-01").cast("timestamp_ntz"))
-    return monthly(orders, "o_orderdate", F.avg("o_totalprice"), F.col("o_orderpriority"))
+    """Mean order price by priority and month; the last month of the table, which may be cut, is left out."""
+    months = monthly(table(spark, sf_dir, "orders"), "o_orderdate", F.avg("o_totalprice"), F.col("o_orderpriority"))
+    last = months.agg(F.max("month")).first()[0]  # of the stored months, not of the raw rows
+    return months.where(F.col("month") < F.lit(last))
 
 
 def line_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,4 +34,4 @@ def line_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy(month_of("l_shipdate").alias("month")).agg(
         F.count("*").cast("double").alias("growth"), F.avg("l_extendedprice").alias("inflation"), F.avg("l_discount").alias("rates")
     )
-    return lines.unpivot("month", ["growth", "inflation", "rates"], "series_id", "value").select("series_id", "month", "value")
+    return stored(lines, "months").unpivot("month", ["growth", "inflation", "rates"], "series_id", "value").select("series_id", "month", "value")

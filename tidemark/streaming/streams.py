@@ -13,14 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.regimes import Model, log_sum, safe_log
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; a temporary one only where the session names none."""
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else tempfile.mkdtemp(prefix="tidemark-stream-")
+from ..sources.scratch import shared_dir
 
 
 def read_events(spark: SparkSession, pattern: str, like: DataFrame) -> DataFrame:
