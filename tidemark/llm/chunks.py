@@ -1,24 +1,26 @@
-"""Substring deduplication by words: every stretch that another document has before is cut to its ends.
+"""Substring deduplication by content-defined chunks.
 
 A text is read as units: words between white space, single characters of scripts without spaces, and pieces
 of words of over 32 bytes, split where a hash of the last bytes says so, so that equal text has equal units.
-Each window of `WINDOW` units has a 128-bit digest (of the units; white space between them doesn't count);
-the copy in the document of the smallest doc_id stays, every other one is a repeat.  Neighbouring repeats
-are one stretch; it is cut if it has `RUN` bytes or more than `WORDS` units, so stock phrases are left alone.
-Every repeated passage of over `WORDS` words is thus found, to its first and last whole unit.  A text that
-another document has before, of any length, is cut whole.  Not cut: repeats of under `WINDOW` units, and a
-part of a word at either end.
-
-Not every window is shuffled.  First each window gives the smallest hash of the runs of `GRAM` units in it,
-the same in every copy; neighbours mostly share it.  Only windows whose smallest hash several documents have
-are then met by their digests.  Both are shuffled once, by digest; a task reads the rows of a digest one after
-another and gives each the smallest document.
+A gear rolling hash runs over the units; a chunk ends where it is no larger than at the `REACH` units on
+either side, so the text around a place alone decides, and an insertion moves no other boundary.  Chunks
+have 9 units on average.  Each is known by a 128-bit digest, and the digests that several documents have
+are found by one shuffle.
+
+A repeated passage rarely begins and ends with a chunk, so its ends are found exactly afterwards: around the
+repeated chunks of a document, three chunks before and two after them, each window of `WINDOW` units
+has a digest, and the copy in the document of the smallest doc_id stays; every other one is a repeat.
+Neighbouring repeats are one stretch; it is cut if it has `RUN` bytes or more than `WORDS` units, so stock
+phrases are left alone.  A repeated passage of over `WORDS` words is cut to its first and last whole unit if it
+holds one whole chunk, as all but about one in a million do.  A text that another document has before, of
+any length, is cut whole.  Not cut: repeats of under `WINDOW` units, and a part of a word at either end.
+
+Digests are shuffled once; a task reads the rows of a digest one after another and gives each the smallest
+document.  White space between units doesn't count.
 
 Defined cases: null texts stay null, empty ones empty.  A null doc_id takes part like the largest id.
 Rows with one doc_id count as one document: a window of one is no repeat in the other.  Within one
 document the first of equal stretches stays.  The text is cut at the ends of characters only.
-
-`boundaries` and `digests` give content-defined chunks of a text; `deduplicate` doesn't use them.
 """
 
 from __future__ import annotations
@@ -34,55 +36,24 @@ from pyspark.sql import functions as F
 
 from .common import groups_of, mapped, mix, salts, utf8
 
-LEAST, MOST = 16, 256
-BELOW = np.uint32(2**32 // 32)
 RUN = 112
 WORDS = 50
-WINDOW, GRAM = 16, 8  # powers of two
+WINDOW = 16  # a power of two
+#: Units that the gear hash reads, and units on either side that a chunk's end is compared with.
+GEARS, REACH = 4, 4
+#: Chunks before and after a repeated one in which the passage may begin and end: the text around it decides on the
+#: boundaries in its first GEARS - 1 + REACH and its last REACH units, and chunks have over REACH units.
+BEFORE, AFTER = 3, 2
 LONG = 32
 WHOLE = -1  # the place of a whole text
 NO_ID = 2**63 - 1
 
-_GEAR = (salts(256, 21) >> np.uint64(32)).astype(np.uint32)
+_GEAR = salts(2, 21) | np.uint64(1)
 _POWER = salts(64, 22) | np.uint64(1)
 _BASES = [int(x) | 1 for x in salts(3, 23)]
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
 
-def boundaries(text: bytes) -> list[int]:
-    """Where chunks end."""
-    if not text:
-        return []
-    code = np.frombuffer(text, dtype=np.uint8)
-    h = _GEAR[code]
-    for shift in (1, 2, 4, 8, 16):  # sums over 2, 4, ... 32 bytes, each older byte shifted once more
-        older = h[:-shift] << np.uint32(shift)
-        h = h.copy()
-        h[shift:] += older
-    ends = np.flatnonzero(h < BELOW) + 1
-    # an end never lies inside a character
-    ends = ends[ends < len(code)]
-    ends = ends[(code[ends] & 0xC0) != 0x80]
-    out, start = [], 0
-    for end in (*ends.tolist(), len(code)):
-        while end - start > MOST:
-            start += MOST
-            while code[start] & 0xC0 == 0x80:
-                start -= 1
-            out.append(start)
-        if end - start >= LEAST or end == len(code):
-            if end > start:
-                out.append(end)
-            start = end
-    return out
-
-
-def digests(text: bytes) -> tuple[list[int], list[bytes]]:
-    """Chunk ends and digests of a text."""
-    ends = boundaries(text)
-    return ends, [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip([0, *ends], ends)]
-
-
 @dataclass
 class Units:
     start: np.ndarray  # in the joined texts
@@ -127,15 +98,52 @@ def _sums(h: np.ndarray, n: int, base: int) -> np.ndarray:
     return mix(h)
 
 
-def marks(h: np.ndarray) -> np.ndarray:
-    """Of each window the smallest hash of its runs of `GRAM` units."""
-    least, size, wanted = _sums(h, GRAM, _BASES[0]), 1, WINDOW - GRAM + 1
-    while size < wanted:
-        shift = min(size, wanted - size)
-        more = least.copy()
-        more[:-shift] = np.minimum(least[:-shift], least[shift:])
-        least, size = more, size + shift
-    return least
+@dataclass
+class Chunks:
+    start: np.ndarray  # the first unit of each chunk
+    end: np.ndarray  # one past its last
+    high: np.ndarray  # its digest
+    low: np.ndarray
+    bounds: np.ndarray  # the chunks of text i are bounds[i] to bounds[i + 1]
+
+
+def chunks_of(u: Units) -> Chunks:
+    """The chunks of each text.  The gear hash adds each unit's value to that of the units before it, shifted by 16
+    bits for each unit in between, so four units count."""
+    n = len(u.hash)
+    if not n:
+        none = np.empty(0, dtype=np.int64)
+        return Chunks(none, none, none, none, np.zeros(len(u.bounds), dtype=np.int64))
+    text = np.repeat(np.arange(len(u.bounds) - 1), np.diff(u.bounds))
+    own = mix(u.hash * _GEAR[0])
+    gear = own.copy()
+    for k in range(1, min(GEARS, n)):
+        gear[k:] += np.where(text[k:] == text[:-k], own[:-k] << np.uint64(16 * k), np.uint64(0))
+    ends = np.ones(n, dtype=bool)
+    for k in range(1, min(REACH + 1, n)):
+        other = text[k:] != text[:-k]
+        ends[k:] &= other | (gear[k:] <= gear[:-k])
+        ends[:-k] &= other | (gear[:-k] <= gear[k:])
+    first = np.ones(n, dtype=bool)
+    first[1:] = ends[:-1] | (text[1:] != text[:-1])
+    start = np.flatnonzero(first)
+    length = np.diff(np.append(start, n))
+    place = (np.arange(n) - np.repeat(start, length)).astype(np.uint64)
+    high, low = (mix(np.add.reduceat(mix(u.hash * g + place), start) + length.astype(np.uint64)).view(np.int64) for g in _GEAR)
+    return Chunks(start, start + length, high, low, np.searchsorted(start, u.bounds))
+
+
+def boundaries(text: bytes) -> list[int]:
+    """Where the chunks of a text end; white space belongs to the chunk before it."""
+    u = units([text])
+    starts = u.start[chunks_of(u).start[1:]].tolist()
+    return [*starts, len(text)] if text else []
+
+
+def digests(text: bytes) -> tuple[list[int], list[tuple[int, int]]]:
+    """Chunk ends and digests of a text; one without units is one chunk without a digest."""
+    found = chunks_of(units([text]))
+    return boundaries(text), list(zip(found.high.tolist(), found.low.tolist()))
 
 
 def _each(texts: list[bytes], most: int = 500_000) -> Iterator[tuple[int, Units, list[tuple[int, int]]]]:
@@ -145,27 +153,41 @@ def _each(texts: list[bytes], most: int = 500_000) -> Iterator[tuple[int, Units,
         yield a, u, [(x, max(x, y - WINDOW + 1)) for x, y in zip(u.bounds.tolist(), u.bounds[1:].tolist())]
 
 
-def mark_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, high, low): each document's distinct marks, by their rank in it, and at `WHOLE` its text's digest."""
+def chunk_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, place, high, low): each document's distinct chunks, by their rank in it, and at `WHOLE` its text's digest."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts, ids = utf8(batch.column("text")), np.array(batch.column("doc_id"), dtype=np.int64)
         for a, u, spans in _each(texts):
-            found, doc, place, high, low = marks(u.hash), [], [], [], []
-            for i, (x, y) in enumerate(spans, a):
-                own = np.unique(found[x:y]).view(np.int64)
+            found, doc, place, high, low = chunks_of(u), [], [], [], []
+            for i, (p, q) in enumerate(zip(found.bounds.tolist(), found.bounds[1:].tolist()), a):
+                own, first = np.unique(found.high[p:q], return_index=True)
                 whole = np.frombuffer(xxhash.xxh3_128_digest(texts[i]), dtype=np.int64)[: 2 * bool(texts[i])]
                 doc.append(np.full(len(own) + len(whole) // 2, ids[i]))
                 place += [np.arange(len(own), dtype=np.int32), np.full(len(whole) // 2, WHOLE, dtype=np.int32)]
                 high += [own, whole[:1]]
-                low += [np.zeros(len(own), dtype=np.int64), whole[1:]]
+                low += [found.low[p + first], whole[1:]]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (doc, place, high, low)], names=["doc_id", "place", "high", "low"])
 
     return mapped(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text"), run, ROWS)
 
 
+def around(found: Chunks, p: int, q: int, seen: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Windows (from `first` to `last`) of a text's chunks p to q that lie in or near repeated ones; `seen` are the
+    ranks of these."""
+    own, of = np.unique(found.high[p:q], return_inverse=True)
+    known = np.zeros(len(own), dtype=bool)
+    known[seen] = True
+    near = known[of]
+    wide = np.append(0, np.cumsum(near))
+    at = np.arange(len(near))
+    near = wide[np.minimum(at + BEFORE, len(near) - 1) + 1] > wide[np.maximum(at - AFTER, 0)]
+    inside = np.append(0, np.cumsum(np.repeat(near, found.end[p:q] - found.start[p:q])))
+    return np.flatnonzero(inside[WINDOW : WINDOW + last - first] - inside[: last - first] == WINDOW)
+
+
 def window_rows(joined: DataFrame) -> DataFrame:
-    """(doc_id, place, high, low): the distinct windows with marks in `seen`, by the place of the first.  Documents
+    """(doc_id, place, high, low): the distinct windows around repeated chunks, by the place of the first.  Documents
     that are copies give none: the document they are copies of gives the same."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -173,16 +195,13 @@ def window_rows(joined: DataFrame) -> DataFrame:
         rows = [i for i, n in enumerate(lists.is_null().to_pylist()) if not n]
         texts = utf8(batch.column("text").take(pa.array(rows, pa.int64())))
         for a, u, spans in _each(texts):
-            found, one, two = marks(u.hash), _sums(u.hash, WINDOW, _BASES[0]), _sums(u.hash, WINDOW, _BASES[1])
+            found, one, two = chunks_of(u), _sums(u.hash, WINDOW, _BASES[0]), _sums(u.hash, WINDOW, _BASES[1])
             doc, place, high, low = ([np.empty(0, dtype=t)] for t in (np.int64, np.int32, np.int64, np.int64))
             for i, (x, y) in enumerate(spans, a):
                 seen = np.array([s["place"] for s in lists[rows[i]].as_py()], dtype=np.int64)
                 if x == y or (seen == WHOLE).any():
                     continue
-                own, of = np.unique(found[x:y], return_inverse=True)
-                known = np.zeros(len(own), dtype=bool)
-                known[seen] = True
-                at = np.flatnonzero(known[of])
+                at = around(found, *found.bounds[i - a : i - a + 2], seen, x, y)
                 at = at[np.unique(one[x + at], return_index=True)[1]]
                 doc.append(np.full(len(at), keys[rows[i]]))
                 place.append(at.astype(np.int32))
@@ -228,7 +247,7 @@ SCHEMA = "doc_id long, n_cut long, cut_chars long, copied_from array<long>, span
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row per document: stretches cut, their characters, the documents that keep them, their places
     (code points of the whole text), and the text that stays."""
-    met = _repeated(mark_rows(docs)).where((F.col("place") != WHOLE) | (F.col("first") < F.col("doc_id")))
+    met = _repeated(chunk_rows(docs)).where((F.col("place") != WHOLE) | (F.col("first") < F.col("doc_id")))
     met = met.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("place", "first")).alias("seen"))
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce("doc_id", F.lit(NO_ID)))
     joined = whole.join(met, "key", "left").select("key", "doc_id", "text", "seen")  # shuffled once, read twice

@@ -46,6 +46,8 @@ BANDS = 2 * PERMUTATIONS // ROWS
 #: Documents and shingles of a block of the third round, about.
 BLOCK, BLOCK_SHINGLES = 128, 131_072
 PERCENT = 75
+#: Rows up to which a table of cluster sizes is broadcast: 40 bytes each.
+FEW = 250_000
 NO_ID = 2**63 - 1
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -182,28 +184,30 @@ def links(docs: DataFrame, classes: DataFrame, known: DataFrame | None = None) -
     second = stored(first.union(_confirmed(pairs, sets)), "links")
     # 3: what is left, in blocks of whole clusters
     last = stored(_with_component(plain, components(second)), "members")
-    left = stored(last.join(_largest(last).select("key", "leader"), "key").select("rep", "component", "leader").distinct(), "left")
+    left = stored(last.join(_largest(last).select("key", "leader"), "key").select("rep", "component", "n", "leader").distinct(), "left")
     clusters = components(left.select(F.col("rep").alias("a"), F.col("leader").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    third = stored(second.union(_block_links(left.select("rep", "component").distinct().join(clusters, "rep"), sets)), "links")
+    third = stored(second.union(_block_links(left.select("rep", "component", "n").distinct().join(clusters, "rep"), sets)), "links")
     out = components(third)
     forget(buckets, sets, first, members, second, last, left, third)
     return out
 
 
 def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between documents (rep, component, cluster) of one cluster that join different components.
+    """Links (a, b) between documents (rep, component, n, cluster) of one cluster that join different components.
 
     Documents whose sizes differ by more than the similarity allows never link, so a cluster is cut by size in bands
     of that ratio, and a block of a band meets those of its own and of the next one.
     """
-    several = members.groupBy("cluster").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("cluster")
-    rows = members.join(several, "cluster").join(sets, "rep").withColumn("n", F.size("found")).withColumn("band", F.floor(F.ln("n") / F.ln(F.lit(100 / PERCENT)) + 1e-9).cast("int"))
+    members = stored(members.withColumn("band", F.floor(F.ln("n") / F.ln(F.lit(100 / PERCENT)) + 1e-9).cast("int")), "members")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sizes = rows.groupBy("cluster", "band").agg(blocks.alias("blocks"))
+    sizes = stored(members.groupBy("cluster", "band").agg(blocks.alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y")), "sizes")
+    several = sizes.groupBy("cluster").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x != y").select("cluster")
     after = sizes.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("more"))
     before = sizes.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("less"))
-    sizes = sizes.join(after, ["cluster", "band"], "left").join(before, ["cluster", "band"], "left")
-    rows = rows.join(sizes, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    told = stored(sizes.select("cluster", "band", "blocks").join(several, "cluster").join(after, ["cluster", "band"], "left").join(before, ["cluster", "band"], "left"), "sizes")
+    if told.limit(FEW + 1).count() <= FEW:  # else adaptive execution splits a cluster that fills its task
+        told = F.broadcast(told)
+    rows = members.join(told, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(sets, "rep")
 
     def met(band: Column, n: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.coalesce(n, F.lit(0))), lambda i: F.struct(band.alias("band"), (i - 1).cast("int").alias("block")))
