@@ -135,8 +135,30 @@ def test_filters_recall(spark):
     noise -= (noise * a).sum(axis=1, keepdims=True) * a
     noise /= np.linalg.norm(noise, axis=1, keepdims=True)
     b = 0.98 * a + np.sqrt(1 - 0.98**2) * noise  # the farthest that are still links
-    met = [bool(np.intersect1d(x, y).size) for x, y in zip(capfilter.list_decode(a), capfilter.list_decode(b))]
-    assert np.mean(met) >= 0.99
+    for codes in (capfilter.CODES, 96):
+        met = [bool(np.intersect1d(x, y).size) for x, y in zip(capfilter.list_decode(a, codes), capfilter.list_decode(b, codes))]
+        assert np.mean(met) >= 0.99
+    assert [capfilter.codes_for(n) for n in (0, 10_000, 10**7, 10**12)] == [48, 48, 195, 256]
+
+
+def test_filters_are_the_highest_of_all():
+    rng = np.random.default_rng(9)
+    v = capfilter.unit(rng.standard_normal((5, 20)))
+    rotation, parts = capfilter.code(20, 4)
+    x = v @ rotation
+    s = [x[:, b] @ d.T for b, d in parts]
+    whole = (s[0][:, :, None, None, None] + s[1][:, None, :, None, None] + s[2][:, None, None, :, None] + s[3][:, None, None, None, :]).reshape(5, -1)
+    got = capfilter.list_decode(v, 4)  # fewer directions in half a code than filters kept
+    for i in range(5):
+        assert set(got[i].tolist()) == set(np.argsort(-whole[i])[: capfilter.KEEP].tolist())
+
+
+def test_ties_at_the_threshold_are_links(spark):
+    rows = [(1, "x", [1.0, 0.0]), (2, "x", [0.98, float(np.sqrt(1 - 0.98**2))]), (3, "x", [0.5, 0.5]), (1, "x", [1.0, 0.0])]
+    exact = float(np.dot(capfilter.unit(np.array([rows[0][2]]))[0], capfilter.unit(np.array([rows[1][2]]))[0]))
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in capfilter.similar_vectors(df, cosine=exact).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
 
 
 def test_boundaries_cover_the_text_and_move_with_it():
@@ -225,10 +247,10 @@ def test_all_documents_of_the_table_are_cut_as_by_brute_force(spark, sf_dir):
 
 
 def test_chunks_of_odd_documents(spark):
-    rows = [(None, "x y " * 300), (5, "x y " * 300), (6, "w " * 60_000), (7, "w " * 60_000), (None, None)]
+    rows = [(None, "x y " * 300), (5, "x y " * 300), (6, "w " * 60_000), (7, "w " * 60_000), (None, None), (7, "another text of number seven " * 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_cut, len(r.text or "")) for r in chunks.deduplicate(docs).collect()), key=str)
-    assert [g for g in got if g[0] == 7] == [(7, 1, 0)] and [g[1] for g in got if g[0] is None] in ([0, 1], [1, 0])
+    assert [g for g in got if g[0] == 7] == [(7, 0, 58), (7, 1, 0)] and [g[1] for g in got if g[0] is None] in ([0, 1], [1, 0])
 
 
 def test_repeated_passages_are_cut(spark):

@@ -1,11 +1,14 @@
 """Near-duplicate vectors by spherical-cap filters.
 
 Filter directions are the words of a random product code: a vector is rotated, cut into blocks, and each
-block has `CODES` random directions; a filter is one choice for every block.  A vector is list-decoded
-to all filters whose direction it exceeds by the threshold (`SIGMA` standard deviations of a random
-direction), and where fewer than `LEAST` exceed it, to all above a threshold lowered until that many do.
-Vectors of one label that share a filter are candidates; each is verified by its cosine in double
-precision, so no link is below the threshold.  Nothing is capped: a full bucket is joined whole.
+block has a number of random directions; a filter is one choice for every block.  A vector is list-decoded
+to all filters that exceed its threshold, which is the one that `KEEP` directions exceed: as the best
+filters are sums of the best of either half, they are found without looking at all.  Vectors of one label
+that share a filter are candidates; each is verified by its cosine in double precision, so no link is below
+the threshold.  Nothing is capped: a full bucket is joined whole.
+
+The number of directions of a block grows with the fourth root of the largest label (from `CODES` to
+`MOST_CODES`), so that the filters which unrelated vectors share by chance stay few for each vector.
 
 Equal vectors of one label are one class from the start and counted by its size.  Pairs within a group
 of many different but close vectors are links, of which each row's number is asked, so they are made.
@@ -29,20 +32,26 @@ from .graph import components
 
 COSINE = 0.98
 BLOCKS = 4
-CODES = 32
-SIGMA = 4.0
-LEAST = 16
+CODES, MOST_CODES = 48, 256
+KEEP = 24
+#: Rows of other vectors that a vector may meet by chance, about.
+CHANCE = 4
+
+
+def codes_for(rows: int) -> int:
+    """Directions of a block for a label of so many vectors."""
+    return int(min(MOST_CODES, max(CODES, np.ceil((rows * KEEP * KEEP / CHANCE) ** 0.25))))
 
 
 @lru_cache(maxsize=8)
-def code(dims: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def code(dims: int, codes: int = CODES) -> tuple[np.ndarray, list[np.ndarray]]:
     """A rotation of `dims` dimensions (at least 16, the others zero) and the directions of each block."""
     size = max(16, dims)
     random = np.random.default_rng(20_040 + dims)
     rotation, _ = np.linalg.qr(random.standard_normal((size, size)))
     parts = []
     for block in np.array_split(np.arange(size), BLOCKS):
-        d = random.standard_normal((CODES, len(block)))
+        d = random.standard_normal((codes, len(block)))
         parts.append((block, d / np.linalg.norm(d, axis=1, keepdims=True) / np.sqrt(BLOCKS)))
     return rotation[:dims], parts
 
@@ -52,40 +61,35 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def list_decode(vectors: np.ndarray) -> list[np.ndarray]:
-    """The filters of each (unit) vector."""
-    rotation, parts = code(vectors.shape[1])
+def _best(scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of each row's `keep` highest."""
+    top = np.argpartition(-scores, keep - 1, axis=1)[:, :keep] if keep < scores.shape[1] else np.tile(np.arange(scores.shape[1]), (len(scores), 1))
+    return top, np.take_along_axis(scores, top, axis=1)
+
+
+def list_decode(vectors: np.ndarray, codes: int = CODES) -> np.ndarray:
+    """The filters of each (unit) vector, a row for each."""
+    rotation, parts = code(vectors.shape[1], codes)
     x = vectors @ rotation
     scores = [x[:, block] @ d.T for block, d in parts]
-    halves = [(scores[k][:, :, None] + scores[k + 1][:, None, :]).reshape(len(x), -1) for k in (0, 2)]
-    out = []
-    for a, b in zip(*halves):
-        order = np.argsort(b)
-        up = b[order]
-        threshold = SIGMA / np.sqrt(x.shape[1])
-        while True:
-            heads = np.flatnonzero(a + up[-1] >= threshold)
-            first = np.searchsorted(up, threshold - a[heads], "left")
-            n = len(up) - first
-            if n.sum() >= LEAST:
-                break
-            threshold -= 0.02
-        at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out.append((np.repeat(heads, n) * len(up) + order[at]).astype(np.int32))
-    return out
-
-
-def _decoded(classes: DataFrame) -> DataFrame:
+    halves = [_best((scores[k][:, :, None] + scores[k + 1][:, None, :]).reshape(len(x), -1), KEEP) for k in (0, 2)]
+    (first, a), (second, b) = halves
+    top, _ = _best((a[:, :, None] + b[:, None, :]).reshape(len(x), -1), KEEP)
+    return np.take_along_axis(first, top // b.shape[1], axis=1).astype(np.int64) * codes**2 + np.take_along_axis(second, top % b.shape[1], axis=1)
+
+
+def _decoded(classes: DataFrame, codes: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         dims = np.array(batch.column("dims"))
         for d in np.unique(dims):
             rows = np.flatnonzero(dims == d)
-            for i in range(0, len(rows), 1000):
-                part = batch.take(pa.array(rows[i : i + 1000]))
-                lists = list_decode(unit(_matrix(part.column("embedding"), d)))
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("label"), part.column("dims"), pa.array(lists, pa.list_(pa.int32()))], names=["rep", "label", "dims", "filters"])
+            step = max(1, 2_000_000 // codes**2)
+            for i in range(0, len(rows), step):
+                part = batch.take(pa.array(rows[i : i + step]))
+                lists = list_decode(unit(_matrix(part.column("embedding"), d)), codes)
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("label"), part.column("dims"), pa.array(list(lists), pa.list_(pa.int64()))], names=["rep", "label", "dims", "filters"])
 
-    return mapped(classes.select("rep", "label", "dims", "embedding"), run, "rep long, label string, dims int, filters array<int>")
+    return mapped(classes.select("rep", "label", "dims", "embedding"), run, "rep long, label string, dims int, filters array<long>")
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -110,7 +114,8 @@ def similar_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     fit = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
     valid = rows.where(fit)
     classes = stored(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dims", F.size("embedding")), "vectors")
-    buckets = stored(_decoded(classes).select("rep", "label", "dims", F.explode("filters").alias("filter")), "filters")
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    buckets = stored(_decoded(classes, codes_for(largest)).select("rep", "label", "dims", F.explode("filters").alias("filter")), "filters")
     left, right = buckets.withColumnRenamed("rep", "a"), buckets.withColumnRenamed("rep", "b")
     pairs = left.join(right, ["label", "dims", "filter"]).where("a < b").select("a", "b", "dims").distinct()
     of = classes.select("rep", "embedding")

@@ -19,7 +19,7 @@ Digests are shuffled once; a task reads the rows of a digest one after another a
 document.  White space between units doesn't count.
 
 Defined cases: null texts stay null, empty ones empty.  A null doc_id takes part like the largest id.
-Rows with one doc_id count as one document: a window of one is no repeat in the other.  Within one
+Rows with one doc_id count as one document: a window of one is no repeat in the other; each has its own cuts.  Within one
 document the first of equal stretches stays.  The text is cut at the ends of characters only.
 """
 
@@ -154,22 +154,24 @@ def _each(texts: list[bytes], most: int = 500_000) -> Iterator[tuple[int, Units,
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, high, low): each document's distinct chunks, by their rank in it, and at `WHOLE` its text's digest."""
+    """(doc_id, mark, place, high, low): each document's distinct chunks, by their rank in it, and at `WHOLE` its text's
+    digest; `mark` is a hash of the text, as rows of one doc_id may differ."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, ids = utf8(batch.column("text")), np.array(batch.column("doc_id"), dtype=np.int64)
+        texts, ids, marks = utf8(batch.column("text")), np.array(batch.column("doc_id"), dtype=np.int64), np.array(batch.column("mark"), dtype=np.int64)
         for a, u, spans in _each(texts):
-            found, doc, place, high, low = chunks_of(u), [], [], [], []
+            found, doc, mark, place, high, low = chunks_of(u), [], [], [], [], []
             for i, (p, q) in enumerate(zip(found.bounds.tolist(), found.bounds[1:].tolist()), a):
                 own, first = np.unique(found.high[p:q], return_index=True)
                 whole = np.frombuffer(xxhash.xxh3_128_digest(texts[i]), dtype=np.int64)[: 2 * bool(texts[i])]
                 doc.append(np.full(len(own) + len(whole) // 2, ids[i]))
+                mark.append(np.full(len(own) + len(whole) // 2, marks[i]))
                 place += [np.arange(len(own), dtype=np.int32), np.full(len(whole) // 2, WHOLE, dtype=np.int32)]
                 high += [own, whole[:1]]
                 low += [found.low[p + first], whole[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (doc, place, high, low)], names=["doc_id", "place", "high", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (doc, mark, place, high, low)], names=NAMES)
 
-    return mapped(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text"), run, ROWS)
+    return mapped(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("mark"), "text"), run, ROWS)
 
 
 def around(found: Chunks, p: int, q: int, seen: np.ndarray, first: int, last: int) -> np.ndarray:
@@ -187,16 +189,16 @@ def around(found: Chunks, p: int, q: int, seen: np.ndarray, first: int, last: in
 
 
 def window_rows(joined: DataFrame) -> DataFrame:
-    """(doc_id, place, high, low): the distinct windows around repeated chunks, by the place of the first.  Documents
+    """(doc_id, mark, place, high, low): the distinct windows around repeated chunks, by the place of the first.  Documents
     that are copies give none: the document they are copies of gives the same."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lists, keys = batch.column("seen"), batch.column("key").to_pylist()
+        lists, keys, marks = batch.column("seen"), batch.column("key").to_pylist(), batch.column("mark").to_pylist()
         rows = [i for i, n in enumerate(lists.is_null().to_pylist()) if not n]
         texts = utf8(batch.column("text").take(pa.array(rows, pa.int64())))
         for a, u, spans in _each(texts):
             found, one, two = chunks_of(u), _sums(u.hash, WINDOW, _BASES[0]), _sums(u.hash, WINDOW, _BASES[1])
-            doc, place, high, low = ([np.empty(0, dtype=t)] for t in (np.int64, np.int32, np.int64, np.int64))
+            doc, mark, place, high, low = ([np.empty(0, dtype=t)] for t in (np.int64, np.int64, np.int32, np.int64, np.int64))
             for i, (x, y) in enumerate(spans, a):
                 seen = np.array([s["place"] for s in lists[rows[i]].as_py()], dtype=np.int64)
                 if x == y or (seen == WHOLE).any():
@@ -204,10 +206,11 @@ def window_rows(joined: DataFrame) -> DataFrame:
                 at = around(found, *found.bounds[i - a : i - a + 2], seen, x, y)
                 at = at[np.unique(one[x + at], return_index=True)[1]]
                 doc.append(np.full(len(at), keys[rows[i]]))
+                mark.append(np.full(len(at), marks[rows[i]]))
                 place.append(at.astype(np.int32))
                 high.append(one[x + at].view(np.int64))
                 low.append(two[x + at].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (doc, place, high, low)], names=["doc_id", "place", "high", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (doc, mark, place, high, low)], names=NAMES)
 
     return mapped(joined, run, ROWS)
 
@@ -240,7 +243,8 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return rows.withColumn("first", F.min("doc_id").over(same)).withColumn("last", F.max("doc_id").over(same)).where("first < last").drop("last")
 
 
-ROWS = "doc_id long, place int, high long, low long"
+NAMES = ["doc_id", "mark", "place", "high", "low"]
+ROWS = "doc_id long, mark long, place int, high long, low long"
 SCHEMA = "doc_id long, n_cut long, cut_chars long, copied_from array<long>, spans string, text string"
 
 
@@ -248,10 +252,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One row per document: stretches cut, their characters, the documents that keep them, their places
     (code points of the whole text), and the text that stays."""
     met = _repeated(chunk_rows(docs)).where((F.col("place") != WHOLE) | (F.col("first") < F.col("doc_id")))
-    met = met.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("place", "first")).alias("seen"))
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce("doc_id", F.lit(NO_ID)))
-    joined = whole.join(met, "key", "left").select("key", "doc_id", "text", "seen")  # shuffled once, read twice
-    repeats = _repeated(window_rows(joined)).where("first < doc_id").groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("place", "first")).alias("windows"))
+    met = met.groupBy(F.col("doc_id").alias("key"), "mark").agg(F.collect_list(F.struct("place", "first")).alias("seen"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("mark", F.xxhash64("text"))
+    joined = whole.join(met, ["key", "mark"], "left").select("key", "mark", "doc_id", "text", "seen")  # shuffled once, read twice
+    repeats = _repeated(window_rows(joined)).where("first < doc_id").groupBy(F.col("doc_id").alias("key"), "mark").agg(F.collect_list(F.struct("place", "first")).alias("windows"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts, ids, seen, windows, null = utf8(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("seen"), batch.column("windows"), batch.column("text").is_null().to_pylist()
@@ -266,4 +270,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "n_cut", "cut_chars", "copied_from", "spans", "text"])
 
-    return mapped(joined.join(repeats, "key", "left").drop("key"), run, SCHEMA)
+    return mapped(joined.join(repeats, ["key", "mark"], "left").drop("key", "mark"), run, SCHEMA)
