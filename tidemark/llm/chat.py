@@ -14,8 +14,9 @@ are broken inside roles and texts by a backslash after their first character, an
 doubled, so that the text can be read back exactly.  The loss mask covers the texts of the assistant.
 
 Defined cases: null texts and roles are empty.  Turns are ordered by turn, then role and text; repeated
-rows are turns of their own.  Rows with a null conv_id are one conversation.  One conversation is one
-row of a task's memory, like one document.
+rows are turns of their own.  A row with a null conv_id belongs to no other: it is a conversation of its own,
+so nothing is gathered by null.  One conversation is one row of a task's memory, like one document.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -96,7 +97,9 @@ class Pack:
 def paths(conversations: DataFrame) -> DataFrame:
     """(conv_id, path, turns) of each conversation: its turns in order, and a hash of each turn with all before it."""
     turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    whole = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"))
+    whole = rows.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    whole = whole.unionByName(rows.where(F.col("conv_id").isNull()).select("conv_id", F.array("turn").alias("turns")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
