@@ -145,3 +145,149 @@ def test_all_parts_of_phrases_deep_in_long_runs_are_input(filler, phrase):
     assert own
     for n in range(20, 60):  # 100 letters and more before it, at every place of a piece
         assert own <= grams((filler * 20)[:80 + n] + phrase + filler * 3)
+
+
+def plain_words(text):
+    """The words of a text with signs: runs of letters, digits or other signs, and whether a run is all capitals."""
+    out, raw = [], text
+    kind = lambda b: 1 if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 2 if 48 <= b <= 57 else 0 if b in (32, 9, 13) else 3
+    i = 0
+    while i < len(raw):
+        j = i
+        while j < len(raw) and kind(raw[j]) == kind(raw[i]):
+            j += 1
+        if kind(raw[i]):
+            out.append(raw[i:j])
+        i = j
+    return out
+
+
+def bucket_of(word):
+    return int(quality.buckets(words([word], signs=True))[0])
+
+
+TEXTS = [b"Good words, GOOD words 12 and more.", b"", b"!!", "Ärger über 3 Dinge\n\nund mehr".encode(), b"a a a b", b"one"]
+
+
+def test_context_sums_are_the_plain_loop():
+    index = quality.index_vectors().astype(np.int64)
+    got, want = (np.zeros((quality.BUCKETS, quality.SIZE), dtype=np.int64) for _ in range(2))
+    quality.context_sums(TEXTS, quality.index_vectors(), got)
+    for text in TEXTS:
+        own = [bucket_of(w) for w in plain_words(text)]
+        for i, b in enumerate(own):
+            for j in range(max(0, i - quality.WINDOW), min(len(own), i + quality.WINDOW + 1)):
+                if i != j:
+                    want[b] += index[own[j]]
+    assert (got == want).all() and want.any()
+
+
+def test_pooled_vectors_are_the_plain_means():
+    rng = np.random.default_rng(2)
+    vectors = rng.standard_normal((quality.BUCKETS, quality.SIZE)).astype(np.float32)
+    got = quality.pooled(TEXTS, vectors)
+    tables = vectors.astype(np.float64), quality.index_vectors() / quality.SIGNS**0.5
+    for row, text in zip(got, TEXTS):
+        want = []
+        for t in tables:
+            v = [t[bucket_of(w)] for w in plain_words(text)]
+            n = max(len(v), 1)
+            mean = sum(v, np.zeros(quality.SIZE)) / n
+            spread = np.sqrt(np.maximum(sum((x * x for x in v), np.zeros(quality.SIZE)) / n - mean * mean, 0))
+            want += [*mean, *spread, sum(float(a @ b) for a, b in zip(v, v[1:])) / n]
+        assert row == pytest.approx(np.array(want), abs=2e-3)
+
+
+def test_word_vectors_are_those_of_all_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    total = np.zeros((quality.BUCKETS, quality.SIZE), dtype=np.int64)
+    for r in docs.collect():
+        quality.context_sums([(r.text or "").encode()], quality.index_vectors(), total)
+    length = np.sqrt((total * total).sum(axis=1, keepdims=True))
+    assert quality.word_vectors(docs) == pytest.approx(total / np.maximum(length, 1e-9), abs=1e-5)
+
+
+def test_temperature_is_the_best_of_the_part_set_apart():
+    rng = np.random.default_rng(3)
+    sample = [(b"good fine nice %d" % i if y else b"bad poor awful %d" % i, y if rng.random() > 0.1 else 1 - y) for i in range(300) for y in (0, 1)]
+    model = quality.Scorer(rng.standard_normal((quality.BUCKETS, quality.SIZE)).astype(np.float32), sample)
+    assert model.trained and 0.2 < model.temperature < 13
+    assert np.mean([(model.score([t])[0] >= 0.5) == y for t, y in sample]) > 0.8
+
+
+def test_scores_are_the_plain_loop_over_windows_and_gates():
+    """Each window read word by word, both ways, with gates and attention written out."""
+    rng = np.random.default_rng(8)
+    net = toxicity.Network()
+    net.word[:, -1], net.gram[:, -1] = rng.standard_normal(toxicity.BUCKETS), rng.standard_normal(toxicity.BUCKETS)
+    texts = [b"", b"one", " ".join(f"w{i % 37}" for i in range(100)).encode(), ("漢字" * 60).encode(), b"a b c d e f g h i j k l m n o p q r s t u v w x"]
+    got, n, _ = net.score_texts(texts)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for text, score, count in zip(texts, got, n):
+        found = toxicity.words_of([text])
+        voc, number = toxicity.vocabulary(found)
+        start, size, _ = toxicity.windows(found.bounds)
+        assert count == len(start)
+        logits = []
+        for s, k in zip(start, size):
+            rows = []
+            for w in number[s : s + k]:
+                grams = voc.gram[voc.bounds[w] : voc.bounds[w + 1]]
+                g = net.gram[grams]
+                rows.append(np.concatenate([net.word[voc.word[w]], g[:, :-1].mean(axis=0), [g[:, -1].max(), g[:, -1].min()]]).astype(np.float64))
+            states = np.zeros((max(k, 1), 2 * toxicity.STATE))
+            for way, order in (("f", range(k)), ("b", range(k - 1, -1, -1))):
+                h = np.zeros(toxicity.STATE)
+                for t in order:
+                    a, b = rows[t] @ net.p[f"w{way}"] + net.p[f"c{way}"], h @ net.p[f"u{way}"]
+                    z, r = sig(a[:8] + b[:8]), sig(a[8:16] + b[8:16])
+                    h = (1 - z) * np.tanh(a[16:] + r * b[16:]) + z * h
+                    states[t, slice(0, 8) if way == "f" else slice(8, 16)] = h
+            e = np.exp(np.tanh(states @ net.p["att"]) @ net.p["v"])[:, 0]
+            logits.append(float((e / e.sum()) @ states @ net.p["out"][:, 0] + net.p["b"][0]))
+        assert score == pytest.approx(max(logits), abs=2e-3)
+
+
+ODD_DOCS = [(1, None), (2, ""), (3, " \n"), (4, "word " * 40_000), (5, "some words said twice here"), (5, "some words said twice here"), (5, "other words under the same number"), (None, "words without a number at all"), (None, "words without a number at all"), (6, "mail a@b.co or call +49 30 1234567 soon")]
+
+
+def test_pipeline_stages_with_odd_documents(spark, tmp_path):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", "y") for i, t in ODD_DOCS], "doc_id long, text string, lang string, source string, n_chars long, _gone string, rep string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([("i", "a benchmark item of some words"), (None, None)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    told = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    want = sorted(((i, t) for i, t in ODD_DOCS), key=str)
+    clean = p.toxicity_stage(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and told(clean) == want
+    one = p.near_duplicate_stage(spark, docs, str(tmp_path))
+    # one of the repeated rows stays, also of those without a number; another text under a number of theirs stays
+    once = sorted({*ODD_DOCS[:5], *ODD_DOCS[6:]}, key=str)
+    assert one.columns == docs.columns and told(one) == once
+    left = p.decontamination_stage(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and told(left) == want
+    safe = p.pii_stage(spark, docs, str(tmp_path))
+    assert safe.columns == docs.columns and {r.doc_id: r.text for r in safe.collect()}[6] == "mail [EMAIL] or call [PHONE] soon"
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in safe.collect())
+    ids = p.encoding_stage(spark, docs, str(tmp_path))
+    assert ids.count() == len(ODD_DOCS) and {r.n_tokens for r in ids.where("doc_id < 4").collect()} == {0}
+    for _, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_a_different_text_under_a_number_of_a_copy_stays(spark):
+    from tidemark.llm import minhash
+
+    a, b = "one two three four five six seven", "wholly other words that nothing else has at all"
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b.upper())], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in minhash.keep_one(docs).collect()) == [(3, a), (5, b)]
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {(3, 3, 3, True), (5, 3, 3, False), (5, 5, 3, False), (7, 5, 3, False)}  # a number is one document
+
+
+def test_held_out_toxic_labels_are_never_learned_from(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    flipped = labels.selectExpr("doc_id", "CASE WHEN crc32(cast(doc_id AS string)) % 5 = 0 THEN 1 - toxic ELSE toxic END AS toxic")
+    score = lambda df: {r.doc_id: r.score for r in df.collect()}
+    assert score(toxicity.toxicity(docs, labels, 60)) == score(toxicity.toxicity(docs, flipped, 60))

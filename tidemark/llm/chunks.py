@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import groups_of, mapped, mix, salts, utf8
+from .common import groups_of, mapped, mix, salts, stored, utf8
 
 RUN = 112
 WORDS = 50
@@ -155,7 +155,7 @@ def _each(texts: list[bytes], most: int = 500_000) -> Iterator[tuple[int, Units,
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, place, high, low): each document's distinct chunks, by their rank in it, and at `WHOLE` its text's
-    digest; `mark` is a hash of the text, as rows of one doc_id may differ."""
+    digest."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts, ids, marks = utf8(batch.column("text")), np.array(batch.column("doc_id"), dtype=np.int64), np.array(batch.column("mark"), dtype=np.int64)
@@ -171,7 +171,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 low += [found.low[p + first], whole[1:]]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (doc, mark, place, high, low)], names=NAMES)
 
-    return mapped(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("mark"), "text"), run, ROWS)
+    return mapped(docs.select(F.col("key").alias("doc_id"), "mark", "text"), run, ROWS)
 
 
 def around(found: Chunks, p: int, q: int, seen: np.ndarray, first: int, last: int) -> np.ndarray:
@@ -248,12 +248,24 @@ ROWS = "doc_id long, mark long, place int, high long, low long"
 SCHEMA = "doc_id long, n_cut long, cut_chars long, copied_from array<long>, spans string, text string"
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """(key, mark, doc_id, text): `key` is the doc_id, the largest where it is null, and `mark` tells rows of one doc_id
+    with different texts apart: a hash of the text for those, else 0."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce("doc_id", F.lit(NO_ID)))
+    mixed = rows.groupBy("key").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a != b").select("key", F.lit(True).alias("mixed"))
+    mixed = stored(mixed, "mixed")
+    if mixed.isEmpty():
+        return rows.select("key", F.lit(0).cast("long").alias("mark"), "doc_id", "text")
+    told = rows.join(mixed, "key", "left")
+    return told.select("key", F.when(F.col("mixed"), F.xxhash64("text")).otherwise(0).alias("mark"), "doc_id", "text")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row per document: stretches cut, their characters, the documents that keep them, their places
     (code points of the whole text), and the text that stays."""
-    met = _repeated(chunk_rows(docs)).where((F.col("place") != WHOLE) | (F.col("first") < F.col("doc_id")))
+    whole = marked(docs)
+    met = _repeated(chunk_rows(whole)).where((F.col("place") != WHOLE) | (F.col("first") < F.col("doc_id")))
     met = met.groupBy(F.col("doc_id").alias("key"), "mark").agg(F.collect_list(F.struct("place", "first")).alias("seen"))
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("mark", F.xxhash64("text"))
     joined = whole.join(met, ["key", "mark"], "left").select("key", "mark", "doc_id", "text", "seen")  # shuffled once, read twice
     repeats = _repeated(window_rows(joined)).where("first < doc_id").groupBy(F.col("doc_id").alias("key"), "mark").agg(F.collect_list(F.struct("place", "first")).alias("windows"))
 
