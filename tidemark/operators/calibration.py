@@ -7,10 +7,11 @@ independent groups.  Newton's method needs passes over the same rows, so it is a
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bootstrap import SEED
@@ -39,14 +40,10 @@ def logistic_line(p: np.ndarray, y: np.ndarray, steps: int = 100, tolerance: flo
 
 def pooled_monotone(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forecasts and the non-decreasing rates nearest to their outcomes, by pooling neighbours that fall."""
-    order = np.argsort(p, kind="stable")
+    own, of = np.unique(p, return_inverse=True)  # equal forecasts are one, whatever their outcomes
     blocks: list[list[float]] = []  # sum, count, first, last forecast
-    for x, v in zip(p[order], y[order]):
-        if blocks and blocks[-1][3] == x:
-            blocks[-1][0] += v
-            blocks[-1][1] += 1
-        else:
-            blocks.append([v, 1, x, x])
+    for x, v, n in zip(own, np.bincount(of, y), np.bincount(of)):
+        blocks.append([v, n, x, x])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
@@ -111,3 +108,46 @@ def monotone(df: DataFrame, keys: list[str], key_schema: str) -> DataFrame:
 
     rows = df.where(F.col("predicted").isNotNull() & F.col("realised").isNotNull()).select(*keys, "predicted", "realised")
     return rows.groupBy(*keys).applyInPandas(run, f"{key_schema}, predicted double, realised double, recalibrated double")
+
+
+def probit_line(x: np.ndarray, y: np.ndarray, steps: int = 50, tolerance: float = 1e-8) -> tuple[float, float] | None:
+    """(intercept, slope) of a probit of y on x, by scoring; none where either doesn't vary or nothing converges."""
+    if len(y) < 2 or y.min() == y.max() or x.std() < 1e-12:
+        return None
+    design, w = np.stack([np.ones_like(x), (x - x.mean()) / x.std()], axis=1), np.zeros(2)
+    for _ in range(steps):
+        z = np.clip(design @ w, -6, 6)
+        p = np.clip(normal_share(z), 1e-9, 1 - 1e-9)
+        d = np.exp(-0.5 * z * z) / np.sqrt(2 * np.pi)
+        weight = d * d / (p * (1 - p))
+        step = np.linalg.lstsq((design * weight[:, None]).T @ design, design.T @ (d * (y - p) / (p * (1 - p))), rcond=None)[0]
+        w = w + np.clip(step, -1, 1)
+        if np.abs(step).max() < tolerance:
+            break
+    else:
+        return None
+    slope = w[1] / x.std()
+    return float(w[0] - slope * x.mean()), float(slope)
+
+
+def normal_share(z: np.ndarray) -> np.ndarray:
+    """The share of a normal distribution below z."""
+    return 0.5 * (1 + np.vectorize(math.erf, otypes=[float])(np.asarray(z) / math.sqrt(2)))
+
+
+def expanding_probit(grid: DataFrame, ahead: int, lag_days: int, least: int = 24) -> DataFrame:
+    """(series_id, month, predicted): a probit of the condition `ahead` months on, on the value, fitted at each month on
+    the pairs published by then.  A task fits one series' months in order; null before `least` pairs."""
+    w = Window.partitionBy("series_id").orderBy("month")
+    rows = grid.select("series_id", "month", "value", F.lead("holds", ahead).over(w).alias("y"), F.date_add(F.add_months("month", ahead), lag_days).alias("told"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("month").reset_index(drop=True)
+        x, y, out = rows["value"].to_numpy(float), rows["y"].to_numpy(float), []
+        for month in rows["month"]:
+            known = (rows["told"] <= month).to_numpy() & np.isfinite(y)
+            line = probit_line(x[known], y[known]) if known.sum() >= least else None
+            out.append(None if line is None else float(normal_share(np.array([line[0] + line[1] * x[len(out)]]))[0]))
+        return pd.DataFrame({"series_id": rows["series_id"], "month": rows["month"], "predicted": pd.array(out, dtype="Float64")})
+
+    return rows.groupBy("series_id").applyInPandas(run, "series_id string, month date, predicted double")

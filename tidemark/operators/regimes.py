@@ -241,6 +241,31 @@ def chosen(found: DataFrame) -> DataFrame:
     return found.withColumn("admissible", ok).withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
 
 
+def existence(found: DataFrame) -> DataFrame:
+    """(series_id, on_holdout, on_criterion, exist): whether the best of several states beats one, both ways."""
+    from pyspark.sql import functions as F
+
+    many = F.col("states") > 1
+    out = found.groupBy("series_id").agg(
+        F.max(F.when(many, F.col("held_out_per_month"))).alias("m"), F.max(F.when(~many, F.col("held_out_per_month"))).alias("h"),
+        F.min(F.when(many, F.col("information_criterion"))).alias("c"), F.min(F.when(~many, F.col("information_criterion"))).alias("d"),
+    )
+    out = out.select("series_id", F.coalesce(F.col("m") > F.col("h"), F.lit(False)).alias("on_holdout"), F.coalesce(F.col("c") < F.col("d"), F.lit(False)).alias("on_criterion"))
+    return out.withColumn("exist", F.col("on_holdout") & F.col("on_criterion"))
+
+
+def choices(found: DataFrame) -> DataFrame:
+    """(series_id, states, runner_up, by_criterion) among the admissible fits of more than one state."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    ok = (F.col("states") > 1) & (F.col("shortest_duration") >= 3) & (F.col("smallest_share") >= 0.05)
+    w = Window.partitionBy("series_id").orderBy(F.desc("ok"), F.desc_nulls_last("held_out_per_month"), "states")
+    placed = found.withColumn("ok", ok).withColumn("place", F.row_number().over(w))
+    at = lambda k: F.max(F.when((F.col("place") == k) & F.col("ok"), F.col("states")))
+    return placed.groupBy("series_id").agg(F.coalesce(at(1), F.lit(1)).alias("states"), at(2).alias("runner_up"), F.min_by("states", "information_criterion").alias("by_criterion"))
+
+
 READINGS = "series_id string, month date, state int, filtered array<double>, smoothed array<double>"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,17 +11,12 @@ from pyspark.sql import functions as F
 
 from ..operators import regimes, timegrid, transforms
 from ..sources import tables
+from ..sources.scratch import shared_dir
 from ..streaming import streams
 from .library import query, r
 from .walkforward import LAG_DAYS
 
 
-def hourly(spark, sf_dir: str) -> DataFrame:
-    """(series_id, month, x): events by type and hour; the column of time is named month as elsewhere."""
-    events = tables.table(spark, sf_dir, "events")
-    return events.groupBy(F.col("event_type").alias("series_id"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("month")).agg(F.avg("value").alias("x"))
-
-
 def daily(spark, sf_dir: str) -> DataFrame:
     events = tables.table(spark, sf_dir, "events")
     return events.groupBy(F.col("event_type").alias("series_id"), F.col("ts").cast("date").alias("month")).agg(F.avg("value").alias("x"))
@@ -71,6 +68,32 @@ def streamed_daily_counts(spark, sf_dir):
     return streams.run_once(streams.windowed_counts(events, "ts", "event_type", "value"))
 
 
+def _arrived(df: DataFrame, what: str) -> DataFrame:
+    """A frame as a stream: its rows are put into a folder that all machines share, and read from there as they come."""
+    path = f"{shared_dir(df.sparkSession)}/tidemark-{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+@query(_FILTER)
+def streamed_filter(spark, sf_dir):
+    """The same filtered probabilities as a stream whose state is one vector for each series."""
+    rows = daily(spark, sf_dir)
+    usual = rows.groupBy("series_id").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"))
+    z = rows.join(usual, "series_id").select("series_id", F.col("month").cast("timestamp").alias("at"), ((F.col("x") - F.col("m")) / F.col("sd")).alias("z"))
+    model = regimes.Model(np.array([0.5, 0.5]), np.array([[0.95, 0.05], [0.1, 0.9]]), np.array([[-0.5], [0.5]]), np.ones((2, 1, 1)))
+    out = streams.run_once(streams.filtered(_arrived(z, "daily"), model, ["z"]), "append")
+    return out.select("series_id", F.col("at").cast("date").alias("month"), F.col("filtered")[0].alias("filtered_first"))
+
+
+@query("SELECT DISTINCT event_type, ts::DATE AS day FROM events")
+def streamed_first_claims(spark, sf_dir):
+    """Each (event type, day) once, the first time it comes by, as a stream that forgets old ones."""
+    events = tables.table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("date").alias("day"), F.col("ts").cast("date").cast("timestamp").alias("at"))
+    first = streams.first_claims(_arrived(events, "claims"), ["event_type", "day"], "at", "400 days")
+    return streams.run_once(first, "append").select("event_type", "day")
+
+
 WALK = "refit_date date, horizon int, high_rates double, distance_to_stationary double, second_modulus double, joint_states int"
 
 

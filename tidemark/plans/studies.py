@@ -14,7 +14,24 @@ from .library import W, grid, query, r, scored
 _SCHEMA = "horizon int"
 
 
-@query()
+def _newton(steps: int = 100) -> str:
+    """The same line for DuckDB: so many steps from (0, 1), each an aggregate over the forecasts."""
+    ctes = ["pts AS MATERIALIZED (SELECT horizon, ln(p / (1 - p)) AS x, realised AS y FROM (SELECT horizon, least(greatest(predicted, 0.005), 0.995) AS p, realised FROM scored))", "it0 AS (SELECT horizon, 0::DOUBLE AS a, 1::DOUBLE AS b, count(*) AS n FROM pts GROUP BY 1)"]
+    for k in range(steps):
+        sums = f"SELECT p.horizon, any_value(n) AS n, any_value(a) AS a, any_value(b) AS b, sum(q * (1 - q)) AS h, sum(q * (1 - q) * x) AS i, sum(q * (1 - q) * x * x) AS j, sum(y - q) AS g, sum((y - q) * x) AS k FROM (SELECT d.*, a, b, n, 1 / (1 + exp(-(a + b * x))) AS q FROM pts d JOIN it{k} USING (horizon)) p GROUP BY 1"
+        ctes.append(f"it{k + 1} AS MATERIALIZED (SELECT horizon, n, a + (j * g - i * k) / (h * j - i * i) AS a, b + (h * k - i * g) / (h * j - i * i) AS b FROM ({sums}))")
+    return ", ".join(ctes) + f" SELECT horizon::INTEGER AS horizon, n, {r('a')} AS intercept, {r('b')} AS slope FROM it{steps}"
+
+
+_POOLED = f"""ties AS MATERIALIZED (SELECT horizon, predicted, row_number() OVER (PARTITION BY horizon ORDER BY predicted) AS i, count(*) AS n, sum(realised) AS y, sum(realised * realised) AS yy FROM scored GROUP BY 1, 2),
+sums AS (SELECT *, sum(n) OVER w AS cn, sum(y) OVER w AS cy FROM ties WINDOW w AS (PARTITION BY horizon ORDER BY i)),
+spans AS (SELECT b.horizon, a.i AS a, b.i AS b, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS m FROM sums a JOIN sums b ON a.horizon = b.horizon AND a.i <= b.i),
+low AS (SELECT horizon, a, b, min(m) OVER (PARTITION BY horizon, a ORDER BY b DESC) AS m FROM spans),
+best AS (SELECT horizon, b AS i, max(m) AS q FROM low GROUP BY 1, 2)
+SELECT t.horizon::INTEGER AS horizon, sum(n)::BIGINT AS n, {r('sum(n * predicted * predicted - 2 * predicted * y + yy) / sum(n)')} AS before, {r('sum(n * q * q - 2 * q * y + yy) / sum(n)')} AS after FROM ties t JOIN best b ON b.horizon = t.horizon AND b.i = t.i GROUP BY 1"""
+
+
+@query(W + ", " + _newton())
 def recalibration_line(spark, sf_dir):
     return calibration.recalibrated(scored(spark, sf_dir), ["horizon"], _SCHEMA)
 
@@ -24,7 +41,7 @@ def recalibration_interval(spark, sf_dir):
     return calibration.slope_interval(scored(spark, sf_dir), ["horizon"], _SCHEMA, "forecast_date", F.col("horizon"), resamples=RESAMPLES)
 
 
-@query()
+@query(W + ", " + _POOLED)
 def monotone_recalibration(spark, sf_dir):
     rows = calibration.monotone(scored(spark, sf_dir), ["horizon"], _SCHEMA)
     return rows.groupBy("horizon").agg(F.count("*").alias("n"), F.avg(scoring.squared("predicted")).alias("before"), F.avg(scoring.squared("recalibrated")).alias("after"))

@@ -47,7 +47,15 @@ def listed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(IDENTITY).json(f"{path}/*/identity")
 
 
-def submission(rows: DataFrame, path: str) -> None:
-    """One sorted CSV file, probabilities at four places, half to even."""
+def submission(rows: DataFrame, path: str, rule: str = "", approved: bool = True) -> None:
+    """One CSV file sorted by indicator and horizon, probabilities at four places, half to even, and beside it a
+    manifest of its rows, horizons and rule.  Nothing is written that nobody has approved.
+
+    A submission has a row for each indicator and horizon, so one file holds it.
+    """
+    if not approved:
+        raise PermissionError("the submission isn't approved")
+    manifest = rows.agg(F.lit(rule).alias("rule"), F.count("*").alias("rows"), F.count_distinct("indicator").alias("indicators"), F.array_sort(F.collect_set("horizon")).alias("horizons"))
+    manifest.coalesce(1).write.json(f"{path}-manifest")
     rounded = rows.select(*(F.bround(c, 4).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes))
     rounded.orderBy("indicator", "horizon").coalesce(1).write.option("header", True).csv(path)

@@ -1,4 +1,4 @@
-"""A series service as a Spark data source: one partition for each (series, vintage), read by the executors.
+"""A series service as a Spark data source: its requests dealt over a few lanes, each read by a task at a bounded pace.
 
 ``spark.dataSource.register(SeriesService)``, then
 ``spark.read.format("series_service").option("url", "https://host/series.csv?id={series_id}&vintage_date={vintage_date}").option("requests", "A:,B:2000-01-01").load()``.
@@ -18,6 +18,21 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 #: Fixed delays in seconds: after a passing failure, and after the service refuses for now.
 PASSING, REFUSED = (1, 3, 8), (5, 15, 40, 90)
 REFUSALS = (403, 429, 503)
+#: The least time between two requests of one task.
+BETWEEN = 0.35
+
+
+class Paced:
+    """Opens URLs no more often than every `BETWEEN` seconds; a task reads its requests one after another."""
+
+    def __init__(self, open_=urllib.request.urlopen, pause=time.sleep, clock=time.monotonic):
+        self.open, self.pause, self.clock, self.last = open_, pause, clock, None
+
+    def __call__(self, url: str):
+        if self.last is not None and (wait := self.last + BETWEEN - self.clock()) > 0:
+            self.pause(wait)
+        self.last = self.clock()
+        return self.open(url)
 
 
 def fetch(url: str, pause=time.sleep, open_=urllib.request.urlopen) -> str | None:
@@ -65,18 +80,23 @@ class SeriesService(DataSource):
         return SeriesReader(self.options)
 
 
-class Request(InputPartition):
-    def __init__(self, series_id: str, vintage: str | None):
-        self.series_id, self.vintage = series_id, vintage
+class Requests(InputPartition):
+    """What one task fetches, one after another."""
+
+    def __init__(self, wanted: list[tuple[str, str | None]]):
+        self.wanted = wanted
 
 
 class SeriesReader(DataSourceReader):
     def __init__(self, options):
         self.url, self.requests = options["url"], options["requests"]
+        self.lanes = int(options.get("lanes", 1))  # tasks that may ask at the same time
 
-    def partitions(self) -> list[Request]:
-        return [Request(s, v or None) for s, _, v in (r.partition(":") for r in self.requests.split(","))]
+    def partitions(self) -> list[Requests]:
+        wanted = [(s, v or None) for s, _, v in (r.partition(":") for r in self.requests.split(","))]
+        return [Requests(lane) for k in range(self.lanes) if (lane := wanted[k :: self.lanes])]
 
-    def read(self, partition: Request) -> Iterator[tuple]:
-        url = self.url.format(series_id=partition.series_id, vintage_date=partition.vintage or "")
-        yield from parse(fetch(url), partition.series_id, partition.vintage)
+    def read(self, partition: Requests) -> Iterator[tuple]:
+        open_ = Paced()
+        for series_id, vintage in partition.wanted:
+            yield from parse(fetch(self.url.format(series_id=series_id, vintage_date=vintage or ""), open_=open_), series_id, vintage)

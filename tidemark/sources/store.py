@@ -79,3 +79,27 @@ def verified(spark: SparkSession, path: str) -> DataFrame:
 def missing(wanted: DataFrame, held: DataFrame) -> DataFrame:
     """The (series_id, vintage_date) wanted that the snapshots lack."""
     return wanted.join(held, wanted["series_id"].eqNullSafe(held["series_id"]) & wanted["vintage_date"].eqNullSafe(held["vintage_date"]), "left_anti")
+
+
+def get_or_fetch(wanted: DataFrame, path: str, fetch) -> tuple[DataFrame, DataFrame]:
+    """The wanted (series_id, vintage_date) from the store, fetching and adding what it lacks, and (lookups, hits,
+    hit_rate) of this pass.  `fetch` gives the observations of a frame of missing ones."""
+    spark = wanted.sparkSession
+    lacking = missing(wanted.select("series_id", "vintage_date").distinct(), spark.read.parquet(f"{path}/snapshots"))
+    lookups, misses = wanted.select("series_id", "vintage_date").distinct().count(), lacking.count()
+    if misses:
+        write(fetch(lacking), path, "append")
+    rate = (lookups - misses) / lookups if lookups else None
+    statistics = spark.createDataFrame([(lookups, lookups - misses, rate)], "lookups long, hits long, hit_rate double")
+    held = read(spark, path)
+    same = held["series_id"].eqNullSafe(wanted["series_id"]) & held["vintage_date"].eqNullSafe(wanted["vintage_date"])
+    return held.join(wanted, same, "left_semi"), statistics
+
+
+def copy(spark: SparkSession, path: str, to: str, unpublished=None) -> None:
+    """Copies a store; values that `unpublished`, a column over the observations, marks are changed on the way, and
+    the snapshots made anew."""
+    rows = read(spark, path)
+    if unpublished is not None:
+        rows = rows.withColumn("value", F.when(unpublished, F.col("value") * 1.7 + 11).otherwise(F.col("value")))
+    write(rows, to)
