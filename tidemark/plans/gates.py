@@ -13,7 +13,7 @@ from ..operators import bootstrap, calibration, scoring
 from ..operators import outcomes as oc
 from ..sources.scratch import stored
 from . import walkforward as wf
-from .library import W, grid, query, r, scored, with_horizons
+from .library import W, grid, query, r, resolved, scored, with_horizons
 
 RESAMPLES = 1000
 SEED = bootstrap.SEED
@@ -170,17 +170,17 @@ def good_periods(found: DataFrame) -> DataFrame:
     return each.groupBy("horizon").agg(F.sum((F.col("skill") > 0).cast("int")).alias("good"))
 
 
-def gates(spark, sf_dir) -> DataFrame:
+def gates(conditions: DataFrame, forecasts: DataFrame) -> DataFrame:
     """A row for each horizon with what the rules read, and the five gates of rule one."""
-    rows = scored(spark, sf_dir)
+    rows = resolved(forecasts)
     found = cells(rows)
     ends = samples(found).groupBy("horizon").agg(F.percentile("skill", F.lit(0.05)).alias("lower"), F.percentile(F.expr(LEAD), F.lit(0.95)).alias("lead_upper"))
     means = mean_skills(sums_of(found, ["horizon"]), scoreable(found), ["horizon"]).select("horizon", F.col("skill").alias("mean_skill"))
     pooled = found.groupBy("horizon").agg((1 - F.sum("e") / F.nullif(F.sum("f"), F.lit(0.0))).alias("pooled_skill"))
     error = scoring.calibration_error(rows, ["horizon"]).withColumnRenamed("calibration_error", "ece")
-    far = wf.forecasts(spark, sf_dir).groupBy("horizon").agg(F.avg("distance").alias("distance"))
+    far = forecasts.groupBy("horizon").agg(F.avg("distance").alias("distance"))
     joined = means.join(pooled, "horizon").join(ends, "horizon").join(error, "horizon").join(monotone(rows), "horizon", "left").join(good_periods(found), "horizon").join(far, "horizon")
-    joined = joined.crossJoin(F.broadcast(regimes_exist(grid(spark, sf_dir))))  # one row
+    joined = joined.crossJoin(F.broadcast(regimes_exist(conditions)))  # one row
     marks = {
         "skill_gate": (F.col("mean_skill") > LEAST_SKILL) & (F.col("lower") > 0),
         "calibration_gate": (F.col("ece") < MOST_ERROR) & (F.coalesce("reversals", F.lit(0)) == 0),
@@ -190,6 +190,12 @@ def gates(spark, sf_dir) -> DataFrame:
     return joined.select("horizon", "mean_skill", "pooled_skill", "lower", "ece", "distance", "lead_upper", "regimes_gate", *(F.coalesce(c, F.lit(False)).alias(n) for n, c in marks.items()))
 
 
+def walked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Conditions and forecasts, from one pass over the raw rows; the forecasts are written once."""
+    conditions = grid(spark, sf_dir)
+    return conditions, stored(wf.forecasts_from(conditions), "forecasts")
+
+
 def passed(names: tuple[str, ...] = NAMES) -> Column:
     out = F.lit(True)
     for n in names:
@@ -208,7 +214,7 @@ def _failing(names: tuple[str, ...]) -> str:
 @query(W + _GATES + f"SELECT horizon::INTEGER AS horizon, {r('mean_skill')} AS mean_skill, {r('lower')} AS lower, {r('ece')} AS ece, {r('distance')} AS distance, {', '.join(f'{n}_gate' for n in NAMES)}, CASE WHEN {_ALL} THEN 'SHIP MODEL' ELSE 'SHIP BASE RATE' END AS verdict, {_failing(NAMES)} AS failing_gates FROM gates")
 def verdict_gates(spark, sf_dir):
     """Rule one: the model ships at a horizon if all five gates hold."""
-    g = gates(spark, sf_dir).select("horizon", "mean_skill", "lower", "ece", "distance", *(f"{n}_gate" for n in NAMES))
+    g = gates(*walked(spark, sf_dir)).select("horizon", "mean_skill", "lower", "ece", "distance", *(f"{n}_gate" for n in NAMES))
     return g.withColumn("verdict", F.when(passed(), "SHIP MODEL").otherwise("SHIP BASE RATE")).withColumn("failing_gates", failing(NAMES))
 
 
@@ -217,10 +223,10 @@ def verdict_gates(spark, sf_dir):
 SAMPLE_MONTHS = 24
 
 
-def against_sample(spark, sf_dir) -> DataFrame:
+def against_sample(conditions: DataFrame, forecasts: DataFrame) -> DataFrame:
     """The resolved forecasts with the sample's climatology as their reference."""
-    rows = scored(spark, sf_dir)
-    sample = oc.sample_climatology(oc.outcomes(grid(spark, sf_dir), wf.HORIZONS), wf.KEYS, wf.LAG_DAYS, SAMPLE_MONTHS).where(F.col("sample_climatology").isNotNull())
+    rows = resolved(forecasts)
+    sample = oc.sample_climatology(oc.outcomes(conditions, wf.HORIZONS), wf.KEYS, wf.LAG_DAYS, SAMPLE_MONTHS).where(F.col("sample_climatology").isNotNull())
     return rows.drop("reference").join(sample.select(*wf.KEYS, F.col("month").alias("forecast_date"), F.col("sample_climatology").alias("reference")), [*wf.KEYS, "forecast_date"])
 
 
@@ -242,12 +248,16 @@ def _against_sample(sql: str) -> str:
 def successor_gates(spark, sf_dir):
     """Rule two but for its calibration gate (`successor_verdict` has that): skill against the sample's climatology
     with pooled skill of the same sign, robustness, honesty, and not beaten by the chain."""
-    rows = stored(against_sample(spark, sf_dir), "rows")
+    return _successor(*walked(spark, sf_dir))
+
+
+def _successor(conditions: DataFrame, forecasts: DataFrame) -> DataFrame:
+    rows = stored(against_sample(conditions, forecasts), "rows")
     found = cells(rows)
     ends = samples(found).groupBy("horizon").agg(F.percentile("skill", F.lit(0.05)).alias("lower"), F.percentile(F.expr(LEAD), F.lit(0.95)).alias("lead_upper"))
     means = mean_skills(sums_of(found, ["horizon"]), scoreable(found), ["horizon"]).select("horizon", F.col("skill").alias("mean_skill"))
     pooled = found.groupBy("horizon").agg((1 - F.sum("e") / F.nullif(F.sum("f"), F.lit(0.0))).alias("pooled_skill"))
-    far = wf.forecasts(spark, sf_dir).groupBy("horizon").agg(F.avg("distance").alias("distance"))
+    far = forecasts.groupBy("horizon").agg(F.avg("distance").alias("distance"))
     joined = means.join(pooled, "horizon").join(ends, "horizon").join(good_periods(found), "horizon").join(far, "horizon")
     marks = {
         "skill_gate": (F.col("mean_skill") > LEAST_SKILL) & (F.col("lower") > 0) & (F.signum("mean_skill") == F.signum("pooled_skill")),
@@ -262,8 +272,9 @@ def successor_gates(spark, sf_dir):
 @query()
 def successor_verdict(spark, sf_dir):
     """Rule two with all five gates: calibrated where the interval of the recalibration's slope holds 1."""
-    slopes = calibration.slope_interval(scored(spark, sf_dir), ["horizon"], "horizon int", "forecast_date", F.col("horizon"), resamples=RESAMPLES)
-    rows = successor_gates(spark, sf_dir).drop("failing_gates").join(slopes.select("horizon", "slope", F.col("lower").alias("slope_lower"), F.col("upper").alias("slope_upper")), "horizon", "left")
+    conditions, forecasts = walked(spark, sf_dir)
+    slopes = calibration.slope_interval(resolved(forecasts), ["horizon"], "horizon int", "forecast_date", F.col("horizon"), resamples=RESAMPLES)
+    rows = _successor(conditions, forecasts).drop("failing_gates").join(slopes.select("horizon", "slope", F.col("lower").alias("slope_lower"), F.col("upper").alias("slope_upper")), "horizon", "left")
     rows = rows.withColumn("calibration_gate", F.coalesce((F.col("slope_lower") <= 1) & (F.col("slope_upper") >= 1), F.lit(False)))
     names = ("skill", "calibration", "robustness", "honesty", "chain")
     return rows.withColumn("verdict", F.when(passed(names), "SHIP MODEL").otherwise("SHIP BASE RATE")).withColumn("failing_gates", failing(names))

@@ -94,7 +94,11 @@ def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str, horizons: list[int] | None = None) -> DataFrame:
     """The resolved forecasts, written once: all scores of a query read the same few rows."""
-    return stored(wf.forecasts(spark, sf_dir, horizons).withColumn("predicted", F.round("predicted", 9)).where(F.col("realised").isNotNull()), "scored")
+    return stored(resolved(wf.forecasts(spark, sf_dir, horizons)), "scored")
+
+
+def resolved(forecasts: DataFrame) -> DataFrame:
+    return forecasts.withColumn("predicted", F.round("predicted", 9)).where(F.col("realised").isNotNull())
 
 
 # ---- series and grids

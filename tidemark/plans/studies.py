@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import calibration, scoring
 from ..operators import outcomes as oc
 from . import walkforward as wf
-from .gates import _ALL, _GATES, BOOT, LEAD, RESAMPLES, cells, gates, passed, samples
-from .library import W, grid, query, r, scored
+from .gates import _ALL, _GATES, BOOT, LEAD, RESAMPLES, cells, gates, passed, samples, walked
+from .library import W, grid, query, r, resolved, scored
 
 _SCHEMA = "horizon int"
 
@@ -88,10 +88,11 @@ def shrinkage_sweep(spark, sf_dir):
 @query(W + f", {BOOT}, ends AS (SELECT horizon, quantile_cont({LEAD}, 0.05) AS lower, quantile_cont({LEAD}, 0.95) AS upper, quantile_cont({LEAD}, {0.05 / 6}) AS strict FROM samples GROUP BY 1), audit AS (SELECT count(*) AS offending FROM fore WHERE known_month >= forecast_date) SELECT horizon::INTEGER AS horizon, {r('lower')} AS lower, {r('upper')} AS upper, CASE WHEN offending > 0 THEN 'VOID' WHEN upper < -0.02 THEN 'HARMFUL' WHEN strict > 0 THEN 'CONFIRMED' WHEN lower > 0 THEN 'PROMISING' ELSE 'OPEN' END AS tier FROM ends, audit")
 def experiment_tiers(spark, sf_dir):
     """What the blend adds to the chain, in tiers by the interval of the difference; void where a forecast looked ahead."""
-    found = samples(cells(scored(spark, sf_dir)))
+    _, forecasts = walked(spark, sf_dir)
+    found = samples(cells(resolved(forecasts)))
     q = lambda x: F.percentile(F.expr(LEAD), F.lit(x))
     rows = found.groupBy("horizon").agg(q(0.05).alias("lower"), q(0.95).alias("upper"), q(0.05 / 6).alias("strict"))
-    audit = wf.forecasts(spark, sf_dir).where("known_month >= forecast_date").agg(F.count("*").alias("offending"))
+    audit = forecasts.where("known_month >= forecast_date").agg(F.count("*").alias("offending"))
     tier = F.when(F.col("offending") > 0, "VOID").when(F.col("upper") < -0.02, "HARMFUL").when(F.col("strict") > 0, "CONFIRMED").when(F.col("lower") > 0, "PROMISING").otherwise("OPEN")
     return rows.crossJoin(F.broadcast(audit)).select("horizon", "lower", "upper", tier.alias("tier"))  # one row
 
@@ -99,8 +100,9 @@ def experiment_tiers(spark, sf_dir):
 @query(W + _GATES + f", latest AS (SELECT series_id || '/' || composition AS indicator, horizon, max_by(predicted, forecast_date) AS model, max_by(reference, forecast_date) AS base, max(forecast_date) AS forecast_date FROM fore GROUP BY 1, 2) SELECT indicator, l.horizon::INTEGER AS horizon, forecast_date, {r(f'CASE WHEN coalesce({_ALL}, false) THEN model ELSE base END')} AS probability, CASE WHEN coalesce({_ALL}, false) THEN 'model' ELSE 'base rate' END AS source FROM latest l LEFT JOIN gates g ON g.horizon = l.horizon")
 def submission_grid(spark, sf_dir):
     """The latest forecasts, of the model where the rule lets it through and else the base rate."""
-    f = wf.forecasts(spark, sf_dir).groupBy(F.concat_ws("/", "series_id", "composition").alias("indicator"), "horizon").agg(F.max_by("predicted", "forecast_date").alias("model"), F.max_by("reference", "forecast_date").alias("base"), F.max("forecast_date").alias("forecast_date"))
-    rows = f.join(gates(spark, sf_dir).select("horizon", passed().alias("ok")), "horizon", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    conditions, forecasts = walked(spark, sf_dir)
+    f = forecasts.groupBy(F.concat_ws("/", "series_id", "composition").alias("indicator"), "horizon").agg(F.max_by("predicted", "forecast_date").alias("model"), F.max_by("reference", "forecast_date").alias("base"), F.max("forecast_date").alias("forecast_date"))
+    rows = f.join(gates(conditions, forecasts).select("horizon", passed().alias("ok")), "horizon", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
     return rows.select("indicator", "horizon", "forecast_date", F.when(F.col("ok"), F.col("model")).otherwise(F.col("base")).alias("probability"), F.when(F.col("ok"), "model").otherwise("base rate").alias("source"))
 
 
