@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import probability as pr
@@ -20,6 +20,12 @@ def conditional_rates(rows: DataFrame, key: str) -> DataFrame:
     return each.groupBy(key, "state").agg((F.sum(w * y) / F.nullif(F.sum(w), F.lit(0.0))).alias("occupancy"), rate(off).alias("entry"), rate(on).alias("persistence"), F.sum(w).alias("weight"))
 
 
+def exact_sum(x: Column) -> Column:
+    """A sum of chances (or of anything under 10^18) that comes out alike in whatever order its rows arrive: each is
+    taken to twenty places, where adding is exact."""
+    return F.sum(x.cast("decimal(38,20)")).cast("double")
+
+
 def shrunk_rates(rows: DataFrame, keys: list[str], strength: float = 10.0) -> DataFrame:
     """(keys, occupancy, entry, stay, counts), arrays over the states: the rates of a condition in each state, drawn
     towards those of all states.
@@ -33,7 +39,7 @@ def shrunk_rates(rows: DataFrame, keys: list[str], strength: float = 10.0) -> Da
     pool = rows.withColumn("before", F.lag("holds").over(w)).groupBy(*keys).agg(
         F.avg(y).alias("pool"), F.coalesce(F.avg(F.when(off, y)), F.lit(0.0)).alias("pool_entry"), F.coalesce(F.avg(F.when(on, y)), F.avg(y)).alias("pool_stay")
     )
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    total = lambda c: F.coalesce(exact_sum(c), F.lit(0.0))
     sums = each.groupBy(*keys, "state").agg(
         total(F.col("w")).alias("n"), total(F.col("w") * y).alias("s"),
         total(F.when(off, F.col("w"))).alias("n_off"), total(F.when(off, F.col("w") * y)).alias("s_off"),

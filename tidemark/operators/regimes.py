@@ -12,6 +12,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import filtering
 
 FLOOR = 1e-8
 RIDGE = 1e-6
@@ -210,8 +213,6 @@ FITS = "series_id string, states int, log_likelihood double, free_parameters int
 
 def fits(df: DataFrame, columns: list[str], states: list[int], seed: int = 20, holdout: float = 0.2, restarts: int = 3) -> DataFrame:
     """One fit for each series and number of states, with what a choice among them needs; groups run side by side."""
-    from pyspark.sql import functions as F
-
     spread = df.na.drop(subset=columns).withColumn("states", F.explode(F.array(*(F.lit(k) for k in states))))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -234,8 +235,6 @@ def fits(df: DataFrame, columns: list[str], states: list[int], seed: int = 20, h
 def chosen(found: DataFrame) -> DataFrame:
     """Of each series the admissible fit (states last three months and hold 5 % of them) that predicts best."""
     from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     ok = (F.col("states") == 1) | ((F.col("shortest_duration") >= 3) & (F.col("smallest_share") >= 0.05))
     w = Window.partitionBy("series_id").orderBy(F.desc("admissible"), F.desc_nulls_last("held_out_per_month"), "states")
     return found.withColumn("admissible", ok).withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
@@ -243,8 +242,6 @@ def chosen(found: DataFrame) -> DataFrame:
 
 def existence(found: DataFrame) -> DataFrame:
     """(series_id, on_holdout, on_criterion, exist): whether the best of several states beats one, both ways."""
-    from pyspark.sql import functions as F
-
     many = F.col("states") > 1
     out = found.groupBy("series_id").agg(
         F.max(F.when(many, F.col("held_out_per_month"))).alias("m"), F.max(F.when(~many, F.col("held_out_per_month"))).alias("h"),
@@ -257,8 +254,6 @@ def existence(found: DataFrame) -> DataFrame:
 def choices(found: DataFrame) -> DataFrame:
     """(series_id, states, runner_up, by_criterion) among the admissible fits of more than one state."""
     from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     ok = (F.col("states") > 1) & (F.col("shortest_duration") >= 3) & (F.col("smallest_share") >= 0.05)
     w = Window.partitionBy("series_id").orderBy(F.desc("ok"), F.desc_nulls_last("held_out_per_month"), "states")
     placed = found.withColumn("ok", ok).withColumn("place", F.row_number().over(w))
@@ -266,6 +261,21 @@ def choices(found: DataFrame) -> DataFrame:
     return placed.groupBy("series_id").agg(F.coalesce(at(1), F.lit(1)).alias("states"), at(2).alias("runner_up"), F.min_by("states", "information_criterion").alias("by_criterion"))
 
 
+def filtered_states(df: DataFrame, models: DataFrame, on: list[str], keys: list[str], time: str, columns: list[str]) -> DataFrame:
+    """(keys, time, filtered, log_likelihood): the chances of the states given the rows up to each, by the model that the
+    columns `on`, which are among the keys, name.
+
+    Densities are computed row by row; one fold over each group's rows follows, in the JVM.  A group is one series'
+    history, and only its densities are brought together.
+    """
+    x = F.array(*(F.col(c).cast("double") for c in columns))
+    rows = df.na.drop(subset=columns).join(models.select(*on, "means", "covariances"), on)
+    rows = rows.select(*keys, F.struct(F.col(time).alias("at"), filtering.emissions(x, F.col("means"), F.col("covariances")).alias("e")).alias("row"))
+    groups = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("row")).alias("rows")).join(models.select(*on, "start", "transition"), on)
+    told = groups.select(*keys, F.explode(filtering.forward(F.col("rows"), F.col("start"), F.col("transition"))).alias("o"))
+    return told.select(*keys, F.col("o.at").alias(time), F.col("o.filtered").alias("filtered"), F.col("o.log_likelihood").alias("log_likelihood"))
+
+
 READINGS = "series_id string, month date, state int, filtered array<double>, smoothed array<double>"
 
 

@@ -7,13 +7,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import probability as pr
-from ..operators import diff, outcomes as oc, pointintime, regimes, scoring, timegrid, transforms
+from ..operators import diff, outcomes as oc, pointintime, scoring, transforms
 from ..sources import register, records, store, tables
 from ..sources.scratch import stored
 from . import walkforward as wf
 from .gates import CELLS, cells, mean_skills, scoreable, sums_of
 from .library import _CLAIMS, _OTHER, _POLICY, _VINTAGES, K, W, _claims, _other, _policies, _vintages, as_of_dates, grid, query, r, scored, with_horizons
-from .regimewalk import _GIVEN, KINDS, LEAST_MONTHS, forecast_dates, given_models, matrices, panel
+from .regimewalk import PANELS, panel_matrices, panel_states
 
 # ---- what may be used from when
 
@@ -258,17 +258,15 @@ def best_variant(spark, sf_dir):
 
 
 @query(
-    _GIVEN + f""", w2 AS (SELECT z.month, z.i AS a, z.x AS b, k.state, CASE WHEN k.state = 0 THEN f.p ELSE 1 - f.p END AS w FROM zz z JOIN fil f USING (month) CROSS JOIN (VALUES (0), (1)) k(state)),
-    mu AS (SELECT state, sum(w) AS n, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb FROM w2 GROUP BY 1 HAVING sum(w) >= 5)
-    SELECT state, {r('any_value(n)')} AS months, {r('sum(w * (a - ma) * (b - mb)) / sqrt(sum(w * (a - ma) * (a - ma)) * sum(w * (b - mb) * (b - mb)))')} AS correlation FROM w2 JOIN mu USING (state) GROUP BY 1"""
+    PANELS + f""", w2 AS (SELECT z.panel, z.month, z.i AS a, z.x AS b, k.state, CASE WHEN k.state = 0 THEN f.p ELSE 1 - f.p END AS w FROM pz z JOIN pf f USING (panel, month) CROSS JOIN (VALUES (0), (1)) k(state)),
+    mu AS (SELECT panel, state, sum(w) AS n, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb FROM w2 GROUP BY 1, 2 HAVING sum(w) >= 5)
+    SELECT panel, state, {r('any_value(n)')} AS months, {r('sum(w * (a - ma) * (b - mb)) / sqrt(sum(w * (a - ma) * (a - ma)) * sum(w * (b - mb) * (b - mb)))')} AS correlation FROM w2 JOIN mu USING (panel, state) GROUP BY 1, 2"""
 )
 def residual_correlation(spark, sf_dir):
-    """How two measures move together within a state, each month weighted by its chance; thin states are left out."""
-    lines = timegrid.complete_grid(tables.line_measures(spark, sf_dir))
-    z = stored(transforms.observation_matrix(lines, KINDS, LEAST_MONTHS), "z").withColumn("series_id", F.lit("all"))
-    model = given_models(spark, spark.createDataFrame([(None,)], "refit date")).withColumn("series_id", F.lit("all"))
-    states = regimes.readings(z, model, ["growth"]).select("month", F.posexplode("filtered").alias("state", "w"))
-    return scoring.weighted_correlation(z.join(states, "month"), ["state"], "inflation", "rates", "w", 5.0)
+    """How two measures of a panel move together within a state, each month weighted by its chance; thin states are left out."""
+    z = panel_matrices(spark, sf_dir)
+    states = panel_states(spark, z).select("panel", "month", F.posexplode("filtered").alias("state", "w"))
+    return scoring.weighted_correlation(z.join(states, ["panel", "month"]), ["panel", "state"], "inflation", "rates", "w", 5.0)
 
 
 @query(

@@ -57,7 +57,7 @@ def forward_filter_fixed_params(spark, sf_dir):
     doubles = lambda *v: F.array(*(x if not isinstance(x, float) else F.lit(x) for x in v))
     m, sd = F.col("m"), F.col("sd")
     models = models.select("series_id", doubles(0.5, 0.5).alias("start"), F.array(doubles(0.95, 0.05), doubles(0.1, 0.9)).alias("transition"), F.array(F.array(m - sd / 2), F.array(m + sd / 2)).alias("means"), F.array(F.array(F.array(sd * sd)), F.array(F.array(sd * sd))).alias("covariances"))
-    return regimes.readings(rows, models, ["x"]).select("series_id", "month", F.col("filtered")[0].alias("filtered_first"))
+    return regimes.filtered_states(rows, models, ["series_id"], ["series_id"], "month", ["x"]).select("series_id", "month", F.col("filtered")[0].alias("filtered_first"))
 
 
 @query(f"SELECT ts::DATE AS day, event_type, count(*) AS n, {r('avg(value)')} AS mean FROM events GROUP BY 1, 2")

@@ -45,22 +45,27 @@ def panel(spark: SparkSession, sf_dir: str, dates: DataFrame) -> DataFrame:
     return pointintime.published_by(final, F.broadcast(dates.select(F.col("month").alias("as_of")).distinct()), wf.LAG_DAYS).select("as_of", "series_id", "month", "value")
 
 
-def matrices(known: DataFrame) -> DataFrame:
-    """(as_of, month, growth, inflation, rates): bridged, transformed and standardised by what each date knew."""
-    keyed = known.select(F.struct("as_of", "series_id").alias("k"), "month", "value")
+def matrices(known: DataFrame, key: str = "as_of") -> DataFrame:
+    """(key, month, growth, inflation, rates): bridged, transformed and standardised by what each date (or panel) knew."""
+    keyed = known.select(F.struct(key, "series_id").alias("k"), "month", "value")
     rows = timegrid.bridged(timegrid.complete_grid(keyed, "k"), "k")
     kind = F.when(F.lit(False), "")
     for name, value in KINDS.items():
         kind = kind.when(F.col("k.series_id") == name, value)
     z = transforms.expanding_scores(transforms.transformed(rows, kind, "k"), "transformed", "k", LEAST_MONTHS)
-    return z.groupBy(F.col("k.as_of").alias("as_of"), "month").pivot("k.series_id", list(KINDS)).agg(F.first("z")).na.drop()
+    return z.groupBy(F.col(f"k.{key}").alias(key), "month").pivot("k.series_id", list(KINDS)).agg(F.first("z")).na.drop()
 
 
-def given_models(spark: SparkSession, dates: DataFrame) -> DataFrame:
-    """One model of two states of growth for every refit."""
+def panel_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(panel, month, growth, inflation, rates) of each kind of return, standardised."""
+    return stored(matrices(tables.panel_measures(spark, sf_dir), "panel"), "panels")
+
+
+def given_models(spark: SparkSession, keys: DataFrame) -> DataFrame:
+    """One model of two states of growth for every key (a refit date, a panel)."""
     model = regimes.Model(np.array([0.5, 0.5]), np.array([[0.95, 0.05], [0.1, 0.9]]), np.array([[-0.5], [0.5]]), np.ones((2, 1, 1)))
     flat = spark.createDataFrame([(*model.flat().values(), [2 / 3, 1 / 3], None)], MODEL.partition(", ")[2])
-    return dates.select("refit").distinct().crossJoin(F.broadcast(flat))  # one row
+    return keys.distinct().crossJoin(F.broadcast(flat))  # one row
 
 
 def fitted_models(found: DataFrame, dates: DataFrame, growth: int = 2, levels: int = 2, restarts: int = 5, seed: int = 20) -> DataFrame:
@@ -83,21 +88,10 @@ def fitted_models(found: DataFrame, dates: DataFrame, growth: int = 2, levels: i
     return best.select("m.*")
 
 
-FILTERED = "as_of date, month date, refit date, filtered array<double>"
-
-
 def filtered(found: DataFrame, dates: DataFrame, models: DataFrame, columns: list[str]) -> DataFrame:
     """(as_of, month, refit, filtered): the chances of the states up to each month of a date's panel."""
-    dated = found.join(F.broadcast(dates.select(F.col("month").alias("as_of"), "refit")), "as_of").join(models, "refit")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("month")
-        model = regimes.Model.of(rows.iloc[0])
-        out = rows[["as_of", "month", "refit"]].copy()
-        out["filtered"] = list(model.filtered(rows[columns].to_numpy(dtype=float)))
-        return out
-
-    return dated.groupBy("as_of").applyInPandas(run, FILTERED)
+    dated = found.join(F.broadcast(dates.select(F.col("month").alias("as_of"), "refit")), "as_of")
+    return regimes.filtered_states(dated, models, ["refit"], ["as_of", "refit"], "month", columns).select("as_of", "month", "refit", "filtered")
 
 
 def conditional(states: DataFrame, grid: DataFrame) -> DataFrame:
@@ -165,7 +159,7 @@ def _given(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = wf.conditions(spark, sf_dir)
     dates = stored(forecast_dates(grid), "dates")
     found = stored(matrices(panel(spark, sf_dir, dates)), "panel")
-    return forecasts(grid, found, dates, given_models(spark, dates), ["growth"])
+    return forecasts(grid, found, dates, given_models(spark, dates.select("refit")), ["growth"])
 
 
 @query(_GIVEN + f"SELECT series_id, composition, horizon::INTEGER AS horizon, as_of AS forecast_date, refit, {', '.join(f'{r(c)} AS {c}' for c in ('model', 'chain'))}, {r('0.5 * model + 0.5 * chain')} AS predicted, {', '.join(f'{r(c)} AS {c}' for c in ('joint', 'effective_sample', 'distance'))}, {r('climatology')} AS reference, outcome AS realised FROM made")
@@ -180,7 +174,7 @@ def regime_rates(spark, sf_dir):
     grid = wf.conditions(spark, sf_dir)
     dates = stored(forecast_dates(grid), "dates")
     found = stored(matrices(panel(spark, sf_dir, dates)), "panel")
-    rows = conditional(filtered(found, dates, given_models(spark, dates), ["growth"]), grid)
+    rows = conditional(filtered(found, dates, given_models(spark, dates.select("refit")), ["growth"]), grid)
     return rows.select("refit", "series_id", *(F.col(c)[k].alias(f"{a}{k}") for a, c in (("o", "occupancy"), ("e", "entry"), ("s", "stay"), ("n", "counts")) for k in (0, 1)))
 
 
@@ -205,7 +199,7 @@ def mixing_distances(spark, sf_dir):
 
 def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     dates = stored(forecast_dates(wf.conditions(spark, sf_dir)), "dates")
-    models = given_models(spark, dates)
+    models = given_models(spark, dates.select("refit"))
     states = filtered(matrices(panel(spark, sf_dir, dates)), dates, models, ["growth"])
     now = states.groupBy("as_of", "refit").agg(F.max_by("filtered", "month").alias("d")).join(models.select("refit", "transition", "stationary"), "refit")
     rows = now.withColumn("horizon", F.explode(F.array(*map(F.lit, (1, 3, 6, 12, 24)))))
@@ -219,13 +213,25 @@ def information_horizon(spark, sf_dir):
     return _mixing(spark, sf_dir).agg(F.coalesce(F.max(F.when(F.col("mean_distance") > 0.05, F.col("horizon"))), F.lit(0)).alias("information_horizon"))
 
 
-@query(_GIVEN + f"SELECT count(*) AS months, sum((s <> b)::INTEGER)::BIGINT AS switches, {r('12.0 * sum((s <> b)::INTEGER) / count(*)')} AS switches_per_year FROM (SELECT s, lag(s) OVER (ORDER BY month) AS b FROM (SELECT month, (p < 0.5)::INTEGER AS s FROM fil))")
+PANELS = f"""WITH RECURSIVE pl AS (SELECT l_returnflag AS panel, date_trunc('month', l_shipdate)::DATE AS month, count(*)::DOUBLE AS growth, avg(l_extendedprice) AS inflation, avg(l_discount) AS rates FROM lineitem GROUP BY 1, 2),
+pspan AS (SELECT panel, unnest(generate_series(min(month)::TIMESTAMP, max(month)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS month FROM pl GROUP BY panel),
+pv AS (SELECT panel, month, ln(growth) - ln(lag(growth, 12) OVER w) AS g, ln(inflation) - ln(lag(inflation, 12) OVER w) AS i, rates AS x FROM pspan LEFT JOIN pl USING (panel, month) WINDOW w AS (PARTITION BY panel ORDER BY month)),
+pz AS (SELECT * FROM (SELECT panel, month, {', '.join(f'CASE WHEN count({c}) OVER w >= {LEAST_MONTHS} AND stddev_samp({c}) OVER w > 0 THEN ({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w END AS {c}' for c in 'gix')} FROM pv WINDOW w AS (PARTITION BY panel ORDER BY month ROWS UNBOUNDED PRECEDING)) WHERE g IS NOT NULL AND i IS NOT NULL AND x IS NOT NULL),
+pe AS (SELECT panel, month, row_number() OVER (PARTITION BY panel ORDER BY month) AS n, exp(-0.5 * (g + 0.5) * (g + 0.5)) AS e0, exp(-0.5 * (g - 0.5) * (g - 0.5)) AS e1 FROM pz),
+pf AS (SELECT panel, month, n, (e0 / (e0 + e1))::DOUBLE AS p FROM pe WHERE n = 1 UNION ALL
+    SELECT pe.panel, pe.month, pe.n, (e0 * (p * 0.95::DOUBLE + (1 - p) * 0.1::DOUBLE) / (e0 * (p * 0.95::DOUBLE + (1 - p) * 0.1::DOUBLE) + e1 * (p * 0.05::DOUBLE + (1 - p) * 0.9::DOUBLE)))::DOUBLE FROM pf JOIN pe ON pe.panel = pf.panel AND pe.n = pf.n + 1)
+"""
+
+
+def panel_states(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """(panel, month, filtered) of panel matrices, by the given model."""
+    return regimes.filtered_states(found, given_models(spark, found.select("panel")), ["panel"], ["panel"], "month", ["growth"])
+
+
+@query(PANELS + f"SELECT panel, count(*) AS months, coalesce(sum((s <> b)::INTEGER), 0)::BIGINT AS switches, {r('12.0 * coalesce(sum((s <> b)::INTEGER), 0) / count(*)')} AS switches_per_year FROM (SELECT panel, s, lag(s) OVER (PARTITION BY panel ORDER BY month) AS b FROM (SELECT panel, month, (p < 0.5)::INTEGER AS s FROM pf)) GROUP BY panel")
 def regime_switches(spark, sf_dir):
-    """How often the likelier state changes from month to month."""
-    lines = timegrid.complete_grid(tables.line_measures(spark, sf_dir))
-    z = transforms.observation_matrix(lines, KINDS, LEAST_MONTHS).withColumn("series_id", F.lit("all"))
-    model = given_models(spark, spark.createDataFrame([(None,)], "refit date")).withColumn("series_id", F.lit("all"))
-    path = regimes.readings(z, model, ["growth"]).withColumn("s", (F.col("filtered")[0] < 0.5).cast("int"))
-    changed = path.withColumn("b", F.lag("s").over(Window.partitionBy("series_id").orderBy("month")))
-    n = F.sum((F.col("s") != F.col("b")).cast("long"))
-    return changed.agg(F.count("*").alias("months"), n.alias("switches"), (12.0 * n / F.count("*")).alias("switches_per_year"))
+    """How often the likelier state of a panel changes from month to month."""
+    path = panel_states(spark, panel_matrices(spark, sf_dir)).withColumn("s", (F.col("filtered")[0] < 0.5).cast("int"))
+    changed = path.withColumn("b", F.lag("s").over(Window.partitionBy("panel").orderBy("month")))
+    n = F.coalesce(F.sum((F.col("s") != F.col("b")).cast("long")), F.lit(0))
+    return changed.groupBy("panel").agg(F.count("*").alias("months"), n.alias("switches"), (12.0 * n / F.count("*")).alias("switches_per_year"))

@@ -35,3 +35,11 @@ def line_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").cast("double").alias("growth"), F.avg("l_extendedprice").alias("inflation"), F.avg("l_discount").alias("rates")
     )
     return stored(lines, "months").unpivot("month", ["growth", "inflation", "rates"], "series_id", "value").select("series_id", "month", "value")
+
+
+def panel_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(panel, series_id, month, value): the same three series for each kind of return, a panel of its own."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("panel"), month_of("l_shipdate").alias("month")).agg(
+        F.count("*").cast("double").alias("growth"), F.avg("l_extendedprice").alias("inflation"), F.avg("l_discount").alias("rates")
+    )
+    return stored(lines, "months").unpivot(["panel", "month"], ["growth", "inflation", "rates"], "series_id", "value").select("panel", "series_id", "month", "value")
