@@ -129,8 +129,10 @@ def forecasts(grid: DataFrame, found: DataFrame, dates: DataFrame, models: DataF
     return rows.join(told, [*wf.KEYS, "forecast_date"])
 
 
-_GIVEN = W + f""", first_date AS (SELECT (min(month) + INTERVAL 42 MONTH)::DATE AS d FROM grid),
-fdates AS (SELECT month AS as_of, max(CASE WHEN (rn - 1) % {REFIT_EVERY} = 0 THEN month END) OVER (ORDER BY month) AS refit FROM (SELECT month, row_number() OVER (ORDER BY month) AS rn FROM (SELECT DISTINCT month FROM grid, first_date WHERE month >= d))),
+#: The walk forward for DuckDB, in three parts: the dates, the panel as it was known (`fil`, `fnow` and `al` come of it), the rest.
+DATES = f""", first_date AS (SELECT (min(month) + INTERVAL 42 MONTH)::DATE AS d FROM grid),
+fdates AS (SELECT month AS as_of, max(CASE WHEN (rn - 1) % {REFIT_EVERY} = 0 THEN month END) OVER (ORDER BY month) AS refit FROM (SELECT month, row_number() OVER (ORDER BY month) AS rn FROM (SELECT DISTINCT month FROM grid, first_date WHERE month >= d))),"""
+_LAGGED = f"""
 lspan AS (SELECT unnest(generate_series(min(month)::TIMESTAMP, max(month)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS month FROM lines),
 v AS (SELECT month, ln(growth) - ln(lag(growth, 12) OVER (ORDER BY month)) AS g, ln(inflation) - ln(lag(inflation, 12) OVER (ORDER BY month)) AS i, rates AS x FROM lspan LEFT JOIN lines USING (month)),
 zz AS (SELECT month, {', '.join(f'CASE WHEN count({c}) OVER w >= {LEAST_MONTHS} AND stddev_samp({c}) OVER w > 0 THEN ({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w END AS {c}' for c in 'gix')} FROM v WINDOW w AS (ORDER BY month ROWS UNBOUNDED PRECEDING)),
@@ -138,7 +140,8 @@ em AS (SELECT month, row_number() OVER (ORDER BY month) AS i, exp(-0.5 * (g + 0.
 fil AS (SELECT month, i, (e0 / (e0 + e1))::DOUBLE AS p FROM em WHERE i = 1 UNION ALL
     SELECT em.month, em.i, (e0 * (p * 0.95::DOUBLE + (1 - p) * 0.1::DOUBLE) / (e0 * (p * 0.95::DOUBLE + (1 - p) * 0.1::DOUBLE) + e1 * (p * 0.05::DOUBLE + (1 - p) * 0.9::DOUBLE)))::DOUBLE FROM fil JOIN em ON em.i = fil.i + 1),
 fnow AS (SELECT as_of, refit, max_by(p, fil.month) AS p FROM fdates JOIN fil ON fil.month + {wf.LAG_DAYS} <= as_of GROUP BY 1, 2),
-al AS (SELECT refit, series_id, g.month, holds AS y, lag(holds) OVER (PARTITION BY refit, series_id ORDER BY g.month) AS b, p FROM (SELECT DISTINCT refit FROM fdates) q JOIN grid g ON g.month + {wf.LAG_DAYS} <= refit AND holds IS NOT NULL JOIN fil ON fil.month = g.month),
+al AS (SELECT refit, series_id, g.month, holds AS y, lag(holds) OVER (PARTITION BY refit, series_id ORDER BY g.month) AS b, p FROM (SELECT DISTINCT refit FROM fdates) q JOIN grid g ON g.month + {wf.LAG_DAYS} <= refit AND holds IS NOT NULL JOIN fil ON fil.month = g.month),"""
+REST = f"""
 pool AS (SELECT refit, series_id, avg(y) AS o, coalesce(avg(y) FILTER (b = 0), 0) AS e, coalesce(avg(y) FILTER (b = 1), avg(y)) AS s FROM al GROUP BY 1, 2),
 cr AS (SELECT a.refit, a.series_id, {', '.join(f'''(coalesce(sum({w} * y), 0) + 10 * any_value(o)) / (sum({w}) + 10) AS o{k}, (coalesce(sum({w} * y) FILTER (b = 0), 0) + 10 * any_value(e)) / (coalesce(sum({w}) FILTER (b = 0), 0) + 10) AS e{k}, (coalesce(sum({w} * y) FILTER (b = 1), 0) + 10 * any_value(s)) / (coalesce(sum({w}) FILTER (b = 1), 0) + 10) AS s{k}, sum({w}) AS n{k}''' for k, w in ((0, 'p'), (1, '(1 - p)')))} FROM al a JOIN pool q ON q.refit = a.refit AND q.series_id = a.series_id GROUP BY 1, 2),
 base AS (SELECT n.as_of, n.refit, n.p, c.* EXCLUDE (refit), k.known_month, k.now, k.entry, k.stay, datediff('month', k.known_month, n.as_of) AS gap, k.entry / (1 - (k.stay - k.entry)) AS run, k.stay - k.entry AS ratio FROM fnow n JOIN cr c ON c.refit = n.refit JOIN rates k ON k.series_id = c.series_id AND k.month = n.as_of),
@@ -153,6 +156,7 @@ made AS (SELECT l.*, CASE WHEN composition = 'at_horizon' THEN ph * o0 + (1 - ph
     CASE WHEN composition = 'at_horizon' THEN ph * n0_ + (1 - ph) * n1_ ELSE 0.5 * ((p + ph) * n0_ + (2 - p - ph) * n1_) END AS effective_sample, abs(ph - 2 / 3::DOUBLE) AS distance
     FROM (SELECT * RENAME (n0 AS n0_, n1 AS n1_) FROM long) l JOIN sv ON sv.as_of = l.as_of AND sv.series_id = l.series_id AND sv.h = l.horizon JOIN jc ON jc.as_of = l.as_of AND jc.series_id = l.series_id AND jc.t = l.gap + l.horizon JOIN js ON js.as_of = l.as_of AND js.series_id = l.series_id AND js.h = l.horizon)
 """
+_GIVEN = W + DATES + _LAGGED + REST
 
 
 def _given(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +166,10 @@ def _given(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecasts(grid, found, dates, given_models(spark, dates.select("refit")), ["growth"])
 
 
-@query(_GIVEN + f"SELECT series_id, composition, horizon::INTEGER AS horizon, as_of AS forecast_date, refit, {', '.join(f'{r(c)} AS {c}' for c in ('model', 'chain'))}, {r('0.5 * model + 0.5 * chain')} AS predicted, {', '.join(f'{r(c)} AS {c}' for c in ('joint', 'effective_sample', 'distance'))}, {r('climatology')} AS reference, outcome AS realised FROM made")
+MADE = f"SELECT series_id, composition, horizon::INTEGER AS horizon, as_of AS forecast_date, refit, {', '.join(f'{r(c)} AS {c}' for c in ('model', 'chain'))}, {r('0.5 * model + 0.5 * chain')} AS predicted, {', '.join(f'{r(c)} AS {c}' for c in ('joint', 'effective_sample', 'distance'))}, {r('climatology')} AS reference, outcome AS realised FROM made"
+
+
+@query(_GIVEN + MADE)
 def regime_walk_forward(spark, sf_dir):
     """The walk forward of a model with given parameters of two states."""
     return _given(spark, sf_dir)

@@ -36,16 +36,26 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes `df` as Parquet to the shared folder and reads it back: later steps need not
     recompute it, and a lost executor loses none of it.  The files go when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
+    path, store, place = _folder(spark, what)
     df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    atexit.register(_remove, store, place)
     out = spark.read.schema(df.schema).parquet(path)
     _places[out] = store, place
     return out
 
 
+def folder(spark: SparkSession, what: str) -> str:
+    """A path of its own in the shared folder; what is put there goes when the driver ends."""
+    return _folder(spark, what)[0]
+
+
+def _folder(spark: SparkSession, what: str) -> tuple:
+    path = f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    atexit.register(_remove, store, place)
+    return path, store, place
+
+
 def forget(*frames: DataFrame) -> None:
     """Deletes the files of stored frames that nothing reads any more."""
     for df in frames:
