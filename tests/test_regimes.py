@@ -5,6 +5,7 @@ import itertools
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,21 +78,62 @@ def test_labels():
     assert regimes.regime_label(("growth", 0.7), ("rates", -0.6), ("prices", 0.5)) == "growth high, rates low, prices middling"
 
 
-def test_stream_carries_the_state(spark, model, tmp_path):
-    x = [0.1, 1.9, 2.2, -0.3, 0.8, 2.5]
-    rows = [(s, f"2000-01-0{i + 1}", v) for s in ("a", "b") for i, v in enumerate(x)]
-    df = spark.createDataFrame(rows, "series_id string, day string, x double").select("series_id", F.col("day").cast("timestamp").alias("at"), "x")
-    for i, part in enumerate(("< 4", ">= 4")):  # files are taken in the order of their times
-        df.where(f"day(at) {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        for file in (tmp_path / "in").glob("*.parquet"):
-            if i == 0:
-                os.utime(file, (1_000_000_000, 1_000_000_000))
-    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = streams.run_once(streams.filtered(source, model, ["x"]), "append").where("series_id = 'a'").orderBy("at").collect()
-    assert len(got) == 6
-    first = {r.at.day: r.filtered for r in got}
-    want = model.filtered(np.array(x)[:, None])
-    assert [first[d + 1] for d in range(6)] == [pytest.approx(w.tolist()) for w in want]
+def stream_rows(spark, n, keys, shuffle):
+    """(series_id, at, x): rows of several series a minute apart, moved about by up to `shuffle` places."""
+    rng = np.random.default_rng(9)
+    rows = [(f"s{i % keys}", int(i) * 60_000_000 + int(rng.integers(1000)), float(x)) for i, x in enumerate(rng.standard_normal(n))]
+    rows = [rows[i] for i in np.argsort(np.arange(n) + rng.uniform(0, shuffle, n), kind="stable")]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["series_id", "us", "x"])).select("series_id", F.timestamp_micros("us").alias("at"), "x")
+    return rows, df
+
+
+def told_in_batch(rows, model):
+    want = {}
+    for key in {r[0] for r in rows}:
+        mine = sorted(r[1:] for r in rows if r[0] == key)
+        for (us, _), f in zip(mine, model.filtered(np.array([x for _, x in mine])[:, None])):
+            want[key, us] = f
+    return want
+
+
+def test_stream_of_fifty_thousand_shuffled_rows_in_several_files_is_the_batch_filter(spark, model, tmp_path):
+    rows, df = stream_rows(spark, 50_000, 4, 50_000)
+    late = "40 days"  # the whole span: every order is possible
+    source = streams.closed(df, late, str(tmp_path / "in"), files=6, files_a_trigger=2)
+    got = streams.run_once(streams.filtered(source, model, ["x"], late), "append").select("series_id", F.unix_micros("at").alias("us"), "filtered").toPandas()
+    want = told_in_batch(rows, model)
+    assert len(got) == len(want) == 50_000
+    mine = np.stack([want[k, us] for k, us in zip(got["series_id"], got["us"])])
+    assert np.abs(np.stack(got["filtered"]) - mine).max() < 1e-9
+
+
+def test_stream_tells_rows_as_the_watermark_passes_and_leaves_late_ones_out(spark, model, tmp_path):
+    rows, df = stream_rows(spark, 600, 2, 30)  # out of order by half an hour at most
+    parts = np.array_split(np.arange(600), 4)
+    numbered = spark.createDataFrame(pd.DataFrame(rows, columns=["series_id", "us", "x"]).assign(part=np.concatenate([[k] * len(p) for k, p in enumerate(parts)]))).select("part", "series_id", F.timestamp_micros("us").alias("at"), "x")
+    late_row = spark.createDataFrame([("s0", 5, 99.0)], "series_id string, us long, x double").select("series_id", F.timestamp_micros("us").alias("at"), "x")
+    stamp = 1_000_000_000
+    path = tmp_path / "in"
+    for k in range(4):
+        part = numbered.where(f"part = {k}").drop("part")
+        (part if k < 3 else part.union(late_row)).coalesce(1).write.mode("append").parquet(str(path))
+        for file in path.glob("*.parquet"):
+            if file.stat().st_mtime > stamp + 1000:  # the new one
+                os.utime(file, (stamp + k, stamp + k))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+    out = streams.run_once(streams.filtered(source, model, ["x"], "1 hour"), "append")
+    got = out.select("series_id", F.unix_micros("at").alias("us"), "filtered").collect()
+    want = told_in_batch(rows, model)
+    reached = max(r[1] for r in rows) - 3_600_000_000
+    assert {(r.series_id, r.us) for r in got} == {k for k in want if k[1] <= reached // 1000 * 1000}  # what the watermark passed, without the late row
+    assert all(np.abs(np.array(r.filtered) - want[r.series_id, r.us]).max() < 1e-9 for r in got)
+
+
+def test_stream_tells_each_row_once(spark, model, tmp_path):
+    _, df = stream_rows(spark, 300, 3, 300)
+    source = streams.closed(df, "1 day", str(tmp_path / "in"), files=4, files_a_trigger=1)
+    out = streams.run_once(streams.filtered(source, model, ["x"], "1 day"), "append")
+    assert out.count() == 300 == out.select("series_id", "at").distinct().count()
 
 
 def test_stream_drops_repeated_claims(spark, tmp_path):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import regimes, timegrid, transforms
 from ..sources import tables
-from ..sources.scratch import shared_dir
+from ..sources.scratch import folder
 from ..streaming import streams
 from .library import query, r
 from .walkforward import LAG_DAYS
@@ -70,19 +68,21 @@ def streamed_daily_counts(spark, sf_dir):
 
 def _arrived(df: DataFrame, what: str) -> DataFrame:
     """A frame as a stream: its rows are put into a folder that all machines share, and read from there as they come."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark-{what}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
 @query(_FILTER)
 def streamed_filter(spark, sf_dir):
-    """The same filtered probabilities as a stream whose state is one vector for each series."""
+    """The same filtered probabilities as a stream whose rows come in any order, over several triggers."""
     rows = daily(spark, sf_dir)
     usual = rows.groupBy("series_id").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"))
     z = rows.join(usual, "series_id").select("series_id", F.col("month").cast("timestamp").alias("at"), ((F.col("x") - F.col("m")) / F.col("sd")).alias("z"))
     model = regimes.Model(np.array([0.5, 0.5]), np.array([[0.95, 0.05], [0.1, 0.9]]), np.array([[-0.5], [0.5]]), np.ones((2, 1, 1)))
-    out = streams.run_once(streams.filtered(_arrived(z, "daily"), model, ["z"]), "append")
+    late = "400 days"
+    source = streams.closed(z, late, folder(spark, "daily"), files=8, files_a_trigger=3)
+    out = streams.run_once(streams.filtered(source, model, ["z"], late), "append")
     return out.select("series_id", F.col("at").cast("date").alias("month"), F.col("filtered")[0].alias("filtered_first"))
 
 
