@@ -97,13 +97,6 @@ def look_ahead_leak(spark, sf_dir):
 # ---- do runs agree
 
 
-@query(W + "SELECT count(*) AS joined, (SELECT count(*) FROM fore) AS first_rows, (SELECT count(*) FROM fore) AS second_rows, sum((a.realised IS DISTINCT FROM b.realised)::INTEGER)::BIGINT AS unequal, count(*) = (SELECT count(*) FROM fore) AND sum((a.realised IS DISTINCT FROM b.realised)::INTEGER) = 0 AS complete FROM fore a JOIN fore b ON a.series_id = b.series_id AND a.composition = b.composition AND a.horizon = b.horizon AND a.forecast_date = b.forecast_date")
-def complete_join_check(spark, sf_dir):
-    """Two runs must have the same forecasts, one to one, and the same outcomes."""
-    runs = stored(wf.forecasts(spark, sf_dir), "run")
-    return diff.complete_join(runs.select(*wf.KEYS, "forecast_date", "realised"), runs.select(*wf.KEYS, "forecast_date", "realised"), [*wf.KEYS, "forecast_date"], ["realised"])
-
-
 @query(W + f", {_OTHER} SELECT g.series_id, g.month, {r('g.value')} AS before, {r('o.value')} AS after FROM grid g JOIN other o ON g.series_id = o.series_id AND g.month = o.month WHERE abs(g.value - o.value) > 1e-9 ORDER BY g.month, g.series_id LIMIT 40")
 def first_moved_rows(spark, sf_dir):
     """The first forty values that moved, by date: a report."""
@@ -145,14 +138,6 @@ def latest_round(spark, sf_dir):
     return register.staleness(_claims(spark, sf_dir).withColumn("made_on", F.col("data_as_of")), "2001-02-01")
 
 
-@query(W + f", now AS (SELECT {K}, round(1 - sum(e) / nullif(sum(f), 0), 8) AS value FROM scored GROUP BY {K}), recorded AS (SELECT * REPLACE (CASE WHEN horizon = 12 THEN value + 0.001 ELSE value END AS value) FROM now) SELECT count(*) AS records, sum((n.value IS NULL)::INTEGER)::BIGINT AS unknown, sum((abs(n.value - r.value) > 1e-6)::INTEGER)::BIGINT AS off FROM recorded r LEFT JOIN now n USING ({K})")
-def record_check(spark, sf_dir):
-    """Recorded skills against recomputed ones; those of the longest horizon were recorded wrongly on purpose."""
-    now = stored(scored(spark, sf_dir).groupBy(*wf.KEYS).agg(F.round(scoring.skill(), 8).alias("value")), "skills")
-    recorded = now.withColumn("value", F.when(F.col("horizon") == 12, F.col("value") + 0.001).otherwise(F.col("value")))
-    return records.checked(recorded, now, wf.KEYS)
-
-
 @query(
     """WITH texts AS (SELECT doc_id, unnest(regexp_extract_all(text, '[+-]?[0-9]+\\.[0-9]+')) AS shown FROM documents),
     numbers AS (SELECT doc_id, shown, len(split_part(shown, '.', 2)) AS places, starts_with(shown, '-') AS negative, abs(shown::DOUBLE) AS size FROM texts WHERE len(split_part(shown, '.', 2)) <= 2),

@@ -1,7 +1,7 @@
 """Intervals, and the rules that let a model through: two sets of gates, and skill at every horizon.
 
 A query computes the resolved forecasts once (`scored`, stored); the gates below read those few rows.
-Dates are drawn in blocks as long as the horizon.  `RESAMPLES` draws are taken, a parameter of each query.
+Dates are drawn in blocks as long as the horizon.  `RESAMPLES` draws are taken.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from ..sources.scratch import stored
 from . import walkforward as wf
 from .library import W, grid, query, r, resolved, scored, with_horizons
 
-RESAMPLES = 1000
+RESAMPLES = 10_000
 SEED = bootstrap.SEED
+#: So many of the resamples must have a mean for an interval.
+LEAST_USABLE = max(20, RESAMPLES // 100)
 #: Fixed values of the rules: the least mean skill, the most calibration error, the least distance, the sub-periods and
 #: how many of them must be above zero.
 LEAST_SKILL, MOST_ERROR, LEAST_DISTANCE, PERIODS, GOOD_PERIODS = 0.02, 0.10, 0.05, 4, 3
@@ -61,29 +63,43 @@ def sums_of(found: DataFrame, by: list[str]) -> DataFrame:
     return found.groupBy(*by, "unit").agg(*(F.sum(c).alias(c) for c in "efgyn"))
 
 
-def samples(found: DataFrame, block: Column | None = None, resamples: int = RESAMPLES) -> DataFrame:
-    """(horizon, resample, skill, chain_skill) of each resample."""
-    each = bootstrap.resampled(found, ["horizon"], "forecast_date", list("efgyn"), F.col("horizon") if block is None else block, resamples, "unit")
-    return mean_skills(each, scoreable(found), ["horizon", "resample"])
+RATIOS = {"skill": ("e", "f"), "chain_skill": ("g", "f")}
+
+
+def samples(found: DataFrame, block: Column | None = None, resamples: int = RESAMPLES, keys: tuple[str, ...] = ("horizon",), ratios: dict[str, tuple[str, str]] = RATIOS) -> DataFrame:
+    """(keys, resample, skill, chain_skill) of each resample."""
+    return bootstrap.mean_ratios(found, list(keys), "forecast_date", "unit", ratios, F.col("horizon") if block is None else block, resamples)
 
 
 CELLS = "cells AS (SELECT horizon, forecast_date, series_id || composition AS unit, e, f, (chain - realised) * (chain - realised) AS g, realised AS y FROM scored WHERE e IS NOT NULL AND f IS NOT NULL)"
 _OK = "n >= 2 AND y > 0.5 AND y < n - 0.5 AND f > 1e-12"
 
 
+def draws(cells: str, p: str = "", block: str = "horizon", resamples: int = RESAMPLES, keys: tuple[str, ...] = ("horizon",), ratios: dict[str, tuple[str, str]] = RATIOS) -> str:
+    """CTEs for DuckDB over `cells`: `placed`, `drawn`, `parts`, `ranges`, `fixed` and `samples`, their names after `p`.  A block's
+    sum is a difference of running sums, as in :mod:`..operators.bootstrap`."""
+    columns = sorted({c for pair in ratios.values() for c in pair})
+    k, on = ", ".join(keys), lambda a, b: " AND ".join(f"{a}.{x} = {b}.{x}" for x in keys)
+    ok = lambda den: f"n >= 2 AND y > 0.5 AND y < n - 0.5 AND {den} > 1e-12"
+    told = ", ".join(f"CASE WHEN count(*) FILTER (is_{n}) > 0 AND count(*) FILTER (is_{n} AND {ok(b)}) = count(*) FILTER (is_{n}) THEN avg(1 - {a} / {b}) FILTER (is_{n}) END AS {n}" for n, (a, b) in ratios.items())
+    return f"""{p}placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY forecast_date) AS pos, count(*) OVER (PARTITION BY {k}) AS n FROM (SELECT DISTINCT {k}, forecast_date FROM {cells})),
+{p}drawn AS (SELECT {k}, n, least({block}, n) AS len, unnest(range({resamples})) AS rs FROM (SELECT DISTINCT {k}, n FROM {p}placed)),
+{p}parts AS (SELECT *, unnest(range(ceil(n / len::DOUBLE)::BIGINT)) AS k FROM {p}drawn),
+{p}ranges AS (SELECT {k}, rs, ('0x' || substr(md5(concat_ws(':', {SEED}, {k}, rs, k)), 1, 8))::BIGINT % (n - len + 1) AS a, least(len, n - k * len) AS size FROM {p}parts),
+{p}own AS (SELECT {k}, unit, count(*) AS n, sum(y) AS y, {', '.join(f'sum({c}) AS {c}' for c in columns)} FROM {cells} GROUP BY {k}, unit),
+{p}fixed AS MATERIALIZED (SELECT {k}, unit, {', '.join(f'{ok(b)} AS is_{n}' for n, (_, b) in ratios.items())} FROM {p}own),
+{p}cum AS MATERIALIZED (SELECT {', '.join(f'g.{x}' for x in keys)}, g.unit, g.pos, count(c.y) OVER w AS n, sum(coalesce(c.y, 0)) OVER w AS y, {', '.join(f'sum(coalesce(c.{x}, 0)) OVER w AS {x}' for x in columns)}
+    FROM (SELECT {', '.join(f'o.{x}' for x in keys)}, o.unit, q.pos, q.forecast_date FROM {p}own o JOIN {p}placed q ON {on('o', 'q')} UNION ALL SELECT {k}, unit, 0, NULL FROM {p}own) g LEFT JOIN {cells} c ON {on('c', 'g')} AND c.unit = g.unit AND c.forecast_date = g.forecast_date
+    WINDOW w AS (PARTITION BY {', '.join(f'g.{x}' for x in keys)}, g.unit ORDER BY g.pos)),
+{p}per AS (SELECT {', '.join(f'r.{x}' for x in keys)}, r.rs, b.unit, sum(b.n - a.n) AS n, sum(b.y - a.y) AS y, {', '.join(f'sum(b.{x} - a.{x}) AS {x}' for x in columns)} FROM {p}ranges r JOIN {p}cum a ON {on('a', 'r')} AND a.pos = r.a JOIN {p}cum b ON {on('b', 'r')} AND b.unit = a.unit AND b.pos = r.a + r.size GROUP BY {', '.join(f'r.{x}' for x in keys)}, r.rs, b.unit),
+{p}samples AS MATERIALIZED (SELECT {', '.join(f'd.{x}' for x in keys)}, rs, {told} FROM {p}per d JOIN {p}fixed x ON {on('x', 'd')} AND x.unit = d.unit GROUP BY {', '.join(f'd.{x}' for x in keys)}, rs)"""
+
+
 def boot(block: str = "horizon", resamples: int = RESAMPLES) -> str:
-    """CTEs for DuckDB: `samples` as above."""
-    return f"""{CELLS},
-units AS (SELECT horizon, unit FROM (SELECT horizon, unit, count(*) AS n, sum(y) AS y, sum(f) AS f FROM cells GROUP BY 1, 2) WHERE {_OK}),
-wanted AS (SELECT horizon, count(*) AS k FROM units GROUP BY 1),
-placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY forecast_date) AS pos, count(*) OVER (PARTITION BY horizon) AS n FROM (SELECT DISTINCT horizon, forecast_date FROM cells)),
-drawn AS (SELECT horizon, n, least({block}, n) AS len, unnest(range({resamples})) AS rs FROM (SELECT DISTINCT horizon, n FROM placed)),
-parts AS (SELECT *, unnest(range(ceil(n / len::DOUBLE)::BIGINT)) AS k FROM drawn),
-ranges AS (SELECT horizon, rs, ('0x' || substr(md5(concat_ws(':', {SEED}, horizon, rs, k)), 1, 8))::BIGINT % (n - len + 1) AS a, least(len, n - k * len) AS size FROM parts),
-times AS (SELECT horizon, rs, pos, count(*) AS t FROM (SELECT horizon, rs, unnest(range(a + 1, a + size + 1)) AS pos FROM ranges) GROUP BY 1, 2, 3),
-dated AS MATERIALIZED (SELECT p.horizon, p.pos, c.unit, c.e, c.f, c.g, c.y FROM cells c JOIN placed p ON p.horizon = c.horizon AND p.forecast_date = c.forecast_date JOIN units u ON u.horizon = c.horizon AND u.unit = c.unit),
-per AS (SELECT x.horizon, x.rs, d.unit, sum(t * d.e) AS e, sum(t * d.f) AS f, sum(t * d.g) AS g, sum(t * d.y) AS y, sum(t) AS n FROM times x JOIN dated d ON d.horizon = x.horizon AND d.pos = x.pos GROUP BY 1, 2, 3),
-samples AS MATERIALIZED (SELECT per.horizon, rs, CASE WHEN count(*) FILTER ({_OK}) = any_value(k) THEN avg(1 - e / f) FILTER ({_OK}) END AS skill, CASE WHEN count(*) FILTER ({_OK}) = any_value(k) THEN avg(1 - g / f) FILTER ({_OK}) END AS chain_skill FROM per JOIN wanted w ON w.horizon = per.horizon GROUP BY 1, 2)"""
+    """CTEs for DuckDB: `samples` as above, over the scored forecasts."""
+    return f"""{CELLS}, {draws('cells', block=block, resamples=resamples)},
+units AS (SELECT horizon, unit FROM fixed WHERE is_skill),
+wanted AS (SELECT horizon, count(*) AS k FROM units GROUP BY 1)"""
 
 
 BOOT = boot()
@@ -283,11 +299,10 @@ def successor_verdict(spark, sf_dir):
 # ---- skill at every horizon
 
 LONGEST = 120
-CURVE_RESAMPLES = 300
 _BLOCKS = f"greatest(horizon, {SHORTEST_BLOCK})"
-CURVE = with_horizons(range(1, LONGEST + 1)) + f""", {boot(_BLOCKS, CURVE_RESAMPLES)}, {MEANS},
+CURVE = with_horizons(range(1, LONGEST + 1)) + f""", {boot(_BLOCKS, RESAMPLES)}, {MEANS},
 ends AS (SELECT horizon, count(skill) AS usable, quantile_cont(skill, 0.05) AS lower, quantile_cont(skill, 0.95) AS upper, quantile_cont(chain_skill, 0.05) AS chain_lower FROM samples GROUP BY 1),
-curve AS (SELECT m.horizon, mean_skill, chain_skill, CASE WHEN usable >= 20 THEN lower END AS lower, CASE WHEN usable >= 20 THEN upper END AS upper, CASE WHEN usable >= 20 THEN chain_lower END AS chain_lower, n AS dates, n / least({_BLOCKS.replace('horizon', 'm.horizon')}, n)::DOUBLE AS independent FROM means m JOIN ends e ON e.horizon = m.horizon JOIN (SELECT DISTINCT horizon, n FROM placed) p ON p.horizon = m.horizon),
+curve AS (SELECT m.horizon, mean_skill, chain_skill, CASE WHEN usable >= {LEAST_USABLE} THEN lower END AS lower, CASE WHEN usable >= {LEAST_USABLE} THEN upper END AS upper, CASE WHEN usable >= {LEAST_USABLE} THEN chain_lower END AS chain_lower, n AS dates, n / least({_BLOCKS.replace('horizon', 'm.horizon')}, n)::DOUBLE AS independent FROM means m JOIN ends e ON e.horizon = m.horizon JOIN (SELECT DISTINCT horizon, n FROM placed) p ON p.horizon = m.horizon),
 read AS (SELECT *, coalesce(mean_skill > {LEAST_SKILL} AND lower > 0, false) AS carries_skill, coalesce(chain_skill > {LEAST_SKILL} AND chain_lower > 0, false) AS chain_carries, independent >= {LEAST_INDEPENDENT} AS informative FROM curve)"""
 
 
@@ -296,7 +311,7 @@ def curve(spark, sf_dir) -> DataFrame:
     found = stored(cells(scored(spark, sf_dir, list(range(1, LONGEST + 1)))), "rows")
     block = F.greatest(F.col("horizon"), F.lit(SHORTEST_BLOCK))
     n = F.count("skill")
-    ends = samples(found, block, CURVE_RESAMPLES).groupBy("horizon").agg(*(F.when(n >= 20, F.percentile(c, F.lit(q))).alias(a) for a, c, q in (("lower", "skill", 0.05), ("upper", "skill", 0.95), ("chain_lower", "chain_skill", 0.05))))
+    ends = samples(found, block, RESAMPLES).groupBy("horizon").agg(*(F.when(n >= LEAST_USABLE, F.percentile(c, F.lit(q))).alias(a) for a, c, q in (("lower", "skill", 0.05), ("upper", "skill", 0.95), ("chain_lower", "chain_skill", 0.05))))
     means = mean_skills(sums_of(found, ["horizon"]), scoreable(found), ["horizon"]).withColumnRenamed("skill", "mean_skill")
     dates = found.groupBy("horizon").agg(F.count_distinct("forecast_date").alias("dates"))
     rows = means.join(ends, "horizon").join(dates, "horizon").withColumn("independent", F.col("dates") / F.least(block, F.col("dates")))

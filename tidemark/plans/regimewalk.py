@@ -156,10 +156,11 @@ made AS (SELECT l.*, CASE WHEN composition = 'at_horizon' THEN ph * o0 + (1 - ph
     CASE WHEN composition = 'at_horizon' THEN ph * n0_ + (1 - ph) * n1_ ELSE 0.5 * ((p + ph) * n0_ + (2 - p - ph) * n1_) END AS effective_sample, abs(ph - 2 / 3::DOUBLE) AS distance
     FROM (SELECT * RENAME (n0 AS n0_, n1 AS n1_) FROM long) l JOIN sv ON sv.as_of = l.as_of AND sv.series_id = l.series_id AND sv.h = l.horizon JOIN jc ON jc.as_of = l.as_of AND jc.series_id = l.series_id AND jc.t = l.gap + l.horizon JOIN js ON js.as_of = l.as_of AND js.series_id = l.series_id AND js.h = l.horizon)
 """
-_GIVEN = W + DATES + _LAGGED + REST
+WHOLE = W + DATES + _LAGGED + REST
 
 
-def _given(spark: SparkSession, sf_dir: str) -> DataFrame:
+def given_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk forward of a model with given parameters of two states."""
     grid = wf.conditions(spark, sf_dir)
     dates = stored(forecast_dates(grid), "dates")
     found = stored(matrices(panel(spark, sf_dir, dates)), "panel")
@@ -169,13 +170,12 @@ def _given(spark: SparkSession, sf_dir: str) -> DataFrame:
 MADE = f"SELECT series_id, composition, horizon::INTEGER AS horizon, as_of AS forecast_date, refit, {', '.join(f'{r(c)} AS {c}' for c in ('model', 'chain'))}, {r('0.5 * model + 0.5 * chain')} AS predicted, {', '.join(f'{r(c)} AS {c}' for c in ('joint', 'effective_sample', 'distance'))}, {r('climatology')} AS reference, outcome AS realised FROM made"
 
 
-@query(_GIVEN + MADE)
+@query(WHOLE + MADE)
 def regime_walk_forward(spark, sf_dir):
-    """The walk forward of a model with given parameters of two states."""
-    return _given(spark, sf_dir)
+    return given_run(spark, sf_dir)
 
 
-@query(_GIVEN + f"SELECT refit, series_id, {', '.join(f'{r(c)} AS {c}' for c in ('o0', 'o1', 'e0', 'e1', 's0', 's1', 'n0', 'n1'))} FROM cr")
+@query(WHOLE + f"SELECT refit, series_id, {', '.join(f'{r(c)} AS {c}' for c in ('o0', 'o1', 'e0', 'e1', 's0', 's1', 'n0', 'n1'))} FROM cr")
 def regime_rates(spark, sf_dir):
     """What each refit may know of how often a condition holds, begins and goes on in each state."""
     grid = wf.conditions(spark, sf_dir)
@@ -198,7 +198,7 @@ def fitted_regime_walk_forward(spark, sf_dir):
 _MIX = "(VALUES (1), (3), (6), (12), (24)) q(horizon)"
 
 
-@query(_GIVEN + f"SELECT horizon::INTEGER AS horizon, {r('avg(d)')} AS mean_distance, {r('max(d)')} AS most, {r('min(d)')} AS least FROM (SELECT horizon, abs(p - 2 / 3::DOUBLE) * pow(0.85::DOUBLE, horizon) AS d FROM fnow, {_MIX}) GROUP BY 1")
+@query(WHOLE + f"SELECT horizon::INTEGER AS horizon, {r('avg(d)')} AS mean_distance, {r('max(d)')} AS most, {r('min(d)')} AS least FROM (SELECT horizon, abs(p - 2 / 3::DOUBLE) * pow(0.85::DOUBLE, horizon) AS d FROM fnow, {_MIX}) GROUP BY 1")
 def mixing_distances(spark, sf_dir):
     """How far the states seen so far are from their long run after some months: mean, most and least."""
     return _mixing(spark, sf_dir)
@@ -214,7 +214,7 @@ def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("horizon").agg(F.avg(far).alias("mean_distance"), F.max(far).alias("most"), F.min(far).alias("least"))
 
 
-@query(_GIVEN + f"SELECT coalesce(max(horizon) FILTER (d > 0.05), 0)::INTEGER AS information_horizon FROM (SELECT horizon, avg(abs(p - 2 / 3::DOUBLE) * pow(0.85::DOUBLE, horizon)) AS d FROM fnow, {_MIX} GROUP BY 1)")
+@query(WHOLE + f"SELECT coalesce(max(horizon) FILTER (d > 0.05), 0)::INTEGER AS information_horizon FROM (SELECT horizon, avg(abs(p - 2 / 3::DOUBLE) * pow(0.85::DOUBLE, horizon)) AS d FROM fnow, {_MIX} GROUP BY 1)")
 def information_horizon(spark, sf_dir):
     """The longest measured horizon at which the states still tell more than their long run."""
     return _mixing(spark, sf_dir).agg(F.coalesce(F.max(F.when(F.col("mean_distance") > 0.05, F.col("horizon"))), F.lit(0)).alias("information_horizon"))
