@@ -66,6 +66,51 @@ def test_a_fit_finds_its_states():
     assert (found.viterbi(x) == np.array(states)).mean() > 0.97
 
 
+def plain_em(x, model, iterations, tolerance, ridge):
+    """EM from one start, a row and a state at a time."""
+    last = -np.inf
+    for _ in range(iterations):
+        e = np.exp(model.emissions(x))
+        k, n = e.shape[1], len(x)
+        a, b, total = np.zeros((n, k)), np.ones((n, k)), 0.0
+        for t in range(n):  # scaled, not in logarithms
+            for j in range(k):
+                a[t, j] = e[t, j] * (model.start[j] if t == 0 else sum(a[t - 1, i] * model.transition[i, j] for i in range(k)))
+            total += np.log(a[t].sum())
+            a[t] /= a[t].sum()
+        for t in range(n - 2, -1, -1):
+            for i in range(k):
+                b[t, i] = sum(model.transition[i, j] * e[t + 1, j] * b[t + 1, j] for j in range(k))
+            b[t] /= b[t].sum()
+        if abs(total - last) <= tolerance * max(1.0, abs(total)):
+            break
+        last = total
+        gamma = a * b / (a * b).sum(axis=1, keepdims=True)
+        pairs = np.zeros((k, k))
+        for t in range(n - 1):
+            p = a[t][:, None] * model.transition * (e[t + 1] * b[t + 1])[None, :]
+            pairs += p / p.sum()
+        means = (gamma.T @ x) / gamma.sum(axis=0)[:, None]
+        cov = np.array([((gamma[:, i, None] * (x - means[i])).T @ (x - means[i])) / gamma[:, i].sum() + np.eye(x.shape[1]) * ridge for i in range(k)])
+        model = regimes.Model(gamma[0], pairs / pairs.sum(axis=1, keepdims=True), means, cov)
+    return model
+
+
+def test_starts_that_step_together_are_those_that_step_alone():
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(m, 0.7, (25, 2)) for m in (0, 2, 0)])
+    starts = [[regimes.start_point(x, 2, np.random.default_rng(i))] for i in range(4)]
+    ridge = max(regimes.RIDGE * np.trace(regimes.pooled_covariance(x)) / 2, 1e-12)
+    totals = []
+    for start in starts:
+        (mine,), total = regimes.fit_together([x], [start], 40)
+        plain = plain_em(x, start[0], 40, regimes.TOLERANCE, ridge).ordered()
+        assert np.allclose(mine.means, plain.means, atol=1e-6) and np.allclose(mine.transition, plain.transition, atol=1e-6) and np.allclose(mine.covariances, plain.covariances, atol=1e-6)
+        assert total == pytest.approx(mine.log_likelihood(x))
+        totals.append(total)
+    assert regimes.fit_together([x], starts, 40)[1] == pytest.approx(max(totals))
+
+
 def test_products(model):
     joint = model.times(model)
     x = np.array([[0.1, 1.0], [1.9, 0.2], [2.2, 2.0]])

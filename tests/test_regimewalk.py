@@ -66,7 +66,8 @@ def test_rates_without_transitions(spark):
 def test_chains_fitted_together_are_those_fitted_apart_when_all_settle():
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(m, 0.3, (60, 2)) for m in (0, 3, 0)])
-    (a, b), total = regimes.fit_once([x[:, :1], x[:, 1:]], [2, 2], [1, 2], 0)
+    blocks = [x[:, :1], x[:, 1:]]
+    (a, b), total = regimes.fit_together(blocks, regimes.starts_of(blocks, [2, 2], [1, 2], 1))
     assert total == pytest.approx(a.log_likelihood(x[:, :1]) + b.log_likelihood(x[:, 1:]))
     assert a.times(b).log_likelihood(x) == pytest.approx(total)
     assert a.means[0, 0] < a.means[1, 0] and abs(a.means[1, 0] - 3) < 0.2
@@ -80,7 +81,8 @@ def test_best_restart_is_kept(spark):
     dates = spark.createDataFrame([(dt.date(2008, 1, 1), dt.date(2008, 1, 1))], "month date, refit date")
     model = regimewalk.fitted_models(found, dates, restarts=3).first()
     own = 20 + 2008 * 100 + 1
-    totals = [regimes.fit_once([x[:, :1], x[:, 1:]], [2, 2], [own, own + 1], k)[1] for k in range(3)]
+    blocks = [x[:, :1], x[:, 1:]]
+    totals = [regimes.fit_together(blocks, [start])[1] for start in regimes.starts_of(blocks, [2, 2], [own, own + 1], 3)]
     assert model.log_likelihood == pytest.approx(max(totals)) and len(model.start) == 4 and sum(model.stationary) == pytest.approx(1)
 
 

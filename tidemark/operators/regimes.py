@@ -149,69 +149,115 @@ def pooled_covariance(x: np.ndarray) -> np.ndarray:
     return c + np.eye(x.shape[1]) * max(RIDGE * np.trace(c) / x.shape[1], 1e-12)
 
 
-def maximised(x: np.ndarray, gamma: np.ndarray, pairs: np.ndarray, ridge: float) -> Model:
-    k, d = gamma.shape[1], x.shape[1]
-    rows = pairs.sum(axis=1, keepdims=True)
-    t = np.where(rows > FLOOR, pairs / np.maximum(rows, FLOOR), 1 / k)
-    w = np.maximum(gamma.sum(axis=0), FLOOR)
-    means = gamma.T @ x / w[:, None]
-    cov = np.empty((k, d, d))
-    for i in range(k):
-        c = x - means[i]
-        cov[i] = (gamma[:, i, None] * c).T @ c / w[i] + np.eye(d) * ridge
-    return Model(gamma[0] / gamma[0].sum(), t, means, cov)
-
-
-def expectation(model: Model, x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log likelihood, state probabilities, expected transitions."""
-    e = model.emissions(x)
-    a, b = model.forward(e), model.backward(e)
-    total = log_sum(a[-1], 0)
-    gamma = np.exp(a + b - total)
-    log_t = safe_log(model.transition)
-    pairs = np.exp(a[:-1, :, None] + log_t + (e[1:] + b[1:])[:, None, :] - total).sum(axis=0) if len(x) > 1 else np.zeros_like(log_t)
-    return float(total), gamma / gamma.sum(axis=1, keepdims=True), pairs
-
-
-def fit(x: np.ndarray, k: int, seed: int, restarts: int = 3, iterations: int = 100, tolerance: float = 1e-6) -> tuple[Model, float]:
-    """The best of some restarts by likelihood (the first of equals), each from its own start, by EM."""
-    random, best = np.random.default_rng(seed), None
-    ridge = max(RIDGE * np.trace(pooled_covariance(x)) / x.shape[1], 1e-12)
-    for _ in range(restarts):
-        model, last = start_point(x, k, random), -np.inf
-        for _ in range(iterations):
-            total, gamma, pairs = expectation(model, x)
-            if total < last - max(1.0, abs(last)) * 1e-3:
-                raise RuntimeError("the likelihood fell")
-            if abs(total - last) <= tolerance * max(1.0, abs(total)):
-                break
-            model, last = maximised(x, gamma, pairs, ridge), total
-        total = model.log_likelihood(x)
-        if best is None or total > best[1]:
-            best = model, total
-    return best[0].ordered(), best[1]
-
-
-def fit_once(blocks: list[np.ndarray], states: list[int], seeds: list[int], restart: int, iterations: int = 500, tolerance: float = 1e-6) -> tuple[list[Model], float]:
-    """Independent chains over blocks of columns, fitted together from one start: the likelihood that must settle is
-    that of all."""
-    models = [start_point(x, k, np.random.default_rng([s, restart])) for x, k, s in zip(blocks, states, seeds)]
-    ridges, last = [max(RIDGE * np.trace(pooled_covariance(x)) / x.shape[1], 1e-12) for x in blocks], -np.inf
+RESTARTS, ITERATIONS, TOLERANCE = 20, 500, 1e-6
+
+
+class Chains:
+    """Models of one chain from several starts, each array with the starts first: they take their steps together."""
+
+    def __init__(self, models: list[Model]):
+        self.start, self.transition = np.stack([m.start for m in models]), np.stack([m.transition for m in models])
+        self.means, self.covariances = np.stack([m.means for m in models]), np.stack([m.covariances for m in models])
+
+    def one(self, i: int) -> Model:
+        return Model(self.start[i], self.transition[i], self.means[i], self.covariances[i])
+
+    def put(self, at: np.ndarray, other: Chains) -> None:
+        """Replaces the starts `at` by those of `other`."""
+        for name in ("start", "transition", "means", "covariances"):
+            getattr(self, name)[at] = getattr(other, name)
+
+    def some(self, at: np.ndarray) -> Chains:
+        out = object.__new__(Chains)
+        for name in ("start", "transition", "means", "covariances"):
+            setattr(out, name, getattr(self, name)[at])
+        return out
+
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        """(starts, rows, states): log densities."""
+        root = np.linalg.cholesky(self.covariances)
+        y = np.linalg.solve(root, np.swapaxes(x[None, None] - self.means[:, :, None], 2, 3))
+        size = 2 * np.log(np.diagonal(root, axis1=2, axis2=3)).sum(axis=2)
+        return np.swapaxes(-0.5 * ((y * y).sum(axis=2) + size[:, :, None] + x.shape[1] * np.log(2 * np.pi)), 1, 2)
+
+    def expected(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each start: log likelihood, state probabilities, expected transitions."""
+        e, log_t = self.emissions(x), safe_log(self.transition)
+        a, b = np.empty_like(e), np.zeros_like(e)
+        a[:, 0] = safe_log(self.start) + e[:, 0]
+        for t in range(1, len(x)):
+            a[:, t] = e[:, t] + log_sum(a[:, t - 1, :, None] + log_t, 1)
+        for t in range(len(x) - 2, -1, -1):
+            b[:, t] = log_sum(log_t + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2)
+        total = log_sum(a[:, -1], 1)
+        gamma = np.exp(a + b - total[:, None, None])
+        pairs = np.zeros_like(log_t)
+        for t in range(len(x) - 1):
+            pairs += np.exp(a[:, t, :, None] + log_t + (e[:, t + 1] + b[:, t + 1])[:, None, :] - total[:, None, None])
+        return total, gamma / gamma.sum(axis=2, keepdims=True), pairs
+
+    def likelihood(self, x: np.ndarray) -> np.ndarray:
+        e, log_t = self.emissions(x), safe_log(self.transition)
+        a = safe_log(self.start) + e[:, 0]
+        for t in range(1, len(x)):
+            a = e[:, t] + log_sum(a[:, :, None] + log_t, 1)
+        return log_sum(a, 1)
+
+    @staticmethod
+    def maximised(x: np.ndarray, gamma: np.ndarray, pairs: np.ndarray, ridge: float) -> Chains:
+        k, out = gamma.shape[2], object.__new__(Chains)
+        rows = pairs.sum(axis=2, keepdims=True)
+        out.transition = np.where(rows > FLOOR, pairs / np.maximum(rows, FLOOR), 1 / k)
+        out.start = gamma[:, 0] / gamma[:, 0].sum(axis=1, keepdims=True)
+        w = np.maximum(gamma.sum(axis=1), FLOOR)
+        out.means = np.einsum("rtk,td->rkd", gamma, x) / w[:, :, None]
+        c = x[None, None] - out.means[:, :, None]
+        out.covariances = np.einsum("rtk,rktd,rkte->rkde", gamma, c, c) / w[:, :, None, None] + np.eye(x.shape[1]) * ridge
+        return out
+
+
+def fit_together(blocks: list[np.ndarray], starts: list[list[Model]], iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[list[Model], float]:
+    """Independent chains over blocks of columns, fitted by EM from several starts (for each start a model of each block); the
+    best by the likelihood of all chains together, the first of equals.
+
+    A start stops when that likelihood settles, and must not fall.  Those that go on take each step as one array.
+    """
+    chains = [Chains(list(models)) for models in zip(*starts)]
+    ridges = [max(RIDGE * np.trace(pooled_covariance(x)) / x.shape[1], 1e-12) for x in blocks]
+    last, going = np.full(len(starts), -np.inf), np.arange(len(starts))
     for _ in range(iterations):
-        steps = [expectation(m, x) for m, x in zip(models, blocks)]
+        steps = [c.some(going).expected(x) for c, x in zip(chains, blocks)]
         total = sum(s[0] for s in steps)
-        if total < last - max(1.0, abs(last)) * 1e-3:
+        if (total < last[going] - np.maximum(1.0, np.abs(last[going])) * 1e-3).any():
             raise RuntimeError("the likelihood fell")
-        if abs(total - last) <= tolerance * max(1.0, abs(total)):
+        more = ~(np.abs(total - last[going]) <= tolerance * np.maximum(1.0, np.abs(total)))
+        if not more.any():
             break
-        models, last = [maximised(x, s[1], s[2], ridge) for x, s, ridge in zip(blocks, steps, ridges)], total
-    return [m.ordered() for m in models], float(sum(m.log_likelihood(x) for m, x in zip(models, blocks)))
+        going = going[more]
+        last[going] = total[more]
+        for c, x, (_, gamma, pairs), ridge in zip(chains, blocks, steps, ridges):
+            c.put(going, Chains.maximised(x, gamma[more], pairs[more], ridge))
+    total = sum(c.likelihood(x) for c, x in zip(chains, blocks))
+    best = int(total.argmax())
+    return [c.one(best).ordered() for c in chains], float(total[best])
+
+
+def fit(x: np.ndarray, k: int, seed: int, restarts: int = RESTARTS, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[Model, float]:
+    """The best of some restarts by likelihood, each from its own start, by EM."""
+    random = np.random.default_rng(seed)
+    found, total = fit_together([x], [[start_point(x, k, random)] for _ in range(restarts)], iterations, tolerance)
+    return found[0], total
+
+
+def starts_of(blocks: list[np.ndarray], states: list[int], seeds: list[int], restarts: int = RESTARTS) -> list[list[Model]]:
+    """For each restart a start of each chain, from the chain's own seed."""
+    return [[start_point(x, k, np.random.default_rng([s, i])) for x, k, s in zip(blocks, states, seeds)] for i in range(restarts)]
 
 
 FITS = "series_id string, states int, log_likelihood double, free_parameters int, information_criterion double, held_out_per_month double, second_modulus double, shortest_duration double, smallest_share double, start array<double>, transition array<array<double>>, means array<array<double>>, covariances array<array<array<double>>>"
 
 
-def fits(df: DataFrame, columns: list[str], states: list[int], seed: int = 20, holdout: float = 0.2, restarts: int = 3) -> DataFrame:
+def fits(df: DataFrame, columns: list[str], states: list[int], seed: int = 20, holdout: float = 0.2, restarts: int = RESTARTS) -> DataFrame:
     """One fit for each series and number of states, with what a choice among them needs; groups run side by side."""
     spread = df.na.drop(subset=columns).withColumn("states", F.explode(F.array(*(F.lit(k) for k in states))))
 

@@ -68,24 +68,21 @@ def given_models(spark: SparkSession, keys: DataFrame) -> DataFrame:
     return keys.distinct().crossJoin(F.broadcast(flat))  # one row
 
 
-def fitted_models(found: DataFrame, dates: DataFrame, growth: int = 2, levels: int = 2, restarts: int = 5, seed: int = 20) -> DataFrame:
-    """At each refit the product of a growth chain and a levels chain, fitted together: the best of all restarts, each
-    of which is a group of its own."""
+def fitted_models(found: DataFrame, dates: DataFrame, growth: int = 2, levels: int = 2, restarts: int = regimes.RESTARTS, seed: int = 20) -> DataFrame:
+    """At each refit the product of a growth chain and a levels chain, fitted together from several starts.  A group is the
+    panel of one refit date; its restarts take their steps as one array."""
     refits = dates.select(F.col("refit").alias("as_of")).distinct()
-    groups = found.join(F.broadcast(refits), "as_of").withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        refit, restart = key
+        refit = key[0]
         x = rows.sort_values("month")[list(KINDS)].to_numpy(dtype=float)
         own = seed + refit.year * 100 + refit.month
-        chains, total = regimes.fit_once([x[:, :1], x[:, 1:]], [growth, levels], [own, own + 1], restart)
+        blocks = [x[:, :1], x[:, 1:]]
+        chains, total = regimes.fit_together(blocks, regimes.starts_of(blocks, [growth, levels], [own, own + 1], restarts))
         joint = chains[0].times(chains[1])
-        return pd.DataFrame([{"refit": refit, **joint.flat(), "stationary": joint.stationary().tolist(), "log_likelihood": total, "restart": restart}])
+        return pd.DataFrame([{"refit": refit, **joint.flat(), "stationary": joint.stationary().tolist(), "log_likelihood": total}])
 
-    each = groups.groupBy("as_of", "restart").applyInPandas(run, MODEL + ", restart int")
-    names = [f.split()[0] for f in MODEL.split(", ")]
-    best = each.groupBy("refit").agg(F.max_by(F.struct(*names), F.struct("log_likelihood", -F.col("restart"))).alias("m"))
-    return best.select("m.*")
+    return found.join(F.broadcast(refits), "as_of").groupBy("as_of").applyInPandas(run, MODEL)
 
 
 def filtered(found: DataFrame, dates: DataFrame, models: DataFrame, columns: list[str]) -> DataFrame:
