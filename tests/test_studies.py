@@ -90,3 +90,18 @@ def test_series_service(spark, tmp_path):
     assert got == {("None", "2000-01-01", 1.5), ("None", "2000-02-01", None), ("2000-03-01", "2000-01-01", 1.4)}
     with pytest.raises(ValueError):
         list(service.parse("observation_date\n", "A", None))
+
+
+def test_lines_side_by_side_are_those_one_by_one():
+    rng = np.random.default_rng(8)
+    p = np.clip(rng.random(60), 0.005, 0.995)
+    x = np.log(p / (1 - p))
+    for share in (0.5, 0.04):
+        y = (rng.random(60) < share).astype(float)
+        weights = np.stack([np.bincount(rng.integers(0, 60, 60), minlength=60) for _ in range(80)] + [np.zeros(60, int), np.eye(60, dtype=int)[0]]).astype(float)
+        got, seen = calibration.logistic_lines(x, y, weights), 0
+        for line, w in zip(got, weights.astype(int)):
+            want = calibration.logistic_line(np.repeat(p, w), np.repeat(y, w)) if w.sum() else None
+            assert np.isnan(line).all() if want is None else line == pytest.approx(want, abs=1e-8)
+            seen += want is not None
+        assert seen > 20

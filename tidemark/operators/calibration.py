@@ -6,7 +6,6 @@ independent groups.  Newton's method needs passes over the same rows, so it is a
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -14,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bootstrap import SEED
+from .bootstrap import SEED, starts
 
 LOW, HIGH = 0.005, 0.995
 
@@ -64,33 +63,64 @@ def recalibrated(df: DataFrame, keys: list[str], key_schema: str) -> DataFrame:
     return rows.groupBy(*keys).applyInPandas(run, f"{key_schema}, n long, intercept double, slope double")
 
 
-BATCH = 50
-
-
-def slope_interval(df: DataFrame, keys: list[str], key_schema: str, date: str, block: int | Column, resamples: int = 1000, level: float = 0.95, seed: int = SEED) -> DataFrame:
+def logistic_lines(x: np.ndarray, y: np.ndarray, weights: np.ndarray, steps: int = 100, tolerance: float = 1e-10) -> np.ndarray:
+    """(resamples, 2): intercept and slope of the log odds of y on x for each row of weights (how often each forecast was
+    drawn), all by Newton's steps side by side; nan where either doesn't vary or nothing converges."""
+    total = weights.sum(axis=1)
+    mean = (weights @ x) / np.maximum(total, 1)
+    spread = np.sqrt(np.maximum((weights @ (x * x)) / np.maximum(total, 1) - mean * mean, 0))
+    positive, out, line = weights @ y, np.full((len(weights), 2), np.nan), np.tile([0.0, 1.0], (len(weights), 1))
+    going = np.flatnonzero((total >= 2) & (positive > 0) & (positive < total) & (spread >= 1e-7))
+    for _ in range(steps):
+        if not len(going):
+            break
+        w, l = weights[going], line[going]
+        q = 0.5 + 0.5 * np.tanh(0.5 * (l[:, :1] + l[:, 1:] * x))
+        d, r = w * (q * (1 - q)), w * (y - q)
+        a, b, c = d.sum(axis=1), d @ x, d @ (x * x)
+        g, h = r.sum(axis=1), r @ x
+        det, half = a * c - b * b, 0.5 * np.sqrt((a - c) ** 2 + 4 * b * b)
+        large, small = 0.5 * (a + c) + half, 0.5 * (a + c) - half  # the eigenvalues
+        sound = np.isfinite(l).all(axis=1) & (small > 0) & (large <= 1e14 * small)
+        going, det, a, b, c, g, h = (v[sound] for v in (going, det, a, b, c, g, h))
+        step = np.stack([(c * g - b * h) / det, (a * h - b * g) / det], axis=1)
+        line[going] += step
+        done = np.abs(step).max(axis=1) < tolerance if len(step) else np.empty(0, bool)
+        out[going[done]] = line[going[done]]
+        going = going[~done]
+    return out
+
+
+#: Resamples of one group, and numbers a group holds at once.
+BATCH, HELD = 2500, 2_000_000
+
+
+def slope_interval(df: DataFrame, keys: list[str], key_schema: str, date: str, block: int | Column, resamples: int = 10_000, level: float = 0.95, seed: int = SEED) -> DataFrame:
     """(keys, slope, lower, upper, usable): an interval by drawing blocks of consecutive dates, the same as the bootstrap
-    of sums draws.  A task fits `BATCH` resamples of a key; null where too few of them have a line."""
+    of sums draws.  A resample is weights of the forecasts, and a task fits `BATCH` of a key's side by side; null where
+    too few of them have a line."""
     rows = df.where(F.col("predicted").isNotNull() & F.col("realised").isNotNull()).select(*keys, F.col(date).alias("_date"), (block if isinstance(block, Column) else F.lit(block)).cast("int").alias("_block"), "predicted", "realised")
     batches = rows.withColumn("_batch", F.explode(F.sequence(F.lit(-1), F.lit((resamples - 1) // BATCH))))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_date", "predicted"])
         dates, number = np.unique(rows["_date"].to_numpy(), return_inverse=True)
-        edge = np.searchsorted(number, np.arange(len(dates) + 1))
-        p, y = rows["predicted"].to_numpy(), rows["realised"].to_numpy()
+        p, y = np.clip(rows["predicted"].to_numpy(), LOW, HIGH), rows["realised"].to_numpy()
+        x = np.log(p / (1 - p))
         *own, batch = key
         if batch < 0:  # all dates, once
-            line = logistic_line(p, y)
-            return pd.DataFrame([(*own, True, line[1] if line else None)], columns=[*keys, "whole", "x"])
-        n, size, out = len(dates), min(int(rows["_block"].iloc[0]), len(dates)), []
-        for resample in range(batch * BATCH, min(resamples, (batch + 1) * BATCH)):
-            names = (":".join(map(str, (seed, *own, resample, k))) for k in range(-(-n // size)))
-            starts = np.array([int(hashlib.md5(x.encode()).hexdigest()[:8], 16) % (n - size + 1) for x in names])
-            drawn = (starts[:, None] + np.arange(size)).ravel()[:n]
-            at = np.concatenate([np.arange(edge[d], edge[d + 1]) for d in drawn])
-            line = logistic_line(p[at], y[at])
-            out.append((*own, False, line[1] if line else None))
-        return pd.DataFrame(out, columns=[*keys, "whole", "x"])
+            slopes = logistic_lines(x, y, np.ones((1, len(x))))[:, 1]
+        else:
+            n, size, slopes = len(dates), min(int(rows["_block"].iloc[0]), len(dates)), []
+            drawn, each = range(batch * BATCH, min(resamples, (batch + 1) * BATCH)), max(1, HELD // len(x))
+            for first in range(drawn.start, drawn.stop, each):
+                some = range(first, min(drawn.stop, first + each))
+                a = starts(seed, tuple(own), some, -(-n // size), n - size + 1)
+                at = (a[:, :, None] + np.arange(size)).reshape(len(some), -1)[:, :n]
+                times = np.stack([np.bincount(r, minlength=n) for r in at])
+                slopes.append(logistic_lines(x, y, times[:, number].astype(float))[:, 1])
+            slopes = np.concatenate(slopes)
+        return pd.DataFrame({**dict(zip(keys, own)), "whole": batch < 0, "x": slopes})
 
     found = batches.groupBy(*keys, "_batch").applyInPandas(run, f"{key_schema}, whole boolean, x double")
     each = F.when(~F.col("whole") & ~F.isnan("x"), F.col("x"))
