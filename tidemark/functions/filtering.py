@@ -81,3 +81,27 @@ def forward(rows: Column, start: Column, transition: Column, at: str = "at", e:
     none = F.transform(F.slice(rows, 1, 0), lambda row: F.struct(row[at].alias("at"), start.alias("filtered"), F.lit(0.0).alias("log_likelihood")))
     empty = F.struct(F.slice(start, 1, 0).alias("alpha"), F.lit(0.0).alias("log_likelihood"), none.alias("out"))
     return let(log_columns(transition), lambda columns: F.aggregate(rows, empty, step(columns), lambda s: s["out"]))
+
+
+def smoothed(rows: Column, transition: Column, at: str = "at", filtered: str = "filtered") -> Column:
+    """array<struct<at, smoothed>> of sorted rows with fields `at` and `filtered`: the chances of the states given all rows.
+
+    From the last row back: a state's chance is its filtered one times how the states it can move to are seen with all
+    rows, against how they were expected from this row.
+    """
+    columns = F.transform(F.sequence(F.lit(0), F.size(transition) - 1), lambda j: F.transform(transition, lambda row: F.get(row, j)))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    def step(into: Column) -> Callable[[Column, Column], Column]:
+        def run(s: Column, row: Column) -> Column:
+            expected = F.transform(into, lambda column: dot(row[filtered], column))
+            ratio = F.zip_with(s["next"], expected, lambda x, e: F.when(e > 0, x / e).otherwise(0.0))
+            back = let(ratio, lambda q: F.zip_with(row[filtered], transition, lambda f, moves: f * dot(moves, q)))
+            here = F.when(F.size(s["next"]) == 0, row[filtered]).otherwise(back)
+            return let(here, lambda h: F.struct(h.alias("next"), F.concat(F.array(F.struct(row[at].alias("at"), h.alias("smoothed"))), s["out"]).alias("out")))
+
+        return run
+
+    none = F.transform(F.slice(rows, 1, 0), lambda row: F.struct(row[at].alias("at"), row[filtered].alias("smoothed")))
+    empty = F.struct(F.transform(F.slice(rows, 1, 0), lambda row: F.lit(0.0)).alias("next"), none.alias("out"))
+    return let(columns, lambda into: F.aggregate(F.reverse(rows), empty, step(into), lambda s: s["out"]))

@@ -322,6 +322,29 @@ def filtered_states(df: DataFrame, models: DataFrame, on: list[str], keys: list[
     return told.select(*keys, F.col("o.at").alias(time), F.col("o.filtered").alias("filtered"), F.col("o.log_likelihood").alias("log_likelihood"))
 
 
+def smoothed_states(df: DataFrame, models: DataFrame, on: list[str], keys: list[str], time: str, columns: list[str]) -> DataFrame:
+    """(keys, time, smoothed): the chances of the states given all rows of a group, for description only."""
+    rows = filtered_states(df, models, on, keys, time, columns)
+    groups = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("at"), "filtered"))).alias("rows")).join(models.select(*on, "transition"), on)
+    return groups.select(*keys, F.explode(filtering.smoothed(F.col("rows"), F.col("transition"))).alias("o")).select(*keys, F.col("o.at").alias(time), F.col("o.smoothed").alias("smoothed"))
+
+
+def described(states: DataFrame, values: DataFrame, models: DataFrame, on: list[str], keys: list[str], time: str, columns: list[str], cut: float = 0.5) -> DataFrame:
+    """(keys, state, label, means, share, duration, a mean of each column): every state in all dimensions.
+
+    `states` has `smoothed`; `values` (keys, time, columns) are natural, not standardised.  Shares and natural means
+    are weighted by the chance of being in the state; the label reads the model's own standardised means.
+    """
+    each = states.select(*keys, time, F.posexplode("smoothed").alias("state", "w")).join(values.select(*keys, time, *columns), [*keys, time], "left")
+    weighted = lambda c: F.sum(F.col("w") * F.col(c)) / F.greatest(F.sum(F.when(F.col(c).isNotNull(), F.col("w"))), F.lit(1e-12))
+    sums = each.groupBy(*keys, "state").agg(F.avg("w").alias("share"), *(weighted(c).alias(f"mean_{c}") for c in columns)).join(models.select(*on, "transition", "means"), on)
+    own = F.col("means")[F.col("state")]
+    word = lambda z: F.when(z > cut, "high").when(z < -cut, "low").otherwise("middling")
+    label = F.concat_ws(", ", F.zip_with(F.array(*map(F.lit, columns)), own, lambda name, z: F.concat(name, F.lit(" "), word(z))))
+    duration = 1 / (1 - F.least(F.col("transition")[F.col("state")][F.col("state")], F.lit(1 - 1e-12)))
+    return sums.select(*keys, "state", label.alias("label"), own.alias("means"), "share", duration.alias("duration"), *(f"mean_{c}" for c in columns))
+
+
 READINGS = "series_id string, month date, state int, filtered array<double>, smoothed array<double>"
 
 

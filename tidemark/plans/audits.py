@@ -254,20 +254,6 @@ def residual_correlation(spark, sf_dir):
     return scoring.weighted_correlation(z.join(states, ["panel", "month"]), ["panel", "state"], "inflation", "rates", "w", 5.0)
 
 
-@query(
-    W + f""", one AS (SELECT series_id, stay - entry AS ratio FROM (SELECT series_id, max_by(entry, known_month) AS entry, max_by(stay, known_month) AS stay FROM rates GROUP BY 1))
-    SELECT a.series_id AS first, b.series_id AS second, {r('greatest(abs(a.ratio), abs(b.ratio))')} AS second_modulus, {r('CASE WHEN greatest(abs(a.ratio), abs(b.ratio)) <= 0 THEN 0 ELSE ln(0.5) / ln(greatest(abs(a.ratio), abs(b.ratio))) END')} AS half_life, 12 AS joint_parameters, 4 AS separate_parameters FROM one a JOIN one b ON a.series_id < b.series_id"""
-)
-def product_chains(spark, sf_dir):
-    """Two independent chains as one: its second eigenvalue is the larger of theirs, at a third of the parameters."""
-    last = wf.known_rates(grid(spark, sf_dir)).groupBy("series_id").agg(F.max_by(F.col("stay") - F.col("entry"), "known_month").alias("ratio"))
-    last = stored(last, "ratios")
-    a, b = last.toDF("first", "x"), last.toDF("second", "y")
-    both = a.join(b, F.col("first") < F.col("second"))  # a few series
-    modulus = F.greatest(F.abs("x"), F.abs("y"))
-    return both.select("first", "second", modulus.alias("second_modulus"), pr.half_life(modulus).alias("half_life"), F.lit(12).alias("joint_parameters"), F.lit(4).alias("separate_parameters"))
-
-
 _FLOOR_N, _FLOOR_RUNS = 60, 200
 
 
