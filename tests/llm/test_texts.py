@@ -303,3 +303,33 @@ def test_minimum_cut_is_the_best_labelling():
 def test_redacted_column_keeps_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, "a@b.co")], "doc_id long, text string").select(pii.redacted()(F.col("text")).alias("t"))
     assert sorted(str(r.t) for r in df.collect()) == ["None", "[EMAIL]"]
+
+
+def test_personal_data_takes_time_in_proportion():
+    for unit in ("http://", "http://a:", "+1", "a@b", "1.", "token=", "4 ", "DE12 ", "://"):
+        t = time.perf_counter()
+        pii.find(unit * ((1_000_000 if "http" in unit else 200_000) // len(unit)))
+        assert time.perf_counter() - t < 8, unit  # quadratic would take minutes
+
+
+def urls_by_hand(text):
+    """Each scheme in turn, its run read anew."""
+    out, used = [], 0
+    for m in re.finditer(r"(?<=:)//", text):
+        at = m.start() - 1
+        s = pii.SCHEME.search(text, max(used, at - 5), at)
+        r = pii.LINK.match(text, at + 3)
+        if s and r:
+            end = at + 3 + len(r[0].rstrip(".,;:!?)]"))
+            if "." in text[at + 3 : end] or text.startswith("localhost", at + 3):
+                out.append((s.start(), "url", end))
+                used = end
+    return out
+
+
+def test_links_are_those_of_reading_each_scheme_anew():
+    rnd = random.Random(3)
+    parts = ["http://", "https://", "ftp://", "://", "a", "b.c", ".", "...", ")", " ", "localhost", "x/", "<", "://http://"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 9)))
+        assert [x for x in pii.find(text) if x[1] == "url"] == urls_by_hand(text), text

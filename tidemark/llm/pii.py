@@ -88,6 +88,7 @@ def find(text: str | None) -> list[tuple[int, str, int]]:
         return []
     spans: list[tuple[int, str, int]] = []
     email = ip = card = link = secret = account = 0  # up to where each kind has used up the text
+    tail = bare = dot = 0  # of the last run of link characters: its end, that without signs, its last dot
     for last, (anchor, size) in automaton().iter(text):
         at = last - size + 1
         if anchor == "digit":
@@ -117,11 +118,14 @@ def find(text: str | None) -> list[tuple[int, str, int]]:
                 spans.append((at, "phone", m.end()))
         elif anchor == "scheme":
             m = SCHEME.search(text, max(link, at - 5), at)
-            if m and (r := LINK.match(text, at + 3)):
-                end = at + 3 + len(r[0].rstrip(".,;:!?)]"))
-                if "." in text[at + 3 : end] or text.startswith("localhost", at + 3):
-                    spans.append((m.start(), "url", end))
-                    link = end
+            if m and at + 3 >= tail:  # a run of link characters that wasn't read yet: one is read once, however many schemes it holds
+                r = LINK.match(text, at + 3)
+                tail = r.end() if r else at + 3
+                bare = at + 3 + len(r[0].rstrip(".,;:!?)]")) if r else at + 3
+                dot = text.rfind(".", at + 3, bare)
+            if m and at + 3 < tail and (dot >= at + 3 or text.startswith("localhost", at + 3)):
+                link = max(bare, at + 3)
+                spans.append((m.start(), "url", link))
         elif (m := VALUE.match(text, last + 1)) and any("0" <= c <= "9" for c in m[1]):
             if anchor == "secret" and m.start(1) >= secret:
                 spans.append((m.start(1), "secret", m.end(1)))
