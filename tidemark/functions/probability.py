@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def shrunk(successes: Column, n: Column, pooled: Column, strength: float = 10.0) -> Column:
+def shrunk(successes: Column, n: Column, pooled: Column, strength: float | Column = 10.0) -> Column:
     """A rate drawn towards a pooled one that counts for `strength` trials; the pooled one where nothing counts."""
-    total = n + F.lit(strength)
+    strength = F.lit(strength)
+    total = n + strength
     return F.when(total > 0, (successes + strength * pooled) / total).otherwise(pooled)
 
 
@@ -106,6 +109,15 @@ def expected_duration(stay: Column) -> Column:
     return 1 / (1 - F.least(stay, F.lit(1 - 1e-12)))
 
 
+def normal_share(x: Column) -> Column:
+    """The share of a normal distribution below x, by its series in odd powers; beyond 6.5 as at 6.5."""
+    z = F.least(F.greatest(x, F.lit(-6.5)), F.lit(6.5))
+    zero = F.struct(z.alias("term"), z.alias("sum"))
+    step = lambda s, k: F.struct((s["term"] * z * z / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * z * z / (2 * k + 1)).alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(80)), zero, step, lambda s: s["sum"])
+    return 0.5 + series * F.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
+
+
 def label(*means: tuple[str, Column], cut: float = 0.5) -> Column:
     """A state in words, by its standardised means."""
     words = [F.concat(F.lit(f"{name} "), F.when(z > cut, "high").when(z < -cut, "low").otherwise("middling")) for name, z in means]

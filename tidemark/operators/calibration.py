@@ -65,18 +65,19 @@ def recalibrated(df: DataFrame, keys: list[str], key_schema: str) -> DataFrame:
 
 def logistic_lines(x: np.ndarray, y: np.ndarray, weights: np.ndarray, steps: int = 100, tolerance: float = 1e-10) -> np.ndarray:
     """(resamples, 2): intercept and slope of the log odds of y on x for each row of weights (how often each forecast was
-    drawn), all by Newton's steps side by side; nan where either doesn't vary or nothing converges."""
-    total = weights.sum(axis=1)
+    drawn), all by Newton's steps side by side; nan where either doesn't vary or nothing converges.  Outcomes are the
+    same for all rows, or a row each."""
+    y, total = np.broadcast_to(y, weights.shape), weights.sum(axis=1)
     mean = (weights @ x) / np.maximum(total, 1)
     spread = np.sqrt(np.maximum((weights @ (x * x)) / np.maximum(total, 1) - mean * mean, 0))
-    positive, out, line = weights @ y, np.full((len(weights), 2), np.nan), np.tile([0.0, 1.0], (len(weights), 1))
+    positive, out, line = (weights * y).sum(axis=1), np.full((len(weights), 2), np.nan), np.tile([0.0, 1.0], (len(weights), 1))
     going = np.flatnonzero((total >= 2) & (positive > 0) & (positive < total) & (spread >= 1e-7))
     for _ in range(steps):
         if not len(going):
             break
         w, l = weights[going], line[going]
         q = 0.5 + 0.5 * np.tanh(0.5 * (l[:, :1] + l[:, 1:] * x))
-        d, r = w * (q * (1 - q)), w * (y - q)
+        d, r = w * (q * (1 - q)), w * (y[going] - q)
         a, b, c = d.sum(axis=1), d @ x, d @ (x * x)
         g, h = r.sum(axis=1), r @ x
         det, half = a * c - b * b, 0.5 * np.sqrt((a - c) ** 2 + 4 * b * b)

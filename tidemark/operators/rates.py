@@ -33,6 +33,11 @@ def shrunk_rates(rows: DataFrame, keys: list[str], strength: float = 10.0) -> Da
     `rows` has `month`, `holds` and `weights` (the chance of each state, filtered: nothing later is known).  The first
     month has no month before it and counts for the occupancy alone.
     """
+    return drawn_rates(state_sums(rows, keys), keys, F.lit(strength))
+
+
+def state_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, state, ...): weighted counts in each state, and the rates of all states together."""
     w = Window.partitionBy(*keys).orderBy("month")
     each = rows.withColumn("before", F.lag("holds").over(w)).select(*keys, "month", "holds", "before", F.posexplode("weights").alias("state", "w"))
     y, off, on = F.col("holds"), F.col("before") == 0, F.col("before") == 1
@@ -40,11 +45,15 @@ def shrunk_rates(rows: DataFrame, keys: list[str], strength: float = 10.0) -> Da
         F.avg(y).alias("pool"), F.coalesce(F.avg(F.when(off, y)), F.lit(0.0)).alias("pool_entry"), F.coalesce(F.avg(F.when(on, y)), F.avg(y)).alias("pool_stay")
     )
     total = lambda c: F.coalesce(exact_sum(c), F.lit(0.0))
-    sums = each.groupBy(*keys, "state").agg(
+    return each.groupBy(*keys, "state").agg(
         total(F.col("w")).alias("n"), total(F.col("w") * y).alias("s"),
         total(F.when(off, F.col("w"))).alias("n_off"), total(F.when(off, F.col("w") * y)).alias("s_off"),
         total(F.when(on, F.col("w"))).alias("n_on"), total(F.when(on, F.col("w") * y)).alias("s_on"),
     ).join(pool, keys)
+
+
+def drawn_rates(sums: DataFrame, keys: list[str], strength: Column) -> DataFrame:
+    """The rates from counts, drawn towards the pooled ones by `strength`, which may be one of the keys."""
     one = F.struct(
         "state",
         pr.shrunk(F.col("s"), F.col("n"), F.col("pool"), strength).alias("occupancy"),

@@ -163,13 +163,14 @@ def payload_digests(spark, sf_dir):
     return lists.join(least, "event_type").select("event_type", "n", (F.col("one") * F.col("n")).alias("k"), "digest")
 
 
-_RULES = [("value_at_horizon_above", "point"), ("any_value_above_within_horizon", "any"), ("any_value_below_within_horizon", "any")]
-
-
-@query(f"SELECT rule, contains(rule, 'within') AS any_time, contains(rule, 'below') AS below, CASE WHEN contains(rule, 'within') THEN 'any_time_within_horizon' ELSE 'point_in_time' END AS composition FROM (VALUES {', '.join(f'''('{a}')''' for a, _ in _RULES)}) q(rule)")
+@query(W + "SELECT series_id, rule, contains(rule, 'within') AS any_time, contains(rule, 'below') AS below, CASE WHEN contains(rule, 'within') THEN 'any_time_within_horizon' ELSE 'point_in_time' END AS composition FROM (SELECT DISTINCT series_id, composition || '_' || CASE WHEN threshold > 250000 THEN 'above' ELSE 'below' END AS rule FROM found JOIN (SELECT series_id, median(value) AS threshold FROM raw GROUP BY 1) USING (series_id))")
 def rule_strings(spark, sf_dir):
-    """What the name of a question's rule says: which way, and when."""
-    return pr.rule_parts(spark.createDataFrame(_RULES, "rule string, kind string").select("rule"))
+    """What the name of each question's rule says: which way, and when.  A series that is usually above the threshold is asked
+    whether it is above, any other whether it is below."""
+    usual = tables.order_prices(spark, sf_dir).groupBy("series_id").agg(F.percentile("value", F.lit(0.5)).alias("usual"))
+    asked = oc.outcomes(grid(spark, sf_dir), wf.HORIZONS).select("series_id", "composition").distinct().join(usual, "series_id")
+    rules = asked.select("series_id", F.concat_ws("_", "composition", F.when(F.col("usual") > wf.THRESHOLD, "above").otherwise("below")).alias("rule"))
+    return rules.join(pr.rule_parts(rules.select("rule").distinct()), "rule").select("series_id", "rule", "any_time", "below", "composition")
 
 
 # ---- what the parts are worth
@@ -254,24 +255,6 @@ def residual_correlation(spark, sf_dir):
     return scoring.weighted_correlation(z.join(states, ["panel", "month"]), ["panel", "state"], "inflation", "rates", "w", 5.0)
 
 
-_FLOOR_N, _FLOOR_RUNS = 60, 200
-
-
-@query(
-    f"""WITH d AS (SELECT run, i, (i % 10 + 0.5) / 10 AS p, (('0x' || substr(md5(concat_ws(':', 'floor', run, i)), 1, 8))::BIGINT / 4294967296.0 < (i % 10 + 0.5) / 10)::INTEGER AS y FROM range({_FLOOR_RUNS}) a(run), range({_FLOOR_N}) b(i)),
-    e AS (SELECT run, sum(n * abs(p - y)) / sum(n) AS ece FROM (SELECT run, p, count(*) AS n, avg(y) AS y FROM d GROUP BY 1, 2) GROUP BY 1)
-    SELECT count(*) AS runs, {r('avg(ece)')} AS mean_error, {r('quantile_cont(ece, 0.95)')} AS high_error FROM e"""
-)
-def calibration_noise_floor(spark, sf_dir):
-    """The calibration error that perfect forecasts show by chance, over simulated samples."""
-    draws = spark.range(_FLOOR_RUNS).withColumnRenamed("id", "run").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(_FLOOR_N - 1))))
-    p = (F.col("i") % 10 + 0.5) / 10
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("floor"), F.col("run").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long") / 4294967296.0
-    rows = draws.withColumn("predicted", p).withColumn("realised", (draw < p).cast("double"))
-    each = scoring.calibration_error(rows, ["run"])
-    return each.agg(F.count("*").alias("runs"), F.avg("calibration_error").alias("mean_error"), F.percentile("calibration_error", F.lit(0.95)).alias("high_error"))
-
-
 @query(
     W + f""", last AS (SELECT series_id, max_by(z, month) AS z FROM (SELECT series_id, month, CASE WHEN count(value) OVER w >= 36 AND stddev_samp(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_samp(value) OVER w END AS z FROM grid WINDOW w AS (PARTITION BY series_id ORDER BY month ROWS UNBOUNDED PRECEDING)) WHERE z IS NOT NULL GROUP BY 1)
     SELECT series_id, {r('z')} AS z, 'price ' || CASE WHEN z > 0.5 THEN 'high' WHEN z < -0.5 THEN 'low' ELSE 'middling' END AS label FROM last"""

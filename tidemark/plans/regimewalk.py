@@ -91,21 +91,31 @@ def filtered(found: DataFrame, dates: DataFrame, models: DataFrame, columns: lis
     return regimes.filtered_states(dated, models, ["refit"], ["as_of", "refit"], "month", columns).select("as_of", "month", "refit", "filtered")
 
 
-def conditional(states: DataFrame, grid: DataFrame) -> DataFrame:
-    """(refit, series_id, occupancy, entry, stay, counts) from the conditions published by each refit."""
+def conditional(states: DataFrame, grid: DataFrame, strengths: list[float] | None = None) -> DataFrame:
+    """(refit, series_id, occupancy, entry, stay, counts) from the conditions published by each refit; with `strengths` for
+    each of them (a key `strength`), from the same counts."""
     at_refit = states.where("as_of = refit").select("refit", "month", F.col("filtered").alias("weights"))
     conditions = grid.where(F.col("holds").isNotNull()).select("series_id", "month", "holds")
     rows = conditions.join(at_refit, "month").where(F.date_add("month", wf.LAG_DAYS) <= F.col("refit"))
-    return rates.shrunk_rates(rows, ["refit", "series_id"], wf.STRENGTH)
+    keys = ["refit", "series_id"]
+    if strengths is None:
+        return rates.shrunk_rates(rows, keys, wf.STRENGTH)
+    sums = rates.state_sums(rows, keys).withColumn("strength", F.explode(F.array(*map(F.lit, strengths))))
+    return rates.drawn_rates(sums, [*keys, "strength"], F.col("strength"))
 
 
-def forecasts(grid: DataFrame, found: DataFrame, dates: DataFrame, models: DataFrame, columns: list[str], horizons: list[int] = wf.HORIZONS) -> DataFrame:
+def forecasts(grid: DataFrame, found: DataFrame, dates: DataFrame, models: DataFrame, columns: list[str], horizons: list[int] = wf.HORIZONS, strengths: list[float] | None = None) -> DataFrame:
     """One row per series, composition, horizon and forecast date: the model's chance, the chain's, their blend, the
-    chain of state and condition together, the effective sample and how far the states still are from their long run."""
+    chain of state and condition together, the effective sample and how far the states still are from their long run.
+
+    With `strengths` a row for each of them too: states, chain and reference don't depend on how firmly the rates are drawn
+    towards the pooled ones, so the strengths are one more dimension of what follows the counts.
+    """
+    more = ["strength"] if strengths else []
     states = stored(filtered(found, dates, models, columns), "states")
     now = states.groupBy("as_of", "refit").agg(F.max_by("filtered", "month").alias("d"))
     known = wf.known_rates(grid).select("series_id", F.col("month").alias("as_of"), "known_month", "now", F.col("entry").alias("chain_entry"), F.col("stay").alias("chain_stay"))
-    rows = now.join(conditional(states, grid), "refit").join(known, ["series_id", "as_of"]).join(models.select("refit", "transition", "stationary"), "refit")
+    rows = now.join(conditional(states, grid, strengths), "refit").join(known, ["series_id", "as_of"]).join(models.select("refit", "transition", "stationary"), "refit")
     rows = rows.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).withColumn("composition", F.explode(F.array(F.lit(oc.AT), F.lit(oc.ANY))))
     d, tm, h, at = F.col("d"), F.col("transition"), F.col("horizon"), F.col("composition") == oc.AT
     rows = rows.withColumn("after", pr.stepped(d, tm, h)).withColumn("gap", F.months_between("as_of", "known_month").cast("int"))
@@ -116,7 +126,7 @@ def forecasts(grid: DataFrame, found: DataFrame, dates: DataFrame, models: DataF
     chain = F.when(at, pr.chain_at(F.col("now"), F.col("chain_entry"), F.col("chain_stay"), F.col("gap") + h)).otherwise(pr.chain_within(there, F.col("chain_entry"), F.col("chain_stay"), h))
     weights = F.when(at, F.col("after")).otherwise(F.zip_with(d, "after", lambda x, y: 0.5 * (x + y)))
     rows = rows.withColumn("chain", chain).select(
-        "series_id", "composition", "horizon", F.col("as_of").alias("forecast_date"), "refit", "model", "chain",
+        *more, "series_id", "composition", "horizon", F.col("as_of").alias("forecast_date"), "refit", "model", "chain",
         pr.blend(F.col("model"), F.col("chain")).alias("predicted"),
         pr.joint_chain(d, tm, F.col("entry"), F.col("stay"), F.col("now"), F.col("gap"), h, at).alias("joint"),
         pr.expectation(weights, F.col("counts")).alias("effective_sample"),

@@ -74,7 +74,7 @@ _SWEEP = "(VALUES (0), (5), (10), (40)) k(strength)"
 
 
 @query(W + f", swept AS (SELECT k.strength, g.series_id, g.month, g.holds, (c.entries + strength * c.s / c.n) / (c.n_off + strength) AS entry, (c.stays + strength * c.s / c.n) / (c.n_on + strength) AS stay, c.now FROM cnt c JOIN grid g ON g.series_id = c.series_id AND g.month = (c.month + INTERVAL 1 MONTH)::DATE CROSS JOIN {_SWEEP} WHERE g.holds IS NOT NULL AND c.n_off > 0 AND c.n_on > 0) SELECT strength::INTEGER AS strength, count(*) AS n, {r('avg(pow(CASE WHEN now = 1 THEN stay ELSE entry END - holds, 2))')} AS brier FROM swept GROUP BY 1")
-def shrinkage_sweep(spark, sf_dir):
+def shrinkage_month_ahead(spark, sf_dir):
     """One month ahead with rates drawn more or less towards the base rate; the strengths are one more dimension."""
     g = grid(spark, sf_dir)
     counted = oc.states_of(g).where("n_off > 0 AND n_on > 0").withColumn("strength", F.explode(F.array(*map(F.lit, (0, 5, 10, 40)))))
