@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import probability as pr
 
 
-def conditional_rates(rows: DataFrame, key: str) -> DataFrame:
-    """(key, state, occupancy, entry, persistence, weight) from rows with `holds`, `before` and `weights` (one
+def conditional_rates(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, state, occupancy, entry, persistence, weight) from rows with `holds`, `before` and `weights` (one
     for each state): how often it holds, holds after a month in which it didn't, and after one in which it did."""
-    each = rows.select(key, "holds", "before", F.posexplode("weights").alias("state", "w"))
+    each = rows.select(*keys, "holds", "before", F.posexplode("weights").alias("state", "w"))
     w, y, off, on = F.col("w"), F.col("holds"), F.col("before") == 0, F.col("before") == 1
 
     def rate(where):
         return F.sum(F.when(where, w * y)) / F.nullif(F.sum(F.when(where, w)), F.lit(0.0))
 
-    return each.groupBy(key, "state").agg((F.sum(w * y) / F.nullif(F.sum(w), F.lit(0.0))).alias("occupancy"), rate(off).alias("entry"), rate(on).alias("persistence"), F.sum(w).alias("weight"))
+    return each.groupBy(*keys, "state").agg((F.sum(w * y) / F.nullif(F.sum(w), F.lit(0.0))).alias("occupancy"), rate(off).alias("entry"), rate(on).alias("persistence"), F.sum(w).alias("weight"))
 
 
 def exact_sum(x: Column) -> Column:

@@ -6,11 +6,14 @@ Dates are drawn in blocks as long as the horizon.  `RESAMPLES` draws are taken.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap, calibration, scoring
 from ..operators import outcomes as oc
+from ..sources import records
 from ..sources.scratch import stored
 from . import walkforward as wf
 from .library import W, grid, query, r, resolved, scored, with_horizons
@@ -19,11 +22,12 @@ RESAMPLES = 10_000
 SEED = bootstrap.SEED
 #: So many of the resamples must have a mean for an interval.
 LEAST_USABLE = max(20, RESAMPLES // 100)
-#: Fixed values of the rules: the least mean skill, the most calibration error, the least distance, the sub-periods and
-#: how many of them must be above zero.
-LEAST_SKILL, MOST_ERROR, LEAST_DISTANCE, PERIODS, GOOD_PERIODS = 0.02, 0.10, 0.05, 4, 3
-#: Fixed values of the skill curve: the shortest block and the fewest independent observations that tell anything.
-SHORTEST_BLOCK, LEAST_INDEPENDENT = 12, 10
+#: The rules are a document beside this module: the least mean skill, the most calibration error, the least distance, the
+#: sub-periods and how many of them must be above zero; of the skill curve the shortest block and the fewest
+#: independent observations that tell anything.
+RULES = records.rule_file(str(Path(__file__).with_name("rules.json")))
+LEAST_SKILL, MOST_ERROR, LEAST_DISTANCE, PERIODS, GOOD_PERIODS = (RULES["rule_0001"][n] for n in ("least_skill", "most_calibration_error", "least_distance", "periods", "good_periods"))
+SHORTEST_BLOCK, LEAST_INDEPENDENT = (RULES["skill_curve"][n] for n in ("shortest_block", "least_independent"))
 
 
 def unit() -> Column:
@@ -186,8 +190,9 @@ def good_periods(found: DataFrame) -> DataFrame:
     return each.groupBy("horizon").agg(F.sum((F.col("skill") > 0).cast("int")).alias("good"))
 
 
-def gates(conditions: DataFrame, forecasts: DataFrame) -> DataFrame:
-    """A row for each horizon with what the rules read, and the five gates of rule one."""
+def gates(conditions: DataFrame, forecasts: DataFrame, exist: DataFrame | None = None) -> DataFrame:
+    """A row for each horizon with what the rules read, and the five gates of rule one.  Whether there are regimes (one row,
+    `regimes_gate`) is read from the conditions unless a sweep of models said it."""
     rows = resolved(forecasts)
     found = cells(rows)
     ends = samples(found).groupBy("horizon").agg(F.percentile("skill", F.lit(0.05)).alias("lower"), F.percentile(F.expr(LEAD), F.lit(0.95)).alias("lead_upper"))
@@ -196,7 +201,7 @@ def gates(conditions: DataFrame, forecasts: DataFrame) -> DataFrame:
     error = scoring.calibration_error(rows, ["horizon"]).withColumnRenamed("calibration_error", "ece")
     far = forecasts.groupBy("horizon").agg(F.avg("distance").alias("distance"))
     joined = means.join(pooled, "horizon").join(ends, "horizon").join(error, "horizon").join(monotone(rows), "horizon", "left").join(good_periods(found), "horizon").join(far, "horizon")
-    joined = joined.crossJoin(F.broadcast(regimes_exist(conditions)))  # one row
+    joined = joined.crossJoin(F.broadcast(regimes_exist(conditions) if exist is None else exist))  # one row
     marks = {
         "skill_gate": (F.col("mean_skill") > LEAST_SKILL) & (F.col("lower") > 0),
         "calibration_gate": (F.col("ece") < MOST_ERROR) & (F.coalesce("reversals", F.lit(0)) == 0),

@@ -49,7 +49,7 @@ def r(expression: str) -> str:
 
 
 def with_horizons(horizons) -> str:
-    return f"""WITH RECURSIVE raw AS (SELECT o_orderpriority AS series_id, date_trunc('month', o_orderdate)::DATE AS month, avg(o_totalprice) AS value FROM orders WHERE o_orderdate < (SELECT date_trunc('month', max(o_orderdate)) FROM orders) GROUP BY 1, 2),
+    return f"""WITH RECURSIVE raw AS (SELECT o_orderpriority AS series_id, date_trunc('month', o_orderdate)::DATE AS month, avg(o_totalprice) AS value FROM orders WHERE o_orderdate < (SELECT date_trunc('month', CASE WHEN last_day(max(o_orderdate)) = max(o_orderdate)::DATE THEN max(o_orderdate) + INTERVAL 1 MONTH ELSE max(o_orderdate) END) FROM orders) GROUP BY 1, 2),
 span AS (SELECT series_id, min(month) AS a, max(month) AS b FROM raw GROUP BY 1),
 cal AS (SELECT series_id, unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS month FROM span),
 grid AS (SELECT c.series_id, c.month, v.value, CASE WHEN v.value > 250000 THEN 1::DOUBLE WHEN v.value <= 250000 THEN 0::DOUBLE END AS holds FROM cal c LEFT JOIN raw v ON v.series_id = c.series_id AND v.month = c.month),
@@ -330,24 +330,6 @@ def shrunk_rates(spark, sf_dir):
     return wf.known_rates(grid(spark, sf_dir))
 
 
-@query(
-    W + f"""SELECT c.series_id, s.state, {r('sum(g * now) / sum(g)')} AS occupancy, {r('sum(CASE WHEN before = 0 THEN g * now END) / nullif(sum(CASE WHEN before = 0 THEN g END), 0)')} AS entry, {r('sum(CASE WHEN before = 1 THEN g * now END) / nullif(sum(CASE WHEN before = 1 THEN g END), 0)')} AS persistence, {r('sum(g)')} AS weight
-    FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY month) AS i FROM cnt) c CROSS JOIN (VALUES (0), (1)) s(state), LATERAL (SELECT CASE WHEN s.state = 0 THEN (i % 10) / 10::DOUBLE ELSE 1 - (i % 10) / 10::DOUBLE END AS g) GROUP BY 1, 2"""
-)
-def conditional_rates_by_state(spark, sf_dir):
-    from ..operators.rates import conditional_rates
-
-    rows = oc.states_of(grid(spark, sf_dir))
-    place = F.row_number().over(F_window("series_id", "month")) % 10 / F.lit(10.0)
-    return conditional_rates(rows.withColumn("weights", F.array(place, 1 - place)), "series_id")
-
-
-def F_window(key: str, order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(order)
-
-
 def _chains(composition: str) -> str:
     return W + f"SELECT series_id, composition, horizon::INTEGER AS horizon, month AS forecast_date, {r('chain')} AS chain FROM chained WHERE composition = '{composition}'"
 

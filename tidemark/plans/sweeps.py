@@ -77,18 +77,27 @@ _CHAINS = {
 HELD_OUT = 0.2
 
 
-def given_fits(rows: DataFrame) -> DataFrame:
-    """(series_id, states, ...) as :func:`..operators.regimes.fits` gives them, of models whose states lie around each series' own
-    mean: likelihoods and shares come of the filter in column expressions."""
+def given_models(rows: DataFrame) -> DataFrame:
+    """(series_id, states, ...): models of one to three states that lie around each series' own mean."""
     usual = rows.groupBy("series_id").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"), F.count("x").alias("n"))
     array = lambda a: F.array(*(array(x) if isinstance(x, list) else F.lit(x) for x in a))
     kinds = F.array(*(F.struct(F.lit(k).alias("states"), array(s).alias("start"), array(t).alias("transition"), array(z).alias("z")) for k, (s, t, z) in _CHAINS.items()))
     models = usual.select("series_id", "m", "sd", "n", F.explode(kinds).alias("c")).select("series_id", "m", "sd", "n", "c.*")
-    models = models.withColumn("means", F.transform("z", lambda z: F.array(F.col("m") + z * F.col("sd")))).withColumn("covariances", F.transform("z", lambda _: F.array(F.array(F.col("sd") * F.col("sd")))))
-    models = stored(models, "models")
+    models = models.withColumn("means", F.transform("z", lambda z: F.array(F.col("m") + z * F.col("sd"))))
+    return stored(models.withColumn("covariances", F.transform("z", lambda _: F.array(F.array(F.col("sd") * F.col("sd"))))), "models")
+
+
+def given_states(rows: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """(series_id, states, month, filtered, log_likelihood) of rows (series_id, states, month, x)."""
     keys = ["series_id", "states"]
-    each = rows.withColumn("states", F.explode(F.array(*map(F.lit, _CHAINS))))
-    told = regimes.filtered_states(each, models, keys, keys, "month", ["x"])
+    return regimes.filtered_states(rows, given_models(rows) if models is None else models, keys, keys, "month", ["x"])
+
+
+def given_fits(rows: DataFrame) -> DataFrame:
+    """(series_id, states, ...) as :func:`..operators.regimes.fits` gives them, of the given models: likelihoods and shares come
+    of the filter in column expressions."""
+    models, keys = given_models(rows), ["series_id", "states"]
+    told = given_states(rows.withColumn("states", F.explode(F.array(*map(F.lit, _CHAINS)))), models)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("month"))
     told = told.withColumn("place", place).join(models.select(*keys, "n", "transition"), keys)
     out = F.floor(F.col("n") * HELD_OUT)
@@ -106,13 +115,17 @@ def given_fits(rows: DataFrame) -> DataFrame:
     )
 
 
-def _given_sql() -> str:
+EVENTS = "d AS (SELECT event_type AS series_id, ts::DATE AS day, avg(value) AS x FROM events GROUP BY 1, 2)"
+
+
+def given_sql(series: str = EVENTS, head: str = "WITH RECURSIVE") -> str:
+    """CTEs for DuckDB: `fits` of the given models over `d` (series_id, day, x), and `f`, the chances of the states."""
     t = [[(_CHAINS[k][1][i][j] if i < k and j < k else 0.0) for i in range(3) for j in range(3)] for k in _CHAINS]
     rows = ", ".join(f"({k}, {', '.join(f'{v}::DOUBLE' for v in [*(list(_CHAINS[k][0]) + [0.0] * 3)[:3], *(list(_CHAINS[k][2]) + [0.0] * 3)[:3], *t[k - 1]])}, {1 / (1 - min(min(_CHAINS[k][1][i][i] for i in range(k)), 1 - 1e-12))!r}::DOUBLE)" for k in _CHAINS)
     names = ["states", "s0", "s1", "s2", "z0", "z1", "z2", *(f"t{i}{j}" for i in range(3) for j in range(3)), "duration"]
     step = [f"(p0 * t0{j} + p1 * t1{j} + p2 * t2{j}) * e.e{j}" for j in range(3)]
-    return f"""WITH RECURSIVE ch({', '.join(names)}) AS (VALUES {rows}),
-    d AS (SELECT event_type AS series_id, ts::DATE AS day, avg(value) AS x FROM events GROUP BY 1, 2), u AS (SELECT series_id, avg(x) AS m, stddev_pop(x) AS sd, count(x) AS n FROM d GROUP BY 1),
+    return f"""{head} ch({', '.join(names)}) AS (VALUES {rows}),
+    {series}, u AS (SELECT series_id, avg(x) AS m, stddev_pop(x) AS sd, count(x) AS n FROM d GROUP BY 1),
     e AS MATERIALIZED (SELECT d.series_id, c.*, u.n, row_number() OVER (PARTITION BY d.series_id, c.states ORDER BY day) AS i, {', '.join(f"exp(-0.5 * pow((x - (m + z{j} * sd)) / sd, 2)) / (sd * sqrt(2 * pi())) AS e{j}" for j in range(3))} FROM d JOIN u ON u.series_id = d.series_id CROSS JOIN ch c),
     f AS (SELECT series_id, states, i, (s0 * e0 / w)::DOUBLE AS p0, (s1 * e1 / w)::DOUBLE AS p1, (s2 * e2 / w)::DOUBLE AS p2, ln(w)::DOUBLE AS ll FROM (SELECT *, s0 * e0 + s1 * e1 + s2 * e2 AS w FROM e WHERE i = 1) UNION ALL
         SELECT series_id, states, i, (q0 / w)::DOUBLE, (q1 / w)::DOUBLE, (q2 / w)::DOUBLE, (ll + ln(w))::DOUBLE FROM (SELECT *, q0 + q1 + q2 AS w FROM (SELECT e.series_id, e.states, e.i, f.ll, {', '.join(f'{s} AS q{j}' for j, s in enumerate(step))} FROM f JOIN e ON e.series_id = f.series_id AND e.states = f.states AND e.i = f.i + 1))),
@@ -120,14 +133,14 @@ def _given_sql() -> str:
     fits AS (SELECT series_id, states, ll, (states - 1) + states * (states - 1) + 2 * states AS free, (ll - early) / floor(n * {HELD_OUT}) AS held, duration, share, n, -2 * ll + ((states - 1) + states * (states - 1) + 2 * states) * ln(n) AS bic FROM g)"""
 
 
-@query(_given_sql() + f" SELECT series_id, states::INTEGER AS states, {r('ll')} AS log_likelihood, free::INTEGER AS free_parameters, {r('bic')} AS information_criterion, {r('held')} AS held_out_per_month, {r('duration')} AS shortest_duration, {r('share')} AS smallest_share FROM fits")
+@query(given_sql() + f" SELECT series_id, states::INTEGER AS states, {r('ll')} AS log_likelihood, free::INTEGER AS free_parameters, {r('bic')} AS information_criterion, {r('held')} AS held_out_per_month, {r('duration')} AS shortest_duration, {r('share')} AS smallest_share FROM fits")
 def given_model_scores(spark, sf_dir):
     """Likelihood, criterion, held-out score and shares of given models of one to three states."""
     return given_fits(daily(spark, sf_dir))
 
 
 @query(
-    _given_sql() + """, placed AS (SELECT *, states > 1 AND duration >= 3 AND share >= 0.05 AS ok, row_number() OVER (PARTITION BY series_id ORDER BY (states > 1 AND duration >= 3 AND share >= 0.05) DESC, held DESC NULLS LAST, states) AS place FROM fits)
+    given_sql() + """, placed AS (SELECT *, states > 1 AND duration >= 3 AND share >= 0.05 AS ok, row_number() OVER (PARTITION BY series_id ORDER BY (states > 1 AND duration >= 3 AND share >= 0.05) DESC, held DESC NULLS LAST, states) AS place FROM fits)
     SELECT series_id, coalesce(max(states) FILTER (place = 1 AND ok), 1)::INTEGER AS states, (max(states) FILTER (place = 2 AND ok))::INTEGER AS runner_up, arg_min(states, bic)::INTEGER AS by_criterion,
         coalesce(max(held) FILTER (states > 1) > max(held) FILTER (states = 1), false) AS on_holdout, coalesce(min(bic) FILTER (states > 1) < min(bic) FILTER (states = 1), false) AS on_criterion,
         coalesce(max(held) FILTER (states > 1) > max(held) FILTER (states = 1), false) AND coalesce(min(bic) FILTER (states > 1) < min(bic) FILTER (states = 1), false) AS exist FROM placed GROUP BY series_id"""

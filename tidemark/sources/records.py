@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,19 @@ def read_rule(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rule
 
 
+def rule_file(path: str, schema_version: int = 1) -> dict[str, dict[str, float]]:
+    """The decision rules of a JSON document: named sections of numbers.  Another version, or a value that is no number, is
+    refused."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    if not isinstance(found, dict) or found.pop("schema_version", None) != schema_version:
+        raise ValueError(f"{path}: schema_version must be {schema_version}")
+    for name, section in found.items():
+        if not isinstance(section, dict) or not all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in section.values()):
+            raise ValueError(f"{path}: {name} must hold numbers")
+    return found
+
+
 def checked(recorded: DataFrame, now: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:
     """(records, unknown, off): recorded values that can't be recomputed, or differ from what is."""
     both = recorded.select(*keys, F.col("value").alias("_recorded")).join(now.select(*keys, F.col("value").alias("_now")), keys, "left")

@@ -23,10 +23,13 @@ def monthly(df: DataFrame, ts: str, value: Column, series_id: Column) -> DataFra
 
 
 def order_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean order price by priority and month; the last month of the table, which may be cut, is left out."""
-    months = monthly(table(spark, sf_dir, "orders"), "o_orderdate", F.avg("o_totalprice"), F.col("o_orderpriority"))
-    last = months.agg(F.max("month")).first()[0]  # of the stored months, not of the raw rows
-    return months.where(F.col("month") < F.lit(last))
+    """Mean order price by priority and month; the last month of the table is left out unless its last day is there, as it
+    may be cut."""
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("series_id"), month_of("o_orderdate").alias("month"))
+    months = stored(orders.agg(F.avg("o_totalprice").cast("double").alias("value"), F.max(F.col("o_orderdate").cast("date")).alias("last")), "months")
+    last = months.agg(F.max("last").alias("last")).select(F.when(F.col("last") == F.last_day("last"), F.add_months("last", 1)).otherwise(F.col("last")).alias("last"))
+    cut = last.select(F.trunc("last", "MM").cast("date")).first()[0]  # of the stored months, not of the raw rows
+    return months.where(F.col("month") < F.lit(cut)).select("series_id", "month", "value")
 
 
 def line_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
