@@ -93,6 +93,27 @@ def test_signatures_estimate_similarity():
     assert abs((minhash.signature(a) == minhash.signature(b)).mean() - truth) < 0.15
 
 
+def test_small_sets_that_are_alike_always_share_a_key():
+    rng = np.random.default_rng(6)
+    for _ in range(6000):
+        n = int(rng.integers(1, 17))
+        both = int(rng.integers(-(-3 * n // 4), n + 1))
+        m = int(rng.integers(both, 4 * both // 3 + 1))
+        if 100 * both < 75 * (n + m - both):
+            continue
+        pool = np.unique(rng.integers(0, 2**64, 60, dtype=np.uint64))
+        rng.shuffle(pool)
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n : n + m - both]]))
+        assert np.intersect1d(minhash.first_keys(a), minhash.first_keys(b)).size
+    assert [len(minhash.first_keys(np.arange(n, dtype=np.uint64))) for n in (1, 3, 4, 16, 21, 22)] == [1, 1, 2, 5, 6, 0]
+
+
+def test_pairs_at_the_threshold_of_three_and_four_shingles_are_all_found(spark):
+    rows = [(2 * i + k, " ".join(f"w{i}x{j}" for j in range(7 + k))) for i in range(1500) for k in (0, 1)]  # 3 shingles, and those with one more
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("component_id = doc_id - doc_id % 2").count() == len(rows)
+
+
 def check_vectors(rows, got, cosine=0.98):
     ok = [(i, l, v) for i, l, v in rows if i is not None and l is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links = []
@@ -127,24 +148,26 @@ def test_similar_vectors(spark):
     assert capfilter.similar_vectors(df.limit(0)).count() == 0
 
 
-def test_filters_recall(spark):
-    rng = np.random.default_rng(3)
-    a = rng.standard_normal((400, 64))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    noise = rng.standard_normal((400, 64))
-    noise -= (noise * a).sum(axis=1, keepdims=True) * a
-    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+@pytest.mark.parametrize("dims, codes", [(2, 48), (8, 48), (16, 256), (32, 195), (64, 48), (64, 96), (64, 195), (64, 256), (128, 128), (384, 256)])
+def test_filters_recall_whatever_the_number_of_directions(dims, codes):
+    rng, n = np.random.default_rng(3), 1500
+    a = capfilter.unit(rng.standard_normal((n, dims)))
+    noise = rng.standard_normal((n, dims))
+    noise = capfilter.unit(noise - (noise * a).sum(axis=1, keepdims=True) * a)
     b = 0.98 * a + np.sqrt(1 - 0.98**2) * noise  # the farthest that are still links
-    for codes in (capfilter.CODES, 96):
-        met = [bool(np.intersect1d(x, y).size) for x, y in zip(capfilter.list_decode(a, codes), capfilter.list_decode(b, codes))]
-        assert np.mean(met) >= 0.99
+    met = [bool(np.intersect1d(x, y).size) for i in range(0, n, 300) for x, y in zip(capfilter.list_decode(a[i : i + 300], codes), capfilter.list_decode(b[i : i + 300], codes))]
+    assert np.mean(met) >= 0.99
+
+
+def test_directions_grow_with_the_label():
     assert [capfilter.codes_for(n) for n in (0, 10_000, 10**7, 10**12)] == [48, 48, 195, 256]
+    assert capfilter.keep_for(64, 48) == capfilter.KEEP < capfilter.keep_for(64, 256)
 
 
 def test_filters_are_the_highest_of_all():
     rng = np.random.default_rng(9)
-    v = capfilter.unit(rng.standard_normal((5, 20)))
-    rotation, parts = capfilter.code(20, 4)
+    v = capfilter.unit(rng.standard_normal((5, 64)))
+    rotation, parts = capfilter.code(64, 4)
     x = v @ rotation
     s = [x[:, b] @ d.T for b, d in parts]
     whole = (s[0][:, :, None, None, None] + s[1][:, None, :, None, None] + s[2][:, None, None, :, None] + s[3][:, None, None, None, :]).reshape(5, -1)

@@ -2,13 +2,15 @@
 
 Filter directions are the words of a random product code: a vector is rotated, cut into blocks, and each
 block has a number of random directions; a filter is one choice for every block.  A vector is list-decoded
-to all filters that exceed its threshold, which is the one that `KEEP` directions exceed: as the best
+to all filters that exceed its threshold, which is the one that `keep_for` directions exceed: as the best
 filters are sums of the best of either half, they are found without looking at all.  Vectors of one label
 that share a filter are candidates; each is verified by its cosine in double precision, so no link is below
 the threshold.  Nothing is capped: a full bucket is joined whole.
 
 The number of directions of a block grows with the fourth root of the largest label (from `CODES` to
-`MOST_CODES`), so that the filters which unrelated vectors share by chance stay few for each vector.
+`MOST_CODES`), so that the filters which unrelated vectors share by chance stay few for each vector, and the length of
+the lists grows with its square root, so that of pairs at the threshold at least 0.995 share a filter whatever the
+label's size.  Vectors of under `FEW_DIMS` dimensions have no room for more directions; they keep `CODES` and longer lists.
 
 Equal vectors of one label are one class from the start and counted by its size.  Pairs within a group
 of many different but close vectors are links, of which each row's number is asked, so they are made.
@@ -33,7 +35,7 @@ from .graph import components
 COSINE = 0.98
 BLOCKS = 4
 CODES, MOST_CODES = 48, 256
-KEEP = 24
+KEEP, FEW_DIMS = 24, 64
 #: Rows of other vectors that a vector may meet by chance, about.
 CHANCE = 4
 
@@ -43,6 +45,11 @@ def codes_for(rows: int) -> int:
     return int(min(MOST_CODES, max(CODES, np.ceil((rows * KEEP * KEEP / CHANCE) ** 0.25))))
 
 
+def keep_for(dims: int, codes: int) -> int:
+    """Filters of a vector's list."""
+    return 2 * KEEP if dims < FEW_DIMS else int(np.ceil(KEEP * max(1.0, codes / CODES) ** 0.5))
+
+
 @lru_cache(maxsize=8)
 def code(dims: int, codes: int = CODES) -> tuple[np.ndarray, list[np.ndarray]]:
     """A rotation of `dims` dimensions (at least 16, the others zero) and the directions of each block."""
@@ -69,12 +76,15 @@ def _best(scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
 
 def list_decode(vectors: np.ndarray, codes: int = CODES) -> np.ndarray:
     """The filters of each (unit) vector, a row for each."""
+    dims = vectors.shape[1]
+    codes = CODES if dims < FEW_DIMS else codes
+    keep = keep_for(dims, codes)
     rotation, parts = code(vectors.shape[1], codes)
     x = vectors @ rotation
     scores = [x[:, block] @ d.T for block, d in parts]
-    halves = [_best((scores[k][:, :, None] + scores[k + 1][:, None, :]).reshape(len(x), -1), KEEP) for k in (0, 2)]
+    halves = [_best((scores[k][:, :, None] + scores[k + 1][:, None, :]).reshape(len(x), -1), keep) for k in (0, 2)]
     (first, a), (second, b) = halves
-    top, _ = _best((a[:, :, None] + b[:, None, :]).reshape(len(x), -1), KEEP)
+    top, _ = _best((a[:, :, None] + b[:, None, :]).reshape(len(x), -1), keep)
     return np.take_along_axis(first, top // b.shape[1], axis=1).astype(np.int64) * codes**2 + np.take_along_axis(second, top % b.shape[1], axis=1)
 
 

@@ -14,8 +14,12 @@ Bands of large groups would give a quadratic number of pairs, so candidates are
     two blocks whose sizes allow the similarity meet in one task, which counts the common shingles of all its pairs of different components exactly and gives
     only the links that join components, never more than the documents it holds.
 A pair within one component needs no check, as it can't change the result; any other pair that shares
-a band and is similar enough is found, so nothing is capped.  At similarity 0.75 a pair shares no
-band with probability 5e-6.
+a band and is similar enough is found, so nothing is capped.
+
+The smallest and the largest of a small set aren't independent, so bands would miss more of small sets: those of up to
+`SMALL` shingles also get a key for each of their first shingles in the order of the hashes, as many as a set as
+similar can't do without (6 of 21).  Two sets of which one has up to 16 shingles always share such a key.  Of larger
+ones, at similarity 0.75 a pair shares no band with probability under 1e-5.
 
 Defined cases: a document of fewer words than five has its whole sequence as its one shingle.  Null,
 empty and blank texts have no shingle, are linked with nothing and kept.  `near_duplicates` speaks of
@@ -46,13 +50,15 @@ BANDS = 2 * PERMUTATIONS // ROWS
 #: Documents and shingles of a block of the third round, about.
 BLOCK, BLOCK_SHINGLES = 128, 131_072
 PERCENT = 75
+#: Shingles of a set that has exact keys too: a set similar to one of 16 has 21 at most.
+SMALL = 21
 #: Rows up to which a table of cluster sizes is broadcast: 40 bytes each.
 FEW = 250_000
 NO_ID = 2**63 - 1
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _PLACE = salts(SHINGLE, 11) | np.uint64(1)
-_ROW, _BAND = salts(ROWS, 14) | np.uint64(1), salts(BANDS, 15)
+_ROW, _BAND, _FIRST = salts(ROWS, 14) | np.uint64(1), salts(BANDS, 15), salts(1, 16)[0]
 _XOR = (salts(PERMUTATIONS, 12) >> np.uint64(32)).astype(np.uint32)
 _TIMES = (salts(PERMUTATIONS, 13) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -90,6 +96,14 @@ def band_keys(signed: np.ndarray) -> np.ndarray:
     return mix((values * _ROW).sum(axis=1) + _BAND).view(np.int64)
 
 
+def first_keys(found: np.ndarray) -> np.ndarray:
+    """Keys of a small set's first shingles: any two sets that have them and are similar enough share one, as both would
+    have to lack more than they may before their first common shingle."""
+    if len(found) > SMALL:
+        return np.empty(0, dtype=np.int64)
+    return mix(found[: len(found) + 1 + (-PERCENT * len(found) // 100)] ^ _FIRST).view(np.int64)
+
+
 def _told(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, text): the id, the largest where it is null, and a digest of the text."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("mark"), "text")
@@ -103,7 +117,7 @@ def features(docs: DataFrame) -> DataFrame:
         for a, b in groups_of(texts, 2_000_000):
             found = [shingles(t) for t in texts[a:b]]
             n, digest = [len(f) for f in found], [xxhash.xxh3_128_digest(f.tobytes()) if len(f) else None for f in found]
-            bands = [band_keys(signature(f)) if len(f) else None for f in found]
+            bands = [np.append(band_keys(signature(f)), first_keys(f)) if len(f) else None for f in found]
             ids = [batch.column(c).slice(start, b - a) for c in ("doc_id", "mark")]
             start = b
             yield pa.RecordBatch.from_arrays([*ids, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "mark", "n_shingles", "digest", "bands"])
