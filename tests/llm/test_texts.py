@@ -155,6 +155,25 @@ def brute_contamination(text, items):
     return len(w), len(hit), sorted(named)
 
 
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def all_matches(text, items):
+    """(word of the text, words) of every stretch that an item has too and that can't be made longer to the right."""
+    w, out = plain_words(text), set()
+    for _, item in items:
+        b = plain_words(item)
+        for i in range(len(w)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(w) and j + n < len(b) and w[i + n] == b[j + n]:
+                    n += 1
+                if b and (n >= 10 or j == 0 and n == len(b)):
+                    out.add((i, n))
+    return out
+
+
 @pytest.mark.parametrize("block_words", [10**6, 40])
 def test_decontamination_is_brute_force_s(spark, block_words):
     rng = random.Random(3)
@@ -169,7 +188,7 @@ def test_decontamination_is_brute_force_s(spark, block_words):
             n, hit, named = brute_contamination(t or "", [(str(a), b or "") for a, b in items])
             assert (got[i].n_words, got[i].n_hit, got[i].contaminated) == (n, hit, hit > 0), t
             assert got[i].n_items == len(named) and got[i].items_sha256 == hashlib.sha256(",".join(named).encode()).hexdigest()
-            assert got[i].longest == max((int(m.rpartition(":")[2]) for m in got[i].matches.split(",") if m), default=0)
+            assert got[i].longest == max((n for *_, n in all_matches(t or "", items)), default=0)
     kept = {r.doc_id for r in decontaminate.remove_contaminated(docs, bench, block_words=block_words).collect()}
     assert kept == {i for i, r in got.items() if not r.contaminated}
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
@@ -183,6 +202,43 @@ def test_longest_matches_have_their_places(spark):
     assert got == {(1, "8", 2, 5, 15), (2, "8", 0, 0, 30)}
 
 
+def test_longest_matches_are_those_that_none_covers(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(3)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([2, 9, 12, 40])))) for i in range(8)]
+    items += [(20, items[3][1]), (21, items[7][1] + " w1")]
+    cut = lambda: (lambda w: " ".join(w[rng.randrange(5) : len(w) - rng.randrange(5)]))(rng.choice(items)[1].split())
+    texts = [" x ".join(cut() for _ in range(4)) + " " + " ".join(rng.choices(vocab, k=20)) for _ in range(25)]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate.longest_matches(docs, bench).collect()
+    held = {str(i): plain_words(t) for i, t in items}
+    for doc, text in enumerate(texts):
+        own, found, want = plain_words(text), all_matches(text, items), set()
+        for a, n in found:
+            if not any((x, m) != (a, n) and x <= a and a + n <= x + m for x, m in found):
+                want.add((a, n))
+        mine = [r for r in got if r.doc_id == doc]
+        assert {(r.doc_word, r.n_words) for r in mine} == want and len(mine) == len(want)
+        assert all(own[r.doc_word : r.doc_word + r.n_words] == held[r.item_id][r.item_word : r.item_word + r.n_words] for r in mine)
+
+
+def test_suffixes_are_sorted():
+    rng = np.random.default_rng(2)
+    for n, k in ((1, 1), (30, 2), (200, 1), (300, 5)):
+        x = np.append(rng.integers(1, k + 1, n), -1)
+        assert decontaminate.suffix_array(x).tolist() == sorted(range(n + 1), key=lambda i: x[i:].tolist())
+
+
+def test_texts_and_items_that_share_a_passage_are_not_paired():
+    passage = [f"p{i}".encode() for i in range(10)]
+    t = time.perf_counter()
+    block = decontaminate.Block([(str(i), [b"a%d" % i, *passage, b"z%d" % i]) for i in range(2000)])
+    told = {}
+    rows = decontaminate.judged([[b"x%d" % i, *passage] for i in range(3000)], block, told)
+    assert {r[1:3] + r[4:] for r in rows} == {(10, 2000, True, 10)} and len(told) == 1
+    assert time.perf_counter() - t < 10
+
+
 CONTROLS = st.lists(st.sampled_from([*chat.CONTROL, "\\", "<", "|", "\n", "ab", "é", ""]), max_size=8).map("".join)
 
 

@@ -1,22 +1,21 @@
-"""Benchmark decontamination by training suffix arrays.
-
-The training texts are taken in shards (a bounded number of bytes of one task's rows).  For
-each shard a suffix array is made: the starts of all word suffixes, sorted by their first
-words.  Every suffix of every benchmark item is binary-searched in it, which gives all
-places of the shard that begin with the suffix's first `window` words; neighbouring places on
-one diagonal join to the longest verbatim matches, with their places in document and item.  From
-these a document is judged: its words inside a match are hit, and with one it is contaminated.
-
-A suffix that holds a word no benchmark item has within its window can't match, so the shard's
-array leaves such suffixes out.  The benchmark's words are counted first.  Up to `block_words` it
-goes to all tasks at once and no rows are shuffled; a larger one is taken in blocks of that size,
-each in a pass of its own whose matches are written to shared storage before the next is sent.
-
-Defined cases: null or empty texts and texts without words have n_words 0 and no hit.  An item
-with fewer words than the window is one window; an item without words matches nothing.  Repeated
-documents are each judged; repeated items each count.  An empty benchmark contaminates nothing.
-Further columns of either table are not read.  A match is `item:word of the document:word of the
-item:words`, words counted from 0, in the order of the document.
+"""Benchmark decontamination by suffix arrays.
+
+The training texts are taken in shards (a bounded number of bytes of one task's rows).  For each shard a suffix array is made:
+the starts of all word suffixes, sorted by their first words.  Every window of every benchmark suffix is
+binary-searched in it, which gives all places of the shard that begin with it; the words there are hit.  Each place that
+begins a hit is then searched in the benchmark's own suffix array, to any depth: its longest verbatim match is with one
+of its two neighbours there.  So a place has one longest match however many items hold it, and places and items are
+never paired.  Which items a window occurs in is a set, numbered once; a text's items are those of its sets.
+
+A suffix that holds a word no benchmark item has within its window can't match, so the shard's array leaves such
+suffixes out.  The benchmark's words are counted first.  Up to `BLOCK_WORDS` it goes to all tasks at once and no
+rows are shuffled; a larger one is taken in blocks of that size, each in a pass of its own whose findings are
+written to shared storage before the next is sent.  A block is arrays of some 60 bytes a word, and each different word once.
+
+Defined cases: null or empty texts and texts without words have n_words 0 and no hit.  An item with fewer words than the
+window is one window; an item without words matches nothing.  Repeated documents are each judged; repeated items
+each count.  An empty benchmark contaminates nothing.  Further columns of either table are not read.  A longest match
+of under `window` words counts only where it is a whole item.
 """
 
 from __future__ import annotations
@@ -32,53 +31,121 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import forget, small_batches, stored, utf8
+from .common import forget, mix, small_batches, stored, utf8
 
 WINDOW = 10
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 1_000_000
 SHARD_BYTES = 8_000_000
 
 #: Word bytes are digits, letters (A-Z as a-z) and all bytes of characters beyond ASCII; the others part words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, matches string"
+SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long"
+#: An odd number, so that it has an inverse modulo 2^64, for hashes of any stretch from sums over what comes before.
+_BASE = 0x9E3779B97F4A7C15
+#: Places looked up at once, and sets of items a task remembers the digest of.
+_AT_ONCE, _REMEMBERED = 200_000, 10_000
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
+def suffix_array(x: np.ndarray) -> np.ndarray:
+    """The starts of all suffixes of a sequence, sorted, by ranks over twice as many elements each round.  No suffix is the
+    beginning of another where the last element occurs once."""
+    rank, k = np.unique(x, return_inverse=True)[1].astype(np.int64), 1
+    while True:
+        second = np.full(len(x), -1, dtype=np.int64)
+        second[:-k] = rank[k:]
+        order = np.lexsort((second, rank))
+        new = np.append(0, np.cumsum((rank[order[1:]] != rank[order[:-1]]) | (second[order[1:]] != second[order[:-1]])))
+        rank[order] = new
+        if not len(x) or new[-1] == len(x) - 1 or k >= len(x):
+            return order
+        k *= 2
+
+
+class Hashed:
+    """A sequence of numbers any two stretches of which can be compared at once, with others of another sequence."""
+
+    def __init__(self, x: np.ndarray):
+        n = len(x)
+        power = np.cumprod(np.append(np.uint64(1), np.full(n, _BASE, dtype=np.uint64)))
+        self.sums = np.append(np.uint64(0), np.cumsum(mix(x.astype(np.int64).view(np.uint64)) * power[:n]))
+        self.back = np.cumprod(np.append(np.uint64(1), np.full(n, pow(_BASE, -1, 2**64), dtype=np.uint64)))
+
+    def of(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return (self.sums[start + length] - self.sums[start]) * self.back[start]
+
+
+def common_lengths(a: Hashed, p: np.ndarray, b: Hashed, t: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many elements the stretches of `a` at `p` and of `b` at `t` have in common from their start, `most` at most."""
+    length = np.zeros(len(p), dtype=np.int64)
+    step = 1 << int(most.max(initial=0)).bit_length()
+    while step:
+        longer = length + step
+        fits = np.flatnonzero(longer <= most)
+        same = a.of(p[fits], longer[fits]) == b.of(t[fits], longer[fits])
+        length[fits[same]] = longer[fits[same]]
+        step >>= 1
+    return length
+
+
 class Block:
-    """The windows of some benchmark items, as sorted fixed-width keys, with the items that hold them."""
+    """Some benchmark items: their words as numbers one after another, the suffixes sorted, and the windows as sorted keys with
+    the sets of items that hold them."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
-        self.ids: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = {}
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW, sorted_suffixes: bool = True):
+        self.window, self.ids = window, {}
         self.names = [name for name, _ in items]
+        lengths = np.array([len(w) for _, w in items], dtype=np.int64)
+        ends = np.cumsum(lengths + 1) - 1  # a place of its own after each item, with a number that occurs once
+        self.x = np.empty(int((lengths + 1).sum()), dtype=np.int64)
+        self.first = ends - lengths
         for k, (_, words) in enumerate(items):
-            seq = [self.ids.setdefault(w, len(self.ids) + 1) for w in words]
-            m = min(window, len(seq))
-            if m:
-                for i in range(len(seq) - m + 1):
-                    found.setdefault(m, {}).setdefault(tuple(seq[i : i + m]), []).append((k, i))
-        self.by_length = {}
-        for m, windows in sorted(found.items()):
-            keys = _keys(np.array(list(windows), dtype=np.uint32))
-            order = np.argsort(keys)
-            places = list(windows.values())
-            starts = np.cumsum([0, *(len(places[i]) for i in order)])
-            flat = np.array([p for i in order for p in places[i]], dtype=np.int64).reshape(-1, 2)
-            self.by_length[m] = (keys[order], starts, flat[:, 0], flat[:, 1])
-
-    def search(self, texts: list[list[bytes]]):
-        """For each window length: (places of a hit in the shard, its length, the number of the window).
-        Places count all words of the shard, with one place between texts."""
-        get = self.ids.get
-        ids = np.fromiter((get(w, 0) for words in texts for w in (*words, b"")), dtype=np.uint32)
-        end = np.where(ids == 0, np.arange(len(ids)), len(ids))
-        end = np.minimum.accumulate(end[::-1])[::-1] if len(ids) else end
-        room = end - np.arange(len(ids))
-        for m, (keys, starts, item, offset) in self.by_length.items():
+            self.x[self.first[k] : ends[k]] = [self.ids.setdefault(w, len(self.ids) + 1) for w in words]
+        self.x[ends] = -1 - np.arange(len(items))
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), lengths + 1)
+        self.room = ends[self.item] - np.arange(len(self.x)) if len(items) else np.empty(0, dtype=np.int64)
+        own = np.minimum(lengths, window)[self.item] if len(items) else self.room
+        found = []
+        for m in sorted(set(np.minimum(lengths, window).tolist()) - {0}):
+            at = np.flatnonzero((own == m) & (self.room >= m))
+            keys = _keys(self.x[at[:, None] + np.arange(m)])
+            order = np.lexsort((self.item[at], keys))
+            keys, item = keys[order], self.item[at[order]]
+            new = np.append(True, keys[1:] != keys[:-1])
+            fresh = new | np.append(True, item[1:] != item[:-1])  # a window that an item holds twice counts once
+            found.append((m, keys[new], item[fresh], np.flatnonzero(new[fresh])))
+        self._number(found)
+        if sorted_suffixes and len(items):
+            order = suffix_array(self.x)
+            self.sorted = order[self.x[order] > 0].astype(np.int32)
+            self.hashed = Hashed(self.x)
+
+    def _number(self, found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Numbers the sets of items that windows (length, keys, items, where each window's begin) are in: equal sets have
+        one number."""
+        items = np.concatenate([f[2] for f in found] or [np.empty(0, dtype=np.int64)])
+        shift = np.cumsum([0, *(len(f[2]) for f in found)])
+        start = np.concatenate([f[3] + s for f, s in zip(found, shift)] or [np.empty(0, dtype=np.int64)])
+        size = np.diff(np.append(start, len(items)))
+        total = np.add.reduceat(mix(items.astype(np.uint64) + np.uint64(1)), start) if len(start) else np.empty(0, dtype=np.uint64)
+        _, one, number = np.unique(mix(total ^ mix(size.astype(np.uint64))), return_index=True, return_inverse=True)
+        self.edge = np.append(0, np.cumsum(size[one]))
+        self.members = items[np.repeat(start[one] - self.edge[:-1], size[one]) + np.arange(self.edge[-1])].astype(np.int32)
+        cut = np.cumsum([0, *(len(f[1]) for f in found)])
+        self.by_length = {m: (keys, number[cut[i] : cut[i + 1]].astype(np.int32)) for i, (m, keys, *_) in enumerate(found)}
+
+    def items_of(self, sets: list[int]) -> np.ndarray:
+        """The items of some sets, once each."""
+        return np.unique(np.concatenate([self.members[self.edge[k] : self.edge[k + 1]] for k in sets]))
+
+    def search(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """For each window length: the places of a shard's words that begin with a window, the length, the window's number."""
+        room = _room(ids)
+        for m, (keys, number) in self.by_length.items():
             suffixes = np.flatnonzero(room >= m)
             if not len(suffixes):
                 continue
@@ -88,8 +155,27 @@ class Block:
             low, high = np.searchsorted(own, keys, "left"), np.searchsorted(own, keys, "right")
             n = high - low
             which = np.repeat(np.arange(len(keys)), n)
-            at = suffixes[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            yield at, m, which, starts, item, offset
+            yield suffixes[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], m, number[which]
+
+    def longest(self, ids: np.ndarray, hashed: Hashed, room: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each place of a shard: how many words its longest match with any suffix has, and that suffix."""
+        parts = [self._longest(ids, hashed, room, places[i : i + _AT_ONCE]) for i in range(0, len(places), _AT_ONCE)]
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (places, places)
+
+    def _longest(self, ids: np.ndarray, hashed: Hashed, room: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = np.zeros(len(p), dtype=np.int64), np.full(len(p), len(self.sorted), dtype=np.int64)
+        best, where, going = np.zeros(len(p), dtype=np.int64), np.zeros(len(p), dtype=np.int64), np.arange(len(p))
+        while len(going):  # a binary search for all of them; the neighbours of where each ends are among what it met
+            middle = (low[going] + high[going]) // 2
+            t, q = self.sorted[middle].astype(np.int64), p[going]
+            n = common_lengths(hashed, q, self.hashed, t, np.minimum(room[q], self.room[t]))
+            better = n > best[going]
+            best[going[better]], where[going[better]] = n[better], t[better]
+            right = self.x[t + n] < ids[q + n]
+            low[going[right]] = middle[right] + 1
+            high[going[~right]] = middle[~right]
+            going = going[low[going] < high[going]]
+        return best, where
 
 
 def _keys(windows: np.ndarray) -> np.ndarray:
@@ -97,50 +183,92 @@ def _keys(windows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(windows.astype(">u4")).view(f"S{4 * windows.shape[1]}").ravel()
 
 
-def _expand(at, which, starts):
-    """Each hit once for every item place of its window."""
-    n = starts[which + 1] - starts[which]
-    place = np.repeat(starts[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(at, n), place
-
-
-def _layout(texts: list[list[bytes]]):
-    """Words of each text, and where each starts when all stand one after another with one place between texts."""
-    lengths = np.array([len(x) for x in texts], dtype=np.int64)
-    first = np.cumsum(lengths + 1) - (lengths + 1)
-    return lengths, first
-
-
-def matches(texts: list[list[bytes]], block: Block) -> np.ndarray:
-    """The longest verbatim matches, one row each: text, number of the item, word of the text, word of the item, words."""
-    _, first = _layout(texts)
-    parts = [np.empty((0, 5), dtype=np.int64)]
-    for at, m, which, starts, item, offset in block.search(texts):
-        at, place = _expand(at, which, starts)
-        doc = np.searchsorted(first, at, "right") - 1
-        start, k, off = at - first[doc], item[place], offset[place]
-        order = np.lexsort((start, start - off, k, doc))
-        doc, start, k, off = doc[order], start[order], k[order], off[order]
-        new = np.ones(len(doc), dtype=bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (k[1:] != k[:-1]) | (start[1:] - off[1:] != start[:-1] - off[:-1]) | (start[1:] != start[:-1] + 1)
-        heads = np.flatnonzero(new)
-        parts.append(np.stack([doc[heads], k[heads], start[heads], off[heads], np.diff(np.append(heads, len(doc))) + m - 1], axis=1))
-    return np.concatenate(parts)
-
-
-def judged(n_words: int, found: list[tuple[str, int, int, int]]) -> tuple:
-    """What is said of a text of `n_words` words with these matches (item, word of the text, word of the item, words);
-    an item is named by its number and id, as several may have one id."""
-    hit = upto = 0
-    for a, n in sorted((a, n) for _, a, _, n in found):
-        hit += max(0, a + n - max(a, upto))
-        upto = max(upto, a + n)
-    items = sorted(name for _, name in {(k, name) for (k, name), *_ in found})
-    told = ",".join(f"{name}:{a}:{b}:{n}" for (_, name), a, b, n in sorted(found, key=lambda f: (f[1], f[2], f[0][1])))
-    return n_words, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0, max((n for *_, n in found), default=0), told
-
-
-def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Block]:
+def _room(ids: np.ndarray) -> np.ndarray:
+    """How many words from each place on are known ones."""
+    end = np.where(ids == 0, np.arange(len(ids)), len(ids))
+    return (np.minimum.accumulate(end[::-1])[::-1] if len(ids) else end) - np.arange(len(ids))
+
+
+class Shard:
+    """The words of some texts as a block numbers them (0: none of its words, or the place after a text), and their hits."""
+
+    def __init__(self, texts: list[list[bytes]], block: Block):
+        get = block.ids.get
+        self.block, self.ids = block, np.fromiter((get(w, 0) for words in texts for w in (*words, b"")), dtype=np.int64)
+        self.first = np.cumsum([0, *(len(w) + 1 for w in texts)])
+        found = [(at, np.full(len(at), m), number) for at, m, number in block.search(self.ids)] or [(np.empty(0, dtype=np.int64),) * 3]
+        self.at, self.length, self.set = (np.concatenate(x) for x in zip(*found))
+
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, at, "right") - 1
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Stretches of hit words: text, first word, one past the last."""
+        deep = np.zeros(len(self.ids) + 1, dtype=np.int64)
+        np.add.at(deep, self.at, 1)
+        np.add.at(deep, self.at + self.length, -1)
+        hit = np.cumsum(deep) > 0
+        change = np.flatnonzero(np.diff(hit, prepend=False, append=False))
+        start, end = change[::2], change[1::2]
+        text = self.text_of(start)
+        return text, start - self.first[text], end - self.first[text]
+
+    def longest(self, all_places: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Longest matches: text, word of the text, words, place in the block.  Of each stretch of hit words only the first
+        place's, and all places' where that doesn't reach the stretch's end or `all_places` are wanted; whole items
+        of under a window as they are."""
+        short = self.length < self.block.window
+        starts, order = np.unique(self.at[~short]), np.argsort(self.at[short], kind="stable")
+        at, n, where = self.at[short][order], self.length[short][order], np.full(int(short.sum()), -1)
+        if len(starts):
+            text, a, b = self.runs()
+            begin, end = a + self.first[text], b + self.first[text]
+            run = np.searchsorted(begin, starts, "right") - 1
+            hashed, room = Hashed(self.ids), _room(self.ids)
+            head = np.append(True, run[1:] != run[:-1])
+            n1, t1 = self.block.longest(self.ids, hashed, room, starts[head])
+            open_ = np.ones(len(begin), dtype=bool) if all_places else np.zeros(len(begin), dtype=bool)
+            open_[run[head]] |= starts[head] + n1 < end[run[head]]
+            rest = starts[~head & open_[run]]
+            n2, t2 = self.block.longest(self.ids, hashed, room, rest)
+            at, n, where = np.concatenate([at, starts[head], rest]), np.concatenate([n, n1, n2]), np.concatenate([where, t1, t2])
+        text = self.text_of(at)
+        return text, at - self.first[text], n, where
+
+    def items_of(self, text: np.ndarray) -> np.ndarray:
+        """The sets that windows of each text are in, once each: (text, set) sorted."""
+        return np.unique(np.stack([text, self.set], axis=1), axis=0)
+
+
+def judged(texts: list[list[bytes]], block: Block, told: dict[tuple[int, ...], tuple[int, str]]) -> list[tuple]:
+    """(n_words, n_hit, n_items, items_sha256, contaminated, longest) of each text; `told` remembers the digests of sets."""
+    shard = Shard(texts, block)
+    hit, long = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+    text, a, b = shard.runs()
+    np.add.at(hit, text, b - a)
+    text, _, n, _ = shard.longest()
+    np.maximum.at(long, text, n)
+    pairs = shard.items_of(shard.text_of(shard.at)).tolist()
+    sets: dict[int, list[int]] = {}
+    for i, number in pairs:
+        sets.setdefault(i, []).append(number)
+    out = []
+    for i, words in enumerate(texts):
+        key = tuple(sets.get(i, ()))
+        if key not in told:
+            if len(told) >= _REMEMBERED:
+                told.clear()
+            items = block.items_of(key) if key else ()
+            told[key] = len(items), digest([block.names[k] for k in items])
+        out.append((len(words), int(hit[i]), *told[key], bool(hit[i]), int(long[i])))
+    return out
+
+
+def digest(names: list[str]) -> str:
+    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+
+
+def blocks(benchmark: DataFrame, window: int, block_words: int, sorted_suffixes: bool = True) -> Iterator[Block]:
     """The benchmark in blocks of at most `block_words` words (or one item); the driver holds one at a time."""
     items, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
@@ -148,11 +276,11 @@ def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Bloc
         if not words:
             continue
         if items and size + len(words) > block_words:
-            yield Block(items, window)
+            yield Block(items, window, sorted_suffixes)
             items, size = [], 0
         items.append((row.item_id or "", words))
         size += len(words)
-    yield Block(items, window)
+    yield Block(items, window, sorted_suffixes)
 
 
 def _fits(benchmark: DataFrame, block_words: int) -> bool:
@@ -185,74 +313,118 @@ def sharded(df: DataFrame, fn: Callable[[list[list[bytes]], pa.Table], Iterator[
     return df.mapInArrow(run, schema)
 
 
-def _named(shard: list[list[bytes]], block: Block) -> dict[int, list]:
-    """The matches of each text that has some."""
-    out: dict[int, list] = {}
-    for doc, k, a, b, n in matches(shard, block).tolist():
-        out.setdefault(doc, []).append(((k, block.names[k]), a, b, n))
-    return out
-
-
 def _batch(ids: pa.ChunkedArray, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64()]
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     return pa.RecordBatch.from_arrays([ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=names)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: its words, those inside a match, the items matched, the longest match and all matches."""
+    """One row per document: its words, those inside a match, the items matched, and the longest match's words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     if not _fits(benchmark, block_words):
         return _in_passes(docs, benchmark, window, block_words)
     part = spark.sparkContext.broadcast(next(blocks(benchmark, window, block_words)))
+    told: dict[tuple[int, ...], tuple[int, str]] = {}
 
     def run(shard: list[list[bytes]], rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        found = _named(shard, part.value)
-        yield _batch(rows.column("doc_id"), [judged(len(x), found.get(i, [])) for i, x in enumerate(shard)])
+        yield _batch(rows.column("doc_id"), judged(shard, part.value, told))
 
     return sharded(docs, run, SCHEMA)
 
 
+FOUND = "key string, longest long, runs array<struct<a: long, b: long>>, items array<struct<number: long, name: string>>"
+
+
 def _in_passes(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
-    """A pass over the documents for each block; matches are kept by a digest of the text, then judged together."""
+    """A pass over the documents for each block; what a block finds is kept by a digest of the text, then put together."""
     spark, parts = docs.sparkSession, []
     keyed = docs.withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
     for number, block in enumerate(blocks(benchmark, window, block_words)):
         part = spark.sparkContext.broadcast(block)
-        parts.append(stored(sharded(keyed.select("key", "text"), _finder(part, number), "key string, number long, item string, a long, b long, n long").distinct(), "matches"))
+        parts.append(stored(sharded(keyed.select("key", "text"), _finder(part, number), FOUND).dropDuplicates(["key"]), "matches"))
         part.destroy()
-    found = reduce(DataFrame.union, parts).groupBy("key").agg(F.collect_list(F.struct("number", "item", "a", "b", "n")).alias("found"))
+    found = reduce(DataFrame.union, parts).groupBy("key").agg(F.max("longest").alias("longest"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
 
     def run(shard: list[list[bytes]], rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        told = ([((f["number"], f["item"]), f["a"], f["b"], f["n"]) for f in x.as_py() or ()] for x in rows.column("found"))
-        yield _batch(rows.column("doc_id"), [judged(len(x), f) for x, f in zip(shard, told)])
+        out = []
+        for words, n, runs, items in zip(shard, rows.column("longest"), rows.column("runs"), rows.column("items")):
+            hit = upto = 0
+            for a, b in sorted((r["a"], r["b"]) for r in runs.as_py() or ()):
+                hit += max(0, b - max(a, upto))
+                upto = max(upto, b)
+            names = [x["name"] for x in items.as_py() or ()]
+            out.append((len(words), hit, len(names), digest(names), hit > 0, n.as_py() or 0))
+        yield _batch(rows.column("doc_id"), out)
 
-    return sharded(keyed.join(found, "key", "left").select("doc_id", "text", "found"), run, SCHEMA)
+    return sharded(keyed.join(found, "key", "left").select("doc_id", "text", "longest", "runs", "items"), run, SCHEMA)
 
 
 def _finder(part: Broadcast, number: int):
-    def run(shard: list[list[bytes]], rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def run(texts: list[list[bytes]], rows: pa.Table) -> Iterator[pa.RecordBatch]:
         block, keys = part.value, rows.column("key")
-        out = [(keys[i].as_py(), number * 2**32 + k, name, a, b, n) for i, found in _named(shard, block).items() for (k, name), a, b, n in found]
-        if out:
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["key", "number", "item", "a", "b", "n"])
+        shard, runs, sets = Shard(texts, part.value), {}, {}
+        for i, a, b in zip(*(x.tolist() for x in shard.runs())):
+            runs.setdefault(i, []).append({"a": a, "b": b})
+        long = np.zeros(len(texts), dtype=np.int64)
+        text, _, n, _ = shard.longest()
+        np.maximum.at(long, text, n)
+        for i, k in shard.items_of(shard.text_of(shard.at)).tolist():
+            sets.setdefault(i, []).append(k)
+        out = []
+        for i, own in sets.items():
+            items = block.items_of(own).tolist()
+            out.append({"key": keys[i].as_py(), "longest": int(long[i]), "runs": runs[i], "items": [{"number": number * 2**32 + k, "name": block.names[k]} for k in items]})
+        place = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+        named = pa.list_(pa.struct([("number", pa.int64()), ("name", pa.string())]))
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("key", pa.string()), ("longest", pa.int64()), ("runs", place), ("items", named)]))
 
     return run
 
 
+MATCHES = "doc_id long, item_id string, doc_word long, item_word long, n_words long"
+
+
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The longest verbatim matches with their places, one row each."""
-    told = decontaminate(docs, benchmark, window, block_words).where("contaminated").select("doc_id", F.explode(F.split("matches", ",(?=[^,]*:[0-9]+:[0-9]+:[0-9]+(?:,|$))")).alias("m"))
-    place = lambda i: F.regexp_extract("m", "^(.*):([0-9]+):([0-9]+):([0-9]+)$", i)
-    return told.select("doc_id", place(1).alias("item_id"), *(place(i).cast("long").alias(c) for i, c in ((2, "doc_word"), (3, "item_word"), (4, "n_words"))))
+    """(doc_id, item_id, doc_word, item_word, n_words): the verbatim matches of each document that no longer one covers, each
+    with one place in the benchmark where it occurs.  A benchmark of several blocks gives those of each block."""
+    spark, out = docs.sparkSession, None
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    for block in blocks(benchmark, window, block_words):
+        rows = sharded(docs, _locator(spark.sparkContext.broadcast(block)), MATCHES)
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def _locator(part: Broadcast):
+    def run(texts: list[list[bytes]], rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        block, shard = part.value, Shard(texts, part.value)
+        text, a, n, t = shard.longest(all_places=True)
+        place = {m: dict(zip(_keys(block.x[at[:, None] + np.arange(m)]).tolist(), at.tolist())) for m in block.by_length if m < block.window for at in [np.flatnonzero((block.room == m) & (np.arange(len(block.x)) == block.first[block.item]))]}
+        order = np.lexsort((-n, a, text))
+        out, upto, last = [], -1, -1
+        for i in order.tolist():
+            if text[i] != last:
+                last, upto = text[i], -1
+            if a[i] + n[i] <= upto:
+                continue
+            upto, own = a[i] + n[i], t[i]
+            if own < 0:  # a whole short item
+                p = shard.first[text[i]] + a[i]
+                own = place[int(n[i])][_keys(shard.ids[None, p : p + n[i]]).tolist()[0]]
+            k = block.item[own]
+            out.append((rows.column("doc_id")[int(text[i])].as_py(), block.names[k], int(a[i]), int(own - block.first[k]), int(n[i])))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out) if out else [()] * 5, kinds)], [c.split()[0] for c in MATCHES.split(", ")])
+
+    return run
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents, with all their columns, that have no match with the benchmark."""
     spark, fits, before = docs.sparkSession, _fits(benchmark, block_words), None
-    for block in blocks(benchmark, window, block_words):
+    for block in blocks(benchmark, window, block_words, sorted_suffixes=False):
         part = spark.sparkContext.broadcast(block)
         left = sharded(docs, _keeper(part), docs.schema)
         if fits:
@@ -266,9 +438,9 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
 
 
 def _keeper(part: Broadcast):
-    def run(shard: list[list[bytes]], rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        keep = np.ones(len(shard), dtype=bool)
-        keep[matches(shard, part.value)[:, 0]] = False
+    def run(texts: list[list[bytes]], rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        keep, shard = np.ones(len(texts), dtype=bool), Shard(texts, part.value)
+        keep[shard.text_of(shard.at)] = False
         yield from rows.filter(pa.array(keep)).to_batches()
 
     return run

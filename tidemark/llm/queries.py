@@ -104,10 +104,10 @@ SQL: dict[str, str] = {
         hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM found) GROUP BY doc_id),
         items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item, item_id FROM found) GROUP BY doc_id),
         runs AS (SELECT doc_id, item, item_id, i, j, m, i - row_number() OVER (PARTITION BY doc_id, item, i - j ORDER BY i) AS run FROM found),
-        longest AS (SELECT doc_id, item_id::VARCHAR AS item_id, min(i) - 1 AS a, min(j) - 1 AS b, count(*) + any_value(m) - 1 AS n FROM runs GROUP BY doc_id, item, item_id, i - j, run),
-        told AS (SELECT doc_id, max(n) AS longest, string_agg(concat_ws(':', item_id, a, b, n), ',' ORDER BY a, b, item_id) AS matches FROM longest GROUP BY doc_id)
+        longest AS (SELECT doc_id, count(*) + any_value(m) - 1 AS n FROM runs GROUP BY doc_id, item, item_id, i - j, run),
+        told AS (SELECT doc_id, max(n) AS longest FROM longest GROUP BY doc_id)
         SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
-            coalesce(longest, 0)::BIGINT AS longest, coalesce(matches, '') AS matches
+            coalesce(longest, 0)::BIGINT AS longest
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN told USING (doc_id)""",
     "op7_chat": f"""
         WITH t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
