@@ -389,3 +389,13 @@ def test_links_are_those_of_reading_each_scheme_anew():
     for _ in range(3000):
         text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 9)))
         assert [x for x in pii.find(text) if x[1] == "url"] == urls_by_hand(text), text
+
+
+def test_equal_rows_without_a_conversation_are_dealt_out(spark):
+    rows = [(None, 0, "user", "the same text")] * 6000 + [(i, 0, "user", "hello") for i in range(50)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    packs = chat.packed(df, partitions=8, most=5000).withColumn("range", F.spark_partition_id())
+    sizes = [r.n for r in packs.groupBy("range").agg(F.sum(F.size("conversations")).alias("n")).collect()]
+    assert sum(sizes) == 6050 and len(sizes) >= 6 and max(sizes) < 2000
+    assert chat.read_back(packs.drop("range")).count() == 6050
+    assert chat.ranges(df, 1000) > chat.ranges(df, 10**9) == int(spark.conf.get("spark.sql.shuffle.partitions"))

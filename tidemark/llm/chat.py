@@ -34,7 +34,8 @@ START, MESSAGE, END = "<|start|>", "<|message|>", "<|end|>"
 #: What chat templates in public use take for control.
 CONTROL = (START, MESSAGE, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 LEARNED_ROLE = "assistant"
-PACK = 1_000_000
+#: Characters of a pack, about, and packs of a range.
+PACK, PACKS_A_RANGE = 1_000_000, 16
 
 _TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(MESSAGE) + "(.*?)" + re.escape(END), re.DOTALL)
 
@@ -95,11 +96,13 @@ class Pack:
 
 
 def paths(conversations: DataFrame) -> DataFrame:
-    """(conv_id, path, turns) of each conversation: its turns in order, and a hash of each turn with all before it."""
+    """(conv_id, path, turns, tie) of each conversation: its turns in order, a hash of each turn with all before it, and a
+    number that tells rows without conv_id apart, so that any number of equal ones can be dealt out."""
     turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"))
     whole = rows.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    whole = whole.unionByName(rows.where(F.col("conv_id").isNull()).select("conv_id", F.array("turn").alias("turns")))
+    alone = rows.where(F.col("conv_id").isNull()).select("conv_id", F.array("turn").alias("turns"), F.monotonically_increasing_id().alias("tie"))  # the table's own order
+    whole = whole.withColumn("tie", F.lit(0).cast("long")).unionByName(alone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,15 +113,21 @@ def paths(conversations: DataFrame) -> DataFrame:
                     h = xxhash.xxh3_64_digest(h + xxhash.xxh3_64_digest(t["role"].encode()) + t["text"].encode())
                     path.append(int.from_bytes(h, "little", signed=True))
                 out.append(path)
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(out, pa.list_(pa.int64())), batch.column("turns")], names=["conv_id", "path", "turns"])
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(out, pa.list_(pa.int64())), batch.column("turns"), batch.column("tie")], names=["conv_id", "path", "turns", "tie"])
 
-    return whole.mapInArrow(run, f"conv_id long, path array<long>, turns {dict(whole.dtypes)['turns']}")
+    return whole.mapInArrow(run, f"conv_id long, path array<long>, turns {dict(whole.dtypes)['turns']}, tie long")
+
+
+def ranges(conversations: DataFrame, most: int) -> int:
+    """As many ranges as the session shuffles to, or more where the texts would fill over `PACKS_A_RANGE` packs of each."""
+    letters = conversations.agg(F.sum(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 1)).first()[0] or 0
+    return max(int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-letters // (PACKS_A_RANGE * most)))
 
 
 def packed(conversations: DataFrame, partitions: int | None = None, most: int = PACK) -> DataFrame:
     """The packs: text emitted once, nodes with places, positions and attention intervals, leaf of each conversation."""
-    n = partitions or int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = paths(conversations).repartitionByRange(n, "path", "conv_id").sortWithinPartitions("path", "conv_id")
+    n = partitions or ranges(conversations, most)
+    ordered = paths(conversations).repartitionByRange(n, "path", "conv_id", "tie").sortWithinPartitions("path", "conv_id", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = Pack()
