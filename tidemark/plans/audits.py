@@ -12,7 +12,7 @@ from ..sources import register, records, store, tables
 from ..sources.scratch import stored
 from . import walkforward as wf
 from .gates import CELLS, cells, mean_skills, scoreable, sums_of
-from .library import _CLAIMS, _OTHER, _POLICY, _VINTAGES, K, W, _claims, _other, _policies, _vintages, as_of_dates, grid, query, r, scored, with_horizons
+from .library import _CLAIMS, _OTHER, _POLICY, _VINTAGES, K, W, _claims, _other, _policies, _vintages, as_of_dates, at, grid, query, r, scored, with_horizons
 from .regimewalk import PANELS, panel_matrices, panel_states
 
 # ---- what may be used from when
@@ -30,14 +30,14 @@ def honest_start(spark, sf_dir):
     return pointintime.honest_start(_policies(spark, sf_dir))
 
 
-@query(W + f", {_VINTAGES} SELECT d.as_of, s.series_id FROM {'(SELECT unnest(generate_series(TIMESTAMP %s, TIMESTAMP %s, INTERVAL 6 MONTH))::DATE AS as_of)' % ('''$$1994-01-01$$''', '''$$2001-01-01$$''')} d CROSS JOIN (SELECT DISTINCT series_id FROM facts) s WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.series_id = s.series_id AND f.known < d.as_of)")
+@query(W + f", {_VINTAGES} SELECT d.as_of, s.series_id FROM (SELECT unnest(generate_series({at(-12)}::TIMESTAMP, (SELECT max(o_orderdate)::TIMESTAMP FROM orders), INTERVAL 6 MONTH))::DATE AS as_of) d CROSS JOIN (SELECT DISTINCT series_id FROM facts) s WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.series_id = s.series_id AND f.known < d.as_of)")
 def missing_vintages(spark, sf_dir):
     """The (date, series) asked for of which nothing was known yet."""
-    dates = spark.range(1).select(F.explode(F.expr("sequence(date'1994-01-01', date'2001-01-01', interval 6 months)")).alias("as_of"))
+    dates = as_of_dates(spark, sf_dir, -12)
     from .library import facts
 
     known = stored(facts(spark, sf_dir).groupBy(F.col("l_returnflag").alias("series_id")).agg(F.min(F.trunc("known", "MM")).alias("first")), "known")
-    wanted = known.select("series_id").crossJoin(F.broadcast(dates))  # a few names with fifteen dates
+    wanted = known.select("series_id").crossJoin(F.broadcast(dates))  # a few names with two dates a year
     held = known.join(F.broadcast(dates), F.col("first") < F.col("as_of")).select(F.col("as_of").alias("vintage_date"), "series_id")
     return store.missing(wanted.withColumnRenamed("as_of", "vintage_date"), held).select(F.col("vintage_date").alias("as_of"), "series_id")
 
@@ -57,20 +57,20 @@ def _audit_sql(shift: int) -> str:
     one = with_horizons(wf.HORIZONS)
     head, _, rest = one.partition("grid AS (")
     body, _, tail = rest.partition("\nsparse AS (")
-    values = "CASE WHEN c.month + 45 > DATE '2000-03-01' THEN v.value * 1.7 + 11 ELSE v.value END"
+    values = f"CASE WHEN c.month + 45 > {at(62)} THEN v.value * 1.7 + 11 ELSE v.value END"
     changed = body.replace("v.value > 250000", f"{values} > 250000").replace("v.value <= 250000", f"{values} <= 250000")
     late = f"(forecast_date - INTERVAL {shift} MONTH)::DATE" if shift else "forecast_date"
     fields = "predicted, reference, chain, known_month, distance"
     first = f"{one} SELECT series_id, composition, horizon, {late} AS forecast_date, {fields} FROM fore"
     second = f"{head}grid AS ({changed}\nsparse AS ({tail} SELECT series_id, composition, horizon, {late} AS forecast_date, {fields} FROM fore"
     differ = " OR ".join(f"round(a.{c}::DOUBLE, 12) IS DISTINCT FROM round(b.{c}::DOUBLE, 12)" if c != "known_month" else "a.known_month IS DISTINCT FROM b.known_month" for c in fields.split(", "))
-    return f"SELECT count(*) FILTER (a.series_id IS NULL OR b.series_id IS NULL OR {differ}) AS differing, count(*) FILTER (a.series_id IS NULL OR b.series_id IS NULL OR {differ}) = 0 AS sound FROM (SELECT * FROM ({first}) WHERE forecast_date <= DATE '2000-03-01') a FULL JOIN (SELECT * FROM ({second}) WHERE forecast_date <= DATE '2000-03-01') b ON a.series_id = b.series_id AND a.composition = b.composition AND a.horizon = b.horizon AND a.forecast_date = b.forecast_date"
+    return f"SELECT count(*) FILTER (a.series_id IS NULL OR b.series_id IS NULL OR {differ}) AS differing, count(*) FILTER (a.series_id IS NULL OR b.series_id IS NULL OR {differ}) = 0 AS sound FROM (SELECT * FROM ({first}) WHERE forecast_date <= {at(62)}) a FULL JOIN (SELECT * FROM ({second}) WHERE forecast_date <= {at(62)}) b ON a.series_id = b.series_id AND a.composition = b.composition AND a.horizon = b.horizon AND a.forecast_date = b.forecast_date"
 
 
 def _audit(spark, sf_dir, shift: int) -> DataFrame:
     """Whole forecasts made by a cutoff, from the data and from data whose later values are changed, field by field.
     With `shift` the forecasts claim to be made that many months before they were: a planted leak."""
-    cutoff = F.lit("2000-03-01").cast("date")
+    cutoff = F.lit(tables.month_at(spark, sf_dir, 62))
     plain = grid(spark, sf_dir)
     changed = oc.condition(diff.perturbed(plain, F.date_add("month", wf.LAG_DAYS) > cutoff), wf.THRESHOLD)
     fields = ["predicted", "reference", "chain", "known_month", "distance"]
@@ -124,18 +124,18 @@ def name_sets_equal(spark, sf_dir):
     return diff.sets_equal("orders, dear orders", names[0], names[1]).unionByName(diff.sets_equal("orders, lines", names[0], names[2]))
 
 
-@query(W + f", {_CLAIMS} SELECT indicator, data_as_of, {r('probability')} AS probability FROM claims WHERE resolves_on <= DATE '2001-02-01' AND data_as_of >= DATE '1999-01-01'")
+@query(W + f", {_CLAIMS} SELECT indicator, data_as_of, {r('probability')} AS probability FROM claims WHERE resolves_on <= {at(73)} AND data_as_of >= {at(48)}")
 def open_claims(spark, sf_dir):
     """Due claims that aren't resolved yet."""
     claims = _claims(spark, sf_dir)
     none = spark.createDataFrame([], "indicator string, month date, outcome double")
-    return register.resolved(claims, none, "2001-02-01", claims.where("data_as_of < date'1999-01-01'")).select("indicator", "data_as_of", "probability")
+    return register.resolved(claims, none, tables.month_at(spark, sf_dir, 73), claims.where(F.col("data_as_of") < F.lit(tables.month_at(spark, sf_dir, 48)))).select("indicator", "data_as_of", "probability")
 
 
-@query(W + f", {_CLAIMS} SELECT max(data_as_of) AS last_round, (DATE '2001-02-01' - max(data_as_of))::INTEGER AS days, DATE '2001-02-01' - max(data_as_of) > 45 AS overdue FROM claims")
+@query(W + f", {_CLAIMS} SELECT max(data_as_of) AS last_round, ({at(73)} - max(data_as_of))::INTEGER AS days, {at(73)} - max(data_as_of) > 45 AS overdue FROM claims")
 def latest_round(spark, sf_dir):
     """The last round of claims, and whether the next is overdue."""
-    return register.staleness(_claims(spark, sf_dir).withColumn("made_on", F.col("data_as_of")), "2001-02-01")
+    return register.staleness(_claims(spark, sf_dir).withColumn("made_on", F.col("data_as_of")), tables.month_at(spark, sf_dir, 73))
 
 
 @query(

@@ -273,12 +273,12 @@ def store_snapshots(spark, sf_dir):
     return held.join(bad, "series_id", "left").withColumn("unsound", F.coalesce("unsound", F.lit(0)))
 
 
-@query(_OBSERVED + f", want AS (SELECT DISTINCT series_id, vintage FROM obs WHERE vintage IS NOT NULL UNION ALL SELECT 'growth', DATE '1900-01-01'), hits AS (SELECT count(*) FILTER (vintage <= DATE '{vintages.CUTOFF}' AND vintage > DATE '1900-01-01') AS h, count(*) AS n FROM want) SELECT n AS lookups, h AS hits, {r('h / n::DOUBLE')} AS hit_rate, (SELECT count(*) FROM obs WHERE vintage IS NOT NULL) AS observations FROM hits")
+@query(_OBSERVED + f", want AS (SELECT DISTINCT series_id, vintage FROM obs WHERE vintage IS NOT NULL UNION ALL SELECT 'growth', DATE '1900-01-01'), hits AS (SELECT count(*) FILTER (vintage <= {vintages.CUTOFF} AND vintage > DATE '1900-01-01') AS h, count(*) AS n FROM want) SELECT n AS lookups, h AS hits, {r('h / n::DOUBLE')} AS hit_rate, (SELECT count(*) FROM obs WHERE vintage IS NOT NULL) AS observations FROM hits")
 def store_fetches(spark, sf_dir):
     """All vintages asked of a store that holds the early ones: what it lacked was fetched and kept, and one that nobody has is
     empty."""
     path, source = folder(spark, "store"), stored(vintages.change_log(spark, sf_dir), "log")
-    store.write(source.where(F.col("vintage_date") <= F.lit(vintages.CUTOFF).cast("date")), path)
+    store.write(source.where(F.col("vintage_date") <= F.lit(tables.month_at(spark, sf_dir, vintages.CUTOFF_MONTH))), path)
     none = spark.createDataFrame([("growth", "1900-01-01")], "series_id string, vintage_date string").select("series_id", F.col("vintage_date").cast("date"))
     wanted = source.select("series_id", "vintage_date").distinct().unionByName(none)
     rows, statistics = store.get_or_fetch(wanted, path, lambda lacking: source.join(lacking, ["series_id", "vintage_date"], "left_semi"))
@@ -289,7 +289,7 @@ def store_fetches(spark, sf_dir):
 def register_lines(spark, sf_dir):
     """A register of JSON lines to which the same claims are brought twice, in two rounds: each is there once."""
     path, claims = folder(spark, "register"), stored(_claims(spark, sf_dir), "claims")
-    early = claims.where("data_as_of < date'1999-01-01'")
+    early = claims.where(F.col("data_as_of") < F.lit(tables.month_at(spark, sf_dir, 48)))
     register.append(register.new_claims(early, spark.createDataFrame([], register.CLAIMS)), path)
     register.append(register.new_claims(claims.union(claims.withColumn("made_on", F.date_add("made_on", 3))), register.read(spark, path)), path)
     return register.read(spark, path).groupBy("indicator", "data_as_of").agg(F.max("probability").alias("probability"), F.count("*").alias("lines"))

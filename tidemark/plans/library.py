@@ -48,6 +48,11 @@ def r(expression: str) -> str:
 # What the SQL shares: the same steps as in :mod:`.walkforward`, written for DuckDB.
 
 
+def at(months: int) -> str:
+    """The month so many after the first of the orders, for DuckDB."""
+    return f"(SELECT (date_trunc('month', min(o_orderdate)) + to_months({months}))::DATE FROM orders)"
+
+
 def with_horizons(horizons) -> str:
     return f"""WITH RECURSIVE raw AS (SELECT o_orderpriority AS series_id, date_trunc('month', o_orderdate)::DATE AS month, avg(o_totalprice) AS value FROM orders WHERE o_orderdate < (SELECT date_trunc('month', CASE WHEN last_day(max(o_orderdate)) = max(o_orderdate)::DATE THEN max(o_orderdate) + INTERVAL 1 MONTH ELSE max(o_orderdate) END) FROM orders) GROUP BY 1, 2),
 span AS (SELECT series_id, min(month) AS a, max(month) AS b FROM raw GROUP BY 1),
@@ -195,17 +200,18 @@ def observation_matrix(spark, sf_dir):
 
 # ---- point in time
 
-_DATES = "(SELECT unnest(generate_series(TIMESTAMP '1997-01-01', TIMESTAMP '2001-01-01', INTERVAL 6 MONTH))::DATE AS as_of)"
+_DATES = f"(SELECT unnest(generate_series({at(24)}::TIMESTAMP, (SELECT max(o_orderdate)::TIMESTAMP FROM orders), INTERVAL 6 MONTH))::DATE AS as_of)"
 
 
-def as_of_dates(spark: SparkSession) -> DataFrame:
-    """The dates asked about: every half year, a fixed list of nine."""
-    return spark.range(1).select(F.explode(F.expr("sequence(date'1997-01-01', date'2001-01-01', interval 6 months)")).alias("as_of"))
+def as_of_dates(spark: SparkSession, sf_dir: str, first: int = 24) -> DataFrame:
+    """The dates asked about: every half year, from so many months after the first of the orders to their last."""
+    orders = tables.table(spark, sf_dir, "orders").agg(F.add_months(F.trunc(F.min("o_orderdate"), "MM"), first).alias("a"), F.max("o_orderdate").cast("date").alias("b"))
+    return stored(orders.select(F.explode(F.sequence("a", "b", F.expr("interval 6 months"))).alias("as_of")), "as-of")
 
 
 @query(W + f"SELECT d.as_of, series_id, count(*) AS months, max(month) AS last_month, {r('avg(value)')} AS mean_value FROM {_DATES} d JOIN raw ON month + 45 <= d.as_of GROUP BY 1, 2")
 def publication_lag_asof(spark, sf_dir):
-    known = pointintime.published_by(tables.order_prices(spark, sf_dir), F.broadcast(as_of_dates(spark)), wf.LAG_DAYS)
+    known = pointintime.published_by(tables.order_prices(spark, sf_dir), F.broadcast(as_of_dates(spark, sf_dir)), wf.LAG_DAYS)
     return known.groupBy("as_of", "series_id").agg(F.count("*").alias("months"), F.max("month").alias("last_month"), F.avg("value").alias("mean_value"))
 
 
@@ -217,7 +223,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pointintime.vintages(facts(spark, sf_dir), F.broadcast(as_of_dates(spark)), "l_returnflag", "month", "known", F.col("l_extendedprice"))
+    return pointintime.vintages(facts(spark, sf_dir), F.broadcast(as_of_dates(spark, sf_dir)), "l_returnflag", "month", "known", F.col("l_extendedprice"))
 
 
 _VINTAGES = f"""facts AS (SELECT l_returnflag AS series_id, date_trunc('month', l_shipdate)::DATE AS month, date_trunc('month', greatest(o_orderdate, l_shipdate))::DATE AS known, l_extendedprice AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -230,16 +236,16 @@ def bitemporal_vintages(spark, sf_dir):
     return _vintages(spark, sf_dir)
 
 
-@query(W + f", {_VINTAGES} SELECT v.series_id, count(*) AS months, sum((abs(f.value - v.value) > 1e-9)::INTEGER)::BIGINT AS moved, {r('quantile_cont(abs(f.value - v.value), 0.5)')} AS median_change, {r('max(abs(f.value - v.value))')} AS largest_change FROM vint v JOIN final f ON v.series_id = f.series_id AND v.month = f.month WHERE v.as_of = DATE '1999-01-01' GROUP BY 1")
+@query(W + f", {_VINTAGES} SELECT v.series_id, count(*) AS months, sum((abs(f.value - v.value) > 1e-9)::INTEGER)::BIGINT AS moved, {r('quantile_cont(abs(f.value - v.value), 0.5)')} AS median_change, {r('max(abs(f.value - v.value))')} AS largest_change FROM vint v JOIN final f ON v.series_id = f.series_id AND v.month = f.month WHERE v.as_of = {at(48)} GROUP BY 1")
 def revision_audit(spark, sf_dir):
-    then = _vintages(spark, sf_dir).where("as_of = date'1999-01-01'")
+    then = _vintages(spark, sf_dir).where(F.col("as_of") == F.lit(tables.month_at(spark, sf_dir, 48)))
     now = tables.monthly(facts(spark, sf_dir), "month", F.avg("l_extendedprice"), F.col("l_returnflag"))
     return pointintime.revisions(then, now)
 
 
-@query(W + f", {_VINTAGES} SELECT v.series_id, count(*) AS months, sum(((v.value > 52500) <> (f.value > 52500))::INTEGER)::BIGINT AS flips FROM vint v JOIN final f ON v.series_id = f.series_id AND v.month = f.month WHERE v.as_of = DATE '1999-01-01' GROUP BY 1")
+@query(W + f", {_VINTAGES} SELECT v.series_id, count(*) AS months, sum(((v.value > 52500) <> (f.value > 52500))::INTEGER)::BIGINT AS flips FROM vint v JOIN final f ON v.series_id = f.series_id AND v.month = f.month WHERE v.as_of = {at(48)} GROUP BY 1")
 def threshold_flips(spark, sf_dir):
-    then = _vintages(spark, sf_dir).where("as_of = date'1999-01-01'")
+    then = _vintages(spark, sf_dir).where(F.col("as_of") == F.lit(tables.month_at(spark, sf_dir, 48)))
     now = tables.monthly(facts(spark, sf_dir), "month", F.avg("l_extendedprice"), F.col("l_returnflag"))
     return pointintime.threshold_flips(then, now, 52500.0)
 
@@ -251,7 +257,7 @@ policy AS (SELECT *, CASE WHEN NOT is_revised THEN 'unrevised' WHEN vintage_valu
 def _policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _vintages(spark, sf_dir).groupBy("as_of", "series_id").agg(F.count("value").alias("vintage_values"))
     series = tables.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("series_id")).distinct().withColumn("is_revised", F.col("series_id") != "N")
-    wanted = series.crossJoin(F.broadcast(as_of_dates(spark)))  # a few names with nine dates
+    wanted = series.crossJoin(F.broadcast(as_of_dates(spark, sf_dir)))  # a few names with two dates a year
     return pointintime.vintage_policy(wanted.join(found, ["as_of", "series_id"], "left").withColumn("vintage_values", F.coalesce("vintage_values", F.lit(0))), usable=40)
 
 
@@ -508,12 +514,12 @@ def result_checks(spark, sf_dir):
 
 # ---- comparing runs
 
-_OTHER = "other AS (SELECT series_id, month, CASE WHEN month >= DATE '2000-01-01' THEN value * 1.7 + 11 ELSE value + 1e-12 END AS value FROM grid WHERE month < DATE '2001-01-01')"
+_OTHER = f"other AS (SELECT series_id, month, CASE WHEN month >= {at(60)} THEN value * 1.7 + 11 ELSE value + 1e-12 END AS value FROM grid WHERE month < {at(72)})"
 
 
 def _other(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = diff.perturbed(grid(spark, sf_dir).select("series_id", "month", (F.col("value") + 1e-12).alias("value")), F.lit(False)).where("month < date'2001-01-01'")
-    return changed.withColumn("value", F.when(F.col("month") >= F.lit("2000-01-01").cast("date"), F.col("value") * 1.7 + 11).otherwise(F.col("value")))
+    changed = diff.perturbed(grid(spark, sf_dir).select("series_id", "month", (F.col("value") + 1e-12).alias("value")), F.lit(False)).where(F.col("month") < F.lit(tables.month_at(spark, sf_dir, 72)))
+    return changed.withColumn("value", F.when(F.col("month") >= F.lit(tables.month_at(spark, sf_dir, 60)), F.col("value") * 1.7 + 11).otherwise(F.col("value")))
 
 
 @query(W + f", {_OTHER} SELECT band, count(*) AS n FROM (SELECT CASE WHEN g.series_id IS NULL THEN 'ADDED' WHEN o.series_id IS NULL THEN 'REMOVED' WHEN g.value IS NOT DISTINCT FROM o.value THEN 'IDENTICAL' WHEN abs(g.value - o.value) <= 1e-9 THEN 'NUMERICAL' ELSE 'MOVED' END AS band FROM grid g FULL JOIN other o ON g.series_id = o.series_id AND g.month = o.month) GROUP BY 1")
@@ -526,10 +532,10 @@ def key_three_way_split(spark, sf_dir):
     return diff.key_split(grid(spark, sf_dir), _other(spark, sf_dir), ["series_id", "month"])
 
 
-@query(W + "SELECT series_id, count(*) AS values_, sum((month + 45 > DATE '2000-03-01' AND value IS NOT NULL)::INTEGER)::BIGINT AS perturbed FROM grid GROUP BY 1")
+@query(W + f"SELECT series_id, count(*) AS values_, sum((month + 45 > {at(62)} AND value IS NOT NULL)::INTEGER)::BIGINT AS perturbed FROM grid GROUP BY 1")
 def perturbation_counts(spark, sf_dir):
     g = grid(spark, sf_dir)
-    after = diff.perturbed(g, F.date_add("month", wf.LAG_DAYS) > F.lit("2000-03-01").cast("date"))
+    after = diff.perturbed(g, F.date_add("month", wf.LAG_DAYS) > F.lit(tables.month_at(spark, sf_dir, 62)))
     both = g.select("series_id", "month", "value").join(after.select("series_id", "month", F.col("value").alias("other")), ["series_id", "month"])
     return both.groupBy("series_id").agg(F.count("*").alias("values_"), F.sum((F.col("value") != F.col("other")).cast("long")).alias("perturbed"))
 
@@ -545,23 +551,23 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLAIMS = "claims AS (SELECT series_id || '/' || composition AS indicator, forecast_date AS data_as_of, round(predicted, 9) AS probability, reference AS base, realised, (forecast_date + INTERVAL 12 MONTH)::DATE AS resolves_on FROM fore WHERE horizon = 12 AND month(forecast_date) = 1)"
 
 
-@query(W + f", {_CLAIMS} SELECT indicator, data_as_of, {r('probability')} AS probability FROM claims WHERE data_as_of >= DATE '1999-01-01'")
+@query(W + f", {_CLAIMS} SELECT indicator, data_as_of, {r('probability')} AS probability FROM claims WHERE data_as_of >= {at(48)}")
 def register_dedup(spark, sf_dir):
     claims = _claims(spark, sf_dir)
     again = claims.union(claims.withColumn("made_on", F.date_add("made_on", 5)))
-    return register.new_claims(again, claims.where("data_as_of < date'1999-01-01'")).select("indicator", "data_as_of", "probability")
+    return register.new_claims(again, claims.where(F.col("data_as_of") < F.lit(tables.month_at(spark, sf_dir, 48)))).select("indicator", "data_as_of", "probability")
 
 
 def _resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = wf.forecasts(spark, sf_dir).where("horizon = 12").select(F.concat_ws("/", "series_id", "composition").alias("indicator"), F.add_months("forecast_date", 12).alias("month"), F.col("realised").alias("outcome"))
-    return register.resolved(_claims(spark, sf_dir), told, "2001-02-01")
+    return register.resolved(_claims(spark, sf_dir), told, tables.month_at(spark, sf_dir, 73))
 
 
-@query(W + f", {_CLAIMS} SELECT indicator, data_as_of, resolves_on, CASE WHEN realised IS NULL THEN 'pending' ELSE 'resolved' END AS state, {r('(probability - realised) * (probability - realised)')} AS brier FROM claims WHERE resolves_on <= DATE '2001-02-01'")
+@query(W + f", {_CLAIMS} SELECT indicator, data_as_of, resolves_on, CASE WHEN realised IS NULL THEN 'pending' ELSE 'resolved' END AS state, {r('(probability - realised) * (probability - realised)')} AS brier FROM claims WHERE resolves_on <= {at(73)}")
 def due_and_resolved(spark, sf_dir):
     return _resolutions(spark, sf_dir).select("indicator", "data_as_of", "resolves_on", "state", "brier")
 
 
-@query(W + f", {_CLAIMS}, told AS (SELECT (probability - realised) * (probability - realised) AS b, (base - realised) * (base - realised) AS c FROM claims WHERE resolves_on <= DATE '2001-02-01'), one AS (SELECT count(b) AS n, {r('avg(b)')} AS brier, {r('avg(c)')} AS brier_climatology, {r('CASE WHEN count(b) >= 10 THEN 1 - sum(b) / nullif(sum(c), 0) END')} AS skill FROM told) SELECT 1::INTEGER AS horizon_years, * FROM one UNION ALL SELECT NULL, * FROM one")
+@query(W + f", {_CLAIMS}, told AS (SELECT (probability - realised) * (probability - realised) AS b, (base - realised) * (base - realised) AS c FROM claims WHERE resolves_on <= {at(73)}), one AS (SELECT count(b) AS n, {r('avg(b)')} AS brier, {r('avg(c)')} AS brier_climatology, {r('CASE WHEN count(b) >= 10 THEN 1 - sum(b) / nullif(sum(c), 0) END')} AS skill FROM told) SELECT 1::INTEGER AS horizon_years, * FROM one UNION ALL SELECT NULL, * FROM one")
 def scorecard_rollup(spark, sf_dir):
     return register.scorecard(_resolutions(spark, sf_dir))

@@ -11,7 +11,7 @@ from ..operators import regimes, timegrid, transforms
 from ..sources import tables
 from ..sources.scratch import folder
 from ..streaming import streams
-from .library import query, r
+from .library import as_of_dates, query, r
 from .walkforward import LAG_DAYS
 
 
@@ -105,7 +105,7 @@ def two_chain_walk_forward(spark, sf_dir):
     change = transforms.transformed(grid.where("series_id <> 'rates'"), transforms.LOG_CHANGE)
     plain = transforms.transformed(grid.where("series_id = 'rates'"), transforms.LEVEL)
     wide = change.unionByName(plain).groupBy("month").pivot("series_id", ["growth", "inflation", "rates"]).agg(F.first("transformed")).na.drop()
-    dates = spark.range(1).select(F.explode(F.expr("sequence(date'1998-01-01', date'2001-07-01', interval 6 months)")).alias("refit_date"))
+    dates = as_of_dates(spark, sf_dir, 36).withColumnRenamed("as_of", "refit_date")
     panel = wide.join(F.broadcast(dates), F.date_add("month", LAG_DAYS) <= F.col("refit_date"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -9,6 +9,8 @@ latest state, cut by the publication lag.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +20,13 @@ from ..sources import forks, tables
 from ..sources.scratch import folder, stored
 from . import regimewalk as rw
 from . import walkforward as wf
-from .library import W, query, r
+from .library import W, at, query, r
 
 USABLE = 54
 REVISED = {"growth": True, "inflation": True, "rates": False}
-CUTOFF = "2000-03-01"
+#: The audit's cutoff, in months after the first of the orders, and the same for DuckDB.
+CUTOFF_MONTH = 62
+CUTOFF = at(CUTOFF_MONTH)
 #: Whole forecasts are compared: every field that a run makes.
 FIELDS = ["model", "chain", "predicted", "joint", "effective_sample", "distance", "reference"]
 PRICE = "price/"
@@ -91,8 +95,8 @@ def _log(changed: bool) -> str:
 told3 AS (SELECT date_trunc('month', l_shipdate)::DATE AS month, (date_trunc('month', greatest(o_orderdate, l_shipdate)) + INTERVAL 1 MONTH)::DATE AS told, count(*) AS n, sum(l_extendedprice) AS p, sum(l_discount) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
 upto AS (SELECT month, told, sum(n) OVER w AS n, sum(p) OVER w AS p, sum(d) OVER w AS d FROM told3 WINDOW w AS (PARTITION BY month ORDER BY told)),
 log0 AS (SELECT 'growth' AS series_id, month, told, n::DOUBLE AS value FROM upto UNION ALL SELECT 'inflation', month, told, p / n FROM upto UNION ALL SELECT 'rates', month, told, d / n FROM upto),
-latest AS (SELECT series_id, month, {other(f"month + {wf.LAG_DAYS} > DATE '{CUTOFF}'")} AS value FROM (SELECT series_id, month, max_by(value, told) AS value FROM log0 GROUP BY 1, 2)),
-log1 AS (SELECT series_id, month, told, {other(f"told > DATE '{CUTOFF}'")} AS value FROM log0),
+latest AS (SELECT series_id, month, {other(f"month + {wf.LAG_DAYS} > {CUTOFF}")} AS value FROM (SELECT series_id, month, max_by(value, told) AS value FROM log0 GROUP BY 1, 2)),
+log1 AS (SELECT series_id, month, told, {other(f"told > {CUTOFF}")} AS value FROM log0),
 valid AS MATERIALIZED (SELECT *, lead(told, 1, DATE '{validity.OPEN}') OVER (PARTITION BY series_id, month ORDER BY told) AS until FROM (SELECT *, row_number() OVER w AS rn, lag(value) OVER w AS b FROM log1 WINDOW w AS (PARTITION BY series_id, month ORDER BY told)) WHERE rn = 1 OR value IS DISTINCT FROM b),"""
 
 
@@ -120,7 +124,7 @@ def _walk(changed: bool = False, lead: int = 0) -> str:
     if changed:  # prices that weren't published by the cutoff are others
         head, _, rest = W.partition("grid AS (")
         body, _, tail = rest.partition("\nsparse AS (")
-        value = f"CASE WHEN c.month + {wf.LAG_DAYS} > DATE '{CUTOFF}' THEN v.value * 1.7 + 11 ELSE v.value END"
+        value = f"CASE WHEN c.month + {wf.LAG_DAYS} > {CUTOFF} THEN v.value * 1.7 + 11 ELSE v.value END"
         head += "grid AS (" + body.replace("v.value > 250000", f"{value} > 250000").replace("v.value <= 250000", f"{value} <= 250000") + "\nsparse AS (" + tail
     return head + rw.DATES + _panel(changed, lead) + rw.REST
 
@@ -154,17 +158,16 @@ def vintage_walk_forward(spark, sf_dir):
 # ---- nothing later was known: two runs from scratch, over the store and over a fork with another future
 
 
-def unpublished(cutoff: str = CUTOFF) -> Column:
+def unpublished(cutoff: date) -> Column:
     """Whether an observation wasn't known by the cutoff."""
-    at = F.lit(cutoff).cast("date")
-    return F.when(F.col("vintage_date").isNotNull(), F.col("vintage_date") > at).otherwise(F.date_add("observation_date", wf.LAG_DAYS) > at)
+    return F.when(F.col("vintage_date").isNotNull(), F.col("vintage_date") > F.lit(cutoff)).otherwise(F.date_add("observation_date", wf.LAG_DAYS) > F.lit(cutoff))
 
 
 def forked(spark: SparkSession, sf_dir: str) -> str:
     """The root of a store with a state `main` and a fork `future` whose values differ where the cutoff knew none."""
     root = folder(spark, "store")
     forks.create(history(spark, sf_dir), root)
-    forks.fork(spark, root, "main", "future", unpublished(), F.col("value") * 1.7 + 11)
+    forks.fork(spark, root, "main", "future", unpublished(tables.month_at(spark, sf_dir, CUTOFF_MONTH)), F.col("value") * 1.7 + 11)
     return root
 
 
@@ -174,7 +177,7 @@ def audit(spark: SparkSession, sf_dir: str, lead_months: int = 0) -> DataFrame:
     Both the rows and an order-independent sum of their digests must agree; sums of chances inside a run don't depend on
     the order of rows either (`rates.exact_sum`), so equality is asked for without a tolerance.
     """
-    root, cutoff, keys = forked(spark, sf_dir), F.lit(CUTOFF).cast("date"), [*wf.KEYS, "forecast_date"]
+    root, cutoff, keys = forked(spark, sf_dir), F.lit(tables.month_at(spark, sf_dir, CUTOFF_MONTH)), [*wf.KEYS, "forecast_date"]
     made = [stored(run(forks.opened(spark, root, name), lead_months).where(F.col("forecast_date") <= cutoff).select(*keys, *FIELDS), "audit") for name in ("main", "future")]
     rows = diff.differing(*made, keys, FIELDS).agg(F.count("*").alias("differing"))
     digests = [df.agg(F.count("*").alias(f"n{k}"), F.sum(F.xxhash64(*keys, *FIELDS).cast("decimal(38,0)")).alias(f"sum{k}")) for k, df in enumerate(made)]
@@ -185,7 +188,7 @@ def audit(spark: SparkSession, sf_dir: str, lead_months: int = 0) -> DataFrame:
 
 def _audit_sql(lead: int) -> str:
     """For DuckDB, whose sums depend on the order of rows: fields differ where they are more than 1e-9 apart."""
-    side = lambda changed: f"SELECT series_id, composition, horizon, as_of, model, chain, 0.5 * model + 0.5 * chain AS predicted, joint, effective_sample, distance, climatology AS reference FROM ({_walk(changed, lead)} SELECT * FROM made) WHERE as_of <= DATE '{CUTOFF}'"
+    side = lambda changed: f"SELECT series_id, composition, horizon, as_of, model, chain, 0.5 * model + 0.5 * chain AS predicted, joint, effective_sample, distance, climatology AS reference FROM ({_walk(changed, lead)} SELECT * FROM made) WHERE as_of <= {CUTOFF}"
     differ = " OR ".join(f"coalesce(abs(a.{c} - b.{c}) > 1e-9, (a.{c} IS NULL) <> (b.{c} IS NULL))" for c in FIELDS)
     wrong = f"a.series_id IS NULL OR b.series_id IS NULL OR {differ}"
     return f"SELECT count(a.series_id) AS forecasts, count(*) FILTER ({wrong}) AS differing, count(*) FILTER ({wrong}) = 0 AS sound FROM ({side(False)}) a FULL JOIN ({side(True)}) b ON a.series_id = b.series_id AND a.composition = b.composition AND a.horizon = b.horizon AND a.as_of = b.as_of"
@@ -203,8 +206,8 @@ def fork_audit_leak(spark, sf_dir):
     return audit(spark, sf_dir, 6)
 
 
-_BLOCKS = f"""obs AS (SELECT series_id, told AS vintage, month, value, told > DATE '{CUTOFF}' AS late FROM log0 UNION ALL SELECT series_id, NULL, month, value, month + {wf.LAG_DAYS} > DATE '{CUTOFF}' FROM latest
-    UNION ALL SELECT '{PRICE}' || series_id, NULL, month, value, month + {wf.LAG_DAYS} > DATE '{CUTOFF}' FROM raw),
+_BLOCKS = f"""obs AS (SELECT series_id, told AS vintage, month, value, told > {CUTOFF} AS late FROM log0 UNION ALL SELECT series_id, NULL, month, value, month + {wf.LAG_DAYS} > {CUTOFF} FROM latest
+    UNION ALL SELECT '{PRICE}' || series_id, NULL, month, value, month + {wf.LAG_DAYS} > {CUTOFF} FROM raw),
 blk AS (SELECT series_id, CASE WHEN vintage IS NULL THEN 'latest/' || year(month) ELSE 'vintages/' || year(vintage) END AS block, bool_or(late) AS late FROM obs GROUP BY 1, 2)
 SELECT series_id, count(*) AS blocks, sum((NOT late)::INTEGER)::BIGINT AS shared FROM blk GROUP BY 1"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def month_of(ts: str | Column) -> Column:
     return F.trunc(ts, "MM").cast("date")
 
 
+def month_at(spark: SparkSession, sf_dir: str, months: int) -> date:
+    """The month so many after the first of the orders: what a query dates by the data's own calendar."""
+    return table(spark, sf_dir, "orders").agg(F.add_months(F.trunc(F.min("o_orderdate"), "MM"), months)).first()[0]
+
+
 def monthly(df: DataFrame, ts: str, value: Column, series_id: Column) -> DataFrame:
     """(series_id, month, value): one aggregate over the raw rows, the only step that sees them all.
     It is written once; everything after it reads a row for each series and month."""
