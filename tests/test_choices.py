@@ -60,6 +60,21 @@ def test_requests_are_paced():
     assert waits == [pytest.approx(service.BETWEEN)] * 2
 
 
+def test_lanes_keep_the_pace_together():
+    asked = []
+    for lane in range(3):
+        now = [0.0]
+
+        def pause(s, now=now):
+            now[0] += s
+
+        open_ = service.Paced(lambda url, now=now: asked.append(now[0]), pause, lambda now=now: now[0], lanes=3, lane=lane)
+        for _ in range(10):
+            open_("url")
+    gaps = np.diff(sorted(asked))
+    assert len(asked) == 30 and gaps.min() == pytest.approx(service.BETWEEN)
+
+
 def test_the_store_fetches_what_it_lacks_and_copies(spark, tmp_path):
     def rows(name, *values):
         return spark.createDataFrame([(name, None, dt.date(2000, k + 1, 1), v) for k, v in enumerate(values)], store.OBSERVATIONS)

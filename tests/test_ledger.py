@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import regimes
+from tidemark.operators import regimes, timegrid
 from tidemark.plans import gates, ledger, sweeps
-from tidemark.sources import records
+from tidemark.sources import baseline, models, records
 
 
 def test_rules_are_read_from_their_document(tmp_path):
@@ -38,7 +38,7 @@ def test_long_runs_stay_as_they_are(spark):
     rng = np.random.default_rng(1)
     found = [rng.dirichlet(np.ones(k), k) for k in (1, 2, 4)] + [np.eye(2)[[1, 0]]]
     df = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(found)], "i int, m array<array<double>>")
-    for r in ledger.long_runs(df, "m").collect():
+    for r in regimes.long_runs(df, "m").collect():
         d = np.array(r.long_run)
         assert d.sum() == pytest.approx(1) and np.allclose(d @ found[r.i], d, atol=1e-9)
 
@@ -67,3 +67,43 @@ def test_path_is_the_best_of_all(spark):
     e = model.emissions(x)
     score = lambda p: np.log(0.5) + sum(e[t, s] for t, s in enumerate(p)) + sum(np.log(model.transition[a, b]) for a, b in zip(p, p[1:]))
     assert tuple(model.viterbi(x)) == max(itertools.product(range(2), repeat=9), key=score)
+
+
+def test_a_submission_of_another_structure_is_refused(spark, tmp_path):
+    frame = lambda *rows: spark.createDataFrame(list(rows), "name string, states int")
+    approved = frame(("growth", 4), ("levels", 4))
+    assert baseline.structure_differences(frame(("levels", 4), ("growth", 4)), approved).isEmpty()
+    wrong = baseline.structure_differences(frame(("growth", 3), ("rates", 2)), approved)
+    assert {tuple(r) for r in wrong.collect()} == {("growth", 4, 3), ("levels", 4, None), ("rates", None, 2)}
+    rows = spark.createDataFrame([("i", 1, 0.5)], "indicator string, horizon int, probability double")
+    with pytest.raises(PermissionError, match="growth has 3 states for 4"):
+        baseline.submission(rows, str(tmp_path / "s"), "0001", differences=wrong.where("name = 'growth'"))
+    assert not (tmp_path / "s").exists()
+    baseline.submission(rows, str(tmp_path / "s"), "0001", differences=wrong.limit(0))
+    assert (tmp_path / "s").exists()
+
+
+def test_fits_are_kept_by_what_they_were_fitted_on(spark, tmp_path):
+    path, asked = str(tmp_path / "fits"), []
+
+    def fit(lacking):
+        asked.append(sorted(r.key for r in lacking.collect()))
+        return lacking.select("digest", models.document(models.chain(["x"], F.array(F.lit(1.0)), F.array(F.array(F.lit(1.0))), F.array(F.array(F.element_at("rows", 1)["x"])), F.array(F.array(F.array(F.lit(1.0)))))).alias("document"))
+
+    panels = lambda *rows: spark.createDataFrame([(k, [(1, x)]) for k, x in rows], "key string, rows array<struct<t: int, x: double>>")
+    read = lambda df: {r.key: r.means[0][0] for r in models.parsed(df.select("key", "document")).collect()}
+    held, told = models.get_or_fit(panels(("a", 1.0), ("b", 2.0), ("c", 1.0)), "s", path, fit)
+    assert read(held) == {"a": 1.0, "b": 2.0, "c": 1.0} and told.first()[:2] == (3, 0) and len(asked[0]) == 2  # equal panels are fitted once
+    held, told = models.get_or_fit(panels(("a", 1.0), ("b", 5.0)), "s", path, fit)  # b was revised
+    assert read(held) == {"a": 1.0, "b": 5.0} and told.first()[:2] == (2, 1) and asked[1] == ["b"]
+    assert models.get_or_fit(panels(("a", 1.0)), "other settings", path, fit)[1].first().hits == 0
+    assert models.get_or_fit(panels(("a", 1.0), ("b", 5.0)), "s", path, fit)[1].first().hit_rate == 1.0 and len(asked) == 3
+
+
+def test_months_one_after_another(spark):
+    rows = [("a", "2000-01-01"), ("a", "2000-02-01"), ("a", "2000-03-01"), ("b", "2001-05-01")]
+    frame = lambda rows: spark.createDataFrame(rows, "series_id string, month string").withColumn("month", F.col("month").cast("date"))
+    assert timegrid.asserted_monthly(frame(rows)).count() == 4 and len(timegrid.asserted_monthly(frame(rows)).collect()) == 4
+    for more in (("a", "2000-05-01"), ("b", "2001-05-01")):
+        with pytest.raises(Exception, match="one after another"):
+            timegrid.asserted_monthly(frame([*rows, more])).collect()

@@ -59,3 +59,12 @@ def refit_schedule(months: DataFrame, every: int, group: str = "schedule") -> Da
     """(group, month, is_refit): each `every`-th forecast date is a refit."""
     n = F.row_number().over(Window.partitionBy(group).orderBy("month")) - 1
     return months.withColumn("is_refit", n % every == 0)
+
+
+def asserted_monthly(df: DataFrame, key: str = "series_id") -> DataFrame:
+    """The rows, each of which must be of the month after the one before it of its key: what reads rows by their place may not
+    meet a gap or a double."""
+    before = F.lag("month").over(Window.partitionBy(key).orderBy("month"))
+    why = F.concat(F.lit("months are not one after another: "), F.col("_before").cast("string"), F.lit(", "), F.col("month").cast("string"))
+    ok = F.col("_before").isNull() | (F.add_months("_before", 1) == F.col("month"))
+    return df.withColumn("_before", before).withColumn("month", F.when(ok, F.col("month")).otherwise(F.raise_error(why).cast("date"))).drop("_before")

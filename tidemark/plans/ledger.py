@@ -3,10 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -201,29 +197,12 @@ def likeliest_path(spark, sf_dir):
     return regimes.readings(found.withColumnRenamed("panel", "series_id"), models, ["growth"]).select(F.col("series_id").alias("panel"), "month", "state")
 
 
-def long_runs(df: DataFrame, matrix: str) -> DataFrame:
-    """Adds `long_run`, the distribution that a transition matrix leaves as it is, found batch by batch."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "long_run array<double>"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for m in batch.column(batch.schema.get_field_index(matrix)).to_pylist():
-                t = np.array(m, dtype=float)
-                k = len(t)
-                system = np.concatenate([t.T - np.eye(k), np.ones((1, k))])
-                found.append(np.linalg.lstsq(system, np.append(np.zeros(k), 1.0), rcond=None)[0].tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float64()))], [*batch.schema.names, "long_run"])
-
-    return df.mapInArrow(run, schema)
-
-
 @query(W + f", one AS (SELECT series_id, max_by(entry, known_month) AS e, max_by(stay, known_month) AS s FROM rates GROUP BY 1) SELECT series_id, {r('e / (1 - (s - e))')} AS long_run, {r('abs(s - e)')} AS second_modulus, {r('CASE WHEN abs(s - e) <= 0 THEN 0 ELSE ln(0.5) / ln(abs(s - e)) END')} AS half_life, {r('1 / (1 - s)')} AS duration_on, {r('1 / e')} AS duration_off FROM one")
 def chain_facts(spark, sf_dir):
     """Of each condition's chain: its long run, how fast it is reached, and how long spells last."""
     last = wf.known_rates(grid(spark, sf_dir)).groupBy("series_id").agg(F.max_by(F.struct("entry", "stay"), "known_month").alias("r"))
     chains = last.select("series_id", F.array(F.array(1 - F.col("r.entry"), F.col("r.entry")), F.array(1 - F.col("r.stay"), F.col("r.stay"))).alias("m"))
-    rows = second_moduli(long_runs(chains, "m"), {"second_modulus": "m"})
+    rows = second_moduli(regimes.long_runs(chains, "m"), {"second_modulus": "m"})
     return rows.select("series_id", F.col("long_run")[1].alias("long_run"), "second_modulus", pr.half_life(F.col("second_modulus")).alias("half_life"), pr.expected_duration(F.col("m")[1][1]).alias("duration_on"), pr.expected_duration(F.col("m")[0][0]).alias("duration_off"))
 
 
@@ -307,6 +286,14 @@ def submission_file(spark, sf_dir):
     return lines.withColumn("place", place).crossJoin(F.broadcast(manifest))  # one row
 
 
+@query(given_sql() + f""", {_CHOSEN}, want AS (SELECT series_id, arg_min(states, bic) AS states FROM fits GROUP BY 1) SELECT c.series_id, w.states::INTEGER AS approved, c.states::INTEGER AS found FROM chosen c JOIN want w ON w.series_id = c.series_id WHERE c.states <> w.states""")
+def structure_refusals(spark, sf_dir):
+    """The series a submission would be refused for: held-out rows choose another number of states than the criterion, by which
+    they were approved."""
+    found = regimes.choices(stored(given_fits(daily(spark, sf_dir)), "fits"))
+    return baseline.structure_differences(found.select("series_id", "states"), found.select("series_id", F.col("by_criterion").alias("states")), "series_id")
+
+
 @query(comparisons._RUNS + f" SELECT 'baseline' AS name, count(*) AS forecasts, count(DISTINCT forecast_date) AS dates, min(forecast_date) AS first_date, max(forecast_date) AS last_date, sha256('{SETTINGS_TEXT}') AS configuration_hash, 20::BIGINT AS seed, count(realised) AS resolved FROM ra UNION ALL SELECT 'current', count(*), count(DISTINCT forecast_date), min(forecast_date), max(forecast_date), sha256('{SETTINGS_TEXT}'), 21::BIGINT, count(realised) FROM rb")
 def captured_runs(spark, sf_dir):
     """Two runs kept as records, and what the list of records and the records themselves say."""

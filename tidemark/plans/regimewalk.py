@@ -11,6 +11,8 @@ Growth is the number of lines shipped in a month, levels their mean price and di
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import probability as pr
 from ..operators import outcomes as oc
 from ..operators import pointintime, rates, regimes, timegrid, transforms
+from ..sources import models as documents
 from ..sources import tables
 from ..sources.scratch import stored
 from . import walkforward as wf
@@ -53,7 +56,8 @@ def matrices(known: DataFrame, key: str = "as_of") -> DataFrame:
     for name, value in KINDS.items():
         kind = kind.when(F.col("k.series_id") == name, value)
     z = transforms.expanding_scores(transforms.transformed(rows, kind, "k"), "transformed", "k", LEAST_MONTHS)
-    return z.groupBy(F.col(f"k.{key}").alias(key), "month").pivot("k.series_id", list(KINDS)).agg(F.first("z")).na.drop()
+    wide = z.groupBy(F.col(f"k.{key}").alias(key), "month").pivot("k.series_id", list(KINDS)).agg(F.first("z")).na.drop()
+    return timegrid.asserted_monthly(wide, key)
 
 
 def panel_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +89,26 @@ def fitted_models(found: DataFrame, dates: DataFrame, growth: int = 2, levels: i
     return found.join(F.broadcast(refits), "as_of").groupBy("as_of").applyInPandas(run, MODEL)
 
 
+FIT = {"growth": 2, "levels": 2, "restarts": regimes.RESTARTS, "iterations": regimes.ITERATIONS, "seed": 20}
+
+
+def cached_models(found: DataFrame, dates: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(models, statistics): the models of all refit dates, each from the documents below `path` or fitted once and kept there."""
+    spark = found.sparkSession
+    refits = dates.select(F.col("refit").alias("as_of")).distinct()
+    panels = found.join(F.broadcast(refits), "as_of").groupBy(F.col("as_of").alias("key")).agg(F.sort_array(F.collect_list(F.struct("month", *KINDS))).alias("rows"))
+
+    def fit(lacking: DataFrame) -> DataFrame:
+        rows = lacking.select(F.col("key").alias("as_of"), F.explode("rows").alias("r")).select("as_of", "r.*")
+        wanted = lacking.select(F.col("key").alias("refit"), "digest")
+        made = fitted_models(rows, wanted, FIT["growth"], FIT["levels"], FIT["restarts"], FIT["seed"])
+        return made.join(wanted, "refit").select("digest", documents.document(documents.chain(list(KINDS), *(F.col(p) for p in documents.PARTS))).alias("document"))
+
+    held, statistics = documents.get_or_fit(stored(panels, "panels"), json.dumps(FIT, sort_keys=True), path, fit)
+    models = documents.parsed(held.select(F.col("key").alias("refit"), "document"))
+    return stored(regimes.long_runs(models, "transition").withColumnRenamed("long_run", "stationary"), "models"), statistics
+
+
 def filtered(found: DataFrame, dates: DataFrame, models: DataFrame, columns: list[str]) -> DataFrame:
     """(as_of, month, refit, filtered): the chances of the states up to each month of a date's panel."""
     dated = found.join(F.broadcast(dates.select(F.col("month").alias("as_of"), "refit")), "as_of")

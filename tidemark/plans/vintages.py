@@ -216,3 +216,62 @@ SELECT series_id, count(*) AS blocks, sum((NOT late)::INTEGER)::BIGINT AS shared
 def fork_blocks(spark, sf_dir):
     """How many blocks of each series the fork shares with the store it came from."""
     return forks.shared_blocks(spark, forked(spark, sf_dir), "main", "future")
+
+
+# ---- fits over the panels as they stood, kept from run to run
+
+
+def fitted_run(observations: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(forecasts, statistics): the walk forward with a model fitted at each refit date on what stood then; fits that `path`
+    holds already are read."""
+    grid = conditions_of(observations)
+    dates = stored(rw.forecast_dates(grid), "dates")
+    found = stored(rw.matrices(panel_of(observations, dates)), "panel")
+    fits, statistics = rw.cached_models(found, dates, path)
+    return rw.forecasts(grid, found, dates, fits, list(rw.KINDS)), statistics
+
+
+@query()
+def fitted_vintage_walk_forward(spark, sf_dir):
+    """Growth and levels chains fitted together at each refit, from twenty starts, on the vintages of that date."""
+    return fitted_run(stored(history(spark, sf_dir), "history"), folder(spark, "fits"))[0]
+
+
+@query(W + rw.DATES + "halves AS (SELECT count(DISTINCT refit) AS n, count(DISTINCT refit) FILTER (as_of <= (SELECT median(as_of) FROM fdates)) AS early FROM fdates) SELECT 'early dates' AS run, early AS lookups, 0::BIGINT AS hits FROM halves UNION ALL SELECT 'all dates', n, early FROM halves UNION ALL SELECT 'again', n, n FROM halves")
+def fit_cache(spark, sf_dir):
+    """What a cache of fits saves: refits of the first half of the dates, then of all, then of all once more."""
+    observations, path, out = stored(history(spark, sf_dir), "history"), folder(spark, "fits"), None
+    dates = stored(rw.forecast_dates(conditions_of(observations)), "dates")
+    found = stored(rw.matrices(panel_of(observations, dates)), "panel")
+    half = dates.agg(F.percentile(F.unix_date("month"), F.lit(0.5)).alias("m")).select(F.date_from_unix_date(F.floor("m").cast("int")).alias("m")).first()[0]
+    for name, asked in (("early dates", dates.where(F.col("month") <= F.lit(half))), ("all dates", dates), ("again", dates)):
+        _, statistics = rw.cached_models(found, asked, path)
+        row = statistics.select(F.lit(name).alias("run"), "lookups", "hits")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# ---- two by two: panels as they stood or cut by the lag, the model alone or blended
+
+
+_UNITS = "SELECT horizon, unit, count(*) AS n, sum(y) AS y, sum(e) AS e, sum(b) AS b, sum(f) AS f FROM (SELECT horizon, series_id || composition AS unit, outcome AS y, pow(model - outcome, 2) AS e, pow(0.5 * model + 0.5 * chain - outcome, 2) AS b, pow(climatology - outcome, 2) AS f FROM made WHERE outcome IS NOT NULL AND climatology IS NOT NULL) GROUP BY 1, 2"
+
+
+@query(
+    f"WITH both_ AS (SELECT 'vintages' AS panel, * FROM ({_walk()} {_UNITS}) UNION ALL SELECT 'publication lag', * FROM ({rw.WHOLE} {_UNITS})), ok AS (SELECT * FROM both_ WHERE n >= 2 AND y > 0.5 AND y < n - 0.5 AND f > 1e-12) "
+    f"SELECT panel, 'model' AS forecaster, horizon::INTEGER AS horizon, count(*) AS units, {r('avg(1 - e / f)')} AS mean_skill FROM ok GROUP BY panel, horizon UNION ALL SELECT panel, 'blend', horizon::INTEGER, count(*), {r('avg(1 - b / f)')} FROM ok GROUP BY panel, horizon"
+)
+def regime_variants(spark, sf_dir):
+    """Skill of the regimes' run in its four variants."""
+    made = {"vintages": run(stored(history(spark, sf_dir), "history")), "publication lag": rw.given_run(spark, sf_dir)}
+    out = None
+    for panel, df in made.items():
+        df = df.where(F.col("realised").isNotNull() & F.col("reference").isNotNull()).withColumn("unit", F.concat("series_id", "composition"))
+        each = F.explode(F.array(*(F.struct(F.lit(n).alias("forecaster"), F.col(c).alias("p")) for n, c in (("model", "model"), ("blend", "predicted")))))
+        rows = df.select("horizon", "unit", "realised", "reference", each.alias("x")).select("horizon", "unit", "realised", "reference", "x.*")
+        error = lambda c: (F.col(c) - F.col("realised")) * (F.col(c) - F.col("realised"))
+        sums = rows.groupBy("forecaster", "horizon", "unit").agg(F.count("*").alias("n"), F.sum("realised").alias("y"), F.sum(error("p")).alias("e"), F.sum(error("reference")).alias("f"))
+        ok = sums.where((F.col("n") >= 2) & (F.col("y") > 0.5) & (F.col("y") < F.col("n") - 0.5) & (F.col("f") > 1e-12))
+        part = ok.groupBy("forecaster", "horizon").agg(F.count("*").alias("units"), F.avg(1 - F.col("e") / F.col("f")).alias("mean_skill")).withColumn("panel", F.lit(panel))
+        out = part if out is None else out.unionByName(part)
+    return out.select("panel", "forecaster", "horizon", "units", "mean_skill")

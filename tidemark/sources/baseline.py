@@ -47,14 +47,24 @@ def listed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(IDENTITY).json(f"{path}/*/identity")
 
 
-def submission(rows: DataFrame, path: str, rule: str = "", approved: bool = True) -> None:
+def structure_differences(run: DataFrame, approved: DataFrame, name: str = "name") -> DataFrame:
+    """(name, approved, found) where the structure (name, states) of a run isn't the one that was approved, or either has a part
+    that the other lacks."""
+    both = approved.select(name, F.col("states").alias("approved")).join(run.select(name, F.col("states").alias("found")), name, "full_outer")
+    return both.where(~F.col("approved").eqNullSafe(F.col("found")))
+
+
+def submission(rows: DataFrame, path: str, rule: str = "", approved: bool = True, differences: DataFrame | None = None) -> None:
     """One CSV file sorted by indicator and horizon, probabilities at four places, half to even, and beside it a
-    manifest of its rows, horizons and rule.  Nothing is written that nobody has approved.
+    manifest of its rows, horizons and rule.  Nothing is written that nobody has approved, or whose structure differs from
+    what was.
 
     A submission has a row for each indicator and horizon, so one file holds it.
     """
     if not approved:
         raise PermissionError("the submission isn't approved")
+    if differences is not None and (found := differences.limit(5).collect()):
+        raise PermissionError("the run has another structure than the approved one: " + ", ".join(f"{r[0]} has {r.found} states for {r.approved}" for r in found))
     manifest = rows.agg(F.lit(rule).alias("rule"), F.count("*").alias("rows"), F.count_distinct("indicator").alias("indicators"), F.array_sort(F.collect_set("horizon")).alias("horizons"))
     manifest.coalesce(1).write.json(f"{path}-manifest")
     rounded = rows.select(*(F.bround(c, 4).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes))

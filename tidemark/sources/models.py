@@ -8,6 +8,8 @@ same ones again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from ..functions import algebra
 VERSION, SINGLE, TWO = 2, "single_chain", "two_chains"
 CHAIN = "columns: array<string>, start: array<double>, transition: array<array<double>>, means: array<array<double>>, covariances: array<array<array<double>>>"
 DOCUMENT = f"version int, model_class string, chains array<struct<{CHAIN}>>, {CHAIN.replace(': array', ' array')}"
+CACHED = "digest string, document string"
 PARTS = ("start", "transition", "means", "covariances")
 
 
@@ -61,3 +64,25 @@ def parsed(documents: DataFrame) -> DataFrame:
         "covariances": algebra.block_diagonal(a["covariances"], b["covariances"]),
     }
     return rows.select(*(c for c in documents.columns if c != "document"), "model_class", *(F.when(two, v).otherwise(a[n]).alias(n) for n, v in joined.items()))
+
+
+def get_or_fit(panels: DataFrame, settings: str, path: str, fit: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(models, statistics) of panels (key, rows): each model's key, digest and document, from the cache below `path` or fitted
+    now and kept; statistics are (lookups, hits, hit_rate).
+
+    A model is known by a digest of its panel's rows and the settings, so the same panel is fitted once whatever its
+    key, and a panel that was revised is fitted anew.  `fit` gives (digest, document) of the panels (digest, key, rows) it gets,
+    one for each digest.
+    """
+    spark = panels.sparkSession
+    named = panels.select("key", F.sha2(F.concat(F.to_json("rows"), F.lit(settings)), 256).alias("digest"), "rows")
+    wanted = named.select("key", "digest")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    held = spark.read.schema(CACHED).parquet(path) if there else spark.createDataFrame([], CACHED)
+    lacking = named.join(held.select("digest"), "digest", "left_anti")
+    lookups, misses = wanted.count(), lacking.count()
+    if misses:
+        fit(lacking.dropDuplicates(["digest"])).select("digest", "document").write.mode("append").parquet(path)
+    statistics = spark.createDataFrame([(lookups, lookups - misses, (lookups - misses) / lookups if lookups else None)], "lookups long, hits long, hit_rate double")
+    return wanted.join(spark.read.schema(CACHED).parquet(path), "digest"), statistics

@@ -18,20 +18,22 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 #: Fixed delays in seconds: after a passing failure, and after the service refuses for now.
 PASSING, REFUSED = (1, 3, 8), (5, 15, 40, 90)
 REFUSALS = (403, 429, 503)
-#: The least time between two requests of one task.
+#: The time a service is given for each request, however many tasks ask.
 BETWEEN = 0.35
 
 
 class Paced:
-    """Opens URLs no more often than every `BETWEEN` seconds; a task reads its requests one after another."""
+    """Opens URLs at one lane's share of the pace: of `lanes` that ask at the same time each waits so many times `BETWEEN`
+    between two requests, and its number of times before the first, so that together they keep the pace."""
 
-    def __init__(self, open_=urllib.request.urlopen, pause=time.sleep, clock=time.monotonic):
-        self.open, self.pause, self.clock, self.last = open_, pause, clock, None
+    def __init__(self, open_=urllib.request.urlopen, pause=time.sleep, clock=time.monotonic, lanes: int = 1, lane: int = 0):
+        self.open, self.pause, self.clock, self.between = open_, pause, clock, lanes * BETWEEN
+        self.next = clock() + lane * BETWEEN
 
     def __call__(self, url: str):
-        if self.last is not None and (wait := self.last + BETWEEN - self.clock()) > 0:
+        if (wait := self.next - self.clock()) > 0:
             self.pause(wait)
-        self.last = self.clock()
+        self.next = max(self.next, self.clock()) + self.between
         return self.open(url)
 
 
@@ -81,10 +83,10 @@ class SeriesService(DataSource):
 
 
 class Requests(InputPartition):
-    """What one task fetches, one after another."""
+    """What one task fetches, one after another, and which of the lanes it is."""
 
-    def __init__(self, wanted: list[tuple[str, str | None]]):
-        self.wanted = wanted
+    def __init__(self, wanted: list[tuple[str, str | None]], lane: int):
+        self.wanted, self.lane = wanted, lane
 
 
 class SeriesReader(DataSourceReader):
@@ -94,9 +96,9 @@ class SeriesReader(DataSourceReader):
 
     def partitions(self) -> list[Requests]:
         wanted = [(s, v or None) for s, _, v in (r.partition(":") for r in self.requests.split(","))]
-        return [Requests(lane) for k in range(self.lanes) if (lane := wanted[k :: self.lanes])]
+        return [Requests(lane, k) for k in range(self.lanes) if (lane := wanted[k :: self.lanes])]
 
     def read(self, partition: Requests) -> Iterator[tuple]:
-        open_ = Paced()
+        open_ = Paced(lanes=self.lanes, lane=partition.lane)
         for series_id, vintage in partition.wanted:
             yield from parse(fetch(self.url.format(series_id=series_id, vintage_date=vintage or ""), open_=open_), series_id, vintage)
