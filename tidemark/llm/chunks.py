@@ -4,23 +4,23 @@ A text is read as units: words between white space, single characters of scripts
 of words of over 32 bytes, split where a hash of the last bytes says so, so that equal text has equal units.
 A gear rolling hash runs over the units; a chunk ends where it is no larger than at the `REACH` units on
 either side, so the text around a place alone decides, and an insertion moves no other boundary.  Chunks
-have 9 units on average.  Each is known by a 128-bit digest, and the digests that several documents have
-are found by one shuffle.
+have 9 units on average.  Each is known by a 128-bit digest, and the digests decide: a chunk that a document with a
+smaller doc_id has, or the same document before, is a repeat.
 
-A repeated passage rarely begins and ends with a chunk, so its ends are found exactly afterwards: around the
-repeated chunks of a document, three chunks before and two after them, each window of `WINDOW` units
-has a digest, and the copy in the document of the smallest doc_id stays; every other one is a repeat.
-Neighbouring repeats are one stretch; it is cut if it has `RUN` bytes or more than `WORDS` units, so stock
-phrases are left alone.  A repeated passage of over `WORDS` words is cut to its first and last whole unit if it
-holds one whole chunk, as all but about one in a million do.  A text that another document has before, of
-any length, is cut whole.  Not cut: repeats of under `WINDOW` units, and a part of a word at either end.
+Neighbouring repeats are one stretch.  A passage's first and last chunk reach beyond it, so a stretch is extended from its
+ends, unit by unit, as far as its document goes on like the one it is a copy of: the boundaries of a passage are the
+same wherever it stands but in its first seven and last four units, so this is a chunk and those at most, and up to
+`CONTEXT` units are compared.  A stretch is cut if it has `RUN` bytes or more than `WORDS` units then, so stock phrases
+are left alone.  A text that another document has before, of any length, is cut whole, by the digest of all of it.
 
-Digests are shuffled once; a task reads the rows of a digest one after another and gives each the smallest
-document.  White space between units doesn't count.
+Of each digest the smallest document is a partial aggregate; what has that digest is then joined with it, where
+adaptive execution splits a digest that a large part of the documents has.  Texts meet their repeats in one join, whose
+result gives the ends of stretches and the chunks they are copies of, and then the cuts.  White space between
+units doesn't count.
 
 Defined cases: null texts stay null, empty ones empty.  A null doc_id takes part like the largest id.
-Rows with one doc_id count as one document: a window of one is no repeat in the other; each has its own cuts.  Within one
-document the first of equal stretches stays.  The text is cut at the ends of characters only.
+Rows with one doc_id count as one document: a chunk of one is no repeat in the other; each has its own cuts.  Within one
+document the first of equal chunks stays, and those less than `APART` units after it.  The text is cut at the ends of units only.
 """
 
 from __future__ import annotations
@@ -31,26 +31,25 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import groups_of, mapped, mix, salts, stored, utf8
 
 RUN = 112
 WORDS = 50
-WINDOW = 16  # a power of two
+CONTEXT = 32
+#: Units that lie between a chunk and an equal one of the same text, at least: a word said a few times over is no repeat.
+APART = 16
 #: Units that the gear hash reads, and units on either side that a chunk's end is compared with.
 GEARS, REACH = 4, 4
-#: Chunks before and after a repeated one in which the passage may begin and end: the text around it decides on the
-#: boundaries in its first GEARS - 1 + REACH and its last REACH units, and chunks have over REACH units.
-BEFORE, AFTER = 3, 2
 LONG = 32
 WHOLE = -1  # the place of a whole text
 NO_ID = 2**63 - 1
 
 _GEAR = salts(2, 21) | np.uint64(1)
 _POWER = salts(64, 22) | np.uint64(1)
-_BASES = [int(x) | 1 for x in salts(3, 23)]
+_BASE = int(salts(3, 23)[2]) | 1
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
 
@@ -74,7 +73,7 @@ def units(texts: list[bytes]) -> Units:
     if len(far):
         h = np.zeros(len(far), dtype=np.uint64)
         for k in range(1, 9):
-            h = h * np.uint64(_BASES[2]) + code[far - k].astype(np.uint64)
+            h = h * np.uint64(_BASE) + code[far - k].astype(np.uint64)
         starts[far[(mix(h) & np.uint64(15)) == 0]] = True
     start = np.flatnonzero(starts)
     if not len(start):
@@ -88,16 +87,6 @@ def units(texts: list[bytes]) -> Units:
     return Units(start, start + length, h, np.searchsorted(start, offset), offset)
 
 
-def _sums(h: np.ndarray, n: int, base: int) -> np.ndarray:
-    """A hash of every `n` units in order (`n` a power of two); the last n - 1 aren't whole."""
-    shift = 1
-    while shift < n:
-        more = np.zeros_like(h)
-        more[:-shift] = h[shift:] * np.uint64(pow(base, shift, 2**64))
-        h, shift = h + more, shift * 2
-    return mix(h)
-
-
 @dataclass
 class Chunks:
     start: np.ndarray  # the first unit of each chunk
@@ -146,11 +135,11 @@ def digests(text: bytes) -> tuple[list[int], list[tuple[int, int]]]:
     return boundaries(text), list(zip(found.high.tolist(), found.low.tolist()))
 
 
-def _each(texts: list[bytes], most: int = 500_000) -> Iterator[tuple[int, Units, list[tuple[int, int]]]]:
-    """Groups of texts: the number of the first, their units, and of each text its windows (first, one past the last)."""
+def _each(texts: list[bytes], most: int = 500_000) -> Iterator[tuple[int, Units, Chunks]]:
+    """Groups of texts: the number of the first, their units and their chunks."""
     for a, b in groups_of(texts, most):
         u = units(texts[a:b])
-        yield a, u, [(x, max(x, y - WINDOW + 1)) for x, y in zip(u.bounds.tolist(), u.bounds[1:].tolist())]
+        yield a, u, chunks_of(u)
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
@@ -159,8 +148,8 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts, ids, marks = utf8(batch.column("text")), np.array(batch.column("doc_id"), dtype=np.int64), np.array(batch.column("mark"), dtype=np.int64)
-        for a, u, spans in _each(texts):
-            found, doc, mark, place, high, low = chunks_of(u), [], [], [], [], []
+        for a, _, found in _each(texts):
+            doc, mark, place, high, low = [], [], [], [], []
             for i, (p, q) in enumerate(zip(found.bounds.tolist(), found.bounds[1:].tolist()), a):
                 own, first = np.unique(found.high[p:q], return_index=True)
                 whole = np.frombuffer(xxhash.xxh3_128_digest(texts[i]), dtype=np.int64)[: 2 * bool(texts[i])]
@@ -174,73 +163,120 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     return mapped(docs.select(F.col("key").alias("doc_id"), "mark", "text"), run, ROWS)
 
 
-def around(found: Chunks, p: int, q: int, seen: np.ndarray, first: int, last: int) -> np.ndarray:
-    """Windows (from `first` to `last`) of a text's chunks p to q that lie in or near repeated ones; `seen` are the
-    ranks of these."""
-    own, of = np.unique(found.high[p:q], return_inverse=True)
-    known = np.zeros(len(own), dtype=bool)
-    known[seen] = True
-    near = known[of]
-    wide = np.append(0, np.cumsum(near))
-    at = np.arange(len(near))
-    near = wide[np.minimum(at + BEFORE, len(near) - 1) + 1] > wide[np.maximum(at - AFTER, 0)]
-    inside = np.append(0, np.cumsum(np.repeat(near, found.end[p:q] - found.start[p:q])))
-    return np.flatnonzero(inside[WINDOW : WINDOW + last - first] - inside[: last - first] == WINDOW)
+@dataclass
+class Stretch:
+    """Neighbouring repeated chunks of a text: the first and last unit in it, and where each end was met before: the document
+    and the digest, or the unit of the same text."""
+
+    first: int
+    last: int
+    ends: list[tuple[int, int, int, int]]  # document or -1, high, low, unit or -1
+
 
+def stretches_of(found: Chunks, i: int, seen: dict[int, int]) -> list[tuple[Stretch, list[int]]]:
+    """The stretches of text i with all documents that have a part of each before: chunks that are in `seen` (rank of a chunk in
+    the text: the first document that has it), or earlier in the text."""
+    p, q = found.bounds[i : i + 2].tolist()
+    if p == q:
+        return []
+    own, head, of = np.unique(found.high[p:q], return_index=True, return_inverse=True)
+    source = np.full(len(own), -1)
+    if seen:
+        source[np.fromiter(seen.keys(), dtype=np.int64)] = list(seen.values())
+    far = found.start[p:q] - found.start[p + head[of]] >= APART
+    at = np.flatnonzero((source[of] >= 0) | far)
+    out = []
+    for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
+        ends = []
+        for k, side in ((part[0], found.start), (part[-1], found.end)):
+            before = int(source[of[k]])
+            ends.append((before, int(found.high[p + k]), int(found.low[p + k]), -1 if before >= 0 else int(side[p + head[of[k]]])))
+        told = source[of[part]]
+        out.append((Stretch(int(found.start[p + part[0]]), int(found.end[p + part[-1]]), ends), np.unique(told[told >= 0]).tolist()))
+    return out
 
-def window_rows(joined: DataFrame) -> DataFrame:
-    """(doc_id, mark, place, high, low): the distinct windows around repeated chunks, by the place of the first.  Documents
-    that are copies give none: the document they are copies of gives the same."""
+
+def context(u: Units, i: int, unit: int, back: bool) -> np.ndarray:
+    """Marks of the units of text i before a unit, the nearest first, or from it on."""
+    a, b = u.bounds[i : i + 2]
+    near = u.hash[max(a, unit - CONTEXT) : unit][::-1] if back else u.hash[unit : min(b, unit + CONTEXT)]
+    return (near >> np.uint64(32)).astype(np.uint32)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> int:
+    """How many marks two contexts have in common from their start."""
+    n = min(len(a), len(b))
+    return int(np.append(a[:n] == b[:n], False).argmin())
+
+
+def cuts_of(u: Units, found: Chunks, i: int, seen: dict[int, int], longer: dict[tuple[int, int], int]) -> list[tuple[int, int, list[int]]]:
+    """Stretches (start, end, source documents) of text i to cut, in bytes; `longer` has the units that (stretch, end) goes on
+    like its source."""
+    spans: list[list] = []
+    for k, (stretch, sources) in enumerate(stretches_of(found, i, seen)):
+        edge = [stretch.first, stretch.last]
+        for side, (_, _, _, unit) in enumerate(stretch.ends):
+            back = side == 0
+            n = longer.get((k, side), 0) if unit < 0 else alike(context(u, i, edge[side], back), context(u, i, unit, back))
+            edge[side] += -n if back else n
+        if spans and edge[0] <= spans[-1][1]:
+            spans[-1][1], spans[-1][2] = max(spans[-1][1], edge[1]), sorted({*spans[-1][2], *sources})
+        else:
+            spans.append([*edge, sources])
+    out = []
+    for first, last, sources in spans:
+        a, b = u.start[first], u.end[last - 1]
+        if b - a >= RUN or last - first > WORDS:
+            out.append((int(a - u.offset[i]), int(b - u.offset[i]), sources))
+    return out
+
+
+ENDS = "key long, mark long, stretch int, side int, high long, low long, source long, near binary, own boolean"
+
+
+def ends_of(joined: DataFrame) -> DataFrame:
+    """The ends of stretches that other documents have, with the units around them (`own` false: at (stretch, side) of (key, mark)
+    is a copy of the chunk of `source`), and the same of all chunks that others copy (`own`: of `key` itself)."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         lists, keys, marks = batch.column("seen"), batch.column("key").to_pylist(), batch.column("mark").to_pylist()
         rows = [i for i, n in enumerate(lists.is_null().to_pylist()) if not n]
         texts = utf8(batch.column("text").take(pa.array(rows, pa.int64())))
-        for a, u, spans in _each(texts):
-            found, one, two = chunks_of(u), _sums(u.hash, WINDOW, _BASES[0]), _sums(u.hash, WINDOW, _BASES[1])
-            doc, mark, place, high, low = ([np.empty(0, dtype=t)] for t in (np.int64, np.int64, np.int32, np.int64, np.int64))
-            for i, (x, y) in enumerate(spans, a):
-                seen = np.array([s["place"] for s in lists[rows[i]].as_py()], dtype=np.int64)
-                if x == y or (seen == WHOLE).any():
+        for start, u, found in _each(texts):
+            out = []
+            for i in range(len(u.bounds) - 1):
+                key, mark = keys[rows[start + i]], marks[rows[start + i]]
+                seen = {x["place"]: x["first"] for x in lists[rows[start + i]].as_py()}
+                if WHOLE in seen:
                     continue
-                at = around(found, *found.bounds[i - a : i - a + 2], seen, x, y)
-                at = at[np.unique(one[x + at], return_index=True)[1]]
-                doc.append(np.full(len(at), keys[rows[i]]))
-                mark.append(np.full(len(at), marks[rows[i]]))
-                place.append(at.astype(np.int32))
-                high.append(one[x + at].view(np.int64))
-                low.append(two[x + at].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (doc, mark, place, high, low)], names=NAMES)
+                p, q = found.bounds[i : i + 2].tolist()
+                ranks = [r for r, first in seen.items() if first == key]
+                if ranks:
+                    head = np.unique(found.high[p:q], return_index=True)[1]
+                    for c in (p + head[np.array(ranks)]).tolist():
+                        out += [(key, mark, -1, side, int(found.high[c]), int(found.low[c]), key, context(u, i, int(at), side == 0).tobytes(), True) for side, at in enumerate((found.start[c], found.end[c]))]
+                for k, (stretch, _) in enumerate(stretches_of(found, i, {r: f for r, f in seen.items() if f != key})):
+                    for side, (source, high, low, _) in enumerate(stretch.ends):
+                        if source >= 0:
+                            out.append((key, mark, k, side, high, low, source, context(u, i, (stretch.first, stretch.last)[side], side == 0).tobytes(), False))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 9, kinds)], names=[f.split()[0] for f in ENDS.split(", ")])
 
-    return mapped(joined, run, ROWS)
+    return mapped(joined.select("key", "mark", "text", "seen"), run, ENDS)
 
 
-def repeats_of(u: Units, i: int, first: int, last: int, digest: np.ndarray, seen: dict[int, int]) -> list[tuple[int, int, list[int]]]:
-    """Stretches (start, end, source documents) of text i to cut: windows that are in `seen` (place of a window's
-    first copy in the text: document that has it before), or earlier in the text without overlap."""
-    if first == last:
-        return []
-    own, head, of = np.unique(digest[first:last], return_index=True, return_inverse=True)
-    source = np.full(len(own), -1)
-    known = np.zeros(len(own), dtype=bool)
-    if seen:
-        places = of[np.fromiter(seen.keys(), dtype=np.int64)]
-        known[places], source[places] = True, list(seen.values())
-    at = np.flatnonzero(known[of] | (np.arange(last - first) - head[of] >= WINDOW))
-    out = []
-    for part in np.split(at, np.flatnonzero(np.diff(at) > WINDOW) + 1) if len(at) else ():
-        a, b = u.start[first + part[0]], u.end[first + part[-1] + WINDOW - 1]
-        if b - a >= RUN or part[-1] + WINDOW - part[0] > WORDS:
-            of_part = of[part]
-            out.append((int(a - u.offset[i]), int(b - u.offset[i]), np.unique(source[of_part[known[of_part]]]).tolist()))
-    return out
+def extensions(ends: DataFrame) -> DataFrame:
+    """(key, mark, longer): of each document the units by which the ends of its stretches go on like what they are copies of."""
+    copies = ends.where("NOT own")
+    of = ends.where("own").groupBy("high", "low", F.col("key").alias("source"), "side").agg(F.min(F.struct("mark", "near")).alias("theirs"))  # one for each digest, but for rows of one doc_id
+    both = copies.join(of.select("high", "low", "source", "side", F.col("theirs.near").alias("theirs")), ["high", "low", "source", "side"])
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = [alike(np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)) for a, b in zip(batch.column("near").to_pylist(), batch.column("theirs").to_pylist())]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "mark", "stretch", "side")), pa.array(n, pa.int32())], ["key", "mark", "stretch", "side", "n"])
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """`rows` whose digest several documents have, with the first of them.  One shuffle: a digest's rows meet in
-    one task, sorted, and what doesn't fit in its memory spills."""
-    same = Window.partitionBy("high", "low")
-    return rows.withColumn("first", F.min("doc_id").over(same)).withColumn("last", F.max("doc_id").over(same)).where("first < last").drop("last")
+    counted = mapped(both.select("key", "mark", "stretch", "side", "near", "theirs"), run, "key long, mark long, stretch int, side int, n int").where("n > 0")
+    return counted.groupBy("key", "mark").agg(F.collect_list(F.struct("stretch", "side", "n")).alias("longer"))
 
 
 NAMES = ["doc_id", "mark", "place", "high", "low"]
@@ -264,22 +300,26 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One row per document: stretches cut, their characters, the documents that keep them, their places
     (code points of the whole text), and the text that stays."""
     whole = marked(docs)
-    met = _repeated(chunk_rows(whole)).where((F.col("place") != WHOLE) | (F.col("first") < F.col("doc_id")))
+    rows = chunk_rows(whole)
+    first = rows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    met = rows.join(first, ["high", "low"]).where((F.col("place") != WHOLE) | (F.col("first") < F.col("doc_id")))
     met = met.groupBy(F.col("doc_id").alias("key"), "mark").agg(F.collect_list(F.struct("place", "first")).alias("seen"))
     joined = whole.join(met, ["key", "mark"], "left").select("key", "mark", "doc_id", "text", "seen")  # shuffled once, read twice
-    repeats = _repeated(window_rows(joined)).where("first < doc_id").groupBy(F.col("doc_id").alias("key"), "mark").agg(F.collect_list(F.struct("place", "first")).alias("windows"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, ids, seen, windows, null = utf8(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("seen"), batch.column("windows"), batch.column("text").is_null().to_pylist()
-        for start, u, spans in _each(texts):
-            out, digest = [], _sums(u.hash, WINDOW, _BASES[0])
-            for i, (x, y) in enumerate(spans, start):
-                text, copy = texts[i], [s["first"] for s in seen[i].as_py() or () if s["place"] == WHOLE]
-                cut = [(0, len(text), copy)] if copy else repeats_of(u, i - start, x, y, digest, {s["place"]: s["first"] for s in windows[i].as_py() or ()})
+        texts, ids, keys, null = utf8(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text").is_null().to_pylist()
+        lists, longer = batch.column("seen"), batch.column("longer")
+        for start, u, found in _each(texts):
+            out = []
+            for i in range(start, start + len(u.bounds) - 1):
+                text, seen = texts[i], {s["place"]: s["first"] for s in lists[i].as_py() or () if s["first"] != keys[i]}
+                copy = seen.pop(WHOLE, None)
+                more = {(x["stretch"], x["side"]): x["n"] for x in longer[i].as_py() or ()}
+                cut = cuts_of(u, found, i - start, seen, more) if copy is None else [(0, len(text), [copy])]
                 kept = b"".join(text[p:q] for p, q in zip([0, *(c[1] for c in cut)], [*(c[0] for c in cut), len(text)]))
                 places = [(len(text[:p].decode()), len(text[p:q].decode())) for p, q, _ in cut]
                 out.append((ids[i], len(cut), sum(n for _, n in places), sorted({s for c in cut for s in c[2]}), ",".join(f"{p}:{p + n}" for p, n in places), None if null[i] else kept.decode()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "n_cut", "cut_chars", "copied_from", "spans", "text"])
 
-    return mapped(joined.join(repeats, ["key", "mark"], "left").drop("key", "mark"), run, SCHEMA)
+    return mapped(joined.join(extensions(ends_of(joined)), ["key", "mark"], "left").drop("mark"), run, SCHEMA)
