@@ -40,7 +40,7 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.add_months(tables.month_of(F.greatest("o_orderdate", "l_shipdate")), 1)
     facts = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(tables.month_of("l_shipdate").alias("month"), told.alias("vintage_date"), F.lit(1).alias("n"), "l_extendedprice", "l_discount")
     sums = validity.running(facts, ["month"], "vintage_date", ["n", "l_extendedprice", "l_discount"])
-    wide = sums.select("month", "vintage_date", F.col("n").cast("double").alias("growth"), (F.col("l_extendedprice") / F.col("n")).alias("inflation"), (F.col("l_discount") / F.col("n")).alias("rates"))
+    wide = sums.select("month", "vintage_date", F.col("n").cast("double").alias("growth"), F.round(F.col("l_extendedprice") / F.col("n"), 9).alias("inflation"), F.round(F.col("l_discount") / F.col("n"), 9).alias("rates"))  # sums of another order are no revision
     return wide.unpivot(["month", "vintage_date"], list(REVISED), "series_id", "value").select("series_id", "vintage_date", F.col("month").alias("observation_date"), "value")
 
 
@@ -94,7 +94,7 @@ def _log(changed: bool) -> str:
     return f"""
 told3 AS (SELECT date_trunc('month', l_shipdate)::DATE AS month, (date_trunc('month', greatest(o_orderdate, l_shipdate)) + INTERVAL 1 MONTH)::DATE AS told, count(*) AS n, sum(l_extendedprice) AS p, sum(l_discount) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
 upto AS (SELECT month, told, sum(n) OVER w AS n, sum(p) OVER w AS p, sum(d) OVER w AS d FROM told3 WINDOW w AS (PARTITION BY month ORDER BY told)),
-log0 AS (SELECT 'growth' AS series_id, month, told, n::DOUBLE AS value FROM upto UNION ALL SELECT 'inflation', month, told, p / n FROM upto UNION ALL SELECT 'rates', month, told, d / n FROM upto),
+log0 AS (SELECT 'growth' AS series_id, month, told, n::DOUBLE AS value FROM upto UNION ALL SELECT 'inflation', month, told, round(p / n, 9) FROM upto UNION ALL SELECT 'rates', month, told, round(d / n, 9) FROM upto),
 latest AS (SELECT series_id, month, {other(f"month + {wf.LAG_DAYS} > {CUTOFF}")} AS value FROM (SELECT series_id, month, max_by(value, told) AS value FROM log0 GROUP BY 1, 2)),
 log1 AS (SELECT series_id, month, told, {other(f"told > {CUTOFF}")} AS value FROM log0),
 valid AS MATERIALIZED (SELECT *, lead(told, 1, DATE '{validity.OPEN}') OVER (PARTITION BY series_id, month ORDER BY told) AS until FROM (SELECT *, row_number() OVER w AS rn, lag(value) OVER w AS b FROM log1 WINDOW w AS (PARTITION BY series_id, month ORDER BY told)) WHERE rn = 1 OR value IS DISTINCT FROM b),"""
