@@ -197,10 +197,11 @@ def stretches_of(found: Chunks, i: int, seen: dict[int, int]) -> list[tuple[Stre
 
 
 def context(u: Units, i: int, unit: int, back: bool) -> np.ndarray:
-    """Marks of the units of text i before a unit, the nearest first, or from it on."""
+    """Marks of the units of text i before a unit, the nearest first, or from it on: 16 bits each, so that of 65,536 ends one
+    goes a unit too far."""
     a, b = u.bounds[i : i + 2]
     near = u.hash[max(a, unit - CONTEXT) : unit][::-1] if back else u.hash[unit : min(b, unit + CONTEXT)]
-    return (near >> np.uint64(32)).astype(np.uint32)
+    return (near >> np.uint64(48)).astype(np.uint16)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> int:
@@ -262,20 +263,21 @@ def ends_of(joined: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 9, kinds)], names=[f.split()[0] for f in ENDS.split(", ")])
 
-    return mapped(joined.select("key", "mark", "text", "seen"), run, ENDS)
+    return mapped(joined, run, ENDS)  # all columns, so that the shuffle of the texts is the one the cuts read
 
 
 def extensions(ends: DataFrame) -> DataFrame:
     """(key, mark, longer): of each document the units by which the ends of its stretches go on like what they are copies of."""
     copies = ends.where("NOT own")
-    of = ends.where("own").groupBy("high", "low", F.col("key").alias("source"), "side").agg(F.min(F.struct("mark", "near")).alias("theirs"))  # one for each digest, but for rows of one doc_id
-    both = copies.join(of.select("high", "low", "source", "side", F.col("theirs.near").alias("theirs")), ["high", "low", "source", "side"])
+    of = ends.where("own").select("high", "low", F.col("key").alias("source"), "side", F.col("near").alias("theirs"))
+    both = copies.join(of, ["high", "low", "source", "side"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = [alike(np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)) for a, b in zip(batch.column("near").to_pylist(), batch.column("theirs").to_pylist())]
+        n = [alike(np.frombuffer(a, dtype=np.uint16), np.frombuffer(b, dtype=np.uint16)) for a, b in zip(batch.column("near").to_pylist(), batch.column("theirs").to_pylist())]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "mark", "stretch", "side")), pa.array(n, pa.int32())], ["key", "mark", "stretch", "side", "n"])
 
     counted = mapped(both.select("key", "mark", "stretch", "side", "near", "theirs"), run, "key long, mark long, stretch int, side int, n int").where("n > 0")
+    counted = counted.groupBy("key", "mark", "stretch", "side").agg(F.max("n").alias("n"))  # rows of one doc_id may each have the chunk
     return counted.groupBy("key", "mark").agg(F.collect_list(F.struct("stretch", "side", "n")).alias("longer"))
 
 
