@@ -30,7 +30,7 @@ def test_pooling_neighbours():
 def test_recalibration_of_groups(spark):
     rows = [(h, f"2000-{m:02d}-01", 0.1 + 0.8 * ((m * h) % 7) / 7, float((m * 5 + h) % 3 == 0)) for h in (1, 2) for m in range(1, 13)] + [(3, "2000-01-01", 0.5, 1.0), (3, "2000-02-01", 0.5, None)]
     df = spark.createDataFrame(rows, "h int, d string, predicted double, realised double")
-    got = {r.h: r for r in calibration.recalibrated(df, ["h"], "h int").collect()}
+    got = {r.h: r for r in calibration.recalibrated(df, ["h"]).collect()}
     assert got[1].n == 12 and got[3].n == 1 and got[3].slope is None
     found = {r.h: r for r in calibration.slope_interval(df, ["h"], "h int", "d", 3, 50).collect()}
     assert found[1].lower <= found[1].upper and found[3].usable == 0 and found[3].lower is None

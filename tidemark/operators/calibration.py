@@ -1,7 +1,7 @@
 """Recalibration of probabilities: logistic lines and monotone maps, fitted for each key.
 
-A fit sees all forecasts of its key, one for each date, indicator and horizon it covers; keys are
-independent groups.  Newton's method needs passes over the same rows, so it is a grouped pandas function.
+A key's line is fitted by aggregates, a step at a time.  Resampled lines and monotone maps see all forecasts of their key, one
+for each date, indicator and horizon it covers, so they are grouped pandas functions.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import forget, stored
 from .bootstrap import SEED, starts
 
 LOW, HIGH = 0.005, 0.995
@@ -52,15 +53,42 @@ def pooled_monotone(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return xs[keep], ys[keep]
 
 
-def recalibrated(df: DataFrame, keys: list[str], key_schema: str) -> DataFrame:
-    """(keys, n, intercept, slope) of each key's line; null where there is none."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        line = logistic_line(rows["predicted"].to_numpy(), rows["realised"].to_numpy()) or (None, None)
-        return pd.DataFrame([(*key, len(rows), *line)], columns=[*keys, "n", "intercept", "slope"])
-
-    rows = df.where(F.col("predicted").isNotNull() & F.col("realised").isNotNull()).select(*keys, "predicted", "realised")
-    return rows.groupBy(*keys).applyInPandas(run, f"{key_schema}, n long, intercept double, slope double")
+def recalibrated(df: DataFrame, keys: list[str], steps: int = 100, tolerance: float = 1e-10) -> DataFrame:
+    """(keys, n, intercept, slope) of each key's line; null where there is none.
+
+    Each of Newton's steps is one aggregate over the stored forecasts for all keys that still move, whose lines (one row a
+    key) come back to the driver: no key's forecasts are brought together.
+    """
+    spark, p = df.sparkSession, F.least(F.greatest("predicted", F.lit(LOW)), F.lit(HIGH))
+    known = df.where(F.col("predicted").isNotNull() & F.col("realised").isNotNull())
+    rows = stored(known.select(*keys, F.ln(p / (1 - p)).alias("_x"), F.col("realised").alias("_y")), "recalibration")
+    kinds = dict(rows.dtypes)
+    told = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_y").alias("low"), F.max("_y").alias("high"), F.stddev_pop("_x").alias("spread")).collect()
+    counts = {tuple(r[k] for k in keys): r.n for r in told}
+    going = {tuple(r[k] for k in keys): (0.0, 1.0) for r in told if r.n >= 2 and r.low < r.high and r.spread >= 1e-12}
+    found: dict[tuple, tuple[float, float]] = {}
+    names = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    for _ in range(steps):
+        if not going:
+            break
+        lines = spark.createDataFrame([(*k, *line) for k, line in going.items()], f"{names}, _a double, _b double")  # one row a key
+        x, q = F.col("_x"), 1 / (1 + F.exp(-(F.col("_a") + F.col("_b") * F.col("_x"))))
+        w, r = q * (1 - q), F.col("_y") - q
+        sums = rows.join(F.broadcast(lines), keys).groupBy(*keys).agg(*(F.sum(c).alias(n) for n, c in (("a", w), ("b", w * x), ("c", w * x * x), ("g", r), ("h", r * x))))
+        for row in sums.collect():
+            key = tuple(row[k] for k in keys)
+            h = np.array([[row.a, row.b], [row.b, row.c]])
+            if not np.isfinite(h).all() or np.linalg.cond(h) > 1e14:
+                del going[key]
+                continue
+            step = np.linalg.solve(h, np.array([row.g, row.h]))
+            line = going[key] = tuple((np.array(going[key]) + step).tolist())
+            if np.abs(step).max() < tolerance:
+                found[key] = line
+                del going[key]
+    forget(rows)
+    out = [(*k, n, *found.get(k, (None, None))) for k, n in counts.items()]
+    return spark.createDataFrame(out, f"{names}, n long, intercept double, slope double")
 
 
 def logistic_lines(x: np.ndarray, y: np.ndarray, weights: np.ndarray, steps: int = 100, tolerance: float = 1e-10) -> np.ndarray:

@@ -33,7 +33,7 @@ SELECT t.horizon::INTEGER AS horizon, sum(n)::BIGINT AS n, {r('sum(n * predicted
 
 @query(W + ", " + _newton())
 def recalibration_line(spark, sf_dir):
-    return calibration.recalibrated(scored(spark, sf_dir), ["horizon"], _SCHEMA)
+    return calibration.recalibrated(scored(spark, sf_dir), ["horizon"])
 
 
 @query()
