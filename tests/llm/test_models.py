@@ -211,7 +211,13 @@ def test_temperature_is_the_best_of_the_part_set_apart():
     rng = np.random.default_rng(3)
     sample = [(b"good fine nice %d" % i if y else b"bad poor awful %d" % i, y if rng.random() > 0.1 else 1 - y) for i in range(300) for y in (0, 1)]
     model = quality.Scorer(rng.standard_normal((quality.BUCKETS, quality.SIZE)).astype(np.float32), sample)
-    assert model.trained and 0.2 < model.temperature < 13
+    part = sorted(dict(sorted(sample)).items())  # as the scorer takes them
+    apart = np.random.default_rng(3).permutation(len(part))[: len(part) // 5]
+    texts, y = [part[i][0] for i in apart], np.array([part[i][1] for i in apart])
+    logit = model._logit((quality.pooled(texts, model.vectors) - model.mean) / model.spread)
+    loss = lambda t: np.logaddexp(0, np.where(y == 1, -logit, logit) / t).mean()
+    assert model.trained and all(loss(model.temperature) <= loss(t) + 1e-12 for t in np.exp(np.linspace(-1.5, 2.5, 81)))
+    assert loss(model.temperature) < loss(1.0)  # noisy labels: the plain logits are too sure
     assert np.mean([(model.score([t])[0] >= 0.5) == y for t, y in sample]) > 0.8
 
 
