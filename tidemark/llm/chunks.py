@@ -25,7 +25,7 @@ document the first of equal chunks stays, and those less than `APART` units afte
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -232,45 +232,56 @@ def cuts_of(u: Units, found: Chunks, i: int, seen: dict[int, int], longer: dict[
     return out
 
 
-ENDS = "key long, mark long, stretch int, side int, high long, low long, source long, near binary, own boolean"
+ENDS = "key long, mark long, stretch int, side int, high long, low long, source long, near binary"
 
 
 def ends_of(joined: DataFrame) -> DataFrame:
-    """The ends of stretches that other documents have, with the units around them (`own` false: at (stretch, side) of (key, mark)
-    is a copy of the chunk of `source`), and the same of all chunks that others copy (`own`: of `key` itself)."""
+    """The ends of stretches that other documents have, with the units around them: at (stretch, side) of (key, mark) is a copy
+    of a chunk of `source`.  Documents that are copies as a whole have none."""
+
+    def one(u: Units, found: Chunks, i: int, key: int, mark: int, seen: dict[int, int]) -> Iterator[tuple]:
+        for k, (stretch, _) in enumerate(stretches_of(found, i, {r: f for r, f in seen.items() if f != key})):
+            for side, (source, high, low, _) in enumerate(stretch.ends):
+                if source >= 0:
+                    yield key, mark, k, side, high, low, source, context(u, i, (stretch.first, stretch.last)[side], side == 0).tobytes()
+
+    rows = joined.where(F.exists("seen", lambda x: x["first"] != F.col("key")) & ~F.exists("seen", lambda x: x["place"] == WHOLE))
+    return _around(rows, one)
+
+
+def sources_of(joined: DataFrame) -> DataFrame:
+    """The same of all chunks that others copy, `source` being the document itself."""
+
+    def one(u: Units, found: Chunks, i: int, key: int, mark: int, seen: dict[int, int]) -> Iterator[tuple]:
+        p, q = found.bounds[i : i + 2].tolist()
+        head = np.unique(found.high[p:q], return_index=True)[1]
+        for c in (p + head[np.array([r for r, first in seen.items() if first == key], dtype=np.int64)]).tolist():
+            for side, at in enumerate((found.start[c], found.end[c])):
+                yield key, mark, -1, side, int(found.high[c]), int(found.low[c]), key, context(u, i, int(at), side == 0).tobytes()
+
+    return _around(joined.where(F.exists("seen", lambda x: x["first"] == F.col("key"))), one)
+
+
+def _around(rows: DataFrame, one: Callable[[Units, Chunks, int, int, int, dict[int, int]], Iterator[tuple]]) -> DataFrame:
+    """`one` over the units and chunks of each text of `rows`, all columns of which are read, so that the shuffle of the texts is
+    the one the cuts read."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lists, keys, marks = batch.column("seen"), batch.column("key").to_pylist(), batch.column("mark").to_pylist()
-        rows = [i for i, n in enumerate(lists.is_null().to_pylist()) if not n]
-        texts = utf8(batch.column("text").take(pa.array(rows, pa.int64())))
+        lists, keys, marks, texts = batch.column("seen"), batch.column("key").to_pylist(), batch.column("mark").to_pylist(), utf8(batch.column("text"))
         for start, u, found in _each(texts):
             out = []
-            for i in range(len(u.bounds) - 1):
-                key, mark = keys[rows[start + i]], marks[rows[start + i]]
-                seen = {x["place"]: x["first"] for x in lists[rows[start + i]].as_py()}
-                if WHOLE in seen:
-                    continue
-                p, q = found.bounds[i : i + 2].tolist()
-                ranks = [r for r, first in seen.items() if first == key]
-                if ranks:
-                    head = np.unique(found.high[p:q], return_index=True)[1]
-                    for c in (p + head[np.array(ranks)]).tolist():
-                        out += [(key, mark, -1, side, int(found.high[c]), int(found.low[c]), key, context(u, i, int(at), side == 0).tobytes(), True) for side, at in enumerate((found.start[c], found.end[c]))]
-                for k, (stretch, _) in enumerate(stretches_of(found, i, {r: f for r, f in seen.items() if f != key})):
-                    for side, (source, high, low, _) in enumerate(stretch.ends):
-                        if source >= 0:
-                            out.append((key, mark, k, side, high, low, source, context(u, i, (stretch.first, stretch.last)[side], side == 0).tobytes(), False))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 9, kinds)], names=[f.split()[0] for f in ENDS.split(", ")])
-
-    return mapped(joined, run, ENDS)  # all columns, so that the shuffle of the texts is the one the cuts read
-
-
-def extensions(ends: DataFrame) -> DataFrame:
+            for i in range(start, start + len(u.bounds) - 1):
+                out += one(u, found, i - start, keys[i], marks[i], {x["place"]: x["first"] for x in lists[i].as_py() if x["place"] != WHOLE})
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 8, kinds)], names=[f.split()[0] for f in ENDS.split(", ")])
+
+    return mapped(rows, run, ENDS)
+
+
+def extensions(joined: DataFrame) -> DataFrame:
     """(key, mark, longer): of each document the units by which the ends of its stretches go on like what they are copies of."""
-    copies = ends.where("NOT own")
-    of = ends.where("own").select("high", "low", F.col("key").alias("source"), "side", F.col("near").alias("theirs"))
-    both = copies.join(of, ["high", "low", "source", "side"])
+    theirs = sources_of(joined).select("high", "low", "source", "side", F.col("near").alias("theirs"))
+    both = ends_of(joined).join(theirs, ["high", "low", "source", "side"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = [alike(np.frombuffer(a, dtype=np.uint16), np.frombuffer(b, dtype=np.uint16)) for a, b in zip(batch.column("near").to_pylist(), batch.column("theirs").to_pylist())]
@@ -324,4 +335,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "n_cut", "cut_chars", "copied_from", "spans", "text"])
 
-    return mapped(joined.join(extensions(ends_of(joined)), ["key", "mark"], "left").drop("mark"), run, SCHEMA)
+    return mapped(joined.join(extensions(joined), ["key", "mark"], "left").drop("mark"), run, SCHEMA)
