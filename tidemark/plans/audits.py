@@ -12,7 +12,7 @@ from ..sources import register, records, store, tables
 from ..sources.scratch import stored
 from . import walkforward as wf
 from .gates import CELLS, cells, mean_skills, scoreable, sums_of
-from .library import _CLAIMS, _OTHER, _POLICY, _VINTAGES, K, W, _claims, _other, _policies, _vintages, as_of_dates, at, grid, query, r, scored, with_horizons
+from .library import _CLAIMS, _OTHER, _POLICY, _VINTAGES, K, W, _both, _claims, _policies, _vintages, as_of_dates, at, grid, query, r, scored, with_horizons
 from .regimewalk import PANELS, panel_matrices, panel_states
 
 # ---- what may be used from when
@@ -100,7 +100,7 @@ def look_ahead_leak(spark, sf_dir):
 @query(W + f", {_OTHER} SELECT g.series_id, g.month, {r('g.value')} AS before, {r('o.value')} AS after FROM grid g JOIN other o ON g.series_id = o.series_id AND g.month = o.month WHERE abs(g.value - o.value) > 1e-9 ORDER BY g.month, g.series_id LIMIT 40")
 def first_moved_rows(spark, sf_dir):
     """The first forty values that moved, by date: a report."""
-    moved = diff.banded(grid(spark, sf_dir), _other(spark, sf_dir), ["series_id", "month"], ["value"]).where("band = 'MOVED'")
+    moved = diff.banded(*_both(spark, sf_dir), ["series_id", "month"], ["value"]).where("band = 'MOVED'")
     return moved.orderBy("month", "series_id").limit(40).select("series_id", "month", "before", "after")
 
 
@@ -111,7 +111,7 @@ _RANKS = """ranked AS (SELECT series_id, month, band, before, after, row_number(
 @query(W + f", {_OTHER}, {_RANKS} SELECT series_id, month, band, place FROM ranked")
 def ordered_differences(spark, sf_dir):
     """Differences in the order they are shown: what is only in one run first, then by size."""
-    found = diff.banded(grid(spark, sf_dir), _other(spark, sf_dir), ["series_id", "month"], ["value"]).where("band IN ('MOVED', 'ADDED', 'REMOVED')")
+    found = diff.banded(*_both(spark, sf_dir), ["series_id", "month"], ["value"]).where("band IN ('MOVED', 'ADDED', 'REMOVED')")
     return diff.in_order(found, "series_id", "month").select("series_id", "month", "band", "place")
 
 
