@@ -105,3 +105,15 @@ def test_lines_side_by_side_are_those_one_by_one():
             assert np.isnan(line).all() if want is None else line == pytest.approx(want, abs=1e-8)
             seen += want is not None
         assert seen > 20
+
+
+def test_a_line_far_from_the_forecasts_is_found(spark):
+    rows = [(h, p, 1.0 if h == 2 else float(i < n)) for h in (1, 2) for p, n in ((0.006, 40), (0.01, 45)) for i in range(100)]
+    df = spark.createDataFrame(rows, "horizon int, predicted double, realised double")
+    logit = lambda p: np.log(p / (1 - p))
+    one, none = sorted(calibration.recalibrated(df, ["horizon"]).collect())
+    slope = (logit(0.45) - logit(0.40)) / (logit(0.01) - logit(0.006))
+    assert one.slope == pytest.approx(slope) and one.intercept == pytest.approx(logit(0.45) - slope * logit(0.01))
+    assert none.n == 200 and none.slope is None and none.intercept is None  # all outcomes alike
+    one, all_alike = sorted(calibration.recalibrated(df, ["horizon"], steps=15, settled=False).collect())
+    assert one.slope == pytest.approx(slope) and np.isfinite(all_alike.slope)

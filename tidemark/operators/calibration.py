@@ -53,9 +53,12 @@ def pooled_monotone(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return xs[keep], ys[keep]
 
 
-def recalibrated(df: DataFrame, keys: list[str], steps: int = 100, tolerance: float = 1e-10) -> DataFrame:
-    """(keys, n, intercept, slope) of each key's line; null where there is none.
+def recalibrated(df: DataFrame, keys: list[str], steps: int = 100, tolerance: float = 1e-10, settled: bool = True) -> DataFrame:
+    """(keys, n, intercept, slope) of each key's line; null where there is none.  Unless only `settled` lines are asked for,
+    one that the steps don't settle, as outcomes that are all alike have none, is what they came to.
 
+    The steps start from (0, 0), where all forecasts weigh alike; from a slope of one they may run away where outcomes are
+    far from the forecasts.
     Each of Newton's steps is one aggregate over the stored forecasts for all keys that still move, whose lines (one row a
     key) come back to the driver: no key's forecasts are brought together.
     """
@@ -65,7 +68,7 @@ def recalibrated(df: DataFrame, keys: list[str], steps: int = 100, tolerance: fl
     kinds = dict(rows.dtypes)
     told = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_y").alias("low"), F.max("_y").alias("high"), F.stddev_pop("_x").alias("spread")).collect()
     counts = {tuple(r[k] for k in keys): r.n for r in told}
-    going = {tuple(r[k] for k in keys): (0.0, 1.0) for r in told if r.n >= 2 and r.low < r.high and r.spread >= 1e-12}
+    going = {tuple(r[k] for k in keys): (0.0, 0.0) for r in told if r.spread >= 1e-12 and (r.low < r.high or not settled)}
     found: dict[tuple, tuple[float, float]] = {}
     names = ", ".join(f"{k} {kinds[k]}" for k in keys)
     for _ in range(steps):
@@ -78,14 +81,16 @@ def recalibrated(df: DataFrame, keys: list[str], steps: int = 100, tolerance: fl
         for row in sums.collect():
             key = tuple(row[k] for k in keys)
             h = np.array([[row.a, row.b], [row.b, row.c]])
-            if not np.isfinite(h).all() or np.linalg.cond(h) > 1e14:
+            det = row.a * row.c - row.b * row.b
+            if not np.isfinite(h).all() or det == 0 or settled and np.linalg.cond(h) > 1e14:
                 del going[key]
                 continue
-            step = np.linalg.solve(h, np.array([row.g, row.h]))
+            step = np.array([row.c * row.g - row.b * row.h, row.a * row.h - row.b * row.g]) / det
             line = going[key] = tuple((np.array(going[key]) + step).tolist())
             if np.abs(step).max() < tolerance:
                 found[key] = line
                 del going[key]
+    found |= {} if settled else going
     forget(rows)
     out = [(*k, n, *found.get(k, (None, None))) for k, n in counts.items()]
     return spark.createDataFrame(out, f"{names}, n long, intercept double, slope double")
