@@ -297,3 +297,11 @@ def test_held_out_toxic_labels_are_never_learned_from(spark, sf_dir):
     flipped = labels.selectExpr("doc_id", "CASE WHEN crc32(cast(doc_id AS string)) % 5 = 0 THEN 1 - toxic ELSE toxic END AS toxic")
     score = lambda df: {r.doc_id: r.score for r in df.collect()}
     assert score(toxicity.toxicity(docs, labels, 60)) == score(toxicity.toxicity(docs, flipped, 60))
+
+
+def test_toxicity_is_fitted_away_from_the_driver(spark, sf_dir, monkeypatch):
+    import os
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    monkeypatch.setattr(toxicity, "fit", lambda sample, driver=os.getpid(): float(len(sample) if os.getpid() != driver else -1))
+    assert toxicity.train(docs, labels, 5) == 10

@@ -19,9 +19,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = stored(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(most_rounds):
-        roots = edges.select(F.col("v").alias("u")).distinct()
-        more = edges.groupBy("u").agg(F.count("*").alias("n"))  # edges are distinct: a leaf of stars has one
-        if more.where("n > 1").unionByName(more.join(roots, "u", "left_semi")).isEmpty():
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("links"), F.lit(0).alias("root")).union(edges.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("node").agg(F.sum("links").alias("links"), F.max("root").alias("root"))  # edges are distinct: a leaf of stars has one
+        if ends.where("links > 1 OR links = 1 AND root = 1").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

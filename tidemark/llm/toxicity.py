@@ -17,6 +17,7 @@ kinds every score is the share of toxic labels (0 without any).  Texts of any le
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chosen, groups_of, mapped, mix, residue, utf8
-from .labelled import SAMPLE_ROWS, labelled_sample
+from .labelled import SAMPLE_ROWS, labelled_rows
 from .minhash import band_keys, shingles, signature
 from .words import Words, in_pieces, sum_by, words
 
@@ -380,7 +381,16 @@ def learnable():
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network | float:
-    return fit(labelled_sample(docs, labels, "toxic", learnable(), rows))
+    """Fitted in a task on the bounded sample: the driver holds only the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [pair for batch in batches for pair in zip(utf8(batch.column("text")), batch.column("y").to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sample))], pa.binary())], names=["model"])
+        pa.default_memory_pool().release_unused()
+
+    sample = labelled_rows(docs, labels, "toxic", learnable(), rows).coalesce(1)
+    told = sample.mapInArrow(run, "model binary").first()
+    return pickle.loads(told.model) if told else fit([])
 
 
 def _scores(model: Network | float, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
