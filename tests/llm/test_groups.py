@@ -50,6 +50,30 @@ def test_components(spark):
     assert got == {n: c for n, c in want.items() if any(n in l and l[0] != l[1] for l in links)}
 
 
+def test_rounds_of_components_take_few_exchanges(spark, monkeypatch):
+    exchanges = []  # of each stored set of links; the driver holds plans and tasks of all of them
+
+    def counted(df, what, stored=graph.stored):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return stored(df, what)
+
+    monkeypatch.setattr(graph, "stored", counted)
+    graph.components(spark.createDataFrame([(i, i + 1) for i in range(5)], "a long, b long"))
+    assert len(exchanges) > 1 and max(exchanges) <= 6, exchanges
+
+
+def test_later_links_of_near_duplicates_are_those_of_components(spark, sf_dir, monkeypatch):
+    sizes = []
+
+    def counted(links, components=minhash.components):
+        sizes.append(links.count())
+        return components(links)
+
+    monkeypatch.setattr(minhash, "components", counted)
+    minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    assert sizes[1] < sizes[0] and sizes[-1] < sizes[0], sizes  # the links of the first round aren't read again
+
+
 def test_near_duplicates_of_the_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     check_documents(docs.collect(), minhash.near_duplicates(docs).collect())

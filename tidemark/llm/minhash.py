@@ -143,22 +143,35 @@ def _alike(a: str, b: str) -> Column:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b), with all their columns, whose full sets are similar enough."""
     left = sets.select(F.col("rep").alias("a"), F.col("found").alias("of_a"))
     right = sets.select(F.col("rep").alias("b"), F.col("found").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= PERCENT * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(100 * both >= PERCENT * (F.size("of_a") + F.size("of_b") - both)).select(pairs.columns)
 
 
 def _with_component(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return buckets.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
+def _in_larger(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """The rows with the component that theirs is in, by `merged` (node, component) of components."""
+    into = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    return rows.join(into, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into")
+
+
+def _all_in_larger(found: DataFrame, merged: DataFrame) -> DataFrame:
+    """The same of (node, component), with the nodes that had no component before."""
+    alone = merged.join(found.select("node"), "node", "left_anti")
+    return _in_larger(found, merged).select("node", "component").union(alone.select("node", "component"))
+
+
 def _largest(members: DataFrame) -> DataFrame:
-    """Of each bucket with several components: the largest one, and one of its members, drawn by the bucket's key."""
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("key", "rep").alias("drawn"), "rep", "n")).alias("one"))
-    most = sizes.groupBy("key").agg(F.max(F.struct("size", "component", "one")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    return most.select("key", F.col("top.component").alias("main"), F.col("top.one.rep").alias("leader"), F.col("top.one.n").alias("leader_n"))
+    """Of each bucket with several components: the largest one, one of its members, drawn by the bucket's key, and the
+    bucket's smallest member."""
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("key", "rep").alias("drawn"), "rep", "n")).alias("one"), F.min("rep").alias("least"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("size", "component", "one")).alias("top"), F.count("*").alias("parts"), F.min("least").alias("least")).where("parts > 1")
+    return most.select("key", F.col("top.component").alias("main"), F.col("top.one.rep").alias("leader"), F.col("top.one.n").alias("leader_n"), "least")
 
 
 def classes_of(feats: DataFrame) -> DataFrame:
@@ -177,9 +190,13 @@ def shared_ids(feats: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(node, component) of the classes with a link, those `known` (a, b) included."""
+    """(node, component) of the classes with a link, those `known` (a, b) included.
+
+    Later rounds link components, not documents, so each round's components are those of a smaller graph.
+    """
     rows = classes.select(F.explode("bands").alias("key"), "rep", "n")
-    leaders = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("rep").alias("drawn"), "rep", "n")).alias("one")).where("size > 1")
+    # classes are numbered by where their digests fell, so the smallest number is as good as drawn, and makes stars of groups
+    leaders = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("one")).where("size > 1")
     buckets = rows.join(leaders.select("key", F.col("one.rep").alias("leader"), F.col("one.n").alias("leader_n")), "key")
     buckets = stored(buckets, "buckets")
     wanted = classes.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "one.*")
@@ -188,26 +205,26 @@ def links(docs: DataFrame, classes: DataFrame, known: DataFrame | None = None) -
 
     # 1: with the bucket's leader
     pairs = buckets.where(F.col("rep") != F.col("leader")).where(_alike("n", "leader_n"))
-    pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    found = _confirmed(pairs, sets)
-    first = stored(found if known is None else found.union(known), "links")
+    pairs = pairs.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    confirmed = _confirmed(pairs, sets)
+    found = components(confirmed if known is None else confirmed.union(known))
     # 2: outside the largest component, with another member of it in each bucket
-    members = stored(_with_component(plain, components(first)), "members")
+    members = stored(_with_component(plain, found), "members")
     pairs = members.join(_largest(members), "key").where(F.col("component") != F.col("main")).where(_alike("n", "leader_n"))
-    pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    second = stored(first.union(_confirmed(pairs, sets)), "links")
+    pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"), F.least("component", "main").alias("x"), F.greatest("component", "main").alias("y")).distinct()
+    second = components(_confirmed(pairs, sets).select(F.col("x").alias("a"), F.col("y").alias("b")))
     # 3: what is left, in blocks of whole clusters
-    last = stored(_with_component(plain, components(second)), "members")
-    left = stored(last.join(_largest(last).select("key", "leader"), "key").select("rep", "component", "n", "leader").distinct(), "left")
-    clusters = components(left.select(F.col("rep").alias("a"), F.col("leader").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    third = stored(second.union(_block_links(left.select("rep", "component", "n").distinct().join(clusters, "rep"), sets)), "links")
-    out = components(third)
-    forget(buckets, sets, first, members, second, last, left, third)
+    last = stored(_in_larger(members, second), "members")
+    left = stored(last.join(_largest(last).select("key", "least"), "key").select("rep", "component", "n", "least").distinct(), "left")
+    clusters = components(left.select(F.col("rep").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    third = components(_block_links(left.select("rep", "component", "n").distinct().join(clusters, "rep"), sets))
+    out = stored(_all_in_larger(_all_in_larger(found, second), third), "found")
+    forget(buckets, sets, members, last, left)
     return out
 
 
 def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between documents (rep, component, n, cluster) of one cluster that join different components.
+    """Links (a, b) between the components of documents (rep, component, n, cluster) of one cluster.
 
     Documents whose sizes differ by more than the similarity allows never link, so a cluster is cut by size in bands
     of that ratio, and a block of a band meets those of its own and of the next one.
@@ -235,7 +252,7 @@ def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _compared(rows: pd.DataFrame) -> pd.DataFrame:
-    """Two blocks against each other, or one against itself."""
+    """Two blocks against each other, or one against itself: the components that their links join."""
     same = rows["p_band"].iloc[0] == rows["q_band"].iloc[0] and rows["p_block"].iloc[0] == rows["q_block"].iloc[0]
     a = rows[rows["first"]]
     b = a if same else rows[~rows["first"]]
@@ -254,7 +271,7 @@ def _compared(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = root(ca[i]), root(cb[j])
         if x != y:
             into[max(x, y)] = min(x, y)
-            out.append((a["rep"].iloc[i], b["rep"].iloc[j]))
+            out.append((ca[i], cb[j]))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
