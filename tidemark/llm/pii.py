@@ -139,8 +139,10 @@ def find(text: str | None) -> list[tuple[int, str, int]]:
 def _shortest_iban(text: str, m: re.Match) -> int:
     """Where the longest stretch with a right check sum ends, or 0."""
     for end in range(m.end(), m.start() + 14, -1):
+        if text[end - 1] == " " or text[end : end + 1].isalnum():
+            continue
         plain = text[m.start() : end].replace(" ", "")
-        if 15 <= len(plain) <= 34 and text[end - 1] != " " and _iban(plain) and not text[end : end + 1].isalnum():
+        if 15 <= len(plain) <= 34 and _iban(plain):
             return end
     return 0
 
