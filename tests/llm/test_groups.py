@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import capfilter, chunks, graph, minhash
 from tidemark.llm.common import table
@@ -109,6 +110,43 @@ def test_near_duplicates_of_odd_tables(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def shuffled_bytes(spark):
+    """What all stages so far wrote to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_that_nothing_is_linked_with_are_not_shuffled(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(3000))) for i in range(150)]
+    rows += [(1000 + i, f"{t} more") for i, t in rows[:5]] + rows[3:7]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    size = sum(len(t) for _, t in rows)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as on tables too large to broadcast
+    try:
+        before = shuffled_bytes(spark)
+        kept = sorted(r.doc_id for r in minhash.keep_one(docs).select("doc_id", "text").collect())
+        after = shuffled_bytes(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert kept == list(range(150))
+    assert after - before < size / 2, (after - before, size)  # once for the sets and once for the result, it was over one
+
+
+def test_sifting_loses_no_key_whatever_passes(spark, monkeypatch):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.unhex(F.md5(F.col("id").cast("string"))).alias("mark"))
+    for most in (2**15, 2**27):  # a filter that is too small lets more pass
+        monkeypatch.setattr(minhash, "FILTER_BITS", most)
+        keys = rows.where("doc_id % 4 != 3")
+        some, others = minhash._sifted(rows, rows["doc_id"], rows["mark"], keys, 3000)
+        some, others = ({r.doc_id for r in x.collect()} for x in (some, others))
+        assert not some & others and some | others == set(range(4000))
+        assert others <= set(range(3, 4000, 4)) and len(others) > (700 if most == 2**15 else 900)
+    some, others = minhash._sifted(rows, rows["doc_id"], rows["mark"], rows.limit(0), 0)
+    assert (some.count(), others.count()) == (0, 4000)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64))

@@ -37,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import forget, groups_of, mapped, mix, salts, stored, utf8
@@ -54,6 +54,8 @@ PERCENT = 75
 SMALL = 21
 #: Rows up to which a table of cluster sizes is broadcast: 40 bytes each.
 FEW = 250_000
+#: Bits of a filter for each of its keys, and of one filter at most (16 MB); a bitmap of Spark's holds 32,768.
+KEY_BITS, FILTER_BITS, BITMAP_BITS = 16, 2**27, 2**15
 NO_ID = 2**63 - 1
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -137,6 +139,26 @@ def full_sets(texts: DataFrame) -> DataFrame:
     return mapped(texts.select("rep", "text"), run, "rep long, found array<long>")
 
 
+def _sifted(rows: DataFrame, doc_id: Column, mark: Column, keys: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that may be among the `n` stored `keys` (doc_id, mark), and those that are not.
+
+    Only the first need meet the keys in a join, so the other texts aren't shuffled.  The keys' hashes are set in a broadcast
+    filter; about one other row in 16 passes it, more where it would need over `FILTER_BITS`.
+    """
+    count = max(1, min(KEY_BITS * n, FILTER_BITS) // BITMAP_BITS)
+
+    def place(*key: Column) -> tuple[Column, Column]:
+        h = F.xxhash64(*key)
+        return F.pmod(h, F.lit(count)), F.shiftrightunsigned(h, 49)
+
+    of, bit = place(F.col("doc_id"), F.col("mark"))
+    maps = F.broadcast(keys.groupBy(of.alias("of")).agg(F.bitmap_construct_agg(bit).alias("bits")))
+    of, bit = place(doc_id, mark)
+    byte = F.conv(F.hex(F.substr(maps["bits"], F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = (of == maps["of"]) & (F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1)
+    return rows.join(maps, there, "left_semi"), rows.join(maps, there, "left_anti")
+
+
 def _alike(a: str, b: str) -> Column:
     """Whether two set sizes allow the similarity at all."""
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
@@ -199,8 +221,10 @@ def links(docs: DataFrame, classes: DataFrame, known: DataFrame | None = None) -
     leaders = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("one")).where("size > 1")
     buckets = rows.join(leaders.select("key", F.col("one.rep").alias("leader"), F.col("one.n").alias("leader_n")), "key")
     buckets = stored(buckets, "buckets")
-    wanted = classes.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "one.*")
-    sets = stored(full_sets(_told(docs).join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])), "sets")
+    seen = Observation()
+    wanted = stored(classes.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "one.*").observe(seen, F.count("*").alias("n")), "wanted")
+    texts, _ = _sifted(told := _told(docs), told["doc_id"], told["mark"], wanted, seen.get["n"])
+    sets = stored(full_sets(texts.join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])), "sets")
     plain = buckets.select("key", "rep", "n")
 
     # 1: with the bucket's leader
@@ -219,7 +243,7 @@ def links(docs: DataFrame, classes: DataFrame, known: DataFrame | None = None) -
     clusters = components(left.select(F.col("rep").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     third = components(_block_links(left.select("rep", "component", "n").distinct().join(clusters, "rep"), sets))
     out = stored(_all_in_larger(_all_in_larger(found, second), third), "found")
-    forget(buckets, sets, members, last, left)
+    forget(buckets, wanted, sets, members, last, left)
     return out
 
 
@@ -235,8 +259,10 @@ def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     several = sizes.groupBy("cluster").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x != y").select("cluster")
     after = sizes.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("more"))
     before = sizes.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("less"))
-    told = stored(sizes.select("cluster", "band", "blocks").join(several, "cluster").join(after, ["cluster", "band"], "left").join(before, ["cluster", "band"], "left"), "sizes")
-    if told.limit(FEW + 1).count() <= FEW:  # else adaptive execution splits a cluster that fills its task
+    seen = Observation()
+    told = sizes.select("cluster", "band", "blocks").join(several, "cluster").join(after, ["cluster", "band"], "left").join(before, ["cluster", "band"], "left")
+    told = stored(told.observe(seen, F.count("*").alias("n")), "sizes")
+    if seen.get["n"] <= FEW:  # else adaptive execution splits a cluster that fills its task
         told = F.broadcast(told)
     rows = members.join(told, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(sets, "rep")
 
@@ -322,8 +348,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = feats.where("digest is not null").select(F.struct("doc_id", "mark").alias("row"), "digest").join(named, "digest")
     # what must go, and rows that are there several times, of which one stays
     rows = rows.groupBy("row").agg(F.min(F.col("row") == F.col("stays")).alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
-    rows = stored(rows.select("row.doc_id", "row.mark", "kept"), "changed")
+    seen = Observation()
+    rows = stored(rows.select("row.doc_id", "row.mark", "kept").observe(seen, F.count("*").alias("n"), F.count_if("kept").alias("again")), "changed")
     told = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))))
     same = (told[0] == rows["doc_id"]) & (told[1] == rows["mark"])
-    again = docs.join(rows.where("kept"), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.join(rows, same, "left_anti").union(again)
+    some, others = _sifted(docs, *told, rows, seen.get["n"])
+    kept = others.union(some.join(rows, same, "left_anti"))
+    if not seen.get["again"]:
+        return kept
+    return kept.union(some.join(rows.where("kept"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
